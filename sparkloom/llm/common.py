@@ -64,32 +64,39 @@ def crc_fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def global_rank(df: DataFrame, keys: list[str], order: list[Column], rank: str, salts: int = 64) -> DataFrame:
-    """Add a gapless rank from 0 within keys without bringing the rows of a key into one task.
+def prefix_sum(df: DataFrame, keys: list[str], value: Column, order: list[Column], name: str, first: list[str] = (), salts: int = 64) -> DataFrame:
+    """Add the sum of value over the earlier rows of the same keys without bringing a key's rows into one task.
 
-    Rows are dealt over `salts` sub-groups by a hash of the ordering columns; each sub-group is numbered on its own and
-    shifted by the sizes of those before it (keys x salts counts, pre-aggregated). Order across sub-groups is arbitrary
-    but fixed. df is read twice, so it should be materialised.
+    Rows are dealt over `salts` sub-groups by a hash of the ordering columns; each is summed on its own and shifted by
+    the totals of those before it (keys x first x salts rows, pre-aggregated). The order is by `first`, then sub-group,
+    then `order`: arbitrary but fixed. df is read twice, so it should be materialised.
     """
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order, F.lit("rank")), F.lit(salts)))
-    inner = Window.partitionBy(*keys, "__salt").orderBy(*order)
-    before = Window.partitionBy(*keys).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("__value", value).withColumn("__salt", F.pmod(F.xxhash64(*order, F.lit("prefix")), F.lit(salts)))
+    part = [*keys, *first, "__salt"]
+    inner = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*[F.col(f"__k{i}") for i in range(len(keys))]).orderBy(
+        *[F.col(f"__k{i}") for i in range(len(keys), len(part))]).rowsBetween(Window.unboundedPreceding, -1)
     shift = (
-        salted.groupBy(*keys, "__salt").count()
-        .withColumn("__shift", F.coalesce(F.sum("count").over(before), F.lit(0)))
-        .select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__salt").alias("__k_salt"), "__shift")
+        df.groupBy(*part).agg(F.sum("__value").alias("__sum"))
+        .select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(part)], "__sum")
+        .withColumn("__shift", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
     )
-    numbered = salted.withColumn("__n", F.row_number().over(inner) - 1)
-    same = numbered["__salt"] == shift["__k_salt"]
-    for k in keys:
-        same = same & numbered[k].eqNullSafe(shift[f"__k_{k}"])
+    summed = df.withColumn("__run", F.sum("__value").over(inner) - F.col("__value"))
+    same = F.lit(True)
+    for i, k in enumerate(part):
+        same = same & summed[k].eqNullSafe(shift[f"__k{i}"])
     return (
-        numbered.join(shift, same)
-        .withColumn(rank, (F.col("__n") + F.col("__shift")).cast("long"))
-        .drop("__salt", "__n", "__shift", "__k_salt", *[f"__k_{k}" for k in keys])
+        summed.join(shift, same)
+        .withColumn(name, (F.col("__run") + F.col("__shift")).cast("long"))
+        .drop("__value", "__salt", "__run", "__sum", "__shift", *[f"__k{i}" for i in range(len(part))])
     )
 
 
+def global_rank(df: DataFrame, keys: list[str], order: list[Column], rank: str, salts: int = 64) -> DataFrame:
+    """Add a gapless rank from 0 within keys, see prefix_sum()."""
+    return prefix_sum(df, keys, F.lit(1).cast("long"), order, rank, salts=salts)
+
+
 def gathered(batches: Iterator[pa.RecordBatch], limit: int = 12_000_000) -> Iterator[pa.Table]:
     """Join Arrow batches into tables of about `limit` bytes."""
     held, size = [], 0

@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import neardup, packing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_packing": packing.op2,
+        "op3_near_duplicates": neardup.op3,
+        "op4_sharding": sharding.op4,
         "op9_quality_rules": quality.op9,
     }
 
