@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, packing, quality, sharding, tokenfile, toxicity
+from . import neardup, packing, quality, scoring, sharding, tokenfile, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_near_duplicates": neardup.op3,
         "op4_sharding": sharding.op4,
         "op6_toxicity": toxicity.op6,
+        "op7_lm_scoring": scoring.op7,
         "op9_quality_rules": quality.op9,
         "op10_token_files": tokenfile.op10,
     }
