@@ -7,9 +7,10 @@ coordinate with the Jaccard similarity as probability, with Chernoff-like concen
 are hashed to bucket keys: 24 bands of 5 miss a pair at 0.85 with a probability below one in a million.
 
 Verification: documents with the same set are one class (its smallest doc_id stands for it). In every bucket the smallest
-member is compared with each other member on full sets; after these links are closed to components, members of a bucket
-that lie in different components are compared with each other, except that two members of the bucket's largest
-component never are. Thus every pair of a bucket is either verified or already connected, without all pairs in a group.
+member is compared with each other member on full sets, and these links are closed to components. Documents of buckets
+that still hold several components are then joined exactly by their rarest shingles (a prefix filter), leaving out pairs
+that are connected already or whose one-bit sketches of 2048 coordinates are too far apart (one in ten million), and candidates are confirmed on full sets. Thus no link of a bucket is lost and no group is
+expanded into all pairs.
 
 Defined cases: null or wordless text has an empty set, no links, component_id = doc_id; texts of one to four words have
 one shingle, the whole sequence; rows that share a doc_id are one node; rows without doc_id are linked with nothing,
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import gathered, materialize, one_array, ranges, small_arrow_batches, texts_of, word_codes
@@ -32,6 +33,8 @@ from .graph import connected_components
 
 WORDS = 5
 BANDS, ROWS = 24, 5
+#: Coordinates of the one-bit sketches that thin out candidates before they become rows.
+BITS = 2048
 SKETCH_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 #: Odd multipliers of the places of a shingle.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -106,29 +109,77 @@ def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(digest[1].view(np.int64)), bands], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
 
+def bit_sketches(sizes: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """(sets, BITS / 64) 64-bit words: the lowest bit of each of BITS sketch coordinates; zeros for empty sets."""
+    out, ends = np.zeros((len(sizes), BITS // 64), np.int64), np.cumsum(sizes)
+    for a in range(0, len(sizes), 500):
+        full = a + np.flatnonzero(sizes[a:a + 500])
+        if len(full):
+            part = items[ends[a] - sizes[a]:ends[min(a + 500, len(sizes)) - 1]]
+            low = (fast_sketch(sizes[full], part, BITS) & np.uint64(1)).astype(np.uint8)
+            out[full] = np.packbits(low, axis=1).view(np.int64)
+    return out
+
+
 def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in gathered(batches, 4_000_000):
         sizes, items = shingle_sets(texts_of(table))
         ends = np.concatenate([[0], np.cumsum(sizes)])
         sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(items.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([one_array(table["doc_id"]).cast(pa.int64()), sets], ["id", "items"])
+        words = bit_sketches(sizes, items)
+        bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * words.shape[1], pa.int32()), pa.array(words.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([one_array(table["doc_id"]).cast(pa.int64()), sets, bits], ["id", "items", "bits"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialize(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(full_sets, "id long, items array<long>"), "shingle-sets")
     left, right = (sets.select(F.col("id").alias(k), F.col("items").alias(f"of_{k}")) for k in "ab")
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
     return both.filter(100 * F.col("common") >= percent * (F.size("of_a") + F.size("of_b") - F.col("common"))).select("a", "b").distinct()
 
 
+def alike(a: str, b: str, percent: int) -> Column:
+    """Sets of too different sizes cannot be that similar."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes(rep, component) in different components that may reach the similarity; none that does is missed.
+
+    Two sets that similar share one of the n - ceil(percent/100 n) + 1 items of either that are rarest among all nodes.
+    Items of one node only need no row. For an item, nodes of its most frequent component are paired with the others
+    only, and only if their bit sketches allow the similarity.
+    """
+    items = sets.join(nodes.hint("merge"), sets["id"] == nodes["rep"]).select("rep", "component", F.size("items").alias("n"), F.explode("items").alias("item"))
+    seen = items.groupBy("item").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    shared = items.join(seen, "item").groupBy("rep", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("common"))
+    room = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - (F.col("n") - F.size("common"))
+    after = F.size("common") - 1 - F.col("place")  # items after this one in the set's own order
+    prefix = shared.filter(room > 0).select("rep", "component", "n", "common", F.posexplode(F.transform(
+        F.slice("common", F.lit(1), room.cast("int")), lambda x: x["item"])).alias("place", "item")).withColumn("after", after).drop("common", "place")
+    prefix = materialize(prefix, "prefix-items")
+    most = prefix.groupBy("item", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("item").agg(
+        F.max_by("component", F.struct("size", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    bits = sets.select(F.col("id").alias("rep"), "bits")
+    prefix = materialize(prefix.join(most.select("item", "most"), "item").join(bits.hint("merge"), "rep"), "prefix-open")
+    others = prefix.filter("component <> most").select("item", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_c"), F.col("bits").alias("x_bits"), F.col("after").alias("x_after"))
+    # The first item that two sets share leaves at most the items after it.
+    enough = (100 + percent) * (1 + F.least("after", "x_after")) >= percent * (F.col("n") + F.col("x_n"))
+    # Bits differ with probability (1 - similarity) / 2; beyond 5.3 standard deviations a pair cannot be that similar (1e-7).
+    rate = (1 - percent / 100) / 2
+    most_unlike = int(BITS * rate + 5.3 * (BITS * rate * (1 - rate)) ** 0.5) + 1
+    unlike = sum(F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("x_bits", F.lit(k)))) for k in range(BITS // 64))
+    return others.join(prefix, "item").filter((F.col("x_c") != F.col("component")) & alike("n", "x_n", percent) & enough & (unlike <= most_unlike)).select(
+        F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     spark = docs.sparkSession
     small_arrow_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     drawn = materialize(docs.mapInArrow(sketches, SKETCH_SCHEMA), "sketches")
+    repeated = not drawn.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
     classes = (
         drawn.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
@@ -138,26 +189,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n")).alias("leader")).filter("size > 1")
     members = materialize(banded.join(buckets.drop("size"), "key").select("key", "rep", "n", F.col("leader.rep").alias("lead"), F.col("leader.n").alias("lead_n")), "band-members")
 
-    def alike(a: str, b: str):  # sets of too different sizes cannot be that similar
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-    pairs = members.filter((F.col("rep") != F.col("lead")) & alike("n", "lead_n")).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    sets = docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(full_sets, "id long, items array<long>, bits array<long>")
+    sets = materialize(sets.groupBy("id").agg(F.first("items").alias("items"), F.first("bits").alias("bits")) if repeated else sets, "shingle-sets")
+    pairs = members.filter((F.col("rep") != F.col("lead")) & alike("n", "lead_n", percent)).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = materialize(pairs, "pairs")
-    links = materialize(verified(pairs, docs, percent), "links")
+    links = materialize(verified(pairs, sets, percent), "links")
     of = connected_components(links)
+    # Documents of buckets that still hold more than one component are compared exactly.
     placed = members.join(of.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        "key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+        "key", "rep", F.coalesce("component", "rep").alias("component"))
     placed = materialize(placed, "band-components")
-    largest = (
-        placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("key")
-        .agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    )
-    open_members = materialize(placed.join(largest, "key").drop("parts"), "band-open")
-    others = open_members.filter("component <> largest").select("key", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_c"))
-    rest = others.join(open_members, "key").filter((F.col("x_c") != F.col("component")) & alike("n", "x_n")).select(
-        F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = materialize(rest, "pairs-rest")
-    more = materialize(verified(rest, docs, percent), "links-rest")
+    unsettled = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
+    nodes = materialize(placed.join(unsettled, "key").select("rep", "component").distinct(), "unsettled")
+    rest = materialize(prefix_pairs(nodes, sets, percent).join(pairs, ["a", "b"], "left_anti"), "pairs-rest")
+    more = materialize(verified(rest, sets, percent), "links-rest")
     if not more.isEmpty():
         of = connected_components(links.unionByName(more))
     of = materialize(classes.select("set_a", "set_b", "rep").join(of.withColumnRenamed("node", "rep"), "rep"), "components")
