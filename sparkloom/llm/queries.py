@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, packing, quality, scoring, sharding, tokenfile, toxicity
+from . import licences, mixing, neardup, neighbours, packing, quality, scoring, sharding, tokenfile, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": licences.op1,
         "op2_packing": packing.op2,
         "op3_near_duplicates": neardup.op3,
         "op4_sharding": sharding.op4,
+        "op5_mixing": mixing.op5,
         "op6_toxicity": toxicity.op6,
         "op7_lm_scoring": scoring.op7,
+        "op8_nearest_neighbours": neighbours.op8,
         "op9_quality_rules": quality.op9,
         "op10_token_files": tokenfile.op10,
     }
