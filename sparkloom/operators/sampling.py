@@ -12,6 +12,8 @@ from .registry import Context, action
 
 #: Multipliers of seed, place and content words (fixed values).
 BY_SEED, BY_PLACE, BY_WORD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x100000001B3
+#: Seeds where none is given (fixed values).
+SAMPLE_SEED, SPLIT_SEED = 0xD7C53A21, 0xA11CE5ED
 
 
 def row_rank(seed: int, place: int, content: str) -> int:
@@ -53,7 +55,7 @@ def with_rank(df: DataFrame, seed: int, ctx: Context) -> DataFrame:
 def sample(frames, target, p, ctx: Context):
     """The rows of least rank, in rank order: `count` of them, or the whole part of `fraction` of all."""
     df, columns = frames[target], frames[target].columns
-    ranked = with_rank(df, int(p.get("seed", 0)), ctx)
+    ranked = with_rank(df, int(p.get("seed", SAMPLE_SEED)), ctx)
     n = int(p["count"]) if "count" in p else int(df.count() * float(p["fraction"]))
     return {target: ranked.orderBy("__rank", "__place").limit(n).select(*columns)}
 
@@ -62,7 +64,7 @@ def sample(frames, target, p, ctx: Context):
 def random_split(frames, target, p, ctx: Context):
     """Each row goes to the output in whose share of the weights its rank falls."""
     df, columns = frames[target], frames[target].columns
-    ranked = with_rank(df, int(p.get("seed", 0)), ctx).withColumn("__share", F.col("__rank").cast("double") / float(WORD))
+    ranked = with_rank(df, int(p.get("seed", SPLIT_SEED)), ctx).withColumn("__share", F.col("__rank").cast("double") / float(WORD))
     weights, low, out = [float(w) for w in p["weights"]], 0.0, {}
     for k, (name, w) in enumerate(zip(p["outputs"], weights)):
         high = low + w / sum(weights)

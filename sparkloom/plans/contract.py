@@ -29,7 +29,9 @@ class ContractError(ValueError):
 
 def load(source: str | Path) -> dict:
     """A contract from a YAML or JSON file, or from text."""
-    text = Path(source).read_text() if isinstance(source, Path) or "\n" not in str(source) and Path(str(source)).is_file() else str(source)
+    text = str(source)
+    if isinstance(source, Path) or ("\n" not in text and not text.lstrip().startswith("{")):
+        text = Path(source).read_text()
     if len(text.encode()) > MOST_BYTES:
         raise ContractError(["the document is too large"])
     if text.lstrip().startswith("{"):
