@@ -6,7 +6,7 @@ model with the class-prior-corrected, non-negative risk
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)),
 
 the prior being the share of toxic labels. Inputs are presences of words (or of their first six, five or four letters where the word itself is not an input), that
-the positives show clearly more often than negatives would (their rate there is estimated as (u - prior * p) / (1 - prior)).
+the positives show clearly more often than negatives would, in different contexts (their rate there is estimated as (u - prior * p) / (1 - prior)).
 The fit uses at most `positives` + `unlabelled` documents, chosen by a hash of doc_id, and at most `features` inputs;
 scores are computed for every whole text. Labels are read only where crc32(doc_id) mod 3 is not 1.
 
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, gathered, materialize, one_array, small_arrow_batches, texts_of, word_codes
+from .common import crc_fold, drop_materialized, gathered, materialize, one_array, small_arrow_batches, texts_of, word_codes
 
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
@@ -45,7 +45,9 @@ def word_inputs(words: pa.Array) -> list[pa.Array]:
 
 
 #: Bound of the evidence of one document, so that many toxic words do not dominate the risk.
-MOST_EVIDENCE = 8.0
+MOST_EVIDENCE = 10.0
+#: Least bias: a text without evidence scores about 2 % at least, so that one clear word can carry a score.
+LEAST_BIAS = -4.0
 
 
 def evidence(sums: np.ndarray) -> np.ndarray:
@@ -66,22 +68,26 @@ def owners(offsets: np.ndarray) -> np.ndarray:
 
 
 def input_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(positive, unlabelled, distinct inputs) of each document."""
+    """(positive, unlabelled, distinct inputs with the word before their first occurrence) of each document."""
     for table in gathered(batches, 4_000_000):
         offsets, codes, words = word_codes(texts_of(table))
         doc = owners(offsets)
-        pairs, names, base = [], [], 0
+        # 0 stands for the beginning of a text.
+        previous = np.concatenate([[0], codes[:-1] + 1]) if len(codes) else codes
+        previous[offsets[:-1][np.diff(offsets) > 0]] = 0
+        contexts = pa.concat_arrays([pa.array([""]), words.cast(pa.string())])
+        keys, lists = [], []
         for kind in word_inputs(words):
-            coded = kind.dictionary_encode()
-            code = coded.indices.fill_null(-1).to_numpy()[codes] if len(codes) else np.zeros(0, np.int64)
-            ok = code >= 0
-            pairs.append(np.unique(doc[ok] * (1 << 32) + base + code[ok]))
-            names.append(coded.dictionary)
-            base += len(coded.dictionary)
-        pairs = np.sort(np.concatenate(pairs))
-        names = pa.concat_arrays(names)
-        ends = np.searchsorted(pairs >> 32, np.arange(len(offsets)))
-        inputs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(pa.array(pairs & 0xFFFFFFFF)))
+            code = kind.dictionary_encode()
+            of_word = code.indices.fill_null(-1).to_numpy()[codes] if len(codes) else np.zeros(0, np.int64)
+            at = np.flatnonzero(of_word >= 0)
+            key, first = np.unique(doc[at] << 32 | of_word[at], return_index=True)
+            names = code.dictionary.take(pa.array(key & 0xFFFFFFFF))
+            keys.append(key >> 32)
+            lists.append(pc.binary_join_element_wise(names, contexts.take(pa.array(previous[at][first])), "\x1f"))
+        order = np.argsort(np.concatenate(keys), kind="stable")
+        ends = np.searchsorted(np.concatenate(keys)[order], np.arange(len(offsets)))
+        inputs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(lists).take(pa.array(order)))
         yield pa.RecordBatch.from_arrays([one_array(table["p"]), one_array(table["u"]), inputs], ["p", "u", "inputs"])
 
 
@@ -113,6 +119,7 @@ def fit(p: list[list[int]], u: list[list[int]], start: np.ndarray, prior: float,
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         np.maximum(theta[:-1], 0, out=theta[:-1])
+        theta[-1] = max(theta[-1], LEAST_BIAS)
     return theta[:-1], float(theta[-1])
 
 
@@ -135,8 +142,10 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4096, unlabelled:
     n = sample.agg(F.sum(F.col("p").cast("int")).alias("p"), F.sum(F.col("u").cast("int")).alias("u")).first()
     if not n["p"] or not n["u"]:
         return [], np.zeros(0), None
-    used = sample.select("p", "u", F.explode("inputs").alias("input")).groupBy("input").agg(
-        F.sum(F.col("p").cast("int")).alias("n_p"), F.sum(F.col("u").cast("int")).alias("n_u"))
+    # Copies of one document show a word in one context; only different contexts count.
+    both = F.split("each", "\x1f")
+    used = sample.select("p", "u", F.explode("inputs").alias("each")).groupBy("each").agg(F.max("p").alias("p"), F.max("u").alias("u"))
+    used = used.groupBy(both[0].alias("input")).agg(F.sum(F.col("p").cast("int")).alias("n_p"), F.sum(F.col("u").cast("int")).alias("n_u"))
     p, u = F.col("n_p") / n["p"], F.col("n_u") / n["u"]
     negative = F.greatest(F.lit(0.0), (u - prior * p) / (1 - prior)) + 1.0 / n["u"]
     lift = F.log(p / negative)
@@ -148,6 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4096, unlabelled:
         return [], np.zeros(0), None
     # Bounded: positives + unlabelled rows of the chosen inputs.
     rows = sampled.mapInArrow(known_lists(names), "p boolean, u boolean, inputs array<int>").toArrow()
+    for table in (wanted, sampled, sample):
+        drop_materialized(table)
     lists, is_p, is_u = rows["inputs"].to_pylist(), rows["p"].to_pylist(), rows["u"].to_pylist()
     weights, bias = fit([x for x, y in zip(lists, is_p) if y], [x for x, y in zip(lists, is_u) if y], start, prior)
     return names, weights, bias
