@@ -23,17 +23,16 @@ TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
 GATE_BITS, LEAST = 12, 64
 HASH_BITS = 18
 GAIN, LIMIT = 32, 1 << 21
-LANE_IDS, MOST_LANES = 512, 2048
+LANE_IDS, MOST_LANES = 256, 4096
 U0, U16, U48 = np.uint64(0), np.uint64(16), np.uint64(48)
 
 
 class Model:
-    """What has been seen in a block; encoder and decoder drive it alike."""
+    """What has been seen in a block; encoder and decoder drive it alike. A context's slot holds id * 8 + confidence."""
 
     def __init__(self, alphabet: int, lanes: int):
         self.counts, self.fresh, self.step = np.ones(alphabet, np.int64), [], 0
-        self.pred1, self.conf1 = np.zeros(alphabet, np.int32), np.zeros(alphabet, np.int8)
-        self.pred2, self.conf2 = np.zeros(1 << HASH_BITS, np.int32), np.zeros(1 << HASH_BITS, np.int8)
+        self.slots1, self.slots2 = np.zeros(alphabet, np.int32), np.zeros(1 << HASH_BITS, np.int32)
         self.outcomes = np.tile(np.array([1.0, 1.0, 4.0]), (128, 1))
         self.seen = np.zeros(128 * 3, np.int64)
         self.before, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -47,34 +46,39 @@ class Model:
             if self.counts.sum() > LIMIT:
                 self.counts = np.maximum(1, self.counts >> 1)
         self.above = np.cumsum(self.counts)
-        self.cum = self.above - self.counts
+        self.cum, self.sizes = (self.above - self.counts).astype(np.uint64), self.counts.astype(np.uint64)
         self.total = int(self.above[-1])
         self.outcomes = self.outcomes + self.seen.reshape(128, 3)
         self.seen[:] = 0
         heavy = self.outcomes.sum(axis=1) > 60_000
         self.outcomes[heavy] *= 0.5
         share = self.outcomes / self.outcomes.sum(axis=1, keepdims=True) * ((1 << GATE_BITS) - LEAST - 2)
-        self.w2, self.w1 = share[:, 0].astype(np.int64) + 1, share[:, 1].astype(np.int64) + 1
-
-    def predict(self, n: int):
-        self.at1 = self.last[:n]
-        self.at2 = ((self.last[:n] * 0x9E3779B1 + self.before[:n] * 0x85EBCA6B) >> 11) & ((1 << HASH_BITS) - 1)
-        self.p1, self.c1, self.p2, self.c2 = self.pred1[self.at1], self.conf1[self.at1], self.pred2[self.at2], self.conf2[self.at2]
-        self.gate = self.c2.astype(np.int64) * 8 + self.c1 + 64 * (self.p1 == self.p2)
-        return self.p2, self.p1, self.w2[self.gate], self.w1[self.gate]
-
-    def update(self, ids: np.ndarray, outcome: np.ndarray, escaped: np.ndarray) -> None:
+        self.w2 = share[:, 0].astype(np.int64) + 1
+        self.both = self.w2 + share[:, 1].astype(np.int64) + 1
+        whole = np.full(128, 1 << GATE_BITS)
+        # By gate * 3 + outcome: where its interval starts, and its size.
+        self.start = np.stack([np.zeros(128, np.int64), self.w2, self.both], axis=1).reshape(-1).astype(np.uint64)
+        self.size = np.stack([self.w2, self.both - self.w2, whole - self.both], axis=1).reshape(-1).astype(np.uint64)
+
+    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids that order 2 and order 1 expect, and the gate."""
+        last = self.last[:n]
+        self.at1, self.at2 = last, ((last * 0x9E3779B1 + self.before[:n] * 0x85EBCA6B) >> 11) & ((1 << HASH_BITS) - 1)
+        self.v1, self.v2 = self.slots1[self.at1], self.slots2[self.at2]
+        self.p1, self.p2, self.c1, self.c2 = self.v1 >> 3, self.v2 >> 3, self.v1 & 7, self.v2 & 7
+        self.gate = self.c2 * 8 + self.c1 + ((self.p1 == self.p2) << 6)
+        return self.p2, self.p1, self.gate
+
+    def update(self, ids: np.ndarray, cell: np.ndarray, escaped: np.ndarray) -> None:
         n = len(ids)
-        self.seen += np.bincount(self.gate * 3 + outcome, minlength=384)
+        self.seen += np.bincount(cell, minlength=384)
         self.fresh.append(escaped)
-        for pred, conf, at, p, c in ((self.pred1, self.conf1, self.at1, self.p1, self.c1), (self.pred2, self.conf2, self.at2, self.p2, self.c2)):
-            hit = p == ids
-            pred[at] = np.where(hit | (c > 1), p, ids)
-            conf[at] = np.where(hit, np.minimum(c + 1, 7), c >> 1)
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids
+        fresh = (ids << 3).astype(np.int32)
+        for slots, at, v, p, c in ((self.slots1, self.at1, self.v1, self.p1, self.c1), (self.slots2, self.at2, self.v2, self.p2, self.c2)):
+            slots[at] = np.where(p == ids, v + (c < 7), np.where(c > 1, v - (c - (c >> 1)), fresh))
+        self.before[:n], self.last[:n] = self.last[:n].copy(), ids
         self.step += 1
-        if self.step & 7 == 0 or self.step < 8:
+        if self.step & 15 == 0 or self.step < 16:
             self.refresh()
 
 
@@ -98,21 +102,20 @@ def encode(ids: np.ndarray) -> bytes:
     for t in range(steps):
         m = min(lanes, -(-(n - t) // steps))
         x = columns[t, :m]
-        p2, p1, w2, w1 = model.predict(m)
-        hit2, hit1 = p2 == x, p1 == x
-        outcome = np.where(hit2, 0, np.where(hit1, 1, 2))
-        start = np.where(hit2, 0, np.where(hit1, w2, w2 + w1))
-        size = np.where(hit2, w2, np.where(hit1, w1, (1 << GATE_BITS) - w2 - w1))
+        p2, p1, gate = model.predict(m)
+        hit2 = p2 == x
+        outcome = 2 - (hit2 | (p1 == x)) - hit2
+        cell = gate * 3 + outcome
         lo, r = low[:m], span[:m] >> np.uint64(GATE_BITS)
-        lo += start.astype(np.uint64) * r
-        r *= size.astype(np.uint64)
+        lo += model.start[cell] * r
+        r *= model.size[cell]
         e = np.flatnonzero(outcome == 2)
         xe = x[e]
         part = r[e] // np.uint64(model.total)
-        lo[e] += model.cum[xe].astype(np.uint64) * part
-        r[e] = model.counts[xe].astype(np.uint64) * part
+        lo[e] += model.cum[xe] * part
+        r[e] = model.sizes[xe] * part
         span[:m] = r
-        model.update(x, outcome, xe)
+        model.update(x, cell, xe)
         put_out(low, span, out, pos)
     value = (low + np.uint64(2**32 - 1)) >> np.uint64(32)
     at = np.arange(lanes)
@@ -161,25 +164,23 @@ def decode(block: bytes) -> np.ndarray:
     columns = np.zeros((steps, lanes), np.int64)
     for t in range(steps):
         m = min(lanes, -(-(n - t) // steps))
-        p2, p1, w2, w1 = model.predict(m)
+        p2, p1, gate = model.predict(m)
         lo, r = low[:m], span[:m] >> np.uint64(GATE_BITS)
         q = np.minimum((code[:m] - lo) // np.maximum(r, np.uint64(1)), np.uint64((1 << GATE_BITS) - 1)).astype(np.int64)
-        both = w2 + w1
-        outcome = (q >= w2).astype(np.int64) + (q >= both)
-        start = np.where(outcome == 0, 0, np.where(outcome == 1, w2, both))
-        size = np.where(outcome == 0, w2, np.where(outcome == 1, w1, (1 << GATE_BITS) - both))
-        lo += start.astype(np.uint64) * r
-        r *= size.astype(np.uint64)
+        outcome = (q >= model.w2[gate]).astype(np.int64) + (q >= model.both[gate])
+        cell = gate * 3 + outcome
+        lo += model.start[cell] * r
+        r *= model.size[cell]
         e = np.flatnonzero(outcome == 2)
         part = r[e] // np.uint64(model.total)
         slot = np.minimum((code[:m][e] - lo[e]) // np.maximum(part, np.uint64(1)), np.uint64(model.total - 1)).astype(np.int64)
         xe = np.searchsorted(model.above, slot, "right")
-        lo[e] += model.cum[xe].astype(np.uint64) * part
-        r[e] = model.counts[xe].astype(np.uint64) * part
+        lo[e] += model.cum[xe] * part
+        r[e] = model.sizes[xe] * part
         span[:m] = r
         x = np.where(outcome == 0, p2, p1).astype(np.int64)
         x[e] = xe
-        model.update(x, outcome, xe)
+        model.update(x, cell, xe)
         columns[t, :m] = x
         at = due(low, span)
         while len(at):
