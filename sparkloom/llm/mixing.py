@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, whole_text, words_of
+from .common import drop_materialized, materialize, whole_text, words_of
 
 MARGINS = ("source", "lang", "topic")
 
@@ -39,14 +39,16 @@ def with_cells(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
     """cells(margins..., tokens) with a factor, raked until each margin's weighted shares meet targets[margin](margin, share)."""
-    cells = cells.withColumn("factor", F.lit(1.0))
+    cells, old = cells.withColumn("factor", F.lit(1.0)), None
     for _ in range(rounds):
         for m in targets:
             total = cells.groupBy(m).agg(F.sum(F.col("tokens") * F.col("factor")).alias("now")).filter("now > 0")
             scale = total.join(targets[m], total[m].eqNullSafe(targets[m][f"_{m}"])).select(F.col(f"_{m}").alias("_k"), (F.col("share") / F.col("now")).alias("by"))
             cells = cells.join(scale, cells[m].eqNullSafe(scale["_k"]), "left").withColumn("factor", F.col("factor") * F.coalesce("by", F.lit(1.0))).drop("_k", "by")
         cells = materialize(cells, "mixing-cells")
-        off = 0.0
+        if old is not None:
+            drop_materialized(old)
+        old, off = cells, 0.0
         for m in list(targets)[:-1]:
             now = cells.groupBy(m).agg(F.sum(F.col("tokens") * F.col("factor")).alias("now"))
             row = now.join(targets[m], now[m].eqNullSafe(targets[m][f"_{m}"])).agg(F.max(F.abs(F.col("now") - F.col("share")))).first()

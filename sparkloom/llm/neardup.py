@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gathered, materialize, one_array, ranges, small_arrow_batches, texts_of, word_codes
+from .common import drop_materialized, gathered, materialize, one_array, ranges, small_arrow_batches, texts_of, word_codes
 from .graph import connected_components
 
 WORDS = 5
@@ -143,7 +143,7 @@ def alike(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
     """Pairs (a, b) of nodes(rep, component) in different components that may reach the similarity; none that does is missed.
 
     Two sets that similar share one of the n - ceil(percent/100 n) + 1 items of either that are rarest among all nodes.
@@ -157,7 +157,7 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     after = F.size("common") - 1 - F.col("place")  # items after this one in the set's own order
     prefix = shared.filter(room > 0).select("rep", "component", "n", "common", F.posexplode(F.transform(
         F.slice("common", F.lit(1), room.cast("int")), lambda x: x["item"])).alias("place", "item")).withColumn("after", after).drop("common", "place")
-    prefix = materialize(prefix, "prefix-items")
+    prefix = first = materialize(prefix, "prefix-items")
     most = prefix.groupBy("item", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("item").agg(
         F.max_by("component", F.struct("size", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     bits = sets.select(F.col("id").alias("rep"), "bits")
@@ -169,8 +169,9 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rate = (1 - percent / 100) / 2
     most_unlike = int(BITS * rate + 5.3 * (BITS * rate * (1 - rate)) ** 0.5) + 1
     unlike = sum(F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("x_bits", F.lit(k)))) for k in range(BITS // 64))
-    return others.join(prefix, "item").filter((F.col("x_c") != F.col("component")) & alike("n", "x_n", percent) & enough & (unlike <= most_unlike)).select(
+    found = others.join(prefix, "item").filter((F.col("x_c") != F.col("component")) & alike("n", "x_n", percent) & enough & (unlike <= most_unlike)).select(
         F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+    return found, [first, prefix]
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -202,11 +203,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
     placed = materialize(placed, "band-components")
     unsettled = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
     nodes = materialize(placed.join(unsettled, "key").select("rep", "component").distinct(), "unsettled")
-    rest = materialize(prefix_pairs(nodes, sets, percent).join(pairs, ["a", "b"], "left_anti"), "pairs-rest")
+    candidates, used = prefix_pairs(nodes, sets, percent)
+    rest = materialize(candidates.join(pairs, ["a", "b"], "left_anti"), "pairs-rest")
     more = materialize(verified(rest, sets, percent), "links-rest")
     if not more.isEmpty():
         of = connected_components(links.unionByName(more))
+    for table in (sets, members, pairs, placed, nodes, rest, *used):
+        drop_materialized(table)
     of = materialize(classes.select("set_a", "set_b", "rep").join(of.withColumnRenamed("node", "rep"), "rep"), "components")
+    drop_materialized(links)
+    drop_materialized(more)
     found = drawn.join(of.select("set_a", "set_b", "component"), ["set_a", "set_b"], "left")
     own = classes.select("set_a", "set_b", F.col("rep").alias("smallest"))
     found = found.join(own, ["set_a", "set_b"], "left").withColumn(
