@@ -185,10 +185,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, each row once, with its own columns.
 
-    Votes are computed twice, once to weigh the rules and once to filter, so that no copy of the texts is written.
+    Votes are computed twice, once to weigh the rules and once to filter, so that no copy of the texts is written. The row
+    number keeps the filter above the projection of the votes; below it, every use of a vote would compute it anew.
     """
     own = docs.select(*[F.col(c).alias(f"__own_{i}") for i, c in enumerate(docs.columns)], F.col("text").alias("__body"))
     judged = with_counts(own, "__body").select(*[f"__own_{i}" for i in range(len(docs.columns))], base_failed().alias("__failed"),
-                                               *[v.alias(f"v_{r}") for r, v in votes().items()])
-    kept = judged.filter(~F.col("__failed") & (posterior(judged) >= 0.5))
+                                               *[v.alias(f"v_{r}") for r, v in votes().items()], F.monotonically_increasing_id().alias("__row"))
+    kept = judged.filter((F.col("__row") >= 0) & ~F.col("__failed") & (posterior(judged) >= 0.5))
     return kept.select(*[F.col(f"__own_{i}").alias(c) for i, c in enumerate(docs.columns)])
