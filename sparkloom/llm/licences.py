@@ -1,9 +1,10 @@
 """License scans: TF-IDF cosine of headers and licence files to templates, then inheritance along paths; native (operator 1).
 
-Every line of every text that holds a telling template term is a header candidate. Candidates, and whole texts of documents
-that have one, become sparse TF-IDF vectors (terms joined with their inverse document frequencies over all documents, terms
-outside the templates weighing most), and their cosine to each template is a join on terms and a sum. A document's own
-licence is its best header; a document that as a whole is close to a template is a licence file of its directory.
+Lines and whole texts become sparse TF-IDF vectors (terms joined with their inverse document frequencies over all documents,
+terms outside the templates weighing most), and their cosine to each template is a join on terms and a sum. Only lines and
+texts whose cosine cannot reach its threshold, by a bound over template terms alone (see `reach`), are left out of the join;
+no term is left out for being frequent. A document's own licence is its best header; a document that as a whole is close to
+a template is a licence file of its directory.
 Documents without a licence of their own inherit from the nearest ancestor directory that has a licence file, by a join
 of each path's ancestors with the table of licensed directories.
 
@@ -80,8 +81,48 @@ def best_templates(spark: SparkSession, texts: DataFrame, templates, idf: dict[s
     return scored.groupBy("key").agg(best).select("key", "b.licence", "b.score")
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with value computed once, also where `then` uses it within a lambda."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def reach(templates, idf: dict[str, float], unknown: float):
+    """(overlap(distinct template terms), bound(terms)): upper bounds of a text's cosine to any template.
+
+    overlap: by Cauchy and Schwarz at most the length of the template's unit vector over the shared terms. bound: the exact dot
+    product over a lower bound of the text's length; N terms outside the templates, D of them distinct, have at least N * N / D
+    as sum of squared counts.
+    """
+    vectors = []
+    for counts in template_terms(templates):
+        length = math.sqrt(sum((n * idf[t]) ** 2 for t, n in counts.items())) or 1.0
+        vectors.append({t: n * idf[t] / length for t, n in counts.items()})
+    # A lookup scans its map: terms of many documents, which have the least weight, come first.
+    ordered = sorted(idf, key=lambda t: (idf[t], t))
+    table = lambda values: F.create_map(*[F.lit(x) for t in ordered if t in values for x in (t, values[t])])
+    add = lambda items, of: F.aggregate(items, F.lit(0.0), lambda a, x: a + of(x))
+    value = lambda values, t: F.coalesce(F.element_at(table(values), t), F.lit(0.0))
+
+    def overlap(held: Column) -> Column:
+        return F.sqrt(F.greatest(F.lit(0.0), *[add(held, lambda t, v=v: value({x: w * w for x, w in v.items()}, t)) for v in vectors]))
+
+    def bound(terms: Column) -> Column:
+        def of(every: Column, inside: Column, held: Column) -> Column:
+            counts = F.transform(held, lambda t: F.struct(t.alias("t"), (F.size(inside) - F.size(F.array_remove(inside, t))).cast("double").alias("n")))
+            outside, kinds = (F.size(every) - F.size(inside)).cast("double"), F.size(F.array_distinct(every)) - F.size(held)
+            known = lambda c: add(c, lambda x: F.pow(x["n"] * value(idf, x["t"]), F.lit(2.0)))
+            dots = lambda c: F.greatest(F.lit(0.0), *[add(c, lambda x, v=v: x["n"] * value({t: w * idf[t] for t, w in v.items()}, x["t"])) for v in vectors])
+            length = lambda c: F.sqrt(known(c) + unknown**2 * F.when(kinds > 0, outside * outside / kinds).otherwise(0.0))
+            return F.when(F.size(held) == 0, 0.0).otherwise(let(counts, lambda c: dots(c) / length(c)))
+
+        return let(terms, lambda every: let(F.filter(every, lambda t: t.isin(*idf)), lambda inside: let(
+            F.array_distinct(inside), lambda held: of(every, inside, held))))
+
+    return overlap, bound
+
+
 def scan(docs: DataFrame, path: Column, text: str = "text", doc_id: str = "doc_id", templates=TEMPLATES,
-         header_score: float = 0.6, file_score: float = 0.3, common: float = 0.05) -> DataFrame:
+         header_score: float = 0.6, file_score: float = 0.3) -> DataFrame:
     """doc_id, path, licence, basis (header, inherited or none), score, licence_file, inherited_from for every row of docs."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), path.alias("path"), whole_text(docs, text).alias("body"))
@@ -92,13 +133,18 @@ def scan(docs: DataFrame, path: Column, text: str = "text", doc_id: str = "doc_i
     rows = docs.agg(F.count(F.lit(1))).first()[0]
     idf = {t: math.log((1 + rows) / (1 + seen.get(t, 0))) + 1 for t in vocabulary}
     unknown = math.log(1 + rows) + 1
-    telling = [t for t in vocabulary if seen.get(t, 0) <= common * max(rows, 20) and not t.isdigit() and len(t) > 2] or vocabulary
-    pattern = "(?i)(^|[^a-z0-9])(" + "|".join(telling) + ")([^a-z0-9]|$)"
-    hits = docs.select("path", "body", F.filter(F.split("body", "\n"), lambda x: x.rlike(pattern)).alias("lines")).filter(F.size("lines") > 0)
+    overlap, bound = reach(templates, idf, unknown)
+    near = lambda limit: limit - 1e-6  # noqa: E731  scores are rounded
+    # A line's terms are among its text's, so a text without the overlap for a header has no line with it.
+    hits = docs.select("path", "body", held.alias("held")).withColumn("overlap", overlap(F.col("held"))).filter(F.col("overlap") >= near(min(header_score, file_score)))
+    of_line = lambda x: let(terms_of(x), lambda every: F.when(
+        overlap(F.array_distinct(F.filter(every, lambda t: t.isin(*vocabulary)))) >= near(header_score), bound(every)).otherwise(0.0))
+    lines = F.when(F.col("overlap") >= near(header_score), F.filter(F.split("body", "\n"), lambda x: of_line(x) >= near(header_score))).otherwise(F.array().cast("array<string>"))
+    hits = hits.select("path", "body", lines.alias("lines"), (bound(terms_of(F.col("body"))) >= near(file_score)).alias("whole")).filter("whole or size(lines) > 0")
     hits = materialize(hits.withColumn("row", F.xxhash64("path", "body")), "licence-candidates")
     lines = hits.select("row", "path", F.posexplode("lines").alias("line", "body")).withColumn("key", F.struct("row", "path", "line"))
     headers = best_templates(spark, lines.select("key", "body").distinct(), templates, idf, unknown).filter(F.col("score") >= header_score)
-    whole = hits.select(F.struct("row", "path").alias("key"), "body").distinct()
+    whole = hits.filter("whole").select(F.struct("row", "path").alias("key"), "body").distinct()
     files = best_templates(spark, whole, templates, idf, unknown).filter(F.col("score") >= file_score)
     own = headers.groupBy("key.path").agg(F.max_by(F.struct("licence", "score"), F.struct("score", F.hex("licence"))).alias("own"))
     files = files.groupBy("key.path").agg(F.max_by(F.struct("licence", "score"), F.struct("score", F.hex("licence"))).alias("file"))
@@ -107,9 +153,9 @@ def scan(docs: DataFrame, path: Column, text: str = "text", doc_id: str = "doc_i
     folders = files.select(folder.alias("folder"), "path", "file").groupBy("folder").agg(
         F.min(F.struct((-F.col("file.score")).alias("s"), F.col("file.licence").alias("licence"), F.col("path").alias("from"))).alias("given"))
     slim = docs.select("doc_id", "path")
-    # Every distinct directory with its ancestors, nearest first; depth is that of the path.
+    # Every distinct directory with its ancestors, nearest first and the empty root last; depth is that of the path.
     parts = F.split("folder", "/")
-    depth = F.explode(F.sequence(F.lit(0), F.size(parts) - 1))
+    depth = F.explode(F.sequence(F.lit(0), F.size(parts)))
     above = slim.select(folder.alias("folder")).distinct().select("folder", depth.alias("up")).withColumn(
         "ancestor", F.concat_ws("/", F.slice(parts, F.lit(1), F.size(parts) - F.col("up"))))
     given = above.join(folders.withColumnRenamed("folder", "ancestor"), "ancestor").groupBy("folder").agg(F.min_by("given", "up").alias("given"))

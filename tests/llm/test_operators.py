@@ -320,6 +320,23 @@ def test_licences_and_inheritance(spark, docs, empty):
     assert (got["a/b/c/x"], got["a/d/y"], got["e/z"]) == ("MIT", "Apache-2.0", None)
 
 
+def test_a_common_licence_hides_none(spark):
+    """A third of the rows carry one licence; its terms and those of rare licences still make candidates."""
+    filler = lambda i: " ".join(f"x{i}y{k}" for k in range(30))
+    hot, rare = "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY 4.0."
+    rows = [(f"d{i}/f", filler(i) + (f"\n{hot}\n" if i % 3 == 0 else f"\n{rare}\n" if i == 1 else "\nnothing\n") + filler(-i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "p string, text string").withColumn("doc_id", F.col("p"))
+    got = {r["path"]: (r["licence"], r["basis"]) for r in licences.scan(df, F.col("p")).collect()}
+    assert got == {f"d{i}/f": ("GPL-3.0", "header") if i % 3 == 0 else ("CC-BY-4.0", "header") if i == 1 else (None, "none") for i in range(300)}
+
+
+def test_licences_pass_from_the_root_and_over_wrapped_lines(spark):
+    mit = "\n".join("Permission is hereby granted, free of charge, to any person obtaining a copy of this software".split())
+    df = spark.createDataFrame([("LICENSE", mit), ("a/b/x", "nothing here"), ("y", "nor here")], "p string, text string").withColumn("doc_id", F.col("p"))
+    got = {r["path"]: (r["licence"], r["inherited_from"], r["licence_file"]) for r in licences.scan(df, F.col("p")).collect()}
+    assert got == {"LICENSE": ("MIT", "LICENSE", True), "a/b/x": ("MIT", "LICENSE", False), "y": ("MIT", "LICENSE", False)}
+
+
 def test_mixing_meets_targets(docs, empty):
     rows = mixing.mix(docs, keep=0.4).collect()
     assert len(rows) == len(edge_rows()) and all(0 <= r["probability"] <= 1 for r in rows)
