@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,6 +284,16 @@ def test_scores_and_base(docs, empty):
     assert scoring.score(empty).count() == 0
 
 
+def test_long_unseen_words_cost_all_their_bits():
+    """100,000 characters: the score is the spelling's own cost, not a floor."""
+    totals = {"tokens": 110, "distinct": 41, "docs": [10], "words": [100], "kinds": [40]}
+    for word, cost in (("q" * 100_000, -120_000.5), ("q" * 1000, -1200.5)):
+        docs = pa.table({"doc_id": pa.array([1]), "text": [word], "train": [False]})
+        out = scoring.chunk_scores(totals)(docs, pa.table({"word": [word], "cost": [cost], "c_0": pa.array([0], pa.int32())}))
+        rest = math.log10(0.75 * 40 / 100) + math.log10(1 - 11 / 112) + math.log10(11 / 112) + math.log10(11 / 11)
+        assert out["score"][0].as_py() == pytest.approx(cost + rest, abs=1e-6)
+
+
 def test_byte_codes_are_prefix_free():
     lengths, codes = scoring.byte_codes({97: 1000, 98: 10, 32: 500})
     assert sum(2.0 ** -n for n in lengths) == pytest.approx(1.0) and lengths[97] < lengths[200]
