@@ -4,7 +4,8 @@ Sketch: a document's set of shingles is thrown into `coordinates` bins in rounds
 bin by its i-th hash with value i + hash, in round t + k every shingle goes to bin k, and rounds stop when all bins are
 filled (the least value stays). Every coordinate is therefore filled after 2 t rounds, and two sketches agree in a
 coordinate with the Jaccard similarity as probability, with Chernoff-like concentration. Bands of `rows` coordinates
-are hashed to bucket keys: 24 bands of 5 miss a pair at 0.85 with a probability below one in a million.
+are hashed to bucket keys: as many bands of 5 as miss a pair at the least similarity with a probability below one in a
+million (35 at 0.80, 24 at 0.85).
 
 Verification: documents with the same set are one class (its smallest doc_id stands for it). In every bucket the smallest
 member is compared with each other member on full sets, and these links are closed to components. Documents of buckets
@@ -19,6 +20,7 @@ component_id null and kept; an empty table gives an empty result; extra columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ from .common import drop_materialized, gathered, materialize, one_array, ranges,
 from .graph import connected_components
 
 WORDS = 5
-BANDS, ROWS = 24, 5
+ROWS = 5
 #: Coordinates of the one-bit sketches that thin out candidates before they become rows.
 BITS = 2048
 SKETCH_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
@@ -89,24 +91,35 @@ def fast_sketch(sizes: np.ndarray, items: np.ndarray, coordinates: int) -> np.nd
     return out
 
 
-def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in gathered(batches):
-        sizes, items = shingle_sets(texts_of(table))
-        full = np.flatnonzero(sizes)
-        keys = np.zeros((len(sizes), BANDS), np.uint64)
-        digest = np.zeros((2, len(sizes)), np.uint64)
-        if len(full):
-            coordinates = fast_sketch(sizes[full], items, BANDS * ROWS).reshape(len(full), BANDS, ROWS)
-            band = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * PLACES[0]
-            for r in range(ROWS):
-                band = mixed(band + coordinates[:, :, r]) * PLACES[1]
-            keys[full] = band
-            starts = (np.cumsum(sizes) - sizes)[full]
-            for k in range(2):
-                digest[k, full] = np.add.reduceat(mixed(items ^ PLACES[k + 2]), starts)
-        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([one_array(table["doc_id"]).cast(pa.int64()), pa.array(sizes), pa.array(digest[0].view(np.int64)),
-                                          pa.array(digest[1].view(np.int64)), bands], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+def bands_for(percent: int) -> int:
+    """Bands of ROWS coordinates that miss a pair of that similarity with a probability of at most one in a million."""
+    agree = (percent / 100) ** ROWS
+    return max(1, math.ceil(math.log(1e-6) / math.log1p(-agree))) if agree < 1 else 1
+
+
+def sketches(bands: int):
+    """A mapInArrow function: each document's size, digests of its set and bucket keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in gathered(batches):
+            sizes, items = shingle_sets(texts_of(table))
+            full = np.flatnonzero(sizes)
+            keys = np.zeros((len(sizes), bands), np.uint64)
+            digest = np.zeros((2, len(sizes)), np.uint64)
+            if len(full):
+                coordinates = fast_sketch(sizes[full], items, bands * ROWS).reshape(len(full), bands, ROWS)
+                band = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * PLACES[0]
+                for r in range(ROWS):
+                    band = mixed(band + coordinates[:, :, r]) * PLACES[1]
+                keys[full] = band
+                starts = (np.cumsum(sizes) - sizes)[full]
+                for k in range(2):
+                    digest[k, full] = np.add.reduceat(mixed(items ^ PLACES[k + 2]), starts)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([one_array(table["doc_id"]).cast(pa.int64()), pa.array(sizes), pa.array(digest[0].view(np.int64)),
+                                              pa.array(digest[1].view(np.int64)), lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+
+    return run
 
 
 def bit_sketches(sizes: np.ndarray, items: np.ndarray) -> np.ndarray:
@@ -174,12 +187,12 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> tuple[DataF
     return found, [first, prefix]
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     spark = docs.sparkSession
     small_arrow_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    drawn = materialize(docs.mapInArrow(sketches, SKETCH_SCHEMA), "sketches")
+    drawn = materialize(docs.mapInArrow(sketches(bands_for(percent)), SKETCH_SCHEMA), "sketches")
     repeated = not drawn.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
     classes = (
         drawn.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b")
@@ -221,7 +234,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", doc_
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

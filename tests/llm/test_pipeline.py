@@ -31,3 +31,15 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = [r["doc_id"] for r in corpus_pipeline.STAGES[2][1](spark, docs, FOLDER).collect()]
     assert sorted(kept, key=str) == [1, 4, None]
+
+
+def test_near_duplicate_stage_links_pairs_from_80_percent(spark):
+    """Two scattered changes in 100 words: 86 of 106 shingles are shared (0.81)."""
+    from sparkloom.llm import neardup
+
+    base = [f"w{i}" for i in range(100)]
+    near = ["x" if i in (30, 60) else w for i, w in enumerate(base)]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near))], "doc_id long, text string")
+    assert [r["doc_id"] for r in neardup.stage(spark, docs, FOLDER).collect()] == [1]
+    assert neardup.near_duplicates(docs, 85).filter("kept").count() == 2
+    assert [(1 - (p / 100) ** 5) ** neardup.bands_for(p) <= 1e-6 for p in (80, 85, 90)] == [True] * 3
