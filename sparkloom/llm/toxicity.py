@@ -6,7 +6,8 @@ model with the class-prior-corrected, non-negative risk
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)),
 
 the prior being the share of toxic labels. Inputs are presences of words (or of their first six, five or four letters where the word itself is not an input), that
-the positives show clearly more often than negatives would, in different contexts (their rate there is estimated as (u - prior * p) / (1 - prior)).
+the positives show clearly more often than negatives would (their rate there is estimated as (u - prior * p) / (1 - prior)).
+Rates are counts of documents by counts of documents, each class of near-duplicates in the sample counting once.
 The fit uses at most `positives` + `unlabelled` documents, chosen by a hash of doc_id, and at most `features` inputs;
 scores are computed for every whole text. Labels are read only where crc32(doc_id) mod 3 is not 1.
 
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_fold, drop_materialized, gathered, materialize, one_array, small_arrow_batches, texts_of, word_codes
+from .neardup import near_duplicates
 
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
@@ -68,27 +70,22 @@ def owners(offsets: np.ndarray) -> np.ndarray:
 
 
 def input_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(positive, unlabelled, distinct inputs with the word before their first occurrence) of each document."""
+    """(row, positive, unlabelled, distinct inputs) of each document."""
     for table in gathered(batches, 4_000_000):
         offsets, codes, words = word_codes(texts_of(table))
         doc = owners(offsets)
-        # 0 stands for the beginning of a text.
-        previous = np.concatenate([[0], codes[:-1] + 1]) if len(codes) else codes
-        previous[offsets[:-1][np.diff(offsets) > 0]] = 0
-        contexts = pa.concat_arrays([pa.array([""]), words.cast(pa.string())])
         keys, lists = [], []
         for kind in word_inputs(words):
             code = kind.dictionary_encode()
             of_word = code.indices.fill_null(-1).to_numpy()[codes] if len(codes) else np.zeros(0, np.int64)
             at = np.flatnonzero(of_word >= 0)
-            key, first = np.unique(doc[at] << 32 | of_word[at], return_index=True)
-            names = code.dictionary.take(pa.array(key & 0xFFFFFFFF))
+            key = np.unique(doc[at] << 32 | of_word[at])
+            lists.append(code.dictionary.take(pa.array(key & 0xFFFFFFFF)))
             keys.append(key >> 32)
-            lists.append(pc.binary_join_element_wise(names, contexts.take(pa.array(previous[at][first])), "\x1f"))
         order = np.argsort(np.concatenate(keys), kind="stable")
         ends = np.searchsorted(np.concatenate(keys)[order], np.arange(len(offsets)))
         inputs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(lists).take(pa.array(order)))
-        yield pa.RecordBatch.from_arrays([one_array(table["p"]), one_array(table["u"]), inputs], ["p", "u", "inputs"])
+        yield pa.RecordBatch.from_arrays([one_array(table["row"]), one_array(table["p"]), one_array(table["u"]), inputs], ["row", "p", "u", "inputs"])
 
 
 def fit(p: list[list[int]], u: list[list[int]], start: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, ridge: float = 0.0005):
@@ -136,16 +133,17 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4096, unlabelled:
         F.xxhash64("doc_id", F.lit("u")), "doc_id").limit(unlabelled).distinct().select("doc_id", F.lit(True).alias("u"))
     wanted = some_p.join(some_u, "doc_id", "full").select("doc_id", F.coalesce("p", F.lit(False)).alias("p"), F.coalesce("u", F.lit(False)).alias("u"))
     wanted = materialize(wanted, "toxic-sample-ids")
-    sampled = materialize(docs.join(F.broadcast(wanted), "doc_id").select("p", "u", "text"), "toxic-sample-texts")
-    sample = sampled.mapInArrow(input_lists, "p boolean, u boolean, inputs array<string>")
+    sampled = materialize(docs.join(F.broadcast(wanted), "doc_id").select(F.monotonically_increasing_id().alias("row"), "p", "u", "text"), "toxic-sample-texts")
+    # Copies and near copies are one class; wordless texts stay each their own.
+    classes = near_duplicates(sampled, doc_id="row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("class"))
+    sample = sampled.mapInArrow(input_lists, "row long, p boolean, u boolean, inputs array<string>").join(classes, "row")
     sample = materialize(sample, "toxic-sample")
-    n = sample.agg(F.sum(F.col("p").cast("int")).alias("p"), F.sum(F.col("u").cast("int")).alias("u")).first()
+    each = sample.groupBy("class").agg(F.max("p").alias("p"), F.max("u").alias("u"))
+    n = each.agg(F.sum(F.col("p").cast("int")).alias("p"), F.sum(F.col("u").cast("int")).alias("u")).first()
     if not n["p"] or not n["u"]:
         return [], np.zeros(0), None
-    # Copies of one document show a word in one context; only different contexts count.
-    both = F.split("each", "\x1f")
-    used = sample.select("p", "u", F.explode("inputs").alias("each")).groupBy("each").agg(F.max("p").alias("p"), F.max("u").alias("u"))
-    used = used.groupBy(both[0].alias("input")).agg(F.sum(F.col("p").cast("int")).alias("n_p"), F.sum(F.col("u").cast("int")).alias("n_u"))
+    used = sample.select("class", "p", "u", F.explode("inputs").alias("input")).groupBy("class", "input").agg(F.max("p").alias("p"), F.max("u").alias("u"))
+    used = used.groupBy("input").agg(F.sum(F.col("p").cast("int")).alias("n_p"), F.sum(F.col("u").cast("int")).alias("n_u"))
     p, u = F.col("n_p") / n["p"], F.col("n_u") / n["u"]
     negative = F.greatest(F.lit(0.0), (u - prior * p) / (1 - prior)) + 1.0 / n["u"]
     lift = F.log(p / negative)

@@ -263,6 +263,28 @@ def test_toxicity_learns_from_positive_and_unlabelled(spark, docs, empty):
     assert toxicity.score(empty, labels).count() == 0
 
 
+def test_toxicity_counts_documents_and_copies_once(spark):
+    """A fixed phrase of ordinary neighbours is learnt from many documents; a word of one document's copies is not."""
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(1500):
+        w, bad = list(rng.choice([f"v{k}" for k in range(300)], 40)), i % 8 == 0
+        if bad:
+            at = int(rng.integers(40))
+            w[at:at + 1] = ["go", "rotten", "vermin"]
+        elif i % 2:
+            w[0] = "go"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    copied = "copyword " + " ".join(f"c{k}" for k in range(60))
+    for i in range(2000, 2060):
+        rows.append((i, copied + f" z{i}"))
+        labels.append((i, 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names, weights, bias = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {"w:rotten", "w:vermin"} <= set(names) and "w:copyword" not in names and "w:go" not in names
+
+
 def test_scores_and_base(docs, empty):
     rows = scoring.score(docs, chunk_bytes=100_000).collect()
     counts, ends = collections.Counter(), 0
