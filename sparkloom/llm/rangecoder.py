@@ -1,11 +1,13 @@
 """Adaptive context-mixing range coder for token ids.
 
-A block codes whole documents and starts from an empty model, so blocks decode independently; each carries the CRC of
-its ids. The ids of a block are dealt over lanes (contiguous stretches) that one model serves in lockstep, so every step
-is a handful of numpy operations over all lanes. The model mixes three predictions of the next id: the id last seen after
-the two preceding ids (order 2, hashed), the one last seen after the preceding id (order 1), each with a confidence, and
-an adaptive distribution over all ids (order 0). The two confidences and whether both predictions agree select a gate,
-whose adaptive weights share out the probability between the three; the mixture's interval is coded by a carryless
+Ids are coded in segments of at most 2^20, each from an empty model, so segments decode independently; each carries the CRC
+of its ids. The ids of a segment are dealt over lanes (contiguous stretches) that one model serves in lockstep, so every
+step is a handful of numpy operations over all lanes. Three predictions are mixed: order 2, the id that last followed the
+two preceding ids (hashed), with a confidence that adapts at every step; order 1, the distribution of what followed the
+preceding id; order 0, the distribution of all ids. The distributions are counts of what the segment has shown so far, taken
+up anew at growing distances. A gate, chosen by the confidence of order 2 and by how often and how uniformly the preceding
+id was followed, shares out the probability between the three and learns from the orders that hold the ids. An id is coded
+in the highest order that expects it (the order by the gate's weights, then the id by its counts there) by a carryless
 range coder with 64-bit state that puts out 16 bits at a time.
 """
 
@@ -16,70 +18,118 @@ import zlib
 
 import numpy as np
 
-MAGIC = 0x31434D54
-HEADER, HEADER_BYTES = "<IIIIII", 24
+MAGIC = 0x32434D54
+HEADER = "<IIIIII"
+HEADER_BYTES = struct.calcsize(HEADER)
+SEGMENT = 1 << 20
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
 #: Resolution of the gates' weights, and the least weight of order 0.
-GATE_BITS, LEAST = 12, 64
-HASH_BITS = 18
-GAIN, LIMIT = 32, 1 << 21
+GATE_BITS, LEAST = 12, 16
+#: Slots of the contexts of order 2; bits of an id (of its rank in the segment).
+SLOT_BITS, ID_BITS = 20, 20
 LANE_IDS, MOST_LANES = 256, 4096
+PAIR_BITS, PAIR_FACTORS = 20, (0x9E3779B1, 0xC2B2AE3D)
+#: Weight of a seen id in order 0 against one of the segment's ids not seen yet.
+GAIN = 32
+GATES = 8 * 16
+#: By how often a context was seen, up to 16 times.
+OFTEN = np.array([1, 1, 4, 4, 7, 7, 7, 7, 10, 10, 10, 10, 10, 10, 10, 10, 13])
+#: The steps before which order 1 takes up what it has seen; the rest of the model does so also before every 16th.
+TAKES = (1, 4, 12, 32, 80, 160, 288, 416)
 U0, U16, U48 = np.uint64(0), np.uint64(16), np.uint64(48)
+GATE_SHIFT = np.uint64(GATE_BITS)
 
 
-class Model:
-    """What has been seen in a block; encoder and decoder drive it alike. A context's slot holds id * 8 + confidence."""
-
-    def __init__(self, alphabet: int, lanes: int):
-        self.counts, self.fresh, self.step = np.ones(alphabet, np.int64), [], 0
-        self.slots1, self.slots2 = np.zeros(alphabet, np.int32), np.zeros(1 << HASH_BITS, np.int32)
-        self.outcomes = np.tile(np.array([1.0, 1.0, 4.0]), (128, 1))
-        self.seen = np.zeros(128 * 3, np.int64)
-        self.before, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.refresh()
-
-    def refresh(self) -> None:
-        """Take up what was gathered since the last time."""
-        if self.fresh:
-            self.counts += GAIN * np.bincount(np.concatenate(self.fresh), minlength=len(self.counts))
-            self.fresh = []
-            if self.counts.sum() > LIMIT:
-                self.counts = np.maximum(1, self.counts >> 1)
+def slot_of(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The slot of a context of order 2."""
+    return ((last * 0x9E3779B1 + before * 0x85EBCA6B) & 0xFFFFFFFFFF) >> (40 - SLOT_BITS)
+
+
+def confidence(n: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """0 for a context not seen yet, else 1 to 15 by how often it was seen and how many different ids followed."""
+    often = OFTEN[np.minimum(n, len(OFTEN) - 1)]
+    return np.where(n > 0, often + (kinds > 1) + (kinds * 2 > n + 1), 0)
+
+
+def spans(steps: int) -> list[tuple[int, int, bool]]:
+    """(first step, step after the last, whether order 1 takes up what it has seen before it) of the stretches of a segment."""
+    bounds = [0, *sorted({t for t in (*TAKES, *range(16, steps, 16)) if t < steps}), steps]
+    return [(a, b, a in TAKES) for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+class Mixer:
+    """Gates' weights of the orders 2, 1 and 0, order 2 and the distribution of order 0; encoder and decoder drive it alike.
+
+    A context's slot in order 2 holds id * 8 + confidence.
+    """
+
+    def __init__(self, alphabet: int):
+        self.counts = np.ones(alphabet, np.int64)
+        self.outcomes = np.tile(np.array([2.0, 2.0, 1.0]), (GATES, 1))
+        self.slots = np.zeros(1 << SLOT_BITS, np.int64)
+        self.settle()
+
+    def settle(self) -> None:
         self.above = np.cumsum(self.counts)
-        self.cum, self.sizes = (self.above - self.counts).astype(np.uint64), self.counts.astype(np.uint64)
         self.total = int(self.above[-1])
-        self.outcomes = self.outcomes + self.seen.reshape(128, 3)
-        self.seen[:] = 0
-        heavy = self.outcomes.sum(axis=1) > 60_000
-        self.outcomes[heavy] *= 0.5
         share = self.outcomes / self.outcomes.sum(axis=1, keepdims=True) * ((1 << GATE_BITS) - LEAST - 2)
         self.w2 = share[:, 0].astype(np.int64) + 1
         self.both = self.w2 + share[:, 1].astype(np.int64) + 1
-        whole = np.full(128, 1 << GATE_BITS)
+        whole = np.full(GATES, 1 << GATE_BITS)
         # By gate * 3 + outcome: where its interval starts, and its size.
-        self.start = np.stack([np.zeros(128, np.int64), self.w2, self.both], axis=1).reshape(-1).astype(np.uint64)
+        self.start = np.stack([np.zeros(GATES, np.int64), self.w2, self.both], axis=1).reshape(-1).astype(np.uint64)
         self.size = np.stack([self.w2, self.both - self.w2, whole - self.both], axis=1).reshape(-1).astype(np.uint64)
 
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids that order 2 and order 1 expect, and the gate."""
-        last = self.last[:n]
-        self.at1, self.at2 = last, ((last * 0x9E3779B1 + self.before[:n] * 0x85EBCA6B) >> 11) & ((1 << HASH_BITS) - 1)
-        self.v1, self.v2 = self.slots1[self.at1], self.slots2[self.at2]
-        self.p1, self.p2, self.c1, self.c2 = self.v1 >> 3, self.v2 >> 3, self.v1 & 7, self.v2 & 7
-        self.gate = self.c2 * 8 + self.c1 + ((self.p1 == self.p2) << 6)
-        return self.p2, self.p1, self.gate
-
-    def update(self, ids: np.ndarray, cell: np.ndarray, escaped: np.ndarray) -> None:
-        n = len(ids)
-        self.seen += np.bincount(cell, minlength=384)
-        self.fresh.append(escaped)
-        fresh = (ids << 3).astype(np.int32)
-        for slots, at, v, p, c in ((self.slots1, self.at1, self.v1, self.p1, self.c1), (self.slots2, self.at2, self.v2, self.p2, self.c2)):
-            slots[at] = np.where(p == ids, v + (c < 7), np.where(c > 1, v - (c - (c >> 1)), fresh))
-        self.before[:n], self.last[:n] = self.last[:n].copy(), ids
-        self.step += 1
-        if self.step & 15 == 0 or self.step < 16:
-            self.refresh()
+    def learn(self, ids: np.ndarray, cells: np.ndarray) -> None:
+        self.counts += GAIN * np.bincount(ids, minlength=len(self.counts))
+        self.outcomes = self.outcomes * 0.8 + np.bincount(cells, minlength=GATES * 3).reshape(GATES, 3)
+        self.settle()
+
+    def follow(self, at: np.ndarray, held: np.ndarray, sure: np.ndarray, hit: np.ndarray, ids: np.ndarray) -> None:
+        """Order 2 sees which ids followed: an expected id gains confidence, another one lowers it and then takes the slot."""
+        self.slots[at] = np.where(hit, held + (sure < 7), np.where(sure > 1, held - (sure - (sure >> 1)), ids * 8 + 1))
+
+
+class Follows:
+    """What followed each id so far: ids in order, one preceding id after another, and for each place its run of equal ids."""
+
+    def __init__(self, before: np.ndarray, ids: np.ndarray, alphabet: int):
+        keys = np.sort(before << ID_BITS | ids)
+        self.ids = keys & ((1 << ID_BITS) - 1)
+        first = np.empty(len(keys), bool)
+        first[0] = True
+        np.not_equal(keys[1:], keys[:-1], out=first[1:])
+        begins = np.flatnonzero(first)
+        sizes = np.diff(np.append(begins, len(keys)))
+        self.n = np.bincount(before, minlength=alphabet)
+        self.at = np.cumsum(self.n) - self.n
+        self.begins, self.sizes, self.keys = begins, sizes, keys[begins]
+        self.sure = confidence(self.n, np.bincount(keys[begins] >> ID_BITS, minlength=alphabet))
+
+    def by_place(self) -> None:
+        """For the decoder: the run of each place."""
+        self.begin, self.size = np.repeat(self.begins, self.sizes), np.repeat(self.sizes, self.sizes).astype(np.uint64)
+
+    def by_pair(self) -> None:
+        """For the encoder: two hash tables of runs. A pair that both have overwritten counts as not seen, which costs bits only."""
+        self.tables = []
+        for factor in PAIR_FACTORS:
+            table = np.zeros(1 << PAIR_BITS, np.int32)
+            table[pair_slot(self.keys, factor)] = np.arange(len(self.keys), dtype=np.int32)
+            self.tables.append(table)
+
+    def counts(self, before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What followed each of `before`: how often ids below, this id, any id."""
+        wanted, run = before << ID_BITS | ids, None
+        for table, factor in zip(self.tables, PAIR_FACTORS):
+            found = table[pair_slot(wanted, factor)]
+            there = self.keys[found] == wanted
+            run, known = (found, there) if run is None else (np.where(known, run, found), known | there)
+        return self.begins[run] - self.at[before], np.where(known, self.sizes[run], 0), self.n[before]
+
+
+def pair_slot(keys: np.ndarray, factor: int) -> np.ndarray:
+    return ((keys * factor) & 0xFFFFFFFFFFFF) >> (48 - PAIR_BITS)
 
 
 def lanes_of(n: int) -> tuple[int, int]:
@@ -89,41 +139,74 @@ def lanes_of(n: int) -> tuple[int, int]:
 
 def encode(ids: np.ndarray) -> bytes:
     """One block for uint32 ids."""
+    return b"".join(encoded(ids[a:a + SEGMENT]) for a in range(0, max(1, len(ids)), SEGMENT))
+
+
+def encoded(ids: np.ndarray) -> bytes:
     n = len(ids)
-    alphabet = int(ids.max()) + 1 if n else 1
+    names, ranks = np.unique(ids, return_inverse=True) if n and int(ids.max()) >= SEGMENT << 2 else ranked(ids)
+    table = zlib.compress(np.diff(names, prepend=np.uint32(0)).astype("<u4").tobytes())
     lanes, steps = lanes_of(n)
-    head = struct.pack(HEADER, MAGIC, n, alphabet, lanes, zlib.crc32(np.ascontiguousarray(ids, "<u4")), steps)
+    crc = zlib.crc32(np.ascontiguousarray(ids, "<u4"))
+    if not n:
+        return struct.pack(HEADER, MAGIC, 0, 0, 0, crc, 0)
     padded = np.zeros(lanes * steps, np.int64)
-    padded[:n] = ids
+    padded[:n] = ranks
     columns = np.ascontiguousarray(padded.reshape(lanes, steps).T)
-    model = Model(alphabet, lanes)
+    last, before = np.zeros_like(columns), np.zeros_like(columns)
+    last[1:], before[2:] = columns[:-1], columns[:-2]
+    # Lanes are filled one after another, so those in use at a step come first.
+    used = np.minimum(lanes, -(-(n - np.arange(steps)) // steps))
+    real = np.arange(lanes)[None, :] < used[:, None]
+    slots = slot_of(before, last)
+    model = Mixer(len(names))
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
     out, pos = np.zeros((lanes, 3 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
-    for t in range(steps):
-        m = min(lanes, -(-(n - t) // steps))
-        x = columns[t, :m]
-        p2, p1, gate = model.predict(m)
-        hit2 = p2 == x
-        outcome = 2 - (hit2 | (p1 == x)) - hit2
-        cell = gate * 3 + outcome
-        lo, r = low[:m], span[:m] >> np.uint64(GATE_BITS)
-        lo += model.start[cell] * r
-        r *= model.size[cell]
-        e = np.flatnonzero(outcome == 2)
-        xe = x[e]
-        part = r[e] // np.uint64(model.total)
-        lo[e] += model.cum[xe] * part
-        r[e] = model.sizes[xe] * part
-        span[:m] = r
-        model.update(x, cell, xe)
-        put_out(low, span, out, pos)
+    cells = np.zeros((steps, lanes), np.int64)
+    follows = None
+    for a, b, taken in spans(steps):
+        if taken:
+            follows = Follows(last[:a][real[:a]], columns[:a][real[:a]], len(names))
+            follows.by_pair()
+        x, sizes = columns[a:b], model.counts[columns[a:b]]
+        if follows:
+            below, own, whole = follows.counts(last[a:b], x)
+            known, sure = own > 0, follows.sure[last[a:b]]
+        else:
+            below = own = whole = sure = np.zeros_like(x)
+            known = np.zeros(x.shape, bool)
+        below = np.where(known, below, model.above[x] - sizes).astype(np.uint64)
+        own, whole = np.where(known, own, sizes).astype(np.uint64), np.where(known, whole, model.total).astype(np.uint64)
+        other = sure * 3 + 2 - known
+        for t in range(a, b):
+            m, i = int(used[t]), t - a
+            at, ids_now = slots[t, :m], x[i, :m]
+            held = model.slots[at]
+            trust = held & 7
+            hit = ((held >> 3) == ids_now) & (trust > 0)
+            cell = cells[t, :m] = trust * 48 + np.where(hit, 3 * sure[i, :m], other[i, :m])
+            lo, r = low[:m], span[:m] >> GATE_SHIFT
+            lo += model.start[cell] * r
+            r *= model.size[cell]
+            part = r // whole[i, :m]
+            lo += np.where(hit, U0, below[i, :m] * part)
+            span[:m] = np.where(hit, r, own[i, :m] * part)
+            model.follow(at, held, trust, hit, ids_now)
+            put_out(low, span, out, pos)
+        model.learn(x[real[a:b]], cells[a:b][real[a:b]])
     value = (low + np.uint64(2**32 - 1)) >> np.uint64(32)
     at = np.arange(lanes)
     out[at, pos] = (value >> U16).astype(np.uint16)
     out[at, pos + 1] = (value & np.uint64(0xFFFF)).astype(np.uint16)
     pos += 2
     words = out[np.arange(out.shape[1])[None, :] < pos[:, None]]
-    return head + pos.astype("<u4").tobytes() + words.astype("<u2").tobytes()
+    return struct.pack(HEADER, MAGIC, n, len(table), lanes, crc, steps) + table + pos.astype("<u4").tobytes() + words.astype("<u2").tobytes()
+
+
+def ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ids in order, rank of each id)."""
+    there = np.bincount(ids, minlength=1) > 0 if len(ids) else np.zeros(1, bool)
+    return np.flatnonzero(there).astype(np.uint32), (np.cumsum(there) - 1)[ids]
 
 
 def due(low: np.ndarray, span: np.ndarray) -> np.ndarray:
@@ -148,49 +231,95 @@ def put_out(low: np.ndarray, span: np.ndarray, out: np.ndarray, pos: np.ndarray)
 
 def decode(block: bytes) -> np.ndarray:
     """The uint32 ids of a block; raises ValueError if it is damaged."""
-    magic, n, alphabet, lanes, crc, steps = struct.unpack_from(HEADER, block)
-    if magic != MAGIC:
+    parts, at = [], 0
+    while at < len(block):
+        ids, at = decoded(block, at)
+        parts.append(ids)
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+
+def decoded(block: bytes, at: int) -> tuple[np.ndarray, int]:
+    """The ids of the segment that begins at `at`, and where the next one begins."""
+    if len(block) < at + HEADER_BYTES or struct.unpack_from("<I", block, at)[0] != MAGIC:
         raise ValueError("not a block of token ids")
-    lengths = np.frombuffer(block, "<u4", lanes, HEADER_BYTES).astype(np.int64)
-    flat = np.frombuffer(block, "<u2", offset=HEADER_BYTES + 4 * lanes)
-    if len(flat) != lengths.sum():
+    _, n, table, lanes, crc, steps = struct.unpack_from(HEADER, block, at)
+    at += HEADER_BYTES
+    if not n:
+        return np.zeros(0, np.uint32), at
+    if (lanes, steps) != lanes_of(n) or len(block) < at + table + 4 * lanes:
+        raise ValueError("a block of token ids is cut short")
+    try:
+        names = np.cumsum(np.frombuffer(zlib.decompress(block[at:at + table]), "<u4"), dtype=np.uint32)
+    except zlib.error as e:
+        raise ValueError("a block of token ids is damaged") from e
+    at += table
+    lengths = np.frombuffer(block, "<u4", lanes, at).astype(np.int64)
+    at += 4 * lanes
+    size = int(lengths.sum())
+    if len(block) < at + 2 * size or int(lengths.max()) > 3 * steps + 8 or not len(names):
         raise ValueError("a block of token ids is cut short")
-    words = np.zeros((lanes, int(lengths.max()) + 16), np.uint64)
-    words[np.arange(words.shape[1])[None, :] < lengths[:, None]] = flat
+    words = np.zeros((lanes, max(4, int(lengths.max())) + 16), np.uint64)
+    words[np.arange(words.shape[1])[None, :] < lengths[:, None]] = np.frombuffer(block, "<u2", size, at)
+    at += 2 * size
     code = (words[:, 0] << U48) | (words[:, 1] << np.uint64(32)) | (words[:, 2] << U16) | words[:, 3]
     pos = np.full(lanes, 4)
-    model = Model(alphabet, lanes)
+    model = Mixer(len(names))
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    columns = np.zeros((steps, lanes), np.int64)
-    for t in range(steps):
-        m = min(lanes, -(-(n - t) // steps))
-        p2, p1, gate = model.predict(m)
-        lo, r = low[:m], span[:m] >> np.uint64(GATE_BITS)
-        q = np.minimum((code[:m] - lo) // np.maximum(r, np.uint64(1)), np.uint64((1 << GATE_BITS) - 1)).astype(np.int64)
-        outcome = (q >= model.w2[gate]).astype(np.int64) + (q >= model.both[gate])
-        cell = gate * 3 + outcome
-        lo += model.start[cell] * r
-        r *= model.size[cell]
-        e = np.flatnonzero(outcome == 2)
-        part = r[e] // np.uint64(model.total)
-        slot = np.minimum((code[:m][e] - lo[e]) // np.maximum(part, np.uint64(1)), np.uint64(model.total - 1)).astype(np.int64)
-        xe = np.searchsorted(model.above, slot, "right")
-        lo[e] += model.cum[xe] * part
-        r[e] = model.sizes[xe] * part
-        span[:m] = r
-        x = np.where(outcome == 0, p2, p1).astype(np.int64)
-        x[e] = xe
-        model.update(x, cell, xe)
-        columns[t, :m] = x
-        at = due(low, span)
-        while len(at):
-            some, wide = low[at] << U16, span[at] << U16
-            code[at] = (code[at] << U16) | words[at, np.minimum(pos[at], words.shape[1] - 1)]
-            pos[at] += 1
-            again = due(some, wide)
-            low[at], span[at] = some, wide
-            at = at[again]
-    ids = columns.T.reshape(-1)[:n].astype(np.uint32)
+    columns = np.zeros((steps + 2, lanes), np.int64)  # two rows of zeros before the first step
+    cells = np.zeros((steps, lanes), np.int64)
+    used = np.minimum(lanes, -(-(n - np.arange(steps)) // steps))
+    follows, most, one = None, np.uint64((1 << GATE_BITS) - 1), np.uint64(1)
+    for a, b, taken in spans(steps):
+        if taken:
+            real = np.arange(lanes)[None, :] < used[:a, None]
+            follows = Follows(columns[1:a + 1][real], columns[2:a + 2][real], len(names))
+            follows.by_place()
+        for t in range(a, b):
+            m = int(used[t])
+            last = columns[t + 1, :m]
+            at_2 = slot_of(columns[t, :m], last)
+            held = model.slots[at_2]
+            trust = held & 7
+            gate = trust * 16 + follows.sure[last] if follows else trust * 16
+            lo, r = low[:m], span[:m] >> GATE_SHIFT
+            ahead = code[:m] - lo
+            q = np.minimum(ahead // np.maximum(r, one), most).astype(np.int64)
+            in_2, in_0 = q < model.w2[gate], q >= model.both[gate]
+            cell = cells[t, :m] = gate * 3 + 1 + in_0 - in_2
+            jump = model.start[cell] * r
+            ahead -= jump
+            jump += lo
+            r *= model.size[cell]
+            x = held >> 3
+            if follows:
+                e = np.flatnonzero(~(in_2 | in_0))
+                first = follows.at[last[e]]
+                part = r[e] // np.maximum(follows.n[last[e]], 1).astype(np.uint64)
+                place = np.minimum(first + (ahead[e] // np.maximum(part, one)).astype(np.int64), len(follows.ids) - 1)
+                x[e] = follows.ids[place]
+                jump[e] += (follows.begin[place] - first).astype(np.uint64) * part
+                r[e] = follows.size[place] * part
+            e = np.flatnonzero(in_0)
+            part = r[e] // np.uint64(model.total)
+            found = np.searchsorted(model.above, np.minimum(ahead[e] // np.maximum(part, one), np.uint64(model.total - 1)).astype(np.int64), "right")
+            sizes = model.counts[found]
+            x[e] = found
+            jump[e] += (model.above[found] - sizes).astype(np.uint64) * part
+            r[e] = sizes.astype(np.uint64) * part
+            low[:m], span[:m] = jump, r
+            columns[t + 2, :m] = np.minimum(x, len(names) - 1)
+            model.follow(at_2, held, trust, in_2, x)
+            shift = due(low, span)
+            while len(shift):
+                some, wide = low[shift] << U16, span[shift] << U16
+                code[shift] = (code[shift] << U16) | words[shift, np.minimum(pos[shift], words.shape[1] - 1)]
+                pos[shift] += 1
+                again = due(some, wide)
+                low[shift], span[shift] = some, wide
+                shift = shift[again]
+        real = np.arange(lanes)[None, :] < used[a:b, None]
+        model.learn(columns[a + 2:b + 2][real], cells[a:b][real])
+    ids = names[columns[2:].T.reshape(-1)[:n]]
     if zlib.crc32(np.ascontiguousarray(ids, "<u4")) != crc:
         raise ValueError("a block of token ids fails its checksum")
-    return ids
+    return ids, at

@@ -3,13 +3,17 @@
 Both vocabularies split a text at white space before merging, so a text's ids are the ids of its pieces in order. Pieces
 are dictionary-encoded per batch and looked up in a table that the Python worker keeps between tasks; only pieces that
 are not in it go through the tokenizer. The table has a fixed bound and is emptied when full, which changes no result.
+A new piece of plain words with, perhaps, marks and a line's end goes straight to the tokenizer's model, since its splitting
+is known; all others take the tokenizer's whole way.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +26,20 @@ from .common import ranges, split_words
 #: by tokenizers that keep white space.
 TANGLED = r"[ \t\n\x0b\x0c\r] | [\t\n\x0b\x0c\r]|^ | $|[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 KEPT_PIECES = 3_000_000
+#: A word of Latin letters, and marks that the tokenizers split off as one run.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$&%#|]*)(?:\n([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$&%#|]*))?").fullmatch
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies spell each byte: printable ones by themselves, the others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + others.index(b)) if b in others else chr(b) for b in range(256)}
+
+
+def listed(strings: pa.Array) -> list[str]:
+    """Arrow strings as a list, by way of numpy, which is faster than to_pylist()."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
 
 
 def tokenizer_path(name: str) -> str:
@@ -40,6 +58,7 @@ class Encoder:
         self.tokenizer, self.spaces = Tokenizer.from_file(path), spaces
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.letters, self.marks = byte_letters(), {}
         self.hashes, self.starts, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
@@ -52,15 +71,51 @@ class Encoder:
             held[path, spaces] = Encoder(path, spaces)
         return held[path, spaces]
 
+    def word(self, word: str, spaced: bool) -> list[int]:
+        """The ids of a plain word, with the space before it if `spaced`."""
+        if not self.spaces:
+            word = word.lower()
+        elif not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.tokenizer.model.tokenize(self.letters[32] + word if spaced else word)]
+
+    def mark(self, marks: str) -> list[int]:
+        """The ids of a run of marks or of a line's end."""
+        if marks not in self.marks:
+            self.marks[marks] = [t.id for t in self.tokenizer.model.tokenize(marks.replace("\n", self.letters[10]))]
+        return self.marks[marks]
+
     def encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each piece, all ids) from the tokenizer itself."""
-        counts, ids = [], []
-        for at in range(0, len(pieces), 20_000):
-            some = pieces[at:at + 20_000]
-            out = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids.append(np.array(out.ids, np.uint32))
-            counts.append(np.bincount(np.array(out.word_ids, np.int64), minlength=len(some)) if out.ids else np.zeros(len(some), np.int64))
-        return (np.concatenate(counts), np.concatenate(ids)) if counts else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        ids, counts, rest = array("I"), np.zeros(len(pieces), np.int64), []
+        for i, piece in enumerate(pieces):
+            spaced = self.spaces and piece[:1] == " "
+            found = PLAIN(piece, 1 if spaced else 0)
+            if not found or not (self.spaces or piece.isascii()):
+                rest.append(i)
+                continue
+            before, (word, marks, line, marks_2) = len(ids), found.groups()
+            ids.extend(self.word(word, spaced))
+            if marks:
+                ids.extend(self.mark(marks))
+            if line:
+                ids.extend(self.mark("\n"))
+                ids.extend(self.word(line, False))
+                if marks_2:
+                    ids.extend(self.mark(marks_2))
+            counts[i] = len(ids) - before
+        plain, others = np.flatnonzero(counts), []
+        for at in range(0, len(rest), 20_000):
+            some = rest[at:at + 20_000]
+            out = self.tokenizer.encode([pieces[i] for i in some], is_pretokenized=True, add_special_tokens=False)
+            if out.ids:
+                counts[some] = np.bincount(np.array(out.word_ids, np.int64), minlength=len(some))
+            others.append(np.array(out.ids, np.uint32))
+        starts, both = np.cumsum(counts) - counts, np.empty(int(counts.sum()), np.uint32)
+        both[ranges(starts[plain], counts[plain])] = np.frombuffer(ids, np.uint32) if len(ids) else np.zeros(0, np.uint32)
+        if rest:
+            both[ranges(starts[rest], counts[rest])] = np.concatenate(others)
+        return counts, both
 
     def places(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(start, length) of each distinct piece's ids in self.ids."""
@@ -99,7 +154,7 @@ class Encoder:
         plain, whole = np.flatnonzero(~tangled), np.flatnonzero(tangled)
         counts = np.zeros(len(texts), np.int64)
         counts[plain], plain_ids = self._encode_pieces(texts.take(pa.array(plain)))
-        counts[whole], whole_ids = self.encoded_whole(texts.take(pa.array(whole)).to_pylist())
+        counts[whole], whole_ids = self.encoded_whole(listed(texts.take(pa.array(whole))))
         ends = np.cumsum(counts)
         ids = np.empty(int(ends[-1]), np.uint32)
         ids[ranges((ends - counts)[plain], counts[plain])] = plain_ids
@@ -116,18 +171,22 @@ class Encoder:
             offsets, flat = parts.offsets.to_numpy().astype(np.int64), parts.flatten()
             offsets = offsets - offsets[0]
             coded = flat.dictionary_encode()
-            codes, pieces = coded.indices.to_numpy().astype(np.int64), [" " + p for p in coded.dictionary.to_pylist()]
+            codes, pieces = coded.indices.to_numpy().astype(np.int32), [" " + p for p in listed(coded.dictionary)]
             heads = flat.take(pa.array(offsets[:-1])).dictionary_encode()
+            codes = codes.copy()
             codes[offsets[:-1]] = len(pieces) + heads.indices.to_numpy()
-            pieces += heads.dictionary.to_pylist()
+            pieces += listed(heads.dictionary)
         else:
             offsets, flat = split_words(texts)
             coded = flat.dictionary_encode()
-            codes, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+            codes, pieces = coded.indices.to_numpy().astype(np.int32), listed(coded.dictionary)
         starts, lengths = self.places(pieces)
-        counts = lengths[codes]
-        sums = np.concatenate([[0], np.cumsum(counts)])
-        return np.diff(sums[offsets]), self.ids[ranges(starts[codes], counts)]
+        sums = np.concatenate([[0], np.cumsum(lengths[codes])])
+        # The ids of each distinct piece as one binary value; taking them by code strings them together.
+        ends = np.concatenate([[0], np.cumsum(lengths * 4)]).astype(np.int64)
+        table = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(self.ids[ranges(starts, lengths)])])
+        taken = table.take(pa.array(codes))
+        return np.diff(sums[offsets]), np.frombuffer(taken.buffers()[2], np.uint32, int(sums[-1])) if len(codes) else np.zeros(0, np.uint32)
 
 
 def with_end(counts: np.ndarray, ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
