@@ -2,7 +2,7 @@
 
 Lines and whole texts become sparse TF-IDF vectors (terms joined with their inverse document frequencies over all documents,
 terms outside the templates weighing most), and their cosine to each template is a join on terms and a sum. Only lines and
-texts whose cosine cannot reach its threshold, by a bound over template terms alone (see `reach`), are left out of the join;
+texts that hold none of the terms without which no cosine can reach its threshold (see `telling`) are left out of the join;
 no term is left out for being frequent. A document's own licence is its best header; a document that as a whole is close to
 a template is a licence file of its directory.
 Documents without a licence of their own inherit from the nearest ancestor directory that has a licence file, by a join
@@ -34,8 +34,33 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright, CC0 1.0 public domain dedication"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), "
+            "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+            "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and "
+            "this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, "
+            "EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+            "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+            "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
+            "and this permission notice appear in all copies."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions "
+                     "of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the "
+                     "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither "
+                     "the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior "
+                     "written permission."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the "
+                   "License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is "
+                   "distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
+                   "permissions and limitations under the License."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
+                "Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
+                "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+                  "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 SPLIT = "[^a-z0-9]+"
+#: Sub-groups over which the documents of one directory are dealt.
+SALTS = 64
 
 
 def terms_of(text: Column) -> Column:
@@ -61,64 +86,56 @@ def literal_rows(spark: SparkSession, rows: list[tuple], names: tuple[str, ...])
     return spark.range(1).select(F.explode(each).alias("r")).select("r.*")
 
 
-def best_templates(spark: SparkSession, texts: DataFrame, templates, idf: dict[str, float], unknown: float) -> DataFrame:
-    """For each key of texts(key, body) the best (licence, score) by cosine; keys without a common term have no row."""
-    counted = template_terms(templates)
+def squares(terms: Column) -> Column:
+    """The sum of the squared counts of an array's distinct terms."""
+    none = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
+
+    def add(a: Column, term: Column) -> Column:
+        run = F.when(a["last"] == term, a["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(term.alias("last"), run.alias("run"), (a["sum"] + 2 * run - 1).alias("sum"))
+
+    return F.aggregate(F.sort_array(terms), none, add, lambda a: a["sum"])
+
+
+def scores(spark: SparkSession, texts: DataFrame, templates, idf: dict[str, float], unknown: float) -> DataFrame:
+    """The best (licence, score) by cosine for each row of texts(row, inside, outside).
+
+    inside: the text's template terms, each as often as it occurs; outside: the sum of the squared counts of its other terms.
+    """
     vectors = []
-    for k, ((name, _), counts) in enumerate(zip(templates, counted)):
+    for k, ((name, _), counts) in enumerate(zip(templates, template_terms(templates))):
         length = math.sqrt(sum((n * idf[t]) ** 2 for t, n in counts.items())) or 1.0
         vectors += [(k, name, t, n * idf[t] / length) for t, n in counts.items()]
     # As many rows as the templates have terms.
     table = F.broadcast(literal_rows(spark, vectors, ("template", "licence", "term", "weight")))
     known = F.broadcast(literal_rows(spark, list(idf.items()), ("term", "idf")))
-    found = texts.select("key", F.explode(terms_of(F.col("body"))).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("n"))
-    found = found.join(known, "term", "left").withColumn("tfidf", F.col("n") * F.coalesce("idf", F.lit(unknown)))
-    norms = found.groupBy("key").agg(F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf"))).alias("norm"))
-    dots = found.filter("idf is not null").join(table, "term").groupBy("key", "template", "licence").agg(F.sum(F.col("tfidf") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, "key").withColumn("score", F.round(F.col("dot") / F.col("norm"), 9))
+    found = texts.select("row", "outside", F.explode("inside").alias("term")).groupBy("row", "outside", "term").agg(F.count(F.lit(1)).alias("n"))
+    found = found.join(known, "term").withColumn("tfidf", F.col("n") * F.col("idf"))
+    norms = found.groupBy("row", "outside").agg(F.sum(F.col("tfidf") * F.col("tfidf")).alias("s")).select(
+        "row", F.sqrt(F.col("s") + unknown * unknown * F.col("outside")).alias("norm"))
+    dots = found.join(table, "term").groupBy("row", "template", "licence").agg(F.sum(F.col("tfidf") * F.col("weight")).alias("dot"))
+    scored = dots.join(norms, "row").withColumn("score", F.round(F.col("dot") / F.col("norm"), 9))
     # Among equal scores the greatest struct would take the last name; the negated template order takes the first.
     best = F.max_by(F.struct("licence", "score"), F.struct("score", (-F.col("template")).alias("o"))).alias("b")
-    return scored.groupBy("key").agg(best).select("key", "b.licence", "b.score")
-
+    return scored.groupBy("row").agg(best).select("row", "b.licence", "b.score")
 
-def let(value: Column, then) -> Column:
-    """then(value) with value computed once, also where `then` uses it within a lambda."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
 
+def telling(templates, idf: dict[str, float], limit: float) -> list[str]:
+    """Terms of which a text must hold one to reach a cosine of `limit` with any template.
 
-def reach(templates, idf: dict[str, float], unknown: float):
-    """(overlap(distinct template terms), bound(terms)): upper bounds of a text's cosine to any template.
-
-    overlap: by Cauchy and Schwarz at most the length of the template's unit vector over the shared terms. bound: the exact dot
-    product over a lower bound of the text's length; N terms outside the templates, D of them distinct, have at least N * N / D
-    as sum of squared counts.
+    The shared terms' part of a template's unit vector bounds the cosine (Cauchy and Schwarz), so terms are taken from each template,
+    the rarest in the corpus first, until those left cannot reach the limit by themselves.
     """
-    vectors = []
+    found: set[str] = set()
     for counts in template_terms(templates):
-        length = math.sqrt(sum((n * idf[t]) ** 2 for t, n in counts.items())) or 1.0
-        vectors.append({t: n * idf[t] / length for t, n in counts.items()})
-    # A lookup scans its map: terms of many documents, which have the least weight, come first.
-    ordered = sorted(idf, key=lambda t: (idf[t], t))
-    table = lambda values: F.create_map(*[F.lit(x) for t in ordered if t in values for x in (t, values[t])])
-    add = lambda items, of: F.aggregate(items, F.lit(0.0), lambda a, x: a + of(x))
-    value = lambda values, t: F.coalesce(F.element_at(table(values), t), F.lit(0.0))
-
-    def overlap(held: Column) -> Column:
-        return F.sqrt(F.greatest(F.lit(0.0), *[add(held, lambda t, v=v: value({x: w * w for x, w in v.items()}, t)) for v in vectors]))
-
-    def bound(terms: Column) -> Column:
-        def of(every: Column, inside: Column, held: Column) -> Column:
-            counts = F.transform(held, lambda t: F.struct(t.alias("t"), (F.size(inside) - F.size(F.array_remove(inside, t))).cast("double").alias("n")))
-            outside, kinds = (F.size(every) - F.size(inside)).cast("double"), F.size(F.array_distinct(every)) - F.size(held)
-            known = lambda c: add(c, lambda x: F.pow(x["n"] * value(idf, x["t"]), F.lit(2.0)))
-            dots = lambda c: F.greatest(F.lit(0.0), *[add(c, lambda x, v=v: x["n"] * value({t: w * idf[t] for t, w in v.items()}, x["t"])) for v in vectors])
-            length = lambda c: F.sqrt(known(c) + unknown**2 * F.when(kinds > 0, outside * outside / kinds).otherwise(0.0))
-            return F.when(F.size(held) == 0, 0.0).otherwise(let(counts, lambda c: dots(c) / length(c)))
-
-        return let(terms, lambda every: let(F.filter(every, lambda t: t.isin(*idf)), lambda inside: let(
-            F.array_distinct(inside), lambda held: of(every, inside, held))))
-
-    return overlap, bound
+        left = sum((n * idf[t]) ** 2 for t, n in counts.items()) or 1.0
+        least = limit * limit * left
+        for t in sorted(counts, key=lambda t: (-idf[t], t)):
+            if left < least:
+                break
+            found.add(t)
+            left -= (counts[t] * idf[t]) ** 2
+    return sorted(found)
 
 
 def scan(docs: DataFrame, path: Column, text: str = "text", doc_id: str = "doc_id", templates=TEMPLATES,
@@ -133,21 +150,20 @@ def scan(docs: DataFrame, path: Column, text: str = "text", doc_id: str = "doc_i
     rows = docs.agg(F.count(F.lit(1))).first()[0]
     idf = {t: math.log((1 + rows) / (1 + seen.get(t, 0))) + 1 for t in vocabulary}
     unknown = math.log(1 + rows) + 1
-    overlap, bound = reach(templates, idf, unknown)
     near = lambda limit: limit - 1e-6  # noqa: E731  scores are rounded
-    # A line's terms are among its text's, so a text without the overlap for a header has no line with it.
-    hits = docs.select("path", "body", held.alias("held")).withColumn("overlap", overlap(F.col("held"))).filter(F.col("overlap") >= near(min(header_score, file_score)))
-    of_line = lambda x: let(terms_of(x), lambda every: F.when(
-        overlap(F.array_distinct(F.filter(every, lambda t: t.isin(*vocabulary)))) >= near(header_score), bound(every)).otherwise(0.0))
-    lines = F.when(F.col("overlap") >= near(header_score), F.filter(F.split("body", "\n"), lambda x: of_line(x) >= near(header_score))).otherwise(F.array().cast("array<string>"))
-    hits = hits.select("path", "body", lines.alias("lines"), (bound(terms_of(F.col("body"))) >= near(file_score)).alias("whole")).filter("whole or size(lines) > 0")
-    hits = materialize(hits.withColumn("row", F.xxhash64("path", "body")), "licence-candidates")
-    lines = hits.select("row", "path", F.posexplode("lines").alias("line", "body")).withColumn("key", F.struct("row", "path", "line"))
-    headers = best_templates(spark, lines.select("key", "body").distinct(), templates, idf, unknown).filter(F.col("score") >= header_score)
-    whole = hits.filter("whole").select(F.struct("row", "path").alias("key"), "body").distinct()
-    files = best_templates(spark, whole, templates, idf, unknown).filter(F.col("score") >= file_score)
-    own = headers.groupBy("key.path").agg(F.max_by(F.struct("licence", "score"), F.struct("score", F.hex("licence"))).alias("own"))
-    files = files.groupBy("key.path").agg(F.max_by(F.struct("licence", "score"), F.struct("score", F.hex("licence"))).alias("file"))
+    tells = [F.array(*[F.lit(t) for t in telling(templates, idf, near(limit))]) for limit in (file_score, header_score)]
+    # A line's terms are among its text's, and a lower limit takes more terms to tell.
+    lines = F.transform(F.split("body", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("body")))
+    hits = docs.filter(F.arrays_overlap(terms_of(F.col("body")), tells[0 if file_score <= header_score else 1])).select(
+        "path", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), "body")), lines)).alias("x")).select("path", "x.*")
+    hits = hits.filter(F.arrays_overlap(terms_of(F.col("body")), F.when(F.col("whole"), tells[0]).otherwise(tells[1])))
+    hits = hits.select("path", "whole", terms_of(F.col("body")).alias("terms")).select(
+        "path", "whole", F.filter("terms", lambda t: t.isin(*vocabulary)).alias("inside"), squares(F.filter("terms", lambda t: ~t.isin(*vocabulary))).alias("outside"))
+    hits = materialize(hits.withColumn("row", F.monotonically_increasing_id()), "licence-candidates")
+    found = scores(spark, hits, templates, idf, unknown).join(hits.select("row", "path", "whole"), "row")
+    best = F.max_by(F.struct("licence", "score"), F.struct("score", F.hex("licence")))
+    own = found.filter(~F.col("whole") & (F.col("score") >= header_score)).groupBy("path").agg(best.alias("own"))
+    files = found.filter(F.col("whole") & (F.col("score") >= file_score)).groupBy("path").agg(best.alias("file"))
     own, files = materialize(own, "licence-headers"), materialize(files, "licence-files")
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     folders = files.select(folder.alias("folder"), "path", "file").groupBy("folder").agg(
@@ -159,7 +175,11 @@ def scan(docs: DataFrame, path: Column, text: str = "text", doc_id: str = "doc_i
     above = slim.select(folder.alias("folder")).distinct().select("folder", depth.alias("up")).withColumn(
         "ancestor", F.concat_ws("/", F.slice(parts, F.lit(1), F.size(parts) - F.col("up"))))
     given = above.join(folders.withColumnRenamed("folder", "ancestor"), "ancestor").groupBy("folder").agg(F.min_by("given", "up").alias("given"))
-    out = slim.withColumn("folder", folder).join(own, "path", "left").join(files.select("path", F.lit(True).alias("licence_file")), "path", "left").join(given, "folder", "left")
+    # A directory may hold a third of all documents: its row is repeated for as many sub-groups as its documents are dealt over.
+    salt = F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int").alias("salt")
+    given = given.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = slim.select("doc_id", "path", folder.alias("folder"), salt).join(own, "path", "left").join(files.select("path", F.lit(True).alias("licence_file")), "path", "left").join(
+        given, ["folder", "salt"], "left")
     return out.select(
         "doc_id", "path", F.coalesce("own.licence", "given.licence").alias("licence"),
         F.when(F.col("own").isNotNull(), "header").when(F.col("given").isNotNull(), "inherited").otherwise("none").alias("basis"),
