@@ -25,7 +25,7 @@ from .common import ranges, split_words
 #: Texts in which a space meets other white space or an end, or that hold white space beyond ASCII, are encoded whole
 #: by tokenizers that keep white space.
 TANGLED = r"[ \t\n\x0b\x0c\r] | [\t\n\x0b\x0c\r]|^ | $|[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-KEPT_PIECES = 3_000_000
+KEPT_PIECES, KEPT_RUNS = 3_000_000, 250_000
 #: A word of Latin letters, and marks that the tokenizers split off as one run.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$&%#|]*)(?:\n([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$&%#|]*))?").fullmatch
 
@@ -58,7 +58,7 @@ class Encoder:
         self.tokenizer, self.spaces = Tokenizer.from_file(path), spaces
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.letters, self.marks = byte_letters(), {}
+        self.letters, self.runs = byte_letters(), {}
         self.hashes, self.starts, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
@@ -71,39 +71,43 @@ class Encoder:
             held[path, spaces] = Encoder(path, spaces)
         return held[path, spaces]
 
-    def word(self, word: str, spaced: bool) -> list[int]:
+    def spelled(self, letters: str) -> bytes:
+        """The ids of one run of letters or marks, as the tokenizer's model knows them; a bounded table keeps them."""
+        found = self.runs.get(letters)
+        if found is None:
+            if len(self.runs) >= KEPT_RUNS:
+                self.runs.clear()
+            found = self.runs[letters] = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+        return found
+
+    def word(self, word: str, spaced: bool) -> bytes:
         """The ids of a plain word, with the space before it if `spaced`."""
         if not self.spaces:
             word = word.lower()
         elif not word.isascii():
             word = word.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.tokenizer.model.tokenize(self.letters[32] + word if spaced else word)]
-
-    def mark(self, marks: str) -> list[int]:
-        """The ids of a run of marks or of a line's end."""
-        if marks not in self.marks:
-            self.marks[marks] = [t.id for t in self.tokenizer.model.tokenize(marks.replace("\n", self.letters[10]))]
-        return self.marks[marks]
+        return self.spelled(self.letters[32] + word if spaced else word)
 
     def encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each piece, all ids) from the tokenizer itself."""
-        ids, counts, rest = array("I"), np.zeros(len(pieces), np.int64), []
+        ids, ends, rest = bytearray(), [], []
         for i, piece in enumerate(pieces):
             spaced = self.spaces and piece[:1] == " "
             found = PLAIN(piece, 1 if spaced else 0)
             if not found or not (self.spaces or piece.isascii()):
                 rest.append(i)
-                continue
-            before, (word, marks, line, marks_2) = len(ids), found.groups()
-            ids.extend(self.word(word, spaced))
-            if marks:
-                ids.extend(self.mark(marks))
-            if line:
-                ids.extend(self.mark("\n"))
-                ids.extend(self.word(line, False))
-                if marks_2:
-                    ids.extend(self.mark(marks_2))
-            counts[i] = len(ids) - before
+            else:
+                word, marks, line, marks_2 = found.groups()
+                ids += self.word(word, spaced)
+                if marks:
+                    ids += self.spelled(marks)
+                if line:
+                    ids += self.spelled(self.letters[10])
+                    ids += self.word(line, False)
+                    if marks_2:
+                        ids += self.spelled(marks_2)
+            ends.append(len(ids))
+        counts = np.diff(np.array(ends, np.int64), prepend=0) // 4
         plain, others = np.flatnonzero(counts), []
         for at in range(0, len(rest), 20_000):
             some = rest[at:at + 20_000]
@@ -112,7 +116,7 @@ class Encoder:
                 counts[some] = np.bincount(np.array(out.word_ids, np.int64), minlength=len(some))
             others.append(np.array(out.ids, np.uint32))
         starts, both = np.cumsum(counts) - counts, np.empty(int(counts.sum()), np.uint32)
-        both[ranges(starts[plain], counts[plain])] = np.frombuffer(ids, np.uint32) if len(ids) else np.zeros(0, np.uint32)
+        both[ranges(starts[plain], counts[plain])] = np.frombuffer(bytes(ids), np.uint32)
         if rest:
             both[ranges(starts[rest], counts[rest])] = np.concatenate(others)
         return counts, both
