@@ -306,14 +306,68 @@ def test_scores_and_base(docs, empty):
     assert scoring.score(empty).count() == 0
 
 
-def test_long_unseen_words_cost_all_their_bits():
-    """100,000 characters: the score is the spelling's own cost, not a floor."""
-    totals = {"tokens": 110, "distinct": 41, "docs": [10], "words": [100], "kinds": [40]}
-    for word, cost in (("q" * 100_000, -120_000.5), ("q" * 1000, -1200.5)):
-        docs = pa.table({"doc_id": pa.array([1]), "text": [word], "train": [False]})
-        out = scoring.chunk_scores(totals)(docs, pa.table({"word": [word], "cost": [cost], "c_0": pa.array([0], pa.int32())}))
-        rest = math.log10(0.75 * 40 / 100) + math.log10(1 - 11 / 112) + math.log10(11 / 112) + math.log10(11 / 11)
-        assert out["score"][0].as_py() == pytest.approx(cost + rest, abs=1e-6)
+def test_long_unseen_words_cost_all_their_bits(spark):
+    rng = np.random.default_rng(3)
+    prose = lambda n: " ".join(rng.choice(["some", "words", "of", "a", "short", "list"], n))
+    long = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(i, prose(80), "en", "a", 0) for i in range(60) if i not in held] + [(held[0], long(1_000), "en", "a", 0), (held[1], long(100_000), "en", "a", 0)]
+    got = {r["doc_id"]: r["score"] for r in scoring.score(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[held[1]] < -50_000 and 60 < got[held[1]] / got[held[0]] < 140
+
+
+def repeated_corpus():
+    """Texts of a small language with fixed phrases; half of the held-out ones also occur among the training texts."""
+    rng = np.random.default_rng(9)
+    words = [f"word{i}" for i in range(800)]
+    weights = 1 / np.arange(1, 801)
+    phrases = [list(rng.choice(words, 6)) for _ in range(30)]
+    rows = []
+    for i in range(300):
+        text = []
+        while len(text) < 120:
+            text += phrases[rng.integers(30)] if rng.random() < 0.3 else [rng.choice(words, p=weights / weights.sum())]
+        rows.append((i, " ".join(text), "en", "a", 0))
+    texts = dict((r[0], r[1]) for r in rows)
+    return rows + [(1000 + i, texts[i], "en", "a", 0) for i in range(0, 300, 10)], {*range(0, 300, 10), *range(1000, 1300, 10)}
+
+
+def test_mixing_beats_the_base_and_tells_copies_apart(spark):
+    rows, twice = repeated_corpus()
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = {r["doc_id"]: r for r in scoring.score(df, chunk_bytes=50_000).collect()}
+    held = [r for r in got.values() if r["held_out"] and r["doc_id"] not in twice]
+    assert sum(r["score"] for r in held) > 0.9 * sum(r["base_score"] for r in held)
+    once = sorted(r["bits_per_byte"] for i, r in got.items() if i not in twice)
+    known = [r["bits_per_byte"] for i, r in got.items() if i in twice and zlib.crc32(str(i % 1000).encode()) % 7 != 2 and zlib.crc32(str(i % 1000 + 1000).encode()) % 7 != 2]
+    assert len(known) > 20 and max(known) < once[len(once) // 20]
+    fixed = {r["doc_id"]: r["score"] for r in scoring.score(df, chunk_bytes=50_000, fixed=0.5).collect()}
+    assert sum(fixed[r["doc_id"]] for r in held) < sum(r["score"] for r in held) - 0.02 * sum(r["n_tokens"] for r in held)
+    again = {r["doc_id"]: r["base_score"] for r in scoring.score(df.repartition(2)).collect()}
+    assert all(abs(again[i] - r["base_score"]) < 1e-6 for i, r in got.items())
+
+
+def test_probabilities_of_the_next_token_sum_to_one():
+    rng = np.random.default_rng(4)
+    cost = np.log10(np.array([0.1, 0.02, 0.003, 0.2, 0.05]))
+    cost = np.append(cost, np.log10(1 - (10**cost).sum())).astype(np.float32)  # the last stands for all words not seen in training
+    counts = np.array([[5, 1], [3, 0], [0, 4], [2, 2], [1, 0], [0, 0]], np.uint32)
+    totals = scoring.Totals([4, 3], counts.sum(axis=0).tolist(), (counts > 0).sum(axis=0).tolist(), 5)
+    mixer = scoring.Mixer()
+    mixer.vector[:] = rng.gamma(1.0, 3.0, len(mixer.vector))
+    end, history = 6, [0, 2, 0, 1, 0, 2, 5]
+    followers = {0: 3, 2: 1, end: 2}
+    for n in (0, 6):
+        total = 0.0
+        for last in range(7):
+            tokens = np.array([*history, last])
+            zero = np.zeros(len(tokens), np.uint32)
+            c, seen = zero.copy(), zero.copy()
+            c[-1], seen[-1] = followers.get(last, 0) * (n > 0), n
+            texts = scoring.Texts(np.array([len(tokens)]), tokens, end, counts, cost, c, seen, np.array([-1]), totals, False)
+            total += np.exp(mixer.run(texts)[-1])
+        # The word that stands for all unseen ones occurs in the text, so the text's own words may hold it as well.
+        assert abs(total - 1) < 1e-6
 
 
 def test_byte_codes_are_prefix_free():
