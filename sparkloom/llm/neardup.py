@@ -14,8 +14,8 @@ that are connected already or whose one-bit sketches of 2048 coordinates are too
 expanded into all pairs.
 
 Defined cases: null or wordless text has an empty set, no links, component_id = doc_id; texts of one to four words have
-one shingle, the whole sequence; rows that share a doc_id are one node; rows without doc_id are linked with nothing,
-component_id null and kept; an empty table gives an empty result; extra columns are not carried.
+one shingle, the whole sequence; rows that share a doc_id are one node, whatever their texts (sets are kept by content, so each text finds its links);
+rows without doc_id are linked with nothing, component_id null and kept; an empty table gives an empty result; extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ WORDS = 5
 ROWS = 5
 #: Coordinates of the one-bit sketches that thin out candidates before they become rows.
 BITS = 2048
-SKETCH_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+SKETCH_SCHEMA = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>"
 #: Odd multipliers of the places of a shingle.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -116,8 +116,8 @@ def sketches(bands: int):
                 for k in range(2):
                     digest[k, full] = np.add.reduceat(mixed(items ^ PLACES[k + 2]), starts)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([one_array(table["doc_id"]).cast(pa.int64()), pa.array(sizes), pa.array(digest[0].view(np.int64)),
-                                              pa.array(digest[1].view(np.int64)), lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+            yield pa.RecordBatch.from_arrays([one_array(table["doc_id"]).cast(pa.int64()), one_array(table["text_key"]), pa.array(sizes), pa.array(digest[0].view(np.int64)),
+                                              pa.array(digest[1].view(np.int64)), lists], ["doc_id", "text_key", "n_shingles", "set_a", "set_b", "bands"])
 
     return run
 
@@ -141,7 +141,7 @@ def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(items.view(np.int64)))
         words = bit_sketches(sizes, items)
         bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * words.shape[1], pa.int32()), pa.array(words.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([one_array(table["doc_id"]).cast(pa.int64()), sets, bits], ["id", "items", "bits"])
+        yield pa.RecordBatch.from_arrays([one_array(table["rep"]), sets, bits], ["id", "items", "bits"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -187,24 +187,31 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> tuple[DataF
     return found, [first, prefix]
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
-    spark = docs.sparkSession
-    small_arrow_batches(spark)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def with_key(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """doc_id, text, and a hash of the text, by which rows that share a doc_id are told apart."""
+    body = F.col(text).cast("string")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("text_key"))
+
+
+def near_classes(docs: DataFrame, percent: int, one_node: bool) -> tuple[DataFrame, DataFrame]:
+    """(sketches of docs(doc_id, text, text_key), and for each set that has shingles the least (doc_id, text_key) of its component).
+
+    one_node: whether rows of one doc_id belong together even if their texts differ.
+    """
+    small_arrow_batches(docs.sparkSession)
     drawn = materialize(docs.mapInArrow(sketches(bands_for(percent)), SKETCH_SCHEMA), "sketches")
-    repeated = not drawn.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
-    classes = (
-        drawn.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    )
-    classes = materialize(classes, "shingle-classes")
+    nodes = drawn.filter("n_shingles > 0 and doc_id is not null")
+    again = materialize(nodes.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+    repeated = not again.isEmpty()
+    # A class is one set of shingles, whatever the ids of its rows.
+    classes = nodes.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "shingle-classes")
     banded = classes.select(F.explode("bands").alias("key"), "rep", "n")
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n")).alias("leader")).filter("size > 1")
     members = materialize(banded.join(buckets.drop("size"), "key").select("key", "rep", "n", F.col("leader.rep").alias("lead"), F.col("leader.n").alias("lead_n")), "band-members")
 
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(full_sets, "id long, items array<long>, bits array<long>")
+    wanted = members.select("rep").distinct().join(classes.select("rep", "least.*"), "rep")
+    sets = docs.join(wanted.hint("merge"), ["doc_id", "text_key"]).select("rep", "text").mapInArrow(full_sets, "id long, items array<long>, bits array<long>")
     sets = materialize(sets.groupBy("id").agg(F.first("items").alias("items"), F.first("bits").alias("bits")) if repeated else sets, "shingle-sets")
     pairs = members.filter((F.col("rep") != F.col("lead")) & alike("n", "lead_n", percent)).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = materialize(pairs, "pairs")
@@ -215,21 +222,32 @@ def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", doc_
         "key", "rep", F.coalesce("component", "rep").alias("component"))
     placed = materialize(placed, "band-components")
     unsettled = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
-    nodes = materialize(placed.join(unsettled, "key").select("rep", "component").distinct(), "unsettled")
-    candidates, used = prefix_pairs(nodes, sets, percent)
+    open_nodes = materialize(placed.join(unsettled, "key").select("rep", "component").distinct(), "unsettled")
+    candidates, used = prefix_pairs(open_nodes, sets, percent)
     rest = materialize(candidates.join(pairs, ["a", "b"], "left_anti"), "pairs-rest")
     more = materialize(verified(rest, sets, percent), "links-rest")
-    if not more.isEmpty():
-        of = connected_components(links.unionByName(more))
-    for table in (sets, members, pairs, placed, nodes, rest, *used):
+    edges = links if more.isEmpty() else links.unionByName(more)
+    if repeated and one_node:
+        of_id = nodes.join(again, "doc_id").join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"]).select("doc_id", "rep").distinct()
+        same = of_id.join(of_id.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").filter("a <> rep").select("a", F.col("rep").alias("b"))
+        edges = edges.unionByName(materialize(same, "links-of-ids"))
+    if edges is not links:
+        of = connected_components(edges)
+    for table in (sets, members, pairs, placed, open_nodes, rest, *used):
+        drop_materialized(table)
+    labelled = classes.select("set_a", "set_b", "rep", "least").join(of.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = labelled.groupBy("component").agg(F.min("least").alias("smallest"))
+    labels = materialize(labelled.join(least, "component").select("set_a", "set_b", "smallest"), "components")
+    for table in (links, more, classes, again):
         drop_materialized(table)
-    of = materialize(classes.select("set_a", "set_b", "rep").join(of.withColumnRenamed("node", "rep"), "rep"), "components")
-    drop_materialized(links)
-    drop_materialized(more)
-    found = drawn.join(of.select("set_a", "set_b", "component"), ["set_a", "set_b"], "left")
-    own = classes.select("set_a", "set_b", F.col("rep").alias("smallest"))
-    found = found.join(own, ["set_a", "set_b"], "left").withColumn(
-        "component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "smallest")).otherwise(F.col("doc_id")))
+    return drawn, labels
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs."""
+    drawn, labels = near_classes(with_key(docs, text, doc_id), percent, one_node=True)
+    found = drawn.join(labels, ["set_a", "set_b"], "left").withColumn(
+        "component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("smallest.doc_id")).otherwise(F.col("doc_id")))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
@@ -238,9 +256,23 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, with the columns of docs; rows without doc_id stay."""
-    found = materialize(near_duplicates(docs), "near-duplicates")
-    kept = docs.join(found.filter(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    if not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    """One row of each group of near-duplicates, with the columns of docs.
+
+    Rows are judged by their texts: rows of one doc_id with unlike texts are groups of their own. The row with the least doc_id
+    (then the least hash of its text) stays. Rows without doc_id, and texts without words, stay; an empty table stays empty;
+    columns with clashing names are carried as they are.
+    """
+    drawn, labels = near_classes(with_key(docs, "text", "doc_id"), 80, one_node=False)
+    grouped = drawn.filter("n_shingles > 0 and doc_id is not null").join(labels, ["set_a", "set_b"])
+    gone = materialize(grouped.filter((F.col("doc_id") != F.col("smallest.doc_id")) | (F.col("text_key") != F.col("smallest.text_key"))).select(
+        F.col("doc_id").alias("__doc_id"), F.col("text_key").alias("__text_key")).distinct(), "near-duplicates")
+    own, key = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    kept = docs.join(gone, (own == gone["__doc_id"]) & (key == gone["__text_key"]), "left_anti")
+    again = grouped.groupBy("doc_id", "text_key").count().filter("count > 1").select(F.col("doc_id").alias("__doc_id"), F.col("text_key").alias("__text_key"))
+    if not again.isEmpty():
+        # Repeated rows of one id and text: one stays.
+        again = materialize(again, "repeated-rows")
+        same = (own == again["__doc_id"]) & (key == again["__text_key"])
+        one = kept.join(again, same, "left_semi").withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).drop("__key")
+        kept = kept.join(again, same, "left_anti").unionByName(one)
     return kept
