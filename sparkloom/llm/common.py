@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,9 +20,11 @@ WHITE_RUN = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on this machine alone may leave it unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
@@ -64,13 +67,14 @@ def crc_fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def prefix_sum(df: DataFrame, keys: list[str], value: Column, order: list[Column], name: str, first: list[str] = (), salts: int = 64) -> DataFrame:
+def prefix_sum(df: DataFrame, keys: list[str], value: Column, order: list[Column], name: str, first: list[str] = (), salts: int | None = None) -> DataFrame:
     """Add the sum of value over the earlier rows of the same keys without bringing a key's rows into one task.
 
-    Rows are dealt over `salts` sub-groups by a hash of the ordering columns; each is summed on its own and shifted by
-    the totals of those before it (keys x first x salts rows, pre-aggregated). The order is by `first`, then sub-group,
-    then `order`: arbitrary but fixed. df is read twice, so it should be materialised.
+    Rows are dealt over `salts` sub-groups (one for each million rows, and 64 at least) by a hash of the ordering columns; each
+    is summed on its own and shifted by the totals of those before it (keys x first x salts rows, pre-aggregated). The order is
+    by `first`, then sub-group, then `order`: arbitrary but fixed. df is read several times, so it should be materialised.
     """
+    salts = salts or max(64, df.count() // 1_000_000)
     df = df.withColumn("__value", value).withColumn("__salt", F.pmod(F.xxhash64(*order, F.lit("prefix")), F.lit(salts)))
     part = [*keys, *first, "__salt"]
     inner = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -92,7 +96,7 @@ def prefix_sum(df: DataFrame, keys: list[str], value: Column, order: list[Column
     )
 
 
-def global_rank(df: DataFrame, keys: list[str], order: list[Column], rank: str, salts: int = 64) -> DataFrame:
+def global_rank(df: DataFrame, keys: list[str], order: list[Column], rank: str, salts: int | None = None) -> DataFrame:
     """Add a gapless rank from 0 within keys, see prefix_sum()."""
     return prefix_sum(df, keys, F.lit(1).cast("long"), order, rank, salts=salts)
 
