@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import global_rank, materialize, prefix_sum, whole_text
+from .common import drop_materialized, global_rank, materialize, prefix_sum, whole_text
 
 
 def per_shard(values: dict[int, int], n_shards: int, shard: Column) -> Column:
@@ -34,29 +34,56 @@ def loads(flows: DataFrame) -> dict[int, int]:
     return {r["shard"]: r["n"] for r in flows.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
 
 
-def propagate(linked: DataFrame, n_shards: int, capacity: int, rounds: int) -> DataFrame:
-    """Move members of the groups in linked(grp, shard, n) together, under `capacity` linked documents a shard."""
-    for _ in range(rounds):
+def cut(linked: DataFrame) -> int:
+    """Members of groups that are not in the shard that holds most of their group."""
+    return linked.groupBy("grp").agg((F.sum("n") - F.max("n")).alias("off")).agg(F.sum("off")).first()[0] or 0
+
+
+def propagate(linked: DataFrame, n_shards: int, capacity: int, rounds: int, patience: int = 3) -> DataFrame:
+    """Move members of the groups in linked(grp, shard, n) together, under `capacity` linked documents a shard.
+
+    Rounds go on until nothing is cut, nothing can move, or the cut has not fallen for `patience` rounds.
+    """
+    least, idle = cut(linked), 0
+    for turn in range(rounds):
+        if not least or idle >= patience:
+            break
         load = loads(linked)
         room = {s: max(0, capacity - load.get(s, 0)) for s in range(n_shards)}
         free = per_shard(room, n_shards, F.col("shard"))
         choice = linked.groupBy("grp").agg(
-            F.max_by("shard", F.struct(free > 0, F.col("n"), F.xxhash64("grp", "shard"))).alias("to"))
+            F.max_by("shard", F.struct(free > 0, F.col("n"), F.xxhash64("grp", "shard", F.lit(turn)))).alias("to"))
         wish = linked.join(choice, "grp").filter(F.col("shard") != F.col("to"))
         wish = materialize(wish, "shard-wishes")
         queued = prefix_sum(wish, ["to"], F.col("n"), [F.col("grp"), F.col("shard")], "ahead")
         left = per_shard(room, n_shards, F.col("to")) - F.col("ahead")
         moves = queued.select("grp", "shard", "to", F.greatest(F.lit(0).cast("long"), F.least("n", left)).alias("m")).filter("m > 0")
         moves = materialize(moves, "shard-moves")
-        if moves.isEmpty():
+        stuck = moves.isEmpty()
+        if not stuck:
+            before, linked = linked, materialize(
+                linked.unionByName(moves.select("grp", "shard", (-F.col("m")).alias("n")))
+                .unionByName(moves.select("grp", F.col("to").alias("shard"), F.col("m").alias("n")))
+                .groupBy("grp", "shard").agg(F.sum("n").alias("n")).filter("n > 0"), "shard-linked")
+            if turn:
+                drop_materialized(before)
+        drop_materialized(wish)
+        drop_materialized(moves)
+        if stuck:
             break
-        linked = materialize(
-            linked.unionByName(moves.select("grp", "shard", (-F.col("m")).alias("n")))
-            .unionByName(moves.select("grp", F.col("to").alias("shard"), F.col("m").alias("n")))
-            .groupBy("grp", "shard").agg(F.sum("n").alias("n")).filter("n > 0"), "shard-linked")
+        now = cut(linked)
+        least, idle = (now, 0) if now < least else (least, idle + 1)
     return linked
 
 
+def cut_links(placed: DataFrame) -> DataFrame:
+    """One row for placed(text_crc32, size, shard): groups of equal texts, groups that lie in several shards, and members cut off."""
+    per = placed.groupBy("text_crc32", "size", "shard").agg(F.count(F.lit(1)).alias("n")).groupBy("text_crc32", "size").agg(
+        F.sum("n").alias("n"), F.max("n").alias("most"), F.count(F.lit(1)).alias("shards")).filter("n > 1")
+    return per.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum(F.when(F.col("shards") > 1, 1).otherwise(0)), F.lit(0)).alias("split_groups"),
+                   F.coalesce(F.sum(F.col("n") - F.col("most")), F.lit(0)).alias("cut"))
+
+
 def even_out(flows: DataFrame, n_shards: int) -> DataFrame:
     """Move the surplus of each shard, documents without links first, to those that lack rows; sizes then differ by one at most."""
     load = loads(flows)
@@ -86,7 +113,7 @@ def even_out(flows: DataFrame, n_shards: int) -> DataFrame:
     return stay.unionByName(gone).groupBy("grp", "shard", "linked").agg(F.sum("n").alias("n"))
 
 
-def assign(docs: DataFrame, n_shards: int = 24, text: str = "text", doc_id: str = "doc_id", rounds: int = 4) -> DataFrame:
+def assign(docs: DataFrame, n_shards: int = 24, text: str = "text", doc_id: str = "doc_id", rounds: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs."""
     body = whole_text(docs, text)
     rows = materialize(docs.select(
