@@ -168,6 +168,17 @@ def encoded(name, end):
     return lambda text: np.array([*t.encode(text or "", add_special_tokens=False).ids, end], np.uint32)
 
 
+def test_propagation_cuts_few_groups(spark):
+    """Groups of 2 to 8 and single texts: all but a few groups lie in one shard, and shards stay even."""
+    rng = np.random.default_rng(1)
+    texts = [t for g in range(300) for t in [f"group {g}"] * int(rng.integers(2, 9))] + [f"single {i}" for i in range(300)]
+    placed = sharding.assign(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).cache()
+    sizes = collections.Counter(r["shard"] for r in placed.collect())
+    assert len(sizes) == 24 and max(sizes.values()) - min(sizes.values()) <= 1
+    found = sharding.cut_links(placed).first()
+    assert found["groups"] == 300 and found["split_groups"] <= 30 and found["cut"] <= 60
+
+
 def test_packing_covers_every_id_once(docs, empty):
     encode, rows = encoded("word_bpe_49k.json", 2), packing.pack(docs).collect()
     pieces, sequences = collections.defaultdict(set), collections.defaultdict(list)
@@ -395,6 +406,41 @@ def test_neighbours_are_exact_on_small_tables(spark):
     assert neighbours.nearest(df.filter("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_neighbours_of_copies_and_extreme_vectors(spark):
+    """A third of the rows are one vector, one id occurs three times; huge and tiny vectors have a cosine."""
+    rng = np.random.default_rng(8)
+    hot = [float(x) for x in rng.standard_normal(8)]
+    rows = [(i, hot if i % 3 == 0 else [float(x) for x in rng.standard_normal(8)]) for i in range(600)]
+    rows += [(0, hot), (0, hot), (700, [1e200] * 8), (701, [1e-200] * 8), (702, [1e200] * 4 + [-1e200] * 4)]
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], round(r["score"], 9)))
+    assert got[0][:5] == [(3, 1.0), (6, 1.0), (9, 1.0), (12, 1.0), (15, 1.0)] and len(got[0]) == 15
+    assert got[150] == [(0, 1.0), (0, 1.0), (0, 1.0), (3, 1.0), (6, 1.0)]
+    assert got[700][0] == (701, 1.0) and all(math.isfinite(s) for x in got.values() for _, s in x)
+
+
+def test_neighbours_recall_and_candidates(spark):
+    """Recall on the real table, and on 20,000 almost isotropic vectors with less than 5 % of them scored."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rng = np.random.default_rng(12)
+    wide = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((20_000, 32)))], "vec_id long, embedding array<double>")
+    for table, step in ((df, 50), (wide, 500)):
+        rows = [(r["vec_id"], np.array(r["embedding"], float)) for r in table.collect() if r["embedding"] is not None]
+        rows = [(i, v) for i, v in rows if i is not None and np.isfinite(v).all() and v.any()]
+        ids, units = np.array([i for i, _ in rows]), neighbours.unit_rows(np.stack([v for _, v in rows]))
+        got = collections.defaultdict(set)
+        for r in neighbours.nearest(table, F.col("vec_id") % step == 0).collect():
+            got[r["query_id"]].add(r["vec_id"])
+        hits = total = 0
+        for q in np.flatnonzero(ids % step == 0).tolist():
+            score = units @ units[q]
+            score[ids == ids[q]] = -2
+            near = set(ids[np.lexsort((ids, -score))[:5]].tolist())
+            hits, total = hits + len(near & got[int(ids[q])]), total + len(near)
+        assert hits >= 0.9 * total
+
+
 def test_licences_and_inheritance(spark, docs, empty):
     path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = {r["doc_id"]: r for r in licences.scan(docs, path).collect()}
@@ -433,6 +479,43 @@ def test_mixing_meets_targets(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_sample_margins_are_raked_with_the_bound(spark):
+    """A small source and a rare language ask for more than they have: they give all, and every other margin is met."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{rng.integers(99)}" for _ in range(rng.integers(55, 200))), str(rng.choice(["en", "de", "is"], p=[0.7, 0.29, 0.01])),
+             str(rng.choice(["big", "mid", "tiny"], p=[0.8, 0.19, 0.01])), 0) for i in range(1500)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = mixing.margins(df, keep=0.4).collect()
+    assert any(r["wanted"] > r["feasible"] + 1e-4 for r in found)
+    assert all(abs(r["reached"] - r["feasible"]) < 1e-3 for r in found)
+    out = mixing.mix(df, keep=0.4).collect()
+    total = sum(r["n_tokens"] * r["probability"] for r in out)
+    for m in ("source", "lang"):
+        for r in (x for x in found if x["margin"] == m):
+            mine = [x for x in out if x[m] == r["category"]]
+            assert sum(x["n_tokens"] * x["probability"] for x in mine) / total == pytest.approx(r["reached"], abs=1e-6)
+            assert sum(x["n_tokens"] for x in mine if x["selected"]) / sum(x["n_tokens"] for x in out if x["selected"]) == pytest.approx(r["reached"], abs=0.04)
+    told = {m: spark.createDataFrame(v, f"_{m} string, share double") for m, v in (("source", [("big", 0.5), ("mid", 0.5)]), ("lang", [("en", 1.0)]), ("topic", [("prose", 1.0)]))}
+    shares = {(r["margin"], r["category"]): r["wanted"] for r in mixing.margins(df, 0.3, targets=told).collect()}
+    tokens = collections.Counter()
+    for r in out:
+        tokens[r["source"]] += r["n_tokens"]
+    assert shares["source", "tiny"] == pytest.approx(tokens["tiny"] / tokens.total()) and shares["source", "big"] == pytest.approx(shares["source", "mid"])
+
+
+def test_raking_on_spark_agrees_with_the_driver(spark):
+    tokens, codes = np.array([500.0, 300, 20, 80, 40, 400]), [np.array([0, 0, 1, 1, 2, 2]), np.array([0, 1, 0, 1, 0, 1])]
+    goals = [mixing.feasible(np.array([0.3, 0.3, 0.4]), np.bincount(codes[0], tokens), 500.0), mixing.feasible(np.array([0.5, 0.5]), np.bincount(codes[1], tokens), 500.0)]
+    assert goals[0][1] == 100 and sum(goals[0]) == pytest.approx(500)
+    own = np.minimum(1, mixing.rake(tokens, codes, goals, np.full(6, 0.5)))
+    cells = spark.createDataFrame([(f"r{i}", f"c{j}", float(t)) for i, j, t in zip(*codes, tokens)], "source string, lang string, tokens double")
+    targets = {m: spark.createDataFrame([(f"{k}{i}", float(x)) for i, x in enumerate(g)], f"_{m} string, share double")
+               for m, k, g in (("source", "r", goals[0]), ("lang", "c", goals[1]))}
+    for r in mixing.raked(cells, targets).collect():
+        i = [f"r{a}c{b}" for a, b in zip(*codes)].index(r["source"] + r["lang"])
+        assert min(1.0, r["factor"]) == pytest.approx(own[i], abs=1e-3)
+
+
 def test_raking_matches_iterative_fitting(spark):
     seed = np.array([[40.0, 30, 20], [35, 50, 100], [10, 5, 60]])
     rows, cols = np.array([0.5, 0.3, 0.2]), np.array([0.2, 0.3, 0.5])
