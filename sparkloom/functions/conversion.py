@@ -34,9 +34,14 @@ def boolean_of(text):
 
 
 def number_text(x):
-    """Plain digits, without exponent and without a fraction of zero."""
-    plain = F.regexp_replace(F.regexp_replace(x.cast("decimal(38,12)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(F.isnan(x), "NaN").when(F.abs(x) >= 1e25, x.cast("string")).otherwise(plain)
+    """The shortest digits that give the number again, plain: without exponent and without a fraction of zero."""
+    text = F.regexp_replace(x.cast("string"), r"\.0$", "")
+    sign, digits = F.when(F.startswith(text, F.lit("-")), "-").otherwise(""), F.regexp_replace(F.regexp_replace(text, r"E.*$", ""), r"(?<=\d)\.0$|^-|\.", "")
+    power = F.regexp_extract(text, r"E(-?\d+)$", 1).cast("int")
+    large = F.call_function("rpad", digits, F.greatest(power + 1, F.char_length(digits)), F.lit("0"))
+    large = F.when(F.char_length(digits) > power + 1, F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.char_length(digits)))).otherwise(large)
+    small = F.concat(F.lit("0."), F.call_function("repeat", F.lit("0"), -power - 1), digits)
+    return F.when(~F.contains(text, F.lit("E")), text).otherwise(F.concat(sign, F.when(power < 0, small).otherwise(large)))
 
 
 def converted(scope: Scope, v: Value, target: str, lenient: bool) -> Value:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..expressions.build import Scope, Value, build, map_value
-from ..expressions.parse import ExpressionError
+from ..expressions.parse import ExpressionError, parse
 
 NAMES: dict[str, tuple[Callable, int, int | None, str]] = {}
 
@@ -61,18 +61,23 @@ def call(name: str, args: list, scope: Scope) -> Value:
     if len(args) < least or (most is not None and len(args) > most):
         raise ExpressionError(f"{name} takes {least} to {most if most is not None else 'any number of'} arguments, not {len(args)}")
     if kind == "nodes":
-        return fn(scope, *args)
-    built = [build(a, scope) for a in args]
-    if kind == "values":
-        return fn(scope, *built)
-    out = map_value(fn, *built)
+        out, built = fn(scope, *args), [build(a, scope) for a in args if not is_lambda(a)] if scope.strict else []
+    else:
+        built = [build(a, scope) for a in args]
+        out = fn(scope, *built) if kind == "values" else map_value(fn, *built)
     if scope.strict and built and name not in NULL_AWARE:
         out = map_value(lambda value, *cols: guarded(name, value, cols), out, *built)
     return out
 
 
 #: Functions that have a result for null arguments; with strict nulls the others raise.
-NULL_AWARE = frozenset("coalesce if_null null_if is_null is_missing is_invalid eq not_eq null_safe_eq concat_ws list tuple case_when".split())
+NULL_AWARE = frozenset("coalesce if_null null_if is_null is_missing is_invalid eq not_eq null_safe_eq concat_ws list collect_list collect_set tuple object map case_when and or first last "
+                       "variance stddev median quantile covariance correlation try_cast random random_normal".split())
+
+
+def is_lambda(node) -> bool:
+    node = parse(node) if isinstance(node, str) else node
+    return isinstance(node, dict) and "lambda" in node
 
 
 def guarded(name: str, value: Column, args: tuple[Column, ...]) -> Column:

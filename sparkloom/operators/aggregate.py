@@ -24,6 +24,9 @@ def lists(col: Column) -> Column:
     return F.transform(F.collect_list(F.struct(col.alias("v"))), lambda x: x["v"])
 
 
+NAMES = {"avg": "average", "var_samp": "variance", "stddev_samp": "stddev", "count(*)": "count_all"}
+
+
 def aggregate_of(op: str, col: Column | None, kind: T.DataType | None, distinct: bool, order: Column) -> Column:
     op = op.rpartition(":")[2]
     if op == "count_all" or (op == "count" and col is None):
@@ -34,16 +37,15 @@ def aggregate_of(op: str, col: Column | None, kind: T.DataType | None, distinct:
     plain = {
         "count": lambda: F.count_distinct(col) if distinct else F.count(col),
         "count_distinct": lambda: F.count_distinct(col) + F.coalesce(F.max(col.isNull().cast("int")), F.lit(0)),
-        "sum": lambda: F.coalesce(F.sum_distinct(n) if distinct else F.sum(n), F.lit(0.0)),
+        "sum": lambda: F.coalesce(F.sum(n), F.lit(0.0)),
         "min": lambda: F.min(natural(col, kind)), "max": lambda: F.max(natural(col, kind)),
-        "average": lambda: F.call_function("avg", n) if not distinct else F.sum_distinct(n) / F.count_distinct(n),
+        "average": lambda: F.avg(n),
         "variance": lambda: F.var_samp(n), "var_pop": lambda: F.var_pop(n), "stddev": lambda: F.stddev_samp(n), "stddev_pop": lambda: F.stddev_pop(n),
         "first": lambda: F.min_by(F.struct(col.alias("v")), order)["v"], "last": lambda: F.max_by(F.struct(col.alias("v")), order)["v"],
         "collect_list": lambda: F.array_distinct(lists(col)) if distinct else lists(col),
         "collect_set": lambda: F.array_sort(F.array_distinct(lists(col))),
     }
-    names = {"avg": "average", "var_samp": "variance", "stddev_samp": "stddev", "count(*)": "count_all"}
-    op = names.get(op, op)
+    op = NAMES.get(op, op)
     if op not in plain:
         raise ActionError(f"unknown aggregate {op!r}")
     return plain[op]()
@@ -54,6 +56,19 @@ def percentile(field: str, q: float) -> Column:
     return F.expr(f"percentile_disc({float(q)}) WITHIN GROUP (ORDER BY `{field}`)")
 
 
+#: Reductions whose result distinct values change, by their names in SQL.
+DISTINCT = {"sum": "sum", "average": "avg", "variance": "var_samp", "var_pop": "var_pop", "stddev": "stddev_samp", "stddev_pop": "stddev_pop"}
+
+
+def over_distinct(op: str, field: str) -> Column:
+    """A reduction of the distinct values of a number column."""
+    if op == "median":
+        values = F.array_sort(F.collect_set(field))
+        return F.when(F.size(values) > 0, F.get(values, (F.ceil(F.size(values) * 0.5) - 1).cast("int")))
+    found = F.expr(f"{DISTINCT[op]}(DISTINCT `{field}`)")
+    return F.coalesce(found, F.lit(0.0)) if op == "sum" else found
+
+
 @action("aggregate", "group")
 def aggregate(frames, target, p, ctx: Context):
     """groupBy fields or expressions; `filter` applies to rows before grouping. Without keys, no rows give no row."""
@@ -72,9 +87,12 @@ def aggregate(frames, target, p, ctx: Context):
     for a in asked:
         col = df[a["field"]] if a.get("field") else ctx.column(a["expr"], df) if a.get("expr") is not None else None
         kind = None if col is None else df.select(col.alias("x")).schema[0].dataType
-        if (a.get("op") or a.get("function") or "").rpartition(":")[2] == "median":
-            df = df.withColumn(f"__median_{len(outs)}", as_number(col, kind))
-            outs.append(percentile(f"__median_{len(outs)}", 0.5).alias(a["as"]))
+        op = (a.get("op") or a.get("function") or "").rpartition(":")[2]
+        op, distinct = NAMES.get(op, op), bool(a.get("distinct"))
+        if col is not None and (op == "median" or (distinct and op in DISTINCT)):
+            held = f"__value_{len(outs)}"
+            df = df.withColumn(held, as_number(col, kind))
+            outs.append((over_distinct(op, held) if distinct else percentile(held, 0.5)).alias(a["as"]))
             continue
         outs.append(aggregate_of(a.get("op") or a.get("function") or "count", col, kind, bool(a.get("distinct")), order).alias(a["as"]))
     if keys:

@@ -1,74 +1,62 @@
-"""Seeded samples and splits: rows are ranked by a generator over seed, place and content."""
+"""Seeded samples and splits: rows are ranked by a digest of seed and row."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.core import MULTIPLIER, WORD, step
-from .registry import Context, action
+from .registry import ActionError, Context, action
 
-#: Multipliers of seed, place and content words (fixed values).
-BY_SEED, BY_PLACE, BY_WORD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x100000001B3
-#: Seeds where none is given (fixed values).
-SAMPLE_SEED, SPLIT_SEED = 0xD7C53A21, 0xA11CE5ED
+#: Seed where none is given.
+SEED = 20_26
+#: Hexadecimal digits by which the place of a cut is narrowed down at a time, and the most rows in which it is then sought.
+DIGITS, MOST_ROWS = 3, 4096
 
 
-def row_rank(seed: int, place: int, content: str) -> int:
-    """A 64-bit rank of one row."""
-    state, raw = (seed * BY_SEED + place * BY_PLACE) & WORD, content.encode()
-    for at in range(0, len(raw), 8):
-        state ^= int.from_bytes(raw[at:at + 8], "little") * BY_WORD & WORD
-        state = step(state) * MULTIPLIER & WORD
-    return step(state) * MULTIPLIER & WORD
+def rank_of(df: DataFrame, seed: int, ctx: Context) -> Column:
+    """32 hexadecimal digits: a digest of the seed and the row id, or of the seed and the whole row where a frame has no row id."""
+    names = sorted(df.columns)
+    row = F.col(ctx.row_id).cast("string") if ctx.row_id in names else F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), row).cast("binary"))
 
 
-def ranks(seed: int) -> Column:
-    @F.pandas_udf("decimal(20,0)")
-    def ranked(place: pd.Series, content: pd.Series) -> pd.Series:
-        from decimal import Decimal
-
-        return pd.Series([Decimal(row_rank(seed, int(i), c)) for i, c in zip(place, content)])
-
-    return ranked
-
-
-def with_place(df: DataFrame, ctx: Context) -> DataFrame:
-    """Number rows from 0 in order: by partition, with the partitions' sizes (one row each) before them."""
-    if ctx.row_id in df.columns:
-        return df.withColumn("__place", F.col(ctx.row_id).cast("bigint"))
-    df = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = df.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    return df.join(F.broadcast(starts), "__part").withColumn("__place", F.col("__start") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id", "__part", "__start")
-
-
-def with_rank(df: DataFrame, seed: int, ctx: Context) -> DataFrame:
-    names = sorted(c for c in df.columns if c != ctx.row_id)
-    content = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
-    return with_place(df, ctx).withColumn("__rank", ranks(seed)("__place", content))
+def least(ranked: DataFrame, n: int) -> DataFrame:
+    """The n rows of least __rank. The cut is narrowed down by counts of rank prefixes, so no task takes up the rows before it."""
+    prefix, below, inside = "", 0, None
+    while inside is None or (inside > MOST_ROWS and len(prefix) < 30):
+        counts = ranked.filter(F.startswith("__rank", F.lit(prefix))).groupBy(F.substring("__rank", 1, len(prefix) + DIGITS).alias("p")).count().orderBy("p").collect()
+        for r in counts:
+            if below + r["count"] > n:
+                prefix, inside = r["p"], r["count"]
+                break
+            below += r["count"]
+        else:
+            return ranked  # as many rows as there are
+    rest = ranked.filter(F.startswith("__rank", F.lit(prefix))).orderBy("__rank").limit(n - below)
+    return ranked.filter(F.col("__rank") < prefix).unionByName(rest)
 
 
 @action("sample")
 def sample(frames, target, p, ctx: Context):
     """The rows of least rank, in rank order: `count` of them, or the whole part of `fraction` of all."""
-    df, columns = frames[target], frames[target].columns
-    ranked = with_rank(df, int(p.get("seed", SAMPLE_SEED)), ctx)
+    df = frames[target]
+    ranked = df.withColumn("__rank", rank_of(df, int(p.get("seed", SEED)), ctx))
     n = int(p["count"]) if "count" in p else int(df.count() * float(p["fraction"]))
-    return {target: ranked.orderBy("__rank", "__place").limit(n).select(*columns)}
+    if n < 0:
+        raise ActionError("sample: a negative number of rows")
+    return {target: least(ranked, n).orderBy("__rank").select(*df.columns)}
 
 
 @action("random_split")
 def random_split(frames, target, p, ctx: Context):
     """Each row goes to the output in whose share of the weights its rank falls."""
-    df, columns = frames[target], frames[target].columns
-    ranked = with_rank(df, int(p.get("seed", SPLIT_SEED)), ctx).withColumn("__share", F.col("__rank").cast("double") / float(WORD))
+    df = frames[target]
+    share = F.conv(F.substring("__rank", 1, 13), 16, 10).cast("double") / float(1 << 52)
+    ranked = df.withColumn("__rank", rank_of(df, int(p.get("seed", SEED)), ctx)).withColumn("__share", share)
     weights, low, out = [float(w) for w in p["weights"]], 0.0, {}
     for k, (name, w) in enumerate(zip(p["outputs"], weights)):
         high = low + w / sum(weights)
         here = F.col("__share") >= low
-        out[name] = ranked.filter(here if k == len(weights) - 1 else here & (F.col("__share") < high)).select(*columns)
+        out[name] = ranked.filter(here if k == len(weights) - 1 else here & (F.col("__share") < high)).select(*df.columns)
         low = high
     return out

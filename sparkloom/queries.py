@@ -93,11 +93,14 @@ case("join_theta", "nation region", [act("join", "nation", right="region", type=
 case("join_residual", "customer orders", [act("project", "customer", fields=["c_custkey", "c_acctbal"]), act("project", "orders", fields=["o_orderkey", "o_custkey", "o_totalprice"]),
                                           act("join", "customer", right="orders", leftKey="c_custkey", rightKey="o_custkey", on="o_totalprice > c_acctbal * 20")],
      "SELECT c_custkey, c_acctbal, o_orderkey, o_custkey, o_totalprice FROM customer JOIN orders ON c_custkey = o_custkey AND o_totalprice > c_acctbal * 20")
+# Customers are counted by their nullable key first, so that the join's size does not grow with both sides.
 case("join_null_safe", "customer supplier", [
-    act("project", "customer", fields=["c_custkey", {"expr": "null_if(c_nationkey, cast(3, \"integer\"))", "as": "k"}]), act("filter", "customer", predicate="c_custkey < 300"),
-    act("project", "supplier", fields=["s_suppkey", {"expr": "case_when(s_nationkey == 4, cast(to_string(\"9\"), \"integer\"), to_integer(s_nationkey))", "as": "k2"}]),
+    act("project", "customer", fields=["c_custkey", {"expr": "null_if(c_nationkey, cast(3, \"integer\"))", "as": "k"}]),
+    act("aggregate", "customer", groupBy=["k"], aggregates=[agg("count_all", "customers"), agg("min", "first", "c_custkey")]),
+    act("project", "supplier", fields=["s_suppkey", {"expr": "case_when(s_nationkey == 4, cast(to_string(\"9\"), \"integer\"), s_nationkey == 5, null_if(cast(1, \"integer\"), cast(1, \"integer\")), to_integer(s_nationkey))", "as": "k2"}]),
     act("join", "customer", right="supplier", leftKey="k", rightKey="k2", nullSafe=True)],
-     "SELECT c_custkey, c_nationkey AS k, s_suppkey, k2 FROM customer JOIN (SELECT s_suppkey, CASE WHEN s_nationkey = 4 THEN 9 ELSE s_nationkey END::BIGINT AS k2 FROM supplier) ON c_nationkey IS NOT DISTINCT FROM k2 WHERE c_custkey < 300")
+     """SELECT k, customers, first, s_suppkey, k2 FROM (SELECT c_nationkey AS k, count(*) AS customers, min(c_custkey)::DOUBLE AS first FROM customer GROUP BY ALL)
+ JOIN (SELECT s_suppkey, CASE WHEN s_nationkey = 4 THEN 9 WHEN s_nationkey = 5 THEN NULL ELSE s_nationkey END::BIGINT AS k2 FROM supplier) ON k IS NOT DISTINCT FROM k2""")
 for _p, _sel in (("suffix", "a.n_nationkey AS n_nationkey_left, a.n_name AS n_name_left, b.n_nationkey AS n_nationkey_right, b.n_name AS n_name_right"),
                  ("preferRight", "b.n_nationkey, b.n_name")):
     case(f"join_{_p.lower()}", "nation", [act("project", "nation", fields=["n_nationkey", "n_name"]), act("join", "nation", right="nation", leftKey="n_nationkey", collisionPolicy=_p)],
@@ -229,6 +232,78 @@ _LAMBDAS = {
 expressions("fn_lambdas", "embeddings", ["vec_id"], _LAMBDAS)
 
 
+expressions("fn_strings_more", "part", ["p_partkey"], {
+    "cf": ("casefold(p_name)", "lower(p_name)"), "lu": ("lower_unicode(p_type)", "lower(p_type)"), "up": ("upper(p_name)", "upper(p_name)"), "uu": ("upper_unicode(p_name)", "upper(p_name)"),
+    "con": ('contains(p_name, "an")', "contains(p_name, 'an')"), "sta": ('starts_with(p_type, "STANDARD")', "starts_with(p_type, 'STANDARD')"), "end_": ('ends_with(p_type, "TIN")', "ends_with(p_type, 'TIN')"),
+    "tri": ('trim(concat("  ", p_brand, "  "))', "p_brand"), "ltr": ('ltrim(concat("  ", p_brand, " "))', "p_brand || ' '"), "rtr": ('rtrim(concat("  ", p_brand, " "))', "'  ' || p_brand"),
+    "trc": ('trim(p_brand, "B")', "trim(p_brand, 'B')"), "nws": ('normalize_whitespace(concat(" ", p_type, "   x "))', "p_type || ' x'"),
+    "padr": ('pad_right(p_brand, 12, "*")', "CASE WHEN length(p_brand) >= 12 THEN p_brand ELSE rpad(p_brand, 12, '*') END"), "twice": ("repeat(p_brand, 2)", "repeat(p_brand, 2)")})
+expressions("fn_regex_more", "part", ["p_partkey"], {
+    "sp": ('join_strings(regex_split(p_type, " +"), "_")', "regexp_replace(p_type, ' +', '_', 'g')"), "all_": ('join_strings(regex_extract_all(p_type, "[A-Z]+"), "|")', "array_to_string(regexp_extract_all(p_type, '[A-Z]+'), '|')")})
+expressions("fn_logic", "orders", ["o_orderkey"], {
+    "co": ('coalesce(null_if(o_orderstatus, "F"), o_orderpriority)', "coalesce(nullif(o_orderstatus, 'F'), o_orderpriority)"), "ge": ("gte(o_totalprice, 100000.0)", "o_totalprice >= 100000"),
+    "no": ('not(o_orderstatus == "F")', "o_orderstatus <> 'F'"), "ns": ('null_safe_eq(null_if(o_orderstatus, "F"), null_if("F", "F"))', "o_orderstatus = 'F'"), "ha": ('has(list("F", "O"), o_orderstatus)', "o_orderstatus IN ('F', 'O')"),
+    "mx": ("max(o_custkey, 100)", "greatest(o_custkey, 100)::DOUBLE"), "le": ("least(o_custkey, 100)", "least(o_custkey, 100)::DOUBLE"), "iv": ("is_invalid(o_custkey)", "false"),
+    "mi": ("is_missing(no_such_field)", "true"), "mh": ("is_missing(o_custkey)", "false")})
+expressions("fn_conversion_more", "orders", ["o_orderkey"], {
+    "pd": ('parse_date("1995-03-04")', "DATE '1995-03-04'"), "pt": ('parse_time("10:11:12")', "'10:11:12'"), "pn": ('parse_decimal("12.5")', "12.5::DOUBLE"), "fd": ('format_date(o_orderdate, "%Y/%m/%d")', "strftime(o_orderdate, '%Y/%m/%d')"),
+    "dp": ('date_part("month", o_orderdate)', "month(o_orderdate)::BIGINT"), "ts": ("to_string(o_totalprice)", "regexp_replace(o_totalprice::VARCHAR, '\\.0$', '')"), "tiny": ("to_string(o_custkey / 1000000000000.0)", "regexp_replace(rtrim(printf('%.12f', o_custkey / 1000000000000.0), '0'), '\\.$', '')")})
+expressions("fn_zones", "orders", ["o_orderkey"], {
+    "tz": ('to_timezone(o_orderdate, "Asia/Kolkata")', "strftime(o_orderdate::TIMESTAMP + INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%S') || '+05:30'"), "fu": ('from_utc(o_orderdate, "Asia/Tokyo")', "strftime(o_orderdate::TIMESTAMP + INTERVAL 9 HOUR, '%Y-%m-%dT%H:%M:%S') || '+09:00'"),
+    "at": ('at_timezone(o_orderdate, "UTC")', "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00'"),
+    "ut": ('format_datetime(to_utc(format_datetime(o_orderdate, "%Y-%m-%dT%H:%M:%S"), "Asia/Tokyo"), "%Y-%m-%dT%H:%M:%S")', "strftime(o_orderdate::TIMESTAMP - INTERVAL 9 HOUR, '%Y-%m-%dT%H:%M:%S')")})
+_XY = "(l_tax + l_discount * 2 + 0.5 * 4 - (l_tax + l_discount + 0.5) * 7.0 / 3)"
+expressions("fn_statistics_more", "lineitem", _KEY, {
+    "sd": ("round(stddev(l_tax, l_discount, 0.5), 6)", "round(sqrt(list_var_samp([l_tax, l_discount, 0.5])) * 1e6) / 1e6"), "cv": ("round(covariance(list(l_tax, l_discount, 0.5), list(1.0, 2.0, 4.0)), 6)", f"round({_XY} / 2 * 1e6) / 1e6"),
+    "cr": ("round(correlation(list(l_tax, l_discount, 0.5), list(1.0, 2.0, 4.0)), 6)", f"round({_XY} / sqrt(list_var_pop([l_tax, l_discount, 0.5]) * 3 * 14.0 / 3) * 1e6) / 1e6"),
+    "la": ("last(l_tax, l_discount)", "l_discount"), "cs": ('join_strings(collect_set(l_returnflag, l_linestatus), "|")', "array_to_string(list_sort(list_distinct([l_returnflag, l_linestatus])), '|')"),
+    "cl": ('join_strings(collect_list(l_returnflag, l_linestatus), "|")', "l_returnflag || '|' || l_linestatus")})
+expressions("fn_collections_more", "nation", ["n_nationkey"], {
+    "lc": ("element_at(list_concat(list(n_regionkey), list(n_nationkey)), 1)", "n_nationkey"), "mv": ('element_at(map_values(map("x", n_regionkey, "y", n_nationkey)), 0)', "n_regionkey"),
+    "me": ('field(element_at(map_entries(map("x", n_regionkey)), 0), "value")', "n_regionkey"), "mf": ('element_at(map_from_entries(map_entries(map("x", n_regionkey))), "x")', "n_regionkey"),
+    "on_": ('join_strings(object_names(object("u", 1, "v", 2)), ",")', "'u,v'"), "ov": ('join_strings(object_values(object("u", n_name, "v", "w")), ",")', "n_name || ',w'"), "tu": ('field(tuple(n_name, n_regionkey), "_1")', "n_name")})
+expressions("fn_run_context", "region", ["r_regionkey"], {
+    "cd": ("current_date()", "DATE '2026-01-01'"), "ct": ('format_datetime(current_timestamp(), "%Y-%m-%dT%H:%M:%S")', "'2026-01-01T00:00:00'"), "ra": ("random(7)", "0.11272690821447051::DOUBLE"), "rn": ("abs(random_normal(7, 0.0, 0.0))", "0.0::DOUBLE"),
+    "uu": ("length(uuid())", "36::BIGINT"), "ri": ("length(run_id())", "36::BIGINT"), "rt": ('ends_with(run_timestamp(), "Z")', "true")})
+
+case("agg_distinct_stats", "lineitem", [
+    act("aggregate", "lineitem", groupBy=["l_returnflag"], aggregates=[agg(op, op, "l_quantity", distinct=True) for op in ("variance", "stddev", "var_pop", "stddev_pop", "sum", "average", "median")]),
+    act("with_fields", "lineitem", assignments=[{"as": x, "expr": f"round({x}, 6)"} for x in ("variance", "stddev", "var_pop", "stddev_pop", "average")])],
+     "SELECT l_returnflag, " + ", ".join(f"round({f}(DISTINCT l_quantity) * 1e6) / 1e6 AS {n}" for n, f in (("variance", "var_samp"), ("stddev", "stddev_samp"), ("var_pop", "var_pop"), ("stddev_pop", "stddev_pop"), ("average", "avg")))
+     + ", sum(DISTINCT l_quantity) AS sum, quantile_disc(DISTINCT l_quantity, 0.5) AS median FROM lineitem GROUP BY ALL")
+_ROWS = act("with_fields", "orders", assignments=[{"as": "__row_id", "expr": "o_orderkey"}])
+case("agg_first_last", "orders", [_ROWS, act("aggregate", "orders", groupBy=["o_orderstatus"], aggregates=[agg("first", "f", "o_custkey"), agg("last", "l", "o_custkey")])],
+     "SELECT o_orderstatus, arg_min(o_custkey, o_orderkey) AS f, arg_max(o_custkey, o_orderkey) AS l FROM orders GROUP BY ALL")
+case("agg_collect_list", "orders", [act("aggregate", "orders", groupBy=["o_custkey"], aggregates=[agg("collect_list", "kinds", "o_orderpriority"), agg("collect_list", "once", "o_orderpriority", distinct=True)]),
+                                    act("project", "orders", fields=["o_custkey", {"expr": 'join_strings(list_sort(kinds), "|")', "as": "kinds"}, {"expr": 'join_strings(list_sort(once), "|")', "as": "once"}])],
+     "SELECT o_custkey, string_agg(o_orderpriority, '|' ORDER BY o_orderpriority) AS kinds, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS once FROM orders GROUP BY ALL")
+case("agg_spread", "orders", [act("aggregate", "orders", groupBy=["o_orderpriority"], aggregates=[agg("variance", "v", "o_custkey"), agg("stddev_pop", "s", "o_custkey")]),
+                              act("with_fields", "orders", assignments=[{"as": "v", "expr": "round(v, 3)"}, {"as": "s", "expr": "round(s, 3)"}])],
+     "SELECT o_orderpriority, round(var_samp(o_custkey) * 1000) / 1000 AS v, round(stddev_pop(o_custkey) * 1000) / 1000 AS s FROM orders GROUP BY ALL")
+case("window_framed_aggregates", "orders", [
+    act("with_fields", "orders", assignments=[{"as": "p", "expr": "case_when(o_custkey % 3 == 0, null_if(o_totalprice, o_totalprice), o_totalprice)"}]),
+    act("window", "orders", **_BY, frame={"type": "rows", "start": {"preceding": 2}, "end": "currentRow"}, functions=[
+        {"as": "v", "function": "variance", "field": "o_totalprice"}, {"as": "f", "function": "first", "field": "o_totalprice"}, {"as": "l", "function": "last", "field": "o_totalprice"},
+        {"as": "c", "function": "collect_list", "field": "o_orderpriority"}, {"as": "lo", "function": "min", "field": "o_totalprice"}, {"as": "a", "function": "average", "field": "o_totalprice"},
+        {"as": "i", "function": "last_value", "field": "p", "ignoreNulls": True}]),
+    act("project", "orders", fields=["o_orderkey", {"expr": "round(v, 2)", "as": "v"}, "f", "l", {"expr": 'join_strings(c, "|")', "as": "c"}, "lo", {"expr": "round(a, 4)", "as": "a"}, "i"])],
+     """SELECT o_orderkey, round(var_samp(o_totalprice) OVER w * 100) / 100 AS v, first_value(o_totalprice) OVER w AS f, last_value(o_totalprice) OVER w AS l, string_agg(o_orderpriority, '|') OVER w AS c,
+ min(o_totalprice) OVER w AS lo, round(avg(o_totalprice) OVER w * 10000) / 10000 AS a, last_value(CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_totalprice END IGNORE NULLS) OVER w AS i
+ FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
+case("explode_map", "nation", [act("with_fields", "nation", assignments=[{"as": "m", "expr": 'map("a", n_nationkey, "b", n_regionkey)'}]), act("explode", "nation", expr="m", **{"as": ["e"]}),
+                               act("project", "nation", fields=["n_nationkey", {"expr": 'field(e, "key")', "as": "k"}, {"expr": 'field(e, "value")', "as": "v"}])],
+     "SELECT n_nationkey, 'a' AS k, n_nationkey AS v FROM nation UNION ALL SELECT n_nationkey, 'b', n_regionkey FROM nation")
+case("explode_outer", "orders", [act("with_fields", "orders", assignments=[{"as": "xs", "expr": 'case_when(o_orderstatus == "F", list(o_custkey, o_orderkey), list_slice(list(o_custkey), 0, 0))'}]),
+                                 act("explode", "orders", expr="xs", outer=True, includePosition=True, **{"as": ["x", "i"]}), act("project", "orders", fields=["o_orderkey", "x", "i"])],
+     "SELECT o_orderkey, o_custkey AS x, 0::BIGINT AS i FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, o_orderkey, 1 FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, NULL, 0 FROM orders WHERE o_orderstatus <> 'F'")
+case("pivot_last", "orders", [_ROWS, act("pivot", "orders", keys=["o_custkey"], pivot="o_orderstatus", value="o_totalprice", categories=["F", "O", "P"], collisionPolicy="last")],
+     "SELECT o_custkey, " + ", ".join(f"arg_max(o_totalprice, o_orderkey) FILTER (o_orderstatus = '{x}') AS \"{x}\"" for x in "FOP") + " FROM orders GROUP BY ALL")
+case("union_positional", "nation region", [act("project", "nation", fields=["n_nationkey", "n_name"]), act("project", "region", fields=["r_regionkey", "r_name"]), act("union", "nation", other="region")],
+     "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
+case("partitioning_keeps_rows", "orders", [act("project", "orders", fields=KEEP), act("repartition", "orders", keys=["o_custkey"]), act("coalesce_partitions", "orders", count=2)],
+     "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+
+
 def one(name: str) -> Callable[[SparkSession, str], DataFrame]:
     tables, actions, result, _ = C[name]
 
@@ -260,4 +335,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from .plans import contract_queries
 
-    return {n: c[3] for n, c in C.items()} | contract_queries.oracle_sql()
+    ranked = "SELECT o_orderkey, o_custkey, md5('{seed}:' || o_orderkey) AS rank FROM orders"
+    share = "('0x' || substr(rank, 1, 13))::BIGINT / 4503599627370496.0"
+    samples = {
+        "sample_seeded": f"SELECT o_orderkey, o_custkey, o_orderkey AS __row_id FROM ({ranked.format(seed=42)}) ORDER BY rank LIMIT (SELECT count(*) // 10 FROM orders)",
+        "random_split": f"SELECT o_orderkey, o_custkey, CASE WHEN {share} < 0.75 THEN 'train' ELSE 'test' END AS part FROM ({ranked.format(seed=7)})",
+    }
+    return {n: c[3] for n, c in C.items()} | samples | contract_queries.oracle_sql()

@@ -1,5 +1,6 @@
 """Actions, expressions, rules and contracts on small tables, one for each stated behaviour."""
 
+import hashlib
 import json
 
 import pytest
@@ -28,7 +29,8 @@ def value(spark, text, row=None):
     ("1 + 2 * 3", 7), ("(1 + 2) * 3", 9), ("-7 / 2", -3), ("-7 % 3", -1), ("7.0 / 2", 3.5), ('"a" + "b"', "ab"), ("1 < 2 && !(2 < 1)", True), ("3 between 1 and 3", True), ('"an" in "banana"', True),
     ('"banana" contains "x"', False), ("2 in list(1, 2)", True), ("round(1.005, 2)", 1.0), ("round(-2.5)", -3.0), ('substr("hello", 1, 3)', "ell"), ('substr("hello", 9)', ""), ('position("hello", "z")', -1),
     ('pad_left("abc", 2)', "abc"), ('pad_left("a", 4, "xy")', "xyxa"), ('translate("abc", "ab", "x")', "xbc"), ('regex_extract("a1", "[0-9]")', "1"), ('regex_extract("a", "[0-9]")', None),
-    ('regex_matches("ab", "a")', False), ("to_string(1.0)", "1"), ('try_cast("x", "integer", "null")', None), ('parse_boolean("No")', False), ('cast("12", "integer")', 12), ("median(1, 2, 3, 4)", 2.0),
+    ('regex_matches("ab", "a")', False), ("to_string(1.0)", "1"), ("to_string(0.1234567890123456)", "0.1234567890123456"), ("to_string(1.0 / 1000000000000000.0)", "0.000000000000001"), ("to_string(12345678901.5)", "12345678901.5"),
+    ("to_string(-2.5 / 100000.0)", "-0.000025"), ("to_string(3.0 * 10000000.0)", "30000000"), ('try_cast("x", "integer", "null")', None), ('parse_boolean("No")', False), ('cast("12", "integer")', 12), ("median(1, 2, 3, 4)", 2.0),
     ("quantile(1, 2, 3, 4, 0.75)", 3.0), ("variance(1, 3)", 2.0), ("correlation(list(1, 2), list(2, 4))", 1.0), ("correlation(list(1, 1), list(2, 4))", None), ("min(2, 1)", 1.0), ('is_missing(nowhere)', True),
     ('coalesce(nowhere, "d")', "d"), ("null_if(1, 1) == null_if(2, 2)", True), ("null_if(1, 1) != 1", True), ("index(list(1, 2), -1)", 2), ("index(list(1, 2), 5)", None), ("list_position(list(1, 2), 9)", -1),
     ('format_date("2024-03-05", "%d.%m.%Y")', "05.03.2024"), ('date_diff("2024-02-01", "2024-01-31", "month")', 1), ('to_timezone("2024-01-01T12:00:00Z", "America/New_York")', "2024-01-01T07:00:00-05:00"),
@@ -129,7 +131,9 @@ def test_pivot_explode_unpivot(spark):
 def test_seeded_sample_order(spark):
     frames = t(spark, [(i,) for i in range(5)], "i int")
     frames["t"] = frames["t"].coalesce(1)
-    assert rows(apply("sample", "t", {"count": 2, "seed": 42}, frames)["t"]) == [(3,), (2,)]
+    by_rank = sorted(range(5), key=lambda i: hashlib.md5(f'42:{{"i":{i}}}'.encode()).hexdigest())
+    assert rows(apply("sample", "t", {"count": 2, "seed": 42}, frames)["t"]) == [(i,) for i in by_rank[:2]]
+    assert rows(apply("sample", "t", {"count": 9, "seed": 42}, frames)["t"]) == [(i,) for i in by_rank] and not rows(apply("sample", "t", {"fraction": 0.1}, frames)["t"])
     split = apply("random_split", "t", {"weights": [1, 1], "outputs": ["a", "b"], "seed": 1}, frames)
     assert sorted(rows(split["a"]) + rows(split["b"])) == [(i,) for i in range(5)]
 
@@ -152,6 +156,35 @@ def test_strict_nulls_raise(spark):
         apply("with_fields", "t", {"assignments": [{"as": "u", "expr": "upper(s)"}]}, frames, Context(strict=True))["t"].collect()
 
 
+def test_strict_nulls_raise_in_every_kind_of_function(spark):
+    frames = t(spark, [(None, 1.0)], "a double, b double")
+    for expr in ("a + b", "a / b", "length(to_string(a))", "a in list(b)"):
+        lenient = apply("with_fields", "t", {"assignments": [{"as": "u", "expr": expr}]}, frames)["t"].collect()
+        assert lenient[0]["u"] in (None, False)
+        with pytest.raises(Exception):
+            apply("with_fields", "t", {"assignments": [{"as": "u", "expr": expr}]}, frames, Context(strict=True))["t"].collect()
+
+
+def test_distinct_comes_before_every_reduction(spark):
+    frames = t(spark, [(1.0,), (1.0,), (3.0,)], "x double")
+    ops = {"variance": 2.0, "stddev": 2.0**0.5, "var_pop": 1.0, "stddev_pop": 1.0, "sum": 4.0, "average": 2.0, "median": 1.0, "count": 2}
+    out = apply("aggregate", "t", {"aggregates": [{"op": op, "field": "x", "as": op, "distinct": True} for op in ops]}, frames)["t"].first().asDict()
+    assert out == pytest.approx(ops)
+
+
+def test_formats_round_trip(spark, tmp_path):
+    from sparkloom.sources import read, schema_of, write
+
+    df = t(spark, [(1, "a", 1.5), (2, None, -2.0)], "k long, s string, x double")["t"]
+    schema = schema_of({"schema": {"fields": [{"name": "k", "type": "integer"}, {"name": "s", "type": "string"}, {"name": "x", "type": "decimal"}]}})
+    for kind in ("parquet", "orc", "json", "csv"):
+        spec = {"format": kind, "path": str(tmp_path / kind), "options": {"header": "true"} if kind == "csv" else {}}
+        write(df, spec)
+        assert sorted(rows(read(spark, spec, schema))) == sorted(rows(df))
+    write(df, {"format": "parquet", "path": str(tmp_path / "parts"), "partitionBy": ["k"]})
+    assert read(spark, {"path": str(tmp_path / "parts")}).filter("k = 1").count() == 1
+
+
 def test_contract_runs_and_refuses(spark):
     orders = spark.createDataFrame([(1, "O", 1.25), (2, "F", 2.0)], "o_orderkey long, o_orderstatus string, o_totalprice double")
     assert rows(run(ORDERS_CONTRACT, {"orders": orders})["clean"]) == [(1, "o", 125.0)]
