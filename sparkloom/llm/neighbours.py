@@ -95,7 +95,7 @@ def best_of_part(k: int):
                 row_of[at], units[vectors.shape[1]] = np.arange(len(at)), unit_rows(vectors)
             order = np.argsort(ids)
             who, candidates = one_array(asked["asking"]).to_numpy(), one_array(asked["candidates"])
-            for at, vectors in matrices(asked, "vector"):
+            for at, vectors in matrices(asked, "asked"):
                 own = unit_rows(vectors)
                 for i, u in zip(at.tolist(), own):
                     rows = order[np.searchsorted(ids[order], candidates[i].values.to_numpy())]
@@ -153,9 +153,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, share: float = 0.00
     pairs = candidates_of(keys, characters, max(20 * k, math.ceil(share * n)))
     part = F.pmod(F.xxhash64("class"), F.lit(max(1, -(-n // part_rows)))).alias("part")
     asked = pairs.select("asking", "class", part).groupBy("part", "asking").agg(F.collect_list("class").alias("candidates"))
-    asked = asked.join(classes.filter("asks").select(F.col("class").alias("asking"), "vector"), "asking").select("part", "asking", "candidates", "vector")
+    asked = asked.join(classes.filter("asks").select(F.col("class").alias("asking"), F.col("vector").alias("asked")), "asking").select(
+        F.col("part").alias("of_part"), "asking", "candidates", "asked")
     indexed = classes.select(part, "class", F.get("ids", F.lit(0)).alias("least"), "vector")
-    found = indexed.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(best_of_part(k), "asking long, class long, score double")
+    found = indexed.groupBy("part").cogroup(asked.groupBy("of_part")).applyInArrow(best_of_part(k), "asking long, class long, score double")
     found = materialize(found, "neighbours-found")
     drop_materialized(keys)
     # Each asking class's best classes, by their ids; then for each of its rows those without its own id.
