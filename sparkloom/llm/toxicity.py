@@ -88,31 +88,43 @@ def input_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([one_array(table["row"]), one_array(table["p"]), one_array(table["u"]), inputs], ["row", "p", "u", "inputs"])
 
 
-def fit(p: list[list[int]], u: list[list[int]], start: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, ridge: float = 0.0005):
-    """Weights (never negative) and bias of the non-negative PU risk with the logistic loss, by Adam on the whole sample.
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(row, input) of each presence, and the number of rows."""
+    return np.repeat(np.arange(len(lists)), [len(d) for d in lists]), np.array([i for d in lists for i in d], np.int64), len(lists)
 
-    Weights start from `start`, the inputs' own log-odds, and are shrunk towards it, so that inputs which mostly occur
-    together keep their weight for documents that hold only one of them.
-    """
-    n_inputs = len(start)
-    rows = [np.repeat(np.arange(len(x)), [len(d) for d in x]) for x in (p, u)]
-    cols = [np.array([i for d in x for i in d], np.int64) for x in (p, u)]
-    theta = np.append(start, np.log(prior / (1 - prior)))
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
-    def back(k: int, slope: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(cols[k], (slope * slopes[k])[rows[k]], n_inputs), slope.sum())
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def risks(theta: np.ndarray, p: tuple, u: tuple, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """prior * R_p(+) and R_u(-) - prior * R_p(-) for weights and bias, with the logistic loss, and their gradients."""
+    def side(rows: np.ndarray, cols: np.ndarray, n: int):
+        sums = np.bincount(rows, theta[cols], n)
+        slope = 1 - np.tanh(sums / MOST_EVIDENCE) ** 2
+        return theta[-1] + evidence(sums), lambda g: np.append(np.bincount(cols, (g * slope)[rows], len(theta) - 1), g.sum()) / n
+
+    (z_p, back_p), (z_u, back_u) = side(*p), side(*u)
+    s_p, s_u = sigmoid(z_p), sigmoid(z_u)
+    plus, minus = prior * np.logaddexp(0, -z_p).mean(), np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
+    return plus, minus, prior * back_p(s_p - 1), back_u(s_u) - prior * back_p(s_p)
 
+
+def fit(p: list[list[int]], u: list[list[int]], n_inputs: int, prior: float, rounds: int = 800, rate: float = 0.05, ridge: float = 2e-5, drop: float = 0.5):
+    """Weights (never negative) and bias of the non-negative PU risk, by Adam on the whole sample from weights of zero.
+
+    Where the negatives' corrected risk falls below zero, which only overfitting can bring about, a step raises it again. Each
+    step leaves out a part `drop` of all presences at random, so that inputs which mostly occur together learn to stand for
+    themselves.
+    """
+    rng = np.random.default_rng(1)
+    theta = np.append(np.zeros(n_inputs), np.log(prior / (1 - prior)))
+    m, v, p, u = np.zeros_like(theta), np.zeros_like(theta), flat(p), flat(u)
     for t in range(1, rounds + 1):
-        sums = [np.bincount(rows[k], theta[cols[k]], len(x)) for k, x in ((0, p), (1, u))]
-        z_p, z_u = (theta[-1] + evidence(x) for x in sums)
-        slopes = [1 - np.tanh(x / MOST_EVIDENCE) ** 2 for x in sums]
-        s_p, s_u = sigmoid(z_p), sigmoid(z_u)
-        minus = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
-        g_minus = back(1, s_u / len(u)) - prior * back(0, s_p / len(p))
-        g = prior * back(0, (s_p - 1) / len(p)) + g_minus if minus >= 0 else -g_minus
-        g[:-1] += ridge * (theta[:-1] - start)
+        some = [(rows[kept], cols[kept], n) for rows, cols, n in (p, u) for kept in [rng.random(len(rows)) >= drop]]
+        _, minus, g_plus, g_minus = risks(theta, *some, prior)
+        g = g_plus + g_minus if minus >= 0 else -g_minus
+        g[:-1] += ridge * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         np.maximum(theta[:-1], 0, out=theta[:-1])
@@ -148,9 +160,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4096, unlabelled:
     negative = F.greatest(F.lit(0.0), (u - prior * p) / (1 - prior)) + 1.0 / n["u"]
     lift = F.log(p / negative)
     clear = F.col("n_p") * lift - (F.col("n_p") - n["p"] * negative)  # log-likelihood ratio of the count against the negatives' rate
-    used = used.filter((F.col("n_p") >= 3) & (lift >= 1.6) & (clear >= 12.0)).select("input", lift.alias("lift"), "n_p", "n_u").orderBy(F.desc(clear), "input").limit(features)
-    found = used.select("input", "lift").collect()
-    names, start = [r["input"] for r in found], np.array([min(r["lift"], 6.0) for r in found])
+    used = used.filter((F.col("n_p") >= 3) & (lift >= 1.6) & (clear >= 12.0)).orderBy(F.desc(clear), "input").limit(features).select("input")
+    found = used.collect()
+    names = [r["input"] for r in found]
     if not names:
         return [], np.zeros(0), None
     # Bounded: positives + unlabelled rows of the chosen inputs.
@@ -158,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4096, unlabelled:
     for table in (wanted, sampled, sample):
         drop_materialized(table)
     lists, is_p, is_u = rows["inputs"].to_pylist(), rows["p"].to_pylist(), rows["u"].to_pylist()
-    weights, bias = fit([x for x, y in zip(lists, is_p) if y], [x for x, y in zip(lists, is_u) if y], start, prior)
+    weights, bias = fit([x for x, y in zip(lists, is_p) if y], [x for x, y in zip(lists, is_u) if y], len(names), prior)
     return names, weights, bias
 
 
