@@ -206,8 +206,9 @@ def near_classes(docs: DataFrame, percent: int, one_node: bool) -> tuple[DataFra
     # A class is one set of shingles, whatever the ids of its rows.
     classes = nodes.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "shingle-classes")
-    banded = classes.select(F.explode("bands").alias("key"), "rep", "n")
-    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n")).alias("leader")).filter("size > 1")
+    banded = classes.select(F.explode("bands").alias("key"), "rep", "n", F.col("least.doc_id").alias("first"))
+    # A bucket's leader is its member of the smallest doc_id: of a document and copies made from it, mostly the document.
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("first", "rep", "n")).alias("leader")).filter("size > 1")
     members = materialize(banded.join(buckets.drop("size"), "key").select("key", "rep", "n", F.col("leader.rep").alias("lead"), F.col("leader.n").alias("lead_n")), "band-members")
 
     wanted = members.select("rep").distinct().join(classes.select("rep", "least.*"), "rep")
