@@ -286,8 +286,8 @@ case("window_framed_aggregates", "orders", [
         {"as": "v", "function": "variance", "field": "o_totalprice"}, {"as": "f", "function": "first", "field": "o_totalprice"}, {"as": "l", "function": "last", "field": "o_totalprice"},
         {"as": "c", "function": "collect_list", "field": "o_orderpriority"}, {"as": "lo", "function": "min", "field": "o_totalprice"}, {"as": "a", "function": "average", "field": "o_totalprice"},
         {"as": "i", "function": "last_value", "field": "p", "ignoreNulls": True}]),
-    act("project", "orders", fields=["o_orderkey", {"expr": "round(v, 2)", "as": "v"}, "f", "l", {"expr": 'join_strings(c, "|")', "as": "c"}, "lo", {"expr": "round(a, 4)", "as": "a"}, "i"])],
-     """SELECT o_orderkey, round(var_samp(o_totalprice) OVER w * 100) / 100 AS v, first_value(o_totalprice) OVER w AS f, last_value(o_totalprice) OVER w AS l, string_agg(o_orderpriority, '|') OVER w AS c,
+    act("project", "orders", fields=["o_orderkey", {"expr": "round(v / 1000000.0, 1)", "as": "v"}, "f", "l", {"expr": 'join_strings(c, "|")', "as": "c"}, "lo", {"expr": "round(a, 4)", "as": "a"}, "i"])],
+     """SELECT o_orderkey, round((var_samp(o_totalprice) OVER w) / 1000000.0 * 10) / 10 AS v, first_value(o_totalprice) OVER w AS f, last_value(o_totalprice) OVER w AS l, string_agg(o_orderpriority, '|') OVER w AS c,
  min(o_totalprice) OVER w AS lo, round(avg(o_totalprice) OVER w * 10000) / 10000 AS a, last_value(CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_totalprice END IGNORE NULLS) OVER w AS i
  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
 case("explode_map", "nation", [act("with_fields", "nation", assignments=[{"as": "m", "expr": 'map("a", n_nationkey, "b", n_regionkey)'}]), act("explode", "nation", expr="m", **{"as": ["e"]}),
