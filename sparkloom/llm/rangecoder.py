@@ -26,7 +26,7 @@ TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
 #: Resolution of the gates' weights, and the least weight of order 0.
 GATE_BITS, LEAST = 12, 16
 #: Slots of the contexts of order 2; bits of an id (of its rank in the segment).
-SLOT_BITS, ID_BITS = 20, 20
+SLOT_BITS, ID_BITS = 18, 20
 LANE_IDS, MOST_LANES = 256, 4096
 PAIR_BITS, PAIR_FACTORS = 20, (0x9E3779B1, 0xC2B2AE3D)
 #: Weight of a seen id in order 0 against one of the segment's ids not seen yet.
@@ -66,7 +66,7 @@ class Mixer:
     def __init__(self, alphabet: int):
         self.counts = np.ones(alphabet, np.int64)
         self.outcomes = np.tile(np.array([2.0, 2.0, 1.0]), (GATES, 1))
-        self.slots = np.zeros(1 << SLOT_BITS, np.int64)
+        self.slots = np.zeros(1 << SLOT_BITS, np.int32)
         self.settle()
 
     def settle(self) -> None:
