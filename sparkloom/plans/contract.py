@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..expressions import ExpressionError, parse
 from ..functions import NAMES
@@ -112,6 +113,19 @@ def check_input(name: str, interface: Mapping, df: DataFrame) -> list[str]:
     return found + ([f"input {name}: no rows"] if interface.get("required", True) and fields and not row["n"] else [])
 
 
+def with_place(df: DataFrame, ctx: Context) -> DataFrame:
+    """Number rows from 0 by the row id, or else in order: by partition, with the partitions' sizes (one row each) before them.
+
+    Without a row id df is evaluated twice and must give its rows in the same partitions both times, as a scan does.
+    """
+    if ctx.row_id in df.columns:
+        return df.withColumn("__place", F.col(ctx.row_id).cast("bigint"))
+    df = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    return df.join(starts, "__part").withColumn("__place", F.col("__start") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id", "__part", "__start")
+
+
 def materialized(contract: Mapping, output: Mapping, frames: Mapping[str, DataFrame]) -> DataFrame:
     """Project the lineage's input to the output's schema."""
     sources = [i for m in (contract.get("lineage") or {}).get("mappings", []) if m.get("output") == output["id"] for i in m.get("inputs", [])]
@@ -120,12 +134,11 @@ def materialized(contract: Mapping, output: Mapping, frames: Mapping[str, DataFr
     schema = schema_of(output)
     base = frames[names[0]]
     if len(names) > 1:  # rows of several inputs meet by place, so each needs a numbering
-        from ..operators.sampling import with_place
-
         base = with_place(base, Context())
         for other in names[1:]:
             more = frames[other]
-            base = base.join(with_place(more.select(*[c for c in more.columns if c not in base.columns]), Context()), "__place", "left")
+            more = with_place(more, Context())
+            base = base.join(more.select("__place", *[c for c in more.columns if c not in base.columns]), "__place", "left")
     if schema is None:
         return base.drop("__place")
     return base.select(*[(F.col(f.name) if f.name in base.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
@@ -144,7 +157,7 @@ def run(contract: Mapping, inputs: Mapping[str, DataFrame], strict: bool = False
     frames, context = dict(inputs), Context(strict)
     rules, outputs = contract.get("rules", []), {o["id"]: o for o in contract["outputs"]}
     if check:
-        check_rules(frames, rules, "precondition")
+        check_rules(frames, rules, ("precondition",))
     actions = ordered(contract)
     for a in actions:
         if a["target"].partition(".")[0] not in outputs:
@@ -155,6 +168,5 @@ def run(contract: Mapping, inputs: Mapping[str, DataFrame], strict: bool = False
         if a["target"].partition(".")[0] in outputs:
             frames = apply(a["action"], a["target"], a.get("parameters"), frames, context)
     if check:
-        for phase in ("runtime", "postcondition"):
-            check_rules(frames, rules, phase)
+        check_rules(frames, rules, ("runtime", "postcondition"))
     return {name: frames[name] for name in outputs}

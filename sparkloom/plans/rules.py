@@ -57,14 +57,14 @@ def report(df: DataFrame, rules: list[Mapping]) -> DataFrame:
     return sums.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
-def check_rules(frames: Mapping[str, DataFrame], rules: list[Mapping], phase: str) -> None:
-    """Raise at the first rule of a phase that some row breaks; equal rules are checked once."""
+def check_rules(frames: Mapping[str, DataFrame], rules: list[Mapping], phases: tuple[str, ...]) -> None:
+    """Raise at the first rule of the phases that some row breaks; equal rules are checked once, all of a frame in one pass."""
     by_frame: dict[str, dict] = {}
-    for r in rules:
-        if r.get("phase", "runtime") == phase:
-            key = (r["rule"], r["target"], str(sorted((r.get("parameters") or {}).items())))
-            by_frame.setdefault(r["target"].partition(".")[0], {}).setdefault(key, r)
+    for r in sorted((r for r in rules if r.get("phase", "runtime") in phases), key=lambda r: phases.index(r.get("phase", "runtime"))):
+        key = (r["rule"], r["target"], str(sorted((r.get("parameters") or {}).items())))
+        by_frame.setdefault(r["target"].partition(".")[0], {}).setdefault(key, r)
     for name, some in by_frame.items():
-        for row in report(frames[name], list(some.values())).collect():
+        asked = list(some.values())
+        for r, row in zip(asked, report(frames[name], asked).collect()):
             if row["violations"]:
-                raise RuleViolation(f"{phase} {row['id']} ({row['rule']} on {name}.{row['field']}): {row['violations']} of {row['rows']} rows")
+                raise RuleViolation(f"{r.get('phase', 'runtime')} {row['id']} ({row['rule']} on {name}.{row['field']}): {row['violations']} of {row['rows']} rows")

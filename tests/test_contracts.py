@@ -185,6 +185,18 @@ def test_formats_round_trip(spark, tmp_path):
     assert read(spark, {"path": str(tmp_path / "parts")}).filter("k = 1").count() == 1
 
 
+def test_outputs_of_several_inputs_meet_by_place(spark):
+    contract = {"id": "zip", "name": "zip", "version": "1.0.0", "inputs": [{"id": "a", "schema": {"fields": [{"name": "x", "type": "integer"}]}}, {"id": "b", "schema": {"fields": [{"name": "y", "type": "string"}]}}],
+                "outputs": [{"id": "o", "schema": {"fields": [{"name": "x", "type": "integer"}, {"name": "y", "type": "string"}]}}],
+                "semanticActions": [], "rules": [], "lineage": {"mappings": [{"output": "o", "inputs": ["a.x", "b.y"]}]}}
+    a = spark.createDataFrame([(i,) for i in range(9)], "x long").repartitionByRange(3, "x").sortWithinPartitions("x")
+    b = spark.createDataFrame([(i, f"y{i}") for i in reversed(range(9))], "__row_id long, y string")
+    a = a.withColumn("__row_id", F.col("x"))
+    assert sorted(rows(run(contract, {"a": a, "b": b})["o"])) == [(i, f"y{i}") for i in range(9)]
+    plain = run(contract, {"a": spark.range(9).select(F.col("id").alias("x")), "b": spark.range(9).select(F.concat(F.lit("y"), F.col("id")).alias("y"))})["o"]
+    assert sorted(rows(plain)) == [(i, f"y{i}") for i in range(9)]
+
+
 def test_contract_runs_and_refuses(spark):
     orders = spark.createDataFrame([(1, "O", 1.25), (2, "F", 2.0)], "o_orderkey long, o_orderstatus string, o_totalprice double")
     assert rows(run(ORDERS_CONTRACT, {"orders": orders})["clean"]) == [(1, "o", 125.0)]
