@@ -26,7 +26,7 @@ PRIOR_GOOD = 0.8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÇÈÉÊÍÓÖÜÑ"
-PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha())
+PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
 def only(text: Column, characters: str) -> Column:
