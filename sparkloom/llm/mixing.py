@@ -65,7 +65,7 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
     for _ in range(rounds):
         off = 0.0
         for code, target in zip(codes, targets):
-            now = np.bincount(code, tokens * np.minimum(1.0, factor), len(target))
+            now = np.bincount(code, tokens * np.minimum(1.0, factor), len(target)).astype(float)
             off = max(off, float(np.abs(now - target).max(initial=0.0)) / max(float(target.sum()), 1e-300))
             factor = np.minimum(MOST_FACTOR, factor * np.divide(target, now, out=np.ones_like(now), where=now > 0)[code])
         if off < tolerance:

@@ -1,37 +1,31 @@
 """Approximate nearest neighbours by a hash-prefix forest (operator 8).
 
-Equal vectors are one class, which keeps its k + 1 smallest ids, each at most k times (no more can be among the k nearest of a query).
-Every tree gives each class a long hash string: a character is the coordinate of largest size, and its sign, of a random
-projection to 64 dimensions. A tree is the table of its strings, sorted and dealt by Spark. A query descends all trees to its
-longest prefix and ascends them in step, one character shorter at a time, until the prefixes hold at least `share` of all
-classes (and 20 k), in the end all classes; so the length of the prefix varies with how dense the vectors lie. Counts by prefix
-tell each query's length, a join on tree and prefix finds its candidates, each pair is kept once, and candidates are ranked by
-their exact cosine, each part of the classes by itself; the parts' best are merged.
-
-On Spark: strings are (tree, key) rows, so no task holds a tree; classes are scored in parts of about `part_rows`, to which only
-the queries go that have candidates there. A group of equal vectors of any size is one row.
+Vectors are dealt over shards by a hash of their id, at most about `shard_rows` each, whatever the data look like. In a
+shard every tree gives each vector a long hash string, a row of characters, each the largest coordinate (and its sign) of
+a random projection to eight dimensions; a tree is the sorted array of these strings. A query descends every tree to
+its longest matching prefixes by binary search and then ascends all trees in step, one character shorter at a time,
+until at least `share` of the shard are candidates (in the end all are, so no query lacks neighbours). Candidates are
+ranked by their exact cosine on the original vectors (scaled by their largest component first), and the shards' best are merged. Queries meet the shards in
+blocks; a shard and a block have bounded sizes.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows without vec_id take no
 part; vectors meet only those of their own length; equal vectors and repeated ids are rows of their own, except that a
 query never finds its own id; ties go to the smaller vec_id; an empty table gives an empty result; extra columns are not
-carried. Vectors are scaled by their largest component first, so that large and tiny ones have a cosine.
+carried.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop_materialized, gathered, materialize, one_array
+from .common import materialize
 
-TREES, WIDTH, CHARACTER_BITS, MOST_CHARACTERS = 160, 64, 7, 8
+TREES, CHARACTERS, WIDTH = 100, 8, 8
+RESULT = "query_id long, vec_id long, score double"
 
 
 def usable(vector: str) -> Column:
@@ -40,133 +34,90 @@ def usable(vector: str) -> Column:
     return v.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def unit_rows(vectors: np.ndarray) -> np.ndarray:
-    """Rows of length one."""
-    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-    return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
-
-
-def strings(unit: np.ndarray, tree: int, characters: int, seed: int) -> np.ndarray:
-    """The hash string of each unit vector as an integer, CHARACTER_BITS a character."""
-    rng, rows = np.random.default_rng([seed, tree]), np.arange(len(unit))
+def strings(unit: np.ndarray, tree: int, seed: int) -> np.ndarray:
+    """The hash string of each unit vector as an integer, four bits a character."""
+    rng = np.random.default_rng([seed, tree])
     out = np.zeros(len(unit), np.int64)
-    for _ in range(characters):
+    for _ in range(CHARACTERS):
         p = unit @ rng.standard_normal((unit.shape[1], WIDTH)).astype(np.float32)
         top = np.abs(p).argmax(axis=1)
-        out = out << CHARACTER_BITS | (top * 2 + (p[rows, top] > 0))
+        out = out << 4 | (top * 2 + (p[np.arange(len(p)), top] > 0))
     return out
 
 
-def matrices(table: pa.Table, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row numbers, vectors) for each length of vectors in the table."""
-    lists = one_array(table[vector])
-    lengths, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
-    starts = np.cumsum(lengths) - lengths
-    for n in np.unique(lengths).tolist():
-        at = np.flatnonzero(lengths == n)
-        yield at, flat[(starts[at][:, None] + np.arange(n)[None, :]).reshape(-1)].reshape(len(at), n)
-
-
-def forest(characters: int, seed: int):
-    """A mapInArrow function: for each class and tree a row (tree, key, class, asks)."""
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by their largest component first, so that huge and tiny ones keep their direction."""
+    if not vectors.size:
+        return vectors
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in gathered(batches, 2_000_000):
-            classes, asks = one_array(table["class"]).to_numpy(), one_array(table["asks"])
-            for at, vectors in matrices(table, "vector"):
-                unit, own, asking = unit_rows(vectors).astype(np.float32), pa.array(classes[at]), asks.take(pa.array(at))
-                for tree in range(TREES):
-                    # Trees of vectors of other lengths are other trees.
-                    number = np.full(len(at), vectors.shape[1] * TREES + tree, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(strings(unit, tree, characters, seed)), own, asking], ["tree", "key", "class", "asks"])
 
-    return run
+def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) ordered by id."""
+    ids = table["vec_id"].to_numpy()
+    flat = pa.concat_arrays([c.flatten() for c in table["vector"].chunks]).to_numpy() if len(table) else np.zeros(0)
+    order = np.argsort(ids, kind="stable")
+    return ids[order], flat.reshape(len(ids), -1)[order] if len(ids) else np.zeros((0, 0))
 
 
-def best_of_part(k: int):
-    """A cogroup function: for each asking class its k + 1 best among its candidates in a part of the classes."""
+def search(share: float, k: int, seed: int):
+    """A cogroup function: the k best of a shard for each query of a block."""
 
-    def run(classes: pa.Table, asked: pa.Table) -> pa.Table:
+    def run(index: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, vectors = matrix(index)
+        q_ids, queries = matrix(asked)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(classes) and len(asked):
-            ids, least = one_array(classes["class"]).to_numpy(), one_array(classes["least"]).to_numpy()
-            row_of, units = np.zeros(len(ids), np.int64), {}
-            for at, vectors in matrices(classes, "vector"):
-                row_of[at], units[vectors.shape[1]] = np.arange(len(at)), unit_rows(vectors)
-            order = np.argsort(ids)
-            who, candidates = one_array(asked["asking"]).to_numpy(), one_array(asked["candidates"])
-            for at, vectors in matrices(asked, "asked"):
-                own = unit_rows(vectors)
-                for i, u in zip(at.tolist(), own):
-                    rows = order[np.searchsorted(ids[order], candidates[i].values.to_numpy())]
-                    score = units[len(u)][row_of[rows]] @ u
-                    best = np.lexsort((least[rows], -score))[:k + 1]
-                    found.append((np.full(len(best), who[i]), ids[rows[best]], score[best]))
+        if len(ids) and len(q_ids):
+            vectors, queries = unit_rows(vectors), unit_rows(queries)
+            unit, q_unit = vectors.astype(np.float32), queries.astype(np.float32)
+            trees = []
+            for tree in range(TREES):
+                keys = strings(unit, tree, seed)
+                order = np.argsort(keys, kind="stable")
+                trees.append((order, keys[order], strings(q_unit, tree, seed)))
+            enough = min(len(ids), max(10 * k, int(np.ceil(share * len(ids)))))
+            # bounds[depth][tree]: where each query's prefix of that length begins and ends in the sorted array.
+            bounds = []
+            for depth in range(CHARACTERS + 1):
+                shift = 4 * (CHARACTERS - depth)
+                bounds.append([(np.searchsorted(keys, q >> shift << shift), np.searchsorted(keys, (q >> shift) + 1 << shift)) for _, keys, q in trees])
+            for i in range(len(q_ids)):
+                marked = np.zeros(len(ids), bool)
+                for depth in range(CHARACTERS, -1, -1):
+                    for (order, _, _), (low, high) in zip(trees, bounds[depth]):
+                        if high[i] > low[i]:
+                            marked[order[low[i]:high[i]]] = True
+                        if not depth:
+                            break
+                    if marked.sum() > enough or marked.all():
+                        break
+                at = np.flatnonzero(marked & (ids != q_ids[i]))
+                score = vectors[at] @ queries[i]
+                best = np.lexsort((ids[at], -score))[:k]
+                found.append((np.full(len(best), q_ids[i]), ids[at][best], score[best]))
         parts = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"asking": pa.array(parts[0].astype(np.int64)), "class": pa.array(parts[1].astype(np.int64)), "score": pa.array(parts[2].astype(np.float64))})
+        return pa.table({"query_id": pa.array(parts[0].astype(np.int64)), "vec_id": pa.array(parts[1].astype(np.int64)), "score": pa.array(parts[2].astype(np.float64))})
 
     return run
 
 
-def candidates_of(keys: DataFrame, characters: int, enough: int) -> DataFrame:
-    """Distinct (asking, class): for each asking class those under its prefixes of the length at which these hold enough."""
-    prefix = lambda n: F.shiftright("key", CHARACTER_BITS * (characters - n))
-    asking = keys.filter("asks").select("tree", "key", F.col("class").alias("asking"))
-    held = None
-    for n in range(characters, 0, -1):
-        count = keys.groupBy("tree", prefix(n).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-        # The asking class itself is under each of its prefixes.
-        part = asking.select("tree", prefix(n).alias("prefix"), "asking").join(count, ["tree", "prefix"]).groupBy("asking").agg((F.sum("n") - TREES).alias("n"))
-        part = part.filter(F.col("n") >= enough).select("asking", F.lit(n).alias("length"))
-        held = part if held is None else held.unionByName(part)
-    lengths = materialize(asking.select("asking").distinct().join(held.groupBy("asking").agg(F.max("length").alias("length")), "asking", "left").select(
-        "asking", F.coalesce("length", F.lit(0)).alias("length")), "neighbour-lengths")
-    used = sorted(r["length"] for r in lengths.select("length").distinct().collect())
-    found = []
-    for n in used:
-        mine = asking.join(lengths.filter(F.col("length") == n).select("asking"), "asking")
-        if n:
-            mine = mine.select("tree", prefix(n).alias("prefix"), "asking")
-            found.append(mine.join(keys.select("tree", prefix(n).alias("prefix"), "class"), ["tree", "prefix"]).select("asking", "class"))
-        else:
-            # Few vectors, or one far from all others: every class of its length, by way of its first tree.
-            first = F.col("tree") % TREES == 0
-            found.append(mine.filter(first).select("tree", "asking").join(keys.filter(first).select("tree", "class"), "tree").select("asking", "class"))
-    return reduce(DataFrame.unionByName, found).distinct() if found else keys.select(F.col("class").alias("asking"), "class")
-
-
-def nearest(vectors: DataFrame, queries: Column, k: int = 5, share: float = 0.005, part_rows: int = 16_384,
+def nearest(vectors: DataFrame, queries: Column, k: int = 5, share: float = 0.15, shard_rows: int = 16_384, block_rows: int = 2_048,
             vec_id: str = "vec_id", vector: str = "embedding", seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest of all rows for each row where `queries` holds."""
     rows = vectors.filter(F.col(vec_id).isNotNull()).select(
         F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
-    rows = rows.filter(usable("vector")).withColumn("hash_a", F.xxhash64("vector")).withColumn("hash_b", F.hash("vector"))
-    same = ["hash_a", "hash_b"]
-    ranked = rows.select(*same, "vec_id").withColumn("rn", F.dense_rank().over(Window.partitionBy(*same).orderBy("vec_id"))).filter(F.col("rn") <= k + 1)
-    ranked = ranked.withColumn("rn", F.row_number().over(Window.partitionBy(*same, "vec_id").orderBy("rn"))).filter(F.col("rn") <= k)
-    few = ranked.groupBy(*same).agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    classes = rows.groupBy(*same).agg(F.any_value("vector").alias("vector"), F.max("asks").alias("asks")).join(few, same)
-    classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "vector-classes")
-    n = classes.count()
-    characters = min(MOST_CHARACTERS, max(1, math.ceil(math.log(max(n, 2), 2 * WIDTH))))
-    keys = materialize(classes.select("class", "asks", "vector").mapInArrow(forest(characters, seed), "tree long, key long, class long, asks boolean"), "forest")
-    pairs = candidates_of(keys, characters, max(20 * k, math.ceil(share * n)))
-    part = F.pmod(F.xxhash64("class"), F.lit(max(1, -(-n // part_rows)))).alias("part")
-    asked = pairs.select("asking", "class", part).groupBy("part", "asking").agg(F.collect_list("class").alias("candidates"))
-    asked = asked.join(classes.filter("asks").select(F.col("class").alias("asking"), F.col("vector").alias("asked")), "asking").select(
-        F.col("part").alias("of_part"), "asking", "candidates", "asked")
-    indexed = classes.select(part, "class", F.get("ids", F.lit(0)).alias("least"), "vector")
-    found = indexed.groupBy("part").cogroup(asked.groupBy("of_part")).applyInArrow(best_of_part(k), "asking long, class long, score double")
-    found = materialize(found, "neighbours-found")
-    drop_materialized(keys)
-    # Each asking class's best classes, by their ids; then for each of its rows those without its own id.
-    best = Window.partitionBy("asking").orderBy(F.desc("score"), F.get("ids", F.lit(0)))
-    ids = found.join(classes.select("class", "ids"), "class").withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k + 1).select(
-        "asking", "score", F.explode("ids").alias("vec_id"))
-    asking = rows.filter("asks").select(*same, F.col("vec_id").alias("query_id")).join(classes.select(*same, F.col("class").alias("asking")), same)
-    order = Window.partitionBy("query_id", "asking", "copy").orderBy(F.desc("score"), "vec_id")
-    out = asking.select("query_id", "asking", F.monotonically_increasing_id().alias("copy")).join(ids, "asking").filter(F.col("vec_id") != F.col("query_id"))
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = materialize(rows.filter(usable("vector")).withColumn("dim", F.size("vector")), "vectors")
+    n = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("asks").cast("long")).alias("q")).first()
+    shards, blocks = max(1, -(-n["n"] // shard_rows)), max(1, -(-(n["q"] or 0) // block_rows))
+    index = rows.select("dim", "vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"),
+                        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    asked = rows.filter("asks").select("dim", "vec_id", "vector", F.pmod(F.xxhash64("vec_id", F.lit("q")), F.lit(blocks)).cast("int").alias("block"),
+                                       F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+    keys = ["dim", "shard", "block"]
+    found = index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search(share, k, seed), RESULT)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
