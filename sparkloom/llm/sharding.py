@@ -39,10 +39,10 @@ def cut(linked: DataFrame) -> int:
     return linked.groupBy("grp").agg((F.sum("n") - F.max("n")).alias("off")).agg(F.sum("off")).first()[0] or 0
 
 
-def propagate(linked: DataFrame, n_shards: int, capacity: int, rounds: int, patience: int = 3) -> DataFrame:
+def propagate(linked: DataFrame, n_shards: int, capacity: int, rounds: int, patience: int = 2, gain: float = 0.01) -> DataFrame:
     """Move members of the groups in linked(grp, shard, n) together, under `capacity` linked documents a shard.
 
-    Rounds go on until nothing is cut, nothing can move, or the cut has not fallen for `patience` rounds.
+    Rounds go on until nothing is cut, nothing can move, or the cut has fallen by less than `gain` of itself for `patience` rounds.
     """
     least, idle = cut(linked), 0
     for turn in range(rounds):
@@ -72,7 +72,7 @@ def propagate(linked: DataFrame, n_shards: int, capacity: int, rounds: int, pati
         if stuck:
             break
         now = cut(linked)
-        least, idle = (now, 0) if now < least else (least, idle + 1)
+        least, idle = min(now, least), 0 if now < (1 - gain) * least else idle + 1
     return linked
 
 
@@ -113,7 +113,7 @@ def even_out(flows: DataFrame, n_shards: int) -> DataFrame:
     return stay.unionByName(gone).groupBy("grp", "shard", "linked").agg(F.sum("n").alias("n"))
 
 
-def assign(docs: DataFrame, n_shards: int = 24, text: str = "text", doc_id: str = "doc_id", rounds: int = 24) -> DataFrame:
+def assign(docs: DataFrame, n_shards: int = 24, text: str = "text", doc_id: str = "doc_id", rounds: int = 12) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs."""
     body = whole_text(docs, text)
     rows = materialize(docs.select(
