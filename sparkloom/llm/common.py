@@ -47,8 +47,9 @@ def drop_materialized(df: DataFrame) -> None:
 
 
 def small_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch of whole texts may hold."""
+    """Bound what one Arrow batch of whole texts may hold, in rows and in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16777216")
 
 
 def whole_text(df: DataFrame, column: str = "text") -> Column:

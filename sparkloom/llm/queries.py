@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, mixing, neardup, neighbours, packing, quality, scoring, sharding, tokenfile, toxicity
+from . import fillmiddle, licences, mixing, neardup, neighbours, packing, pieces, quality, scoring, sharding, spelling, tokenfile, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_nearest_neighbours": neighbours.op8,
         "op9_quality_rules": quality.op9,
         "op10_token_files": tokenfile.op10,
+        "op11_fill_in_middle": fillmiddle.op11,
+        "op12_sentencepiece": pieces.op12,
+        "op13_spelling_variants": spelling.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_fill_in_middle": fillmiddle.OP11_SQL}
