@@ -14,21 +14,28 @@ from .parse import ExpressionError, parse
 
 @dataclass(frozen=True)
 class Value:
-    """A column and, for typing inside lambdas, the same column over typed nulls in place of lambda variables."""
+    """A column and, for typing inside lambdas, the same column over typed nulls in place of lambda variables.
+
+    error: in scopes that keep errors, a code where the value could not be computed, else null; None if it always can.
+    state: the code of an invalid field; None if the frame has no invalid fields.
+    """
 
     col: Column
     probe: Column
     literal: object = None
     is_literal: bool = False
+    error: Column | None = None
+    state: Column | None = None
 
 
 @dataclass
 class Scope:
-    """What names mean: the columns of df, and lambda variables."""
+    """What names mean: the columns of df, and lambda variables. errors: nothing raises; values carry error codes instead."""
 
     df: DataFrame
     variables: Mapping[str, Value] = field(default_factory=dict)
     strict: bool = False
+    errors: bool = False
 
     def type_of(self, value: Value) -> T.DataType:
         return self.df.select(value.probe.alias("x")).schema[0].dataType
@@ -39,8 +46,17 @@ class Scope:
         return value.literal
 
 
+#: The map of a frame's invalid fields to their codes, where a frame has one.
+INVALID = "__invalid"
+
+
+def first_error(*errors: Column | None) -> Column | None:
+    known = [e for e in errors if e is not None]
+    return F.coalesce(*known) if len(known) > 1 else known[0] if known else None
+
+
 def map_value(fn: Callable[..., Column], *args: Value) -> Value:
-    return Value(fn(*(a.col for a in args)), fn(*(a.probe for a in args)))
+    return Value(fn(*(a.col for a in args)), fn(*(a.probe for a in args)), error=first_error(*(a.error for a in args)))
 
 
 def literal(value) -> Value:
@@ -55,7 +71,7 @@ def field_of(name: str, scope: Scope) -> Value:
         return scope.variables[last]
     if last in scope.df.columns:
         col = scope.df[last]
-        return Value(col, col)
+        return Value(col, col, state=F.try_element_at(scope.df[INVALID], F.lit(last)) if scope.errors and INVALID in scope.df.columns else None)
     return Value(F.lit(None), F.lit(None))
 
 
@@ -77,6 +93,12 @@ def build(node, scope: Scope) -> Value:
     raise ExpressionError(f"unknown expression node {sorted(node)}")
 
 
+def value_of(expression, df: DataFrame, strict: bool = False) -> Value:
+    """The value of an expression that never raises: null with an error code where it cannot be computed."""
+    value = build(expression, Scope(df, strict=strict, errors=True))
+    return value if value.error is None else Value(F.when(value.error.isNull(), value.col), value.probe, error=value.error, state=value.state)
+
+
 def column_of(expression, df: DataFrame, strict: bool = False) -> Column:
     """The column of an expression (text, node, or a Column as it is) over df."""
     return expression if isinstance(expression, Column) else build(expression, Scope(df, strict=strict)).col

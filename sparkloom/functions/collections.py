@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..expressions.build import Scope, Value, build, map_value
+from ..expressions.build import Scope, Value, build, first_error, map_value
 from ..expressions.parse import ExpressionError, parse
 from .registry import columns, nodes, values
 
@@ -91,7 +91,7 @@ values("object_values", 1)(lambda scope, v: parts_of(scope, v, "values"))
 
 
 def applied(scope: Scope, node, types: list[T.DataType]):
-    """(a Python function of columns for Spark's higher-order functions, the probe of its result)."""
+    """(a Python function of columns for Spark's higher-order functions, the probe of its result, the same function for its error code or None)."""
     node = parse(node) if isinstance(node, str) else node
     if "lambda" not in node:
         raise ExpressionError("a lambda is needed here")
@@ -100,13 +100,19 @@ def applied(scope: Scope, node, types: list[T.DataType]):
 
     def inner(cols) -> Value:
         bound = dict(scope.variables) | {n: Value(c, p) for n, c, p in zip(names, cols, probes)}
-        return build(body, Scope(scope.df, bound, scope.strict))
+        return build(body, Scope(scope.df, bound, scope.strict, scope.errors))
 
     arity = len(names)
     if arity > len(types):
         raise ExpressionError("the lambda takes too many arguments")
-    fns = {1: lambda a: inner([a]).col, 2: lambda a, b: inner([a, b]).col}
-    return fns[arity], inner(probes).probe, arity
+    pick = {1: lambda of: lambda a: of(inner([a])), 2: lambda of: lambda a, b: of(inner([a, b]))}[arity]
+    sample = inner(probes)
+    return pick(lambda v: v.col), sample.probe, None if sample.error is None else pick(lambda v: v.error)
+
+
+def first_of(errors):
+    """The first code in a list of codes."""
+    return F.try_element_at(F.filter(errors, lambda e: e.isNotNull()), F.lit(1))
 
 
 def over_list(name: str, make) -> None:
@@ -114,8 +120,8 @@ def over_list(name: str, make) -> None:
     def built(scope: Scope, items, fn) -> Value:
         xs = build(items, scope)
         kind = scope.type_of(xs)
-        call, probe, _ = applied(scope, fn, [kind.elementType, T.LongType()])
-        return Value(make(xs.col, call), result_probe(name, xs.probe, probe))
+        call, probe, wrong = applied(scope, fn, [kind.elementType, T.LongType()])
+        return Value(make(xs.col, call), result_probe(name, xs.probe, probe), error=first_error(xs.error, wrong and first_of(F.transform(xs.col, wrong))))
 
 
 def result_probe(name: str, xs, item):
@@ -132,17 +138,22 @@ over_list("forall", lambda xs, fn: F.forall(xs, lambda x: F.coalesce(fn(x), F.li
 def reduce(scope: Scope, items, start, fn) -> Value:
     xs, first = build(items, scope), build(start, scope)
     kind = scope.type_of(first)
-    call, _, _ = applied(scope, fn, [kind, scope.type_of(xs).elementType])
-    return Value(F.aggregate(xs.col, first.col, lambda acc, x: call(acc, x).cast(kind)), first.probe)
+    call, _, wrong = applied(scope, fn, [kind, scope.type_of(xs).elementType])
+    if wrong is None:
+        return Value(F.aggregate(xs.col, first.col, lambda acc, x: call(acc, x).cast(kind)), first.probe, error=first_error(xs.error, first.error))
+    both = lambda v, e: F.struct(v.cast(kind).alias("v"), e.cast("string").alias("e"))
+    out = F.aggregate(xs.col, both(first.col, F.lit(None)), lambda acc, x: F.when(acc["e"].isNotNull(), acc).otherwise(both(call(acc["v"], x), wrong(acc["v"], x))))
+    return Value(out["v"], first.probe, error=first_error(xs.error, first.error, out["e"]))
 
 
 @nodes("zip_with", 3)
 def zip_with(scope: Scope, left, right, fn) -> Value:
     """As long as the shorter list."""
     a, b = build(left, scope), build(right, scope)
-    call, probe, _ = applied(scope, fn, [scope.type_of(a).elementType, scope.type_of(b).elementType])
+    call, probe, wrong = applied(scope, fn, [scope.type_of(a).elementType, scope.type_of(b).elementType])
     n = F.least(F.size(a.col), F.size(b.col))
-    return Value(F.zip_with(F.slice(a.col, F.lit(1), n), F.slice(b.col, F.lit(1), n), call), F.array(probe))
+    zipped = lambda f: F.zip_with(F.slice(a.col, F.lit(1), n), F.slice(b.col, F.lit(1), n), f)
+    return Value(zipped(call), F.array(probe), error=first_error(a.error, b.error, wrong and first_of(zipped(wrong))))
 
 
 def over_map(name: str, make, probe_of) -> None:
@@ -150,8 +161,9 @@ def over_map(name: str, make, probe_of) -> None:
     def built(scope: Scope, of, fn) -> Value:
         m = build(of, scope)
         kind = scope.type_of(m)
-        call, probe, _ = applied(scope, fn, [kind.keyType, kind.valueType])
-        return Value(make(m.col, call), probe_of(m.probe, probe, kind))
+        call, probe, wrong = applied(scope, fn, [kind.keyType, kind.valueType])
+        codes = wrong and first_of(F.transform(F.map_entries(m.col), lambda e: wrong(*(e["key"], e["value"])[:wrong.__code__.co_argcount])))
+        return Value(make(m.col, call), probe_of(m.probe, probe, kind), error=first_error(m.error, codes))
 
 
 def last_wins(m, fn):

@@ -87,6 +87,14 @@ def with_offset(t, zone):
 columns("to_timezone from_utc at_timezone", 2)(lambda t, zone: with_offset(t.cast("timestamp"), zone))
 
 
+def local_time(text, z):
+    """(the earlier and the later instant of a local time, whether it never occurs, whether it occurs twice)"""
+    t = text.cast("timestamp")
+    early = F.to_utc_timestamp(t, z)
+    late = early + F.expr("INTERVAL 1 HOUR")
+    return early, late, F.from_utc_timestamp(early, z) != t, F.from_utc_timestamp(late, z) == t
+
+
 @values("to_utc", 2, 4)
 def to_utc(scope: Scope, local: Value, zone: Value, ambiguous: Value | None = None, nonexistent: Value | None = None) -> Value:
     """The instant of a local time; times that occur twice or never follow their policies (reject by default)."""
@@ -94,11 +102,7 @@ def to_utc(scope: Scope, local: Value, zone: Value, ambiguous: Value | None = No
     never = scope.constant(nonexistent, "to_utc: nonexistent") if nonexistent else "reject"
 
     def fn(text, z):
-        t = text.cast("timestamp")
-        early = F.to_utc_timestamp(t, z)
-        late = early + F.expr("INTERVAL 1 HOUR")
-        gap = F.from_utc_timestamp(early, z) != t
-        overlap = F.from_utc_timestamp(late, z) == t
+        early, late, gap, overlap = local_time(text, z)
         refuse = lambda what: F.raise_error(F.lit(f"to_utc: {what} local time")).cast("timestamp")
         in_gap = early if never in ("shift_forward", "shiftForward") else refuse("nonexistent")
         in_overlap = {"earliest": early, "earlier": early, "latest": late, "later": late}.get(twice, refuse("ambiguous"))

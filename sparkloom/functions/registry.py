@@ -60,6 +60,10 @@ def call(name: str, args: list, scope: Scope) -> Value:
     fn, least, most, kind = NAMES[name]
     if len(args) < least or (most is not None and len(args) > most):
         raise ExpressionError(f"{name} takes {least} to {most if most is not None else 'any number of'} arguments, not {len(args)}")
+    if scope.errors:
+        from .errors import kept
+
+        return kept(name, args, scope)
     if kind == "nodes":
         out, built = fn(scope, *args), [build(a, scope) for a in args if not is_lambda(a)] if scope.strict else []
     else:
@@ -71,7 +75,7 @@ def call(name: str, args: list, scope: Scope) -> Value:
 
 
 #: Functions that have a result for null arguments; with strict nulls the others raise.
-NULL_AWARE = frozenset("coalesce if_null null_if is_null is_missing is_invalid eq not_eq null_safe_eq concat_ws list collect_list collect_set tuple object map case_when and or first last "
+NULL_AWARE = frozenset("coalesce if_null null_if is_null is_missing is_invalid eq not_eq null_safe_eq concat_ws list collect_list collect_set tuple object map case_when first last "
                        "variance stddev median quantile covariance correlation try_cast random random_normal".split())
 
 
@@ -80,8 +84,14 @@ def is_lambda(node) -> bool:
     return isinstance(node, dict) and "lambda" in node
 
 
-def guarded(name: str, value: Column, args: tuple[Column, ...]) -> Column:
+def any_absent(name: str, args: tuple[Column, ...]) -> Column:
+    """Whether an argument that counts is null: the right side of `and` and `or` does not where the left decides."""
     absent = args[0].isNull()
     for a in args[1:]:
-        absent = absent | a.isNull()
+        absent = absent | (a.isNull() if name not in ("and", "or") else a.isNull() & (args[0] if name == "and" else ~args[0]))
+    return F.coalesce(absent, F.lit(False))
+
+
+def guarded(name: str, value: Column, args: tuple[Column, ...]) -> Column:
+    absent = any_absent(name, args)
     return F.when(absent, F.raise_error(F.lit(f"{name}: null argument"))).otherwise(value)

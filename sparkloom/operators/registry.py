@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..expressions import column_of
+from ..expressions import column_of, value_of
 
 ACTIONS: dict[str, Callable] = {}
 Frames = dict[str, DataFrame]
@@ -18,15 +18,31 @@ class ActionError(ValueError):
     """An action's parameters do not fit its input."""
 
 
+MODES = ("fail", "invalid", "null", "route")
+#: The frame of the rows that mode route takes out.
+QUARANTINE = "__quarantine"
+
+
 @dataclass(frozen=True)
 class Context:
-    """strict: null arguments of functions raise. row_id: a column that fixes the order of rows, where a frame has it."""
+    """strict: null arguments of functions raise. row_id: a column that fixes the order of rows, where a frame has it.
+
+    mode: what becomes of a value that cannot be computed. fail: the run ends. null: it is null. invalid: it is null, and the frame's
+    column __invalid keeps its field and code, which is_invalid reads. route: its row leaves the frame for the quarantine (errors.py).
+    """
 
     strict: bool = False
     row_id: str = "__row_id"
+    mode: str = "fail"
+
+    def __post_init__(self):
+        if self.mode not in MODES:
+            raise ValueError(f"unknown error mode {self.mode!r}; expected one of {', '.join(MODES)}")
 
     def column(self, expression, df: DataFrame) -> Column:
-        return column_of(expression, df, self.strict)
+        if self.mode == "fail" or isinstance(expression, Column):
+            return column_of(expression, df, self.strict)
+        return value_of(expression, df, self.strict).col
 
     def order(self, df: DataFrame) -> list[Column]:
         """What orders rows as they came: the row id, or else the rows' own place in the plan."""
@@ -58,10 +74,20 @@ def apply(name: str, target: str, parameters: Mapping | None, frames: Frames, co
     base = target.partition(".")[0]
     if base not in frames:
         raise ActionError(f"unknown dataset {base!r}")
-    return {**frames, **ACTIONS[plain](frames, target, dict(parameters or {}), context or Context())}
+    context, parameters = context or Context(), dict(parameters or {})
+    if context.mode in ("invalid", "route") and base != QUARANTINE:
+        from . import errors
+
+        return errors.tolerant(plain, target, parameters, frames, context)
+    return {**frames, **ACTIONS[plain](frames, target, parameters, context)}
 
 
 def apply_all(actions: list[Mapping], frames: Frames, context: Context | None = None) -> Frames:
+    """All actions in turn. In mode route the result also holds the quarantine, as frame __quarantine."""
     for a in actions:
         frames = apply(a["action"], a["target"], a.get("parameters"), frames, context)
+    if context is not None and context.mode == "route":
+        from . import errors
+
+        return errors.settled(frames)
     return frames

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import apply_all
+from .operators import Context, apply_all
 from .sources import read_table
 
 
@@ -22,11 +22,11 @@ def asc(*fields: str) -> list[dict]:
     return [{"field": f} for f in fields]
 
 
-C: dict[str, tuple[list[str], list[dict], str, str]] = {}
+C: dict[str, tuple[list[str], list[dict], str, str, str]] = {}
 
 
-def case(name: str, tables: str, actions: list[dict], sql: str, result: str | None = None) -> None:
-    C[name] = (tables.split(), actions, result or actions[-1]["target"], sql)
+def case(name: str, tables: str, actions: list[dict], sql: str, result: str | None = None, mode: str = "fail") -> None:
+    C[name] = (tables.split(), actions, result or actions[-1]["target"], sql, mode)
 
 
 KEEP = "o_orderkey o_custkey o_orderstatus o_totalprice".split()
@@ -302,13 +302,31 @@ case("union_positional", "nation region", [act("project", "nation", fields=["n_n
      "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
 case("partitioning_keeps_rows", "orders", [act("project", "orders", fields=KEEP), act("repartition", "orders", keys=["o_custkey"]), act("coalesce_partitions", "orders", count=2)],
      "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+_RISKY = [
+    act("with_fields", "events", assignments=[{"as": "k", "expr": 'to_integer(regex_extract(props, "[0-9]+"))'}, {"as": "ratio", "expr": "user_id / (k % 7)"}, {"as": "root", "expr": "floor(sqrt(value - 5.0))"}]),
+    act("filter", "events", predicate="100 / (user_id % 5) > 20 && root >= 0.0")]
+_FAILED = """WITH k AS (SELECT *, regexp_extract(props, '[0-9]+')::BIGINT AS k FROM events), e AS (SELECT *, CASE WHEN k % 7 = 0 THEN 'with_fields|ratio|division_by_zero' WHEN value < 5.0 THEN 'with_fields|root|negative_number'
+ WHEN user_id % 5 = 0 THEN 'filter|predicate|division_by_zero' END AS failed FROM k) """
+case("route_good_rows", "events", [*_RISKY, act("project", "events", fields=["event_id", "ratio", "root", {"expr": "100 / (user_id % 5)", "as": "part"}])],
+     _FAILED + "SELECT event_id, user_id // (k % 7) AS ratio, floor(sqrt(value - 5.0)) AS root, 100 // (user_id % 5) AS part FROM e WHERE failed IS NULL AND 100 // (user_id % 5) > 20", mode="route")
+case("route_bad_rows", "events", [*_RISKY, act("aggregate", "events", groupBy=["event_type"], aggregates=[agg("count_all", "n")]),
+                                  act("project", "__quarantine", fields=["frame", "action", "field", "code", {"expr": 'to_integer(regex_extract(row, "^.{12}([0-9]+)", 1))', "as": "event_id"}])],
+     _FAILED + "SELECT 'events' AS frame, split_part(failed, '|', 1) AS action, split_part(failed, '|', 2) AS field, split_part(failed, '|', 3) AS code, event_id FROM e WHERE failed IS NOT NULL", mode="route")
+case("null_bad_values", "events", [_RISKY[0], act("project", "events", fields=["event_id", "ratio", "root", {"expr": 'coalesce(100 / (user_id % 5), 7)', "as": "part"}])],
+     "SELECT event_id, user_id // nullif(regexp_extract(props, '[0-9]+')::BIGINT % 7, 0) AS ratio, CASE WHEN value >= 5.0 THEN floor(sqrt(value - 5.0)) END AS root, 100 // nullif(user_id % 5, 0) AS part FROM events", mode="null")
+case("invalid_values", "events", [
+    _RISKY[0], act("with_fields", "events", assignments=[{"as": "digit", "expr": 'try_cast(case_when(user_id % 2 == 0, event_type, "7"), "integer")'}]),
+    act("rename_fields", "events", mapping={"ratio": "share"}), act("filter", "events", predicate="is_invalid(share) || is_invalid(root) || is_invalid(digit)"),
+    act("project", "events", fields=["event_id", "share", {"expr": "is_invalid(share)", "as": "s"}, {"expr": "is_invalid(root)", "as": "r"}, {"expr": "is_invalid(digit)", "as": "d"}, {"expr": "is_null(digit)", "as": "n"}]),
+    act("drop_fields", "events", fields=["__invalid"])],
+     """SELECT event_id, user_id // nullif(k % 7, 0) AS share, k % 7 = 0 AS s, value < 5.0 AS r, user_id % 2 = 0 AS d, user_id % 2 = 0 AS n FROM (SELECT *, regexp_extract(props, '[0-9]+')::BIGINT AS k FROM events) WHERE k % 7 = 0 OR value < 5.0 OR user_id % 2 = 0""", mode="invalid")
 
 
 def one(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    tables, actions, result, _ = C[name]
+    tables, actions, result, _, mode = C[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return apply_all(actions, {t: read_table(spark, sf_dir, t) for t in tables})[result]
+        return apply_all(actions, {t: read_table(spark, sf_dir, t) for t in tables}, Context(mode=mode))[result]
 
     return run
 
