@@ -198,7 +198,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     while True:
         # A state at the end of its word with an edit, or one letter before it without, may have reached another word.
         arrived = states.filter(F.col("place") + F.when(F.col("edits") == 1, 0).otherwise(1) == F.char_length("word")).select("dir", "word", "node")
-        found.append(materialize(arrived, "frontier-arrived"))
+        found.append(materialize(arrived, "arrived"))
         going = states.filter(F.col("place") < F.char_length("word"))
         letter = F.substring("word", F.col("place") + 1, F.lit(1))
         step = going.withColumn("letter", letter).join(edges, "node").filter((F.col("edits") == 0) | (F.col("first") == F.col("letter")))
@@ -214,7 +214,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
     pairs = reached.join(ends, ["dir", "node"]).filter(F.levenshtein("word", "other", 1) == 1)
     back = lambda c: F.when(F.col("dir") == 1, F.reverse(c)).otherwise(F.col(c))
     pairs = pairs.select(back("word").alias("a"), back("other").alias("b"))
-    return materialize(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-words")
+    near = materialize(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-words")
+    for table in (paths, edges, states, *found):
+        drop_materialized(table)
+    return near
 
 
 def roots(forms: DataFrame) -> DataFrame:
