@@ -153,20 +153,18 @@ def common_prefix(a: str, b: str) -> int:
 
 
 def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """An Arrow function: states joined with edges to the states that follow."""
+    """An Arrow function: states without an edit, joined with edges, to the states that follow."""
     for batch in batches:
         origin, places, nodes, edits = [], [], [], []
-        columns = [batch.column(c).to_pylist() for c in ("word", "place", "edits", "label", "child")]
-        for i, (word, place, spent, label, child) in enumerate(zip(*columns)):
+        columns = [batch.column(c).to_pylist() for c in ("word", "place", "label", "child")]
+        for i, (word, place, label, child) in enumerate(zip(*columns)):
             if word.startswith(label, place):
                 origin.append(i)
                 places.append(place + len(label))
                 nodes.append(child)
-                edits.append(spent)
+                edits.append(0)
                 continue
-            if spent:
-                continue
-            same = common_prefix(word[place:place + len(label)], label)
+            same = 0 if word[place:place + 1] != label[0] else common_prefix(word[place:place + len(label)], label)
             at = place + same
             if at >= len(word):
                 continue
@@ -185,6 +183,14 @@ def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["dir", "word", "place", "node", "edits"])
 
 
+def after_edit(states: DataFrame, edges: DataFrame) -> DataFrame:
+    """States with an edit go on only along their own letters, so by one edge at most."""
+    asked = states.withColumn("first", F.substring("word", F.col("place") + 1, F.lit(1)))
+    size = F.char_length("label")
+    return asked.join(edges, ["node", "first"]).filter(F.substring("word", F.col("place") + 1, size) == F.col("label")).select(
+        "dir", "word", (F.col("place") + size).cast("int").alias("place"), F.col("child").alias("node"), "edits")
+
+
 STATE = "dir int, word string, place int, node long, edits int"
 
 
@@ -200,9 +206,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
         arrived = states.filter(F.col("place") + F.when(F.col("edits") == 1, 0).otherwise(1) == F.char_length("word")).select("dir", "word", "node")
         found.append(materialize(arrived, "arrived"))
         going = states.filter(F.col("place") < F.char_length("word"))
-        letter = F.substring("word", F.col("place") + 1, F.lit(1))
-        step = going.withColumn("letter", letter).join(edges, "node").filter((F.col("edits") == 0) | (F.col("first") == F.col("letter")))
-        after = materialize(step.select("dir", "word", "place", "edits", "label", "child").mapInArrow(moved, STATE), "frontier")
+        fresh = going.filter("edits = 0").join(edges, "node").select("dir", "word", "place", "label", "child").mapInArrow(moved, STATE)
+        after = materialize(fresh.unionByName(after_edit(going.filter("edits = 1"), edges)) if len(found) > 1 else fresh, "frontier")
         if len(found) > 1:
             drop_materialized(states)
         states = after
