@@ -25,6 +25,8 @@ from pyspark.sql.window import Window
 from .common import materialize
 
 TREES, CHARACTERS, WIDTH = 100, 8, 8
+#: More than rounding can move a product of unit vectors.
+MARGIN = 1e-9
 RESULT = "query_id long, vec_id long, score double"
 
 
@@ -53,6 +55,23 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
+def cosines(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Cosines in extended precision, rounded once; each row is summed on its own in one order, so equal rows have equal scores wherever they stand."""
+    a, b = (x / np.abs(x).max(axis=-1, keepdims=True) for x in (rows.astype(np.longdouble), query.astype(np.longdouble)))
+    found = (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum())
+    return np.clip(found.astype(np.float64), -1, 1)
+
+
+def best_of(ids: np.ndarray, vectors: np.ndarray, unit: np.ndarray, at: np.ndarray, query: np.ndarray, unit_query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the k nearest rows among `at`; rough products choose the rows that can be among them, ties included."""
+    rough = unit[at] @ unit_query
+    if len(at) > k:
+        at = at[rough >= np.partition(rough, len(at) - k)[len(at) - k] - MARGIN]
+    score = cosines(vectors[at], query)
+    best = np.lexsort((ids[at], -score))[:k]
+    return ids[at][best], score[best]
+
+
 def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(ids, vectors) ordered by id."""
     ids = table["vec_id"].to_numpy()
@@ -69,8 +88,8 @@ def search(share: float, k: int, seed: int):
         q_ids, queries = matrix(asked)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(ids) and len(q_ids):
-            vectors, queries = unit_rows(vectors), unit_rows(queries)
-            unit, q_unit = vectors.astype(np.float32), queries.astype(np.float32)
+            double, q_double = unit_rows(vectors), unit_rows(queries)
+            unit, q_unit = double.astype(np.float32), q_double.astype(np.float32)
             trees = []
             for tree in range(TREES):
                 keys = strings(unit, tree, seed)
@@ -93,9 +112,8 @@ def search(share: float, k: int, seed: int):
                     if marked.sum() > enough or marked.all():
                         break
                 at = np.flatnonzero(marked & (ids != q_ids[i]))
-                score = vectors[at] @ queries[i]
-                best = np.lexsort((ids[at], -score))[:k]
-                found.append((np.full(len(best), q_ids[i]), ids[at][best], score[best]))
+                near, score = best_of(ids, vectors, double, at, queries[i], q_double[i], k)
+                found.append((np.full(len(near), q_ids[i]), near, score))
         parts = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": pa.array(parts[0].astype(np.int64)), "vec_id": pa.array(parts[1].astype(np.int64)), "score": pa.array(parts[2].astype(np.float64))})
 

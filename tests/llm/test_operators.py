@@ -549,3 +549,20 @@ def test_raking_matches_iterative_fitting(spark):
         x *= cols / x.sum(axis=0)
     for r in mixing.raked(cells, targets).collect():
         assert r["tokens"] * r["factor"] == pytest.approx(x[int(r["source"][1]), int(r["lang"][1])], abs=1e-4)
+
+
+def test_equal_vectors_have_equal_scores_in_any_block(spark):
+    rng = np.random.default_rng(4)
+    hot, asked = rng.standard_normal(64), rng.standard_normal(64)
+    for n in (7, 64, 599, 600, 601):
+        rows = np.where((np.arange(n) % 3 == 0)[:, None], hot, rng.standard_normal((n, 64)))
+        unit = neighbours.unit_rows(rows)
+        ids, scores = neighbours.best_of(np.arange(n), rows, unit, np.arange(n), hot, neighbours.unit_rows(hot[None])[0], 5)
+        same = np.arange(0, n, 3)[:5]
+        assert ids[:len(same)].tolist() == same.tolist() and set(scores[:len(same)]) == {1.0}
+        assert len(set(neighbours.cosines(rows[::3], asked).tolist())) == 1
+    table = spark.createDataFrame([(i, [float(x) for x in (hot if i % 3 == 0 else rng.standard_normal(64))]) for i in range(599)] + [(900, [float(2 * x) for x in hot])], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(table, F.col("vec_id") % 50 == 0, shard_rows=97).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got[0] == [(3, 1.0), (6, 1.0), (9, 1.0), (12, 1.0), (15, 1.0)] and got[900][0] == (0, 1.0)
