@@ -7,14 +7,17 @@ import json
 from collections.abc import Mapping
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..expressions import ExpressionError, parse
 from ..functions import NAMES
 from ..operators import ACTIONS, Context, apply
+from ..operators.errors import settled, with_failures
 from ..sources import schema_of
+from .graph import graph_of, sources_of
 from .rules import check_rules
 
 MOST_BYTES = 16 * 1024 * 1024
@@ -47,16 +50,6 @@ def fingerprint(contract: Mapping) -> str:
     return hashlib.sha256(json.dumps(contract, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
 
 
-def ordered(contract: Mapping) -> list[Mapping]:
-    """The actions in their declared order; several actions on one interface need one."""
-    actions = list(contract.get("semanticActions", []))
-    order = ((contract.get("semantics") or {}).get("ordering") or {}).get("order")
-    if not order:
-        return actions
-    place = {name: k for k, name in enumerate(order)}
-    return sorted(actions, key=lambda a: place.get(a["id"], len(place)))
-
-
 def calls_in(node) -> set[str]:
     if isinstance(node, Mapping):
         own = {node["call"].rpartition(":")[2]} if "call" in node else set()
@@ -95,6 +88,8 @@ def validate(contract: Mapping) -> list[str]:
         by_target[a.get("target", "").partition(".")[0]] = by_target.get(a.get("target", "").partition(".")[0], 0) + 1
     order = ((contract.get("semantics") or {}).get("ordering") or {}).get("order")
     found += [f"several actions on {t!r} need an order" for t, n in by_target.items() if n > 1 and not order]
+    if not found:
+        found += graph_of(contract).findings
     for r in contract.get("rules", []):
         if r.get("target", "").partition(".")[0] not in {*inputs, *outputs}:
             found.append(f"rule {r.get('id')}: unknown target {r.get('target')!r}")
@@ -110,7 +105,25 @@ def check_input(name: str, interface: Mapping, df: DataFrame) -> list[str]:
     firm = [f["name"] for f in fields if not f.get("nullable", True)]
     row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"c{k}") for k, c in enumerate(firm)]).first()
     found = [f"input {name}: {row[f'c{k}']} nulls in {c!r}" for k, c in enumerate(firm) if row[f"c{k}"]]
-    return found + ([f"input {name}: no rows"] if interface.get("required", True) and fields and not row["n"] else [])
+    return found + ([f"input {name}: no rows"] if not is_optional(interface) and fields and not row["n"] else [])
+
+
+def is_optional(interface: Mapping) -> bool:
+    return bool(interface.get("optional")) or interface.get("required") is False
+
+
+def with_absent(contract: Mapping, inputs: Mapping[str, DataFrame]) -> tuple[dict[str, DataFrame], list[str]]:
+    """(inputs with an empty frame of the declared schema for each optional one that is absent, what is missing)."""
+    frames, found = dict(inputs), []
+    for i in contract.get("inputs", []):
+        if i["id"] in frames:
+            continue
+        if not is_optional(i) or not frames:
+            found.append(f"input {i['id']} is missing")
+        else:
+            spark = next(iter(inputs.values())).sparkSession
+            frames[i["id"]] = spark.createDataFrame([], schema_of(i) or T.StructType([]))
+    return frames, found
 
 
 def with_place(df: DataFrame, ctx: Context) -> DataFrame:
@@ -126,11 +139,24 @@ def with_place(df: DataFrame, ctx: Context) -> DataFrame:
     return df.join(starts, "__part").withColumn("__place", F.col("__start") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id", "__part", "__start")
 
 
-def materialized(contract: Mapping, output: Mapping, frames: Mapping[str, DataFrame]) -> DataFrame:
-    """Project the lineage's input to the output's schema."""
-    sources = [i for m in (contract.get("lineage") or {}).get("mappings", []) if m.get("output") == output["id"] for i in m.get("inputs", [])]
-    inputs = [s.partition(".")[0] for s in sources] or [contract["inputs"][0]["id"]]
-    names = list(dict.fromkeys(inputs))
+#: Whole numbers up to which every one is a double of its own.
+SAFE_WHOLE = 1 << 53
+
+
+def refusal(col: Column, kind: T.DataType, wanted: T.DataType) -> Column | None:
+    """A code where a value has no exact counterpart in the declared type; None if every value has one or the types are left to a cast."""
+    if isinstance(wanted, T.LongType) and isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+        wide = (col < -float(1 << 63)) | (col >= float(1 << 63)) | F.isnan(col.cast("double"))
+        return F.when(wide, "out_of_range").when(col != F.floor(col), "fraction")
+    if isinstance(wanted, T.DoubleType) and isinstance(kind, T.LongType):
+        return F.when((col > SAFE_WHOLE) | (col < -SAFE_WHOLE), "unsafe_integer")
+    return None
+
+
+def materialized(contract: Mapping, output: Mapping, frames: Mapping[str, DataFrame], ctx: Context | None = None) -> DataFrame:
+    """Project the lineage's inputs to the output's schema. A value that its declared type cannot hold exactly raises, is null, or sends its row to the quarantine, by the mode."""
+    ctx = ctx or Context()
+    names = sources_of(contract, output["id"])
     schema = schema_of(output)
     base = frames[names[0]]
     if len(names) > 1:  # rows of several inputs meet by place, so each needs a numbering
@@ -141,32 +167,50 @@ def materialized(contract: Mapping, output: Mapping, frames: Mapping[str, DataFr
             base = base.join(more.select("__place", *[c for c in more.columns if c not in base.columns]), "__place", "left")
     if schema is None:
         return base.drop("__place")
-    return base.select(*[(F.col(f.name) if f.name in base.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
-
-
-def run(contract: Mapping, inputs: Mapping[str, DataFrame], strict: bool = False, check: bool = True) -> dict[str, DataFrame]:
-    """Outputs of a contract: preconditions, actions on inputs, materialisation, actions on outputs, postconditions."""
-    found = validate(contract)
+    out, failures = [], []
+    for f in schema.fields:
+        if f.name not in base.columns:
+            out.append(F.lit(None).cast(f.dataType).alias(f.name))
+            continue
+        col = F.col(f"`{f.name}`")
+        code = refusal(col, base.schema[f.name].dataType, f.dataType)
+        if code is None:
+            out.append(col.cast(f.dataType).alias(f.name))
+            continue
+        if ctx.mode == "route":
+            failures.append((f.name, code))
+        instead = F.raise_error(F.concat(F.lit(f"output {output['id']}: field {f.name}: "), code)).cast(f.dataType) if ctx.mode == "fail" else F.lit(None).cast(f.dataType)
+        out.append(F.when(code.isNotNull(), instead).otherwise(col.cast(f.dataType)).alias(f.name))
+    if failures:
+        base = with_failures(base, "materialize", failures)
+        return base.select(*out, "__error")
+    return base.select(*out)
+
+
+def run(contract: Mapping, inputs: Mapping[str, DataFrame], strict: bool = False, check: bool = True, mode: str = "fail") -> dict[str, DataFrame]:
+    """Outputs of a contract as frames: preconditions, actions and outputs in the graph's order, postconditions.
+
+    Checks run before the frames are returned, in passes of their own; execution.execute() checks within the jobs that write. In mode
+    route the result also holds the quarantine, as __quarantine.
+    """
+    frames, missing = with_absent(contract, inputs)
+    found = validate(contract) + missing
     for i in contract.get("inputs", []):
-        if i["id"] not in inputs:
-            found.append(f"input {i['id']} is missing")
-        elif check:
+        if i["id"] in inputs and check:
             found += check_input(i["id"], i, inputs[i["id"]])
     if found:
         raise ContractError(found)
-    frames, context = dict(inputs), Context(strict)
+    context = Context(strict, mode=mode)
     rules, outputs = contract.get("rules", []), {o["id"]: o for o in contract["outputs"]}
     if check:
         check_rules(frames, rules, ("precondition",))
-    actions = ordered(contract)
-    for a in actions:
-        if a["target"].partition(".")[0] not in outputs:
-            frames = apply(a["action"], a["target"], a.get("parameters"), frames, context)
-    for name, o in outputs.items():
-        frames[name] = materialized(contract, o, frames)
-    for a in actions:
-        if a["target"].partition(".")[0] in outputs:
-            frames = apply(a["action"], a["target"], a.get("parameters"), frames, context)
+    for node in graph_of(contract).order:
+        if isinstance(node, str):
+            frames[node] = materialized(contract, outputs[node], frames, context)
+        else:
+            frames = apply(node["action"], node["target"], node.get("parameters"), frames, context)
+    if mode == "route":
+        frames = settled(frames)
     if check:
-        check_rules(frames, rules, ("runtime", "postcondition"))
-    return {name: frames[name] for name in outputs}
+        check_rules(frames, rules, ("runtime", "execution", "postcondition"))
+    return {name: frames[name] for name in [*outputs, *(["__quarantine"] if mode == "route" else [])]}
