@@ -277,6 +277,16 @@ case("agg_first_last", "orders", [_ROWS, act("aggregate", "orders", groupBy=["o_
 case("agg_collect_list", "orders", [act("aggregate", "orders", groupBy=["o_custkey"], aggregates=[agg("collect_list", "kinds", "o_orderpriority"), agg("collect_list", "once", "o_orderpriority", distinct=True)]),
                                     act("project", "orders", fields=["o_custkey", {"expr": 'join_strings(list_sort(kinds), "|")', "as": "kinds"}, {"expr": 'join_strings(list_sort(once), "|")', "as": "once"}])],
      "SELECT o_custkey, string_agg(o_orderpriority, '|' ORDER BY o_orderpriority) AS kinds, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS once FROM orders GROUP BY ALL")
+case("agg_quantiles", "lineitem", [
+    act("aggregate", "lineitem", groupBy=["l_returnflag", "l_linenumber"], aggregates=[agg("quantile", "q10", "l_extendedprice", q=0.1), agg("quantile", "q99", "l_extendedprice", q=0.99), agg("median", "m", "l_quantity"),
+                                                                                       agg("quantile", "top", "l_quantity", q=1), agg("quantile", "d", "l_discount", q=0.75, distinct=True), agg("count_all", "n")])],
+     """SELECT l_returnflag, l_linenumber, quantile_disc(l_extendedprice, 0.1) AS q10, quantile_disc(l_extendedprice, 0.99) AS q99, quantile_disc(l_quantity, 0.5) AS m, max(l_quantity) AS top,
+ quantile_disc(DISTINCT l_discount, 0.75) AS d, count(*) AS n FROM lineitem GROUP BY ALL""")
+case("agg_covariance", "orders", [
+    act("aggregate", "orders", groupBy=["o_orderstatus"], aggregates=[agg("covariance", "c", "o_custkey", other="o_orderkey"), agg("covariance", "p", "o_custkey", other="o_orderkey", mode="population"), agg("correlation", "r", "o_custkey", other="o_totalprice")]),
+    act("with_fields", "orders", assignments=[{"as": "c", "expr": "round(c, 3)"}, {"as": "p", "expr": "round(p, 3)"}, {"as": "r", "expr": "round(r, 9)"}])],
+     """SELECT o_orderstatus, sign(c) * floor(abs(c) * 1000 + 0.5) / 1000 AS c, sign(p) * floor(abs(p) * 1000 + 0.5) / 1000 AS p, sign(r) * floor(abs(r) * 1e9 + 0.5) / 1e9 AS r FROM (
+ SELECT o_orderstatus, covar_samp(o_custkey, o_orderkey) AS c, covar_pop(o_custkey, o_orderkey) AS p, corr(o_custkey, o_totalprice) AS r FROM orders GROUP BY ALL)""")
 case("agg_spread", "orders", [act("aggregate", "orders", groupBy=["o_orderpriority"], aggregates=[agg("variance", "v", "o_custkey"), agg("stddev_pop", "s", "o_custkey")]),
                               act("with_fields", "orders", assignments=[{"as": "v", "expr": "round(v, 3)"}, {"as": "s", "expr": "round(s, 3)"}])],
      "SELECT o_orderpriority, round(var_samp(o_custkey) * 1000) / 1000 AS v, round(stddev_pop(o_custkey) * 1000) / 1000 AS s FROM orders GROUP BY ALL")
