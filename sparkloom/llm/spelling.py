@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import drop_materialized, gathered, materialize, one_array, small_arrow_batches, texts_of
 
 LETTERS = "A-Za-zÀ-ÿ"
+#: Bits by which an edge tells what may follow it: one for each class of letters, and one for the end of a word.
+CLASSES, END = 62, 62
 #: One in so many occurrences loses a letter.
 DAMAGED = 97
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -67,9 +69,11 @@ def counted(least_length: int, damaged: int):
             if not len(runs):
                 continue
             names = [b"%d:" % i if i is not None else b":" for i in one_array(table["doc_id"]).to_pylist()]
+            # A run that is too short stays so with a letter less.
             coded = runs.dictionary_encode()
+            long = pc.greater_equal(pc.utf8_length(coded.dictionary), least_length).to_numpy(zero_copy_only=False)[coded.indices.to_numpy()]
             words = [w.encode() for w in coded.dictionary.to_pylist()]
-            pairs, n = np.unique(owners * len(words) + coded.indices.to_numpy(), return_counts=True)
+            pairs, n = np.unique(owners[long] * len(words) + coded.indices.to_numpy()[long], return_counts=True)
             crc, heads = zlib.crc32, [zlib.crc32(x) for x in names]
             drawn = np.fromiter((crc(words[w], heads[d]) for d, w in zip((pairs // len(words)).tolist(), (pairs % len(words)).tolist())), np.uint32, len(pairs))
             hit = drawn % damaged == 0
@@ -95,7 +99,7 @@ def vocabulary(docs: DataFrame, least_length: int = 5, least_count: int = 3, dam
 
 
 def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """An Arrow function: (dir, word) to a row for each prefix from half of the word on: depth, node, and the letter that follows (-1: none)."""
+    """An Arrow function: (dir, word) to a row for each prefix from half of the word on: depth, node, the letter that follows (-1: none), and its bit."""
     for table in gathered(batches, 500_000):
         words = one_array(table["word"]).to_pylist()
         ways = one_array(table["dir"]).to_numpy().astype(np.uint64)
@@ -116,26 +120,27 @@ def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         follows = np.where(depth < sizes[word], np.append(codes, 0)[np.minimum(at, len(codes))].astype(np.int64), -1)
         yield pa.RecordBatch.from_arrays([
             one_array(table["dir"]).take(pa.array(word)), one_array(table["word"]).take(pa.array(word)), pa.array(depth.astype(np.int32)), pa.array(node.view(np.int64)),
-            pa.array(follows.astype(np.int32))], ["dir", "word", "depth", "node", "follows"])
+            pa.array(follows.astype(np.int32)), pa.array(np.left_shift(np.int64(1), np.where(follows < 0, END, follows % CLASSES)))], ["dir", "word", "depth", "node", "follows", "bit"])
 
 
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(paths, edges). paths: dir, word, depth, node of each word's kept nodes from half of its length on. edges: node, first, label, child.
+    """(paths, edges). paths: dir, word, depth, node of each word's kept nodes from half of its length on. edges: node, first, label, child, mask
+    (the bits of what follows the child).
 
     A node is kept if it branches, if a word ends there, or if some word starts its search there.
     """
     both = words.select(F.lit(0).alias("dir"), "word").unionByName(words.select(F.lit(1).alias("dir"), F.reverse("word").alias("word")))
-    rows = materialize(both.repartition("word").mapInArrow(prefixes, "dir int, word string, depth int, node long, follows int"), "trie-prefixes")
+    rows = materialize(both.repartition("word").mapInArrow(prefixes, "dir int, word string, depth int, node long, follows int, bit long"), "trie-prefixes")
     half = F.floor(F.char_length("word") / 2)
-    kept = rows.groupBy("node").agg(F.min("follows").alias("least"), F.max("follows").alias("most"), F.max(F.col("depth") == half).alias("start")).filter(
-        (F.col("least") != F.col("most")) | (F.col("least") == -1) | F.col("start")).select("node")
-    path = F.array_sort(F.collect_list(F.struct("depth", "node")))
+    kept = rows.groupBy("node").agg(F.min("follows").alias("least"), F.max("follows").alias("most"), F.max(F.col("depth") == half).alias("start"), F.bit_or("bit").alias("mask")).filter(
+        (F.col("least") != F.col("most")) | (F.col("least") == -1) | F.col("start")).select("node", "mask")
+    path = F.array_sort(F.collect_list(F.struct("depth", "node", "mask")))
     # A word has at most as many rows as letters.
     paths = materialize(rows.join(kept, "node").groupBy("dir", "word").agg(path.alias("path")), "trie-paths")
     steps = paths.select("word", F.explode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("a"), F.slice("path", F.lit(2), F.size("path") - 1).alias("b"))).alias("e"))
     label = F.substring("word", F.col("e.a.depth") + 1, F.col("e.b.depth") - F.col("e.a.depth"))
-    edges = steps.select(F.col("e.a.node").alias("node"), F.col("e.b.node").alias("child"), label.alias("label")).distinct()
-    edges = materialize(edges.select("node", F.substring("label", 1, 1).alias("first"), "label", "child"), "trie-edges")
+    edges = steps.select(F.col("e.a.node").alias("node"), F.col("e.b.node").alias("child"), F.col("e.b.mask").alias("mask"), label.alias("label")).distinct()
+    edges = materialize(edges.select("node", F.substring("label", 1, 1).alias("first"), "label", "child", "mask"), "trie-edges")
     drop_materialized(rows)
     return paths, edges
 
@@ -152,30 +157,37 @@ def common_prefix(a: str, b: str) -> int:
     return low
 
 
+def may_go_on(mask: int, word: str, place: int) -> int:
+    """Whether a node with this mask may have an edge for the word's next letter, or end a word where the word ends."""
+    return mask >> (END if place == len(word) else ord(word[place]) % CLASSES) & 1
+
+
 def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """An Arrow function: states without an edit, joined with edges, to the states that follow."""
+    """An Arrow function: states without an edit, joined with edges, to the states that follow and may get on."""
     for batch in batches:
         origin, places, nodes, edits = [], [], [], []
-        columns = [batch.column(c).to_pylist() for c in ("word", "place", "label", "child")]
-        for i, (word, place, label, child) in enumerate(zip(*columns)):
+        columns = [batch.column(c).to_pylist() for c in ("word", "place", "label", "child", "mask")]
+        for i, (word, place, label, child, mask) in enumerate(zip(*columns)):
             if word.startswith(label, place):
-                origin.append(i)
-                places.append(place + len(label))
-                nodes.append(child)
-                edits.append(0)
+                if place + len(label) < len(word):
+                    origin.append(i)
+                    places.append(place + len(label))
+                    nodes.append(child)
+                    edits.append(0)
                 continue
-            same = 0 if word[place:place + 1] != label[0] else common_prefix(word[place:place + len(label)], label)
+            same = 0 if word[place] != label[0] else common_prefix(word[place:place + len(label)], label)
             at = place + same
             if at >= len(word):
                 continue
-            if label[same] > word[at] and word.startswith(label[same + 1:], at + 1):
+            end = place + len(label)
+            if label[same] > word[at] and end <= len(word) and may_go_on(mask, word, end) and word.startswith(label[same + 1:], at + 1):
                 origin.append(i)
-                places.append(place + len(label))
+                places.append(end)
                 nodes.append(child)
                 edits.append(1)
-            if word.startswith(label[same:], at + 1):
+            if end + 1 <= len(word) and may_go_on(mask, word, end + 1) and word.startswith(label[same:], at + 1):
                 origin.append(i)
-                places.append(place + len(label) + 1)
+                places.append(end + 1)
                 nodes.append(child)
                 edits.append(1)
         taken = pa.array(origin, pa.int64())
@@ -183,12 +195,20 @@ def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["dir", "word", "place", "node", "edits"])
 
 
+def before_edit(states: DataFrame, edges: DataFrame) -> DataFrame:
+    """States without an edit along the edges that go on like the word, that have a later letter instead, or that have the letter after next."""
+    letter = lambda k: F.substring("word", F.col("place") + k, F.lit(1))
+    near = states.join(edges, "node").filter((F.col("first") >= letter(1)) | (F.col("first") == letter(2)))
+    return near.select("dir", "word", "place", "label", "child", "mask").mapInArrow(moved, STATE)
+
+
 def after_edit(states: DataFrame, edges: DataFrame) -> DataFrame:
     """States with an edit go on only along their own letters, so by one edge at most."""
     asked = states.withColumn("first", F.substring("word", F.col("place") + 1, F.lit(1)))
-    size = F.char_length("label")
-    return asked.join(edges, ["node", "first"]).filter(F.substring("word", F.col("place") + 1, size) == F.col("label")).select(
-        "dir", "word", (F.col("place") + size).cast("int").alias("place"), F.col("child").alias("node"), "edits")
+    end = F.col("place") + F.char_length("label")
+    follows = F.when(end == F.char_length("word"), F.lit(END)).otherwise(F.ascii(F.substring("word", end + 1, F.lit(1))) % CLASSES)
+    fits = (F.substring("word", F.col("place") + 1, F.char_length("label")) == F.col("label")) & (F.call_function("shiftright", F.col("mask"), follows).bitwiseAND(F.lit(1)) == 1)
+    return asked.join(edges, ["node", "first"]).filter(fits).select("dir", "word", end.cast("int").alias("place"), F.col("child").alias("node"), "edits")
 
 
 STATE = "dir int, word string, place int, node long, edits int"
@@ -206,7 +226,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
         arrived = states.filter(F.col("place") + F.when(F.col("edits") == 1, 0).otherwise(1) == F.char_length("word")).select("dir", "word", "node")
         found.append(materialize(arrived, "arrived"))
         going = states.filter(F.col("place") < F.char_length("word"))
-        fresh = going.filter("edits = 0").join(edges, "node").select("dir", "word", "place", "label", "child").mapInArrow(moved, STATE)
+        fresh = before_edit(going.filter("edits = 0"), edges)
         after = materialize(fresh.unionByName(after_edit(going.filter("edits = 1"), edges)) if len(found) > 1 else fresh, "frontier")
         if len(found) > 1:
             drop_materialized(states)
