@@ -14,15 +14,15 @@ hashed contexts (the last 1 to 5 bytes of the word, and the whole word so far),
 distinct training words and mixed in the same way. All bits sum up to the log10 probability of the text and, without the text's own counts, to bits per byte.
 
 On Spark: tasks turn documents into chunks of about `chunk_bytes` of text, and these into requests, one row for each chunk and
-bucket of hashes, with the chunk's distinct words or contexts (of one context in three, see THINNED), and into one row of token codes. A bucket counts its words (the
+bucket of hashes, with the chunk's distinct words or contexts, and into one row of token codes. A bucket counts its words (the
 vocabulary) and contexts and answers every chunk; buckets grow in number with the text, so that each holds about as much as
 a chunk. Chunks with their answers are written once, learned from and scored. A chunk whose answers do not fit it is an error. Counts of words and contexts thus grow with the
 corpus and never leave the executors; the mixers' tables have a fixed size, and only they and a row of totals reach the driver.
 
 Defined cases: null or empty text is just the end; null doc_id belongs to the fold of the empty string; repeated rows
 are scored (and counted) each; without training documents N and V are 0 and every word is spelled with even bits; an
-empty table gives an empty result; extra columns are not carried. Contexts are told apart by 44 bits of a hash, their
-followers by 40.
+empty table gives an empty result; extra columns are not carried. Contexts are told apart by 44 bits of a hash, the
+followers of one context by 24.
 """
 
 from __future__ import annotations
@@ -48,14 +48,12 @@ DISCOUNT = 0.75
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BATCH = 2000
 #: Bits of a context's hash and of a follower's; how many of the latter sort a chunk's requests.
-CONTEXT_BITS, FOLLOWER_BITS, SORTED_BITS = 44, 40, 20
+CONTEXT_BITS, FOLLOWER_BITS, SORTED_BITS = 44, 24, 20
 #: Hashes of what stands before a text and of its end.
 BEFORE, END = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 #: Experts besides the corpus' words: order 2, the text's own order 1, the text's words. For each, the sizes of its three tables.
 EXPERTS, TABLES, EXPERT_GATES = 3, (16 * 8, 16 * 16 * 16, 16 * 8 * 8), 16
 INPUTS = len(TABLES) + 1
-#: One context in so many, by its hash, is gathered: with all of them, the shuffles take about five times the text's bytes.
-THINNED = 3
 CHUNKS = "chunk long, doc_ids array<long>, train array<boolean>, classes array<int>, sizes array<long>, blobs array<binary>"
 REQUESTS = "chunk long, bucket int, blobs array<binary>"
 
@@ -219,6 +217,15 @@ def unpacked(blob: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
+def packed_sorted(values: np.ndarray) -> bytes:
+    """Ascending numbers by their steps."""
+    return packed(np.diff(values, prepend=values.dtype.type(0))) if len(values) else b""
+
+
+def unpacked_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(blob, np.uint64), dtype=np.uint64)
+
+
 def packed_words(words: pa.Array) -> tuple[bytes, bytes]:
     """(lengths, letters) of words."""
     words = words.cast(pa.binary())
@@ -261,11 +268,10 @@ def context_keys(tokens: np.ndarray, pos: np.ndarray, hashes: np.ndarray) -> tup
 
 
 def gathered_contexts(lengths: np.ndarray, tokens: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(tokens whose context is gathered, distinct keys, first place of each key among them, key of each)."""
+    """(distinct keys, the follower of each, the key of each token)."""
     keys, follower = context_keys(tokens, places(lengths)[1], np.append(hashes, END))
-    at = np.flatnonzero((keys >> np.uint64(SORTED_BITS)) % np.uint64(THINNED) == 0)
-    keys, first, inverse = np.unique(keys[at], return_index=True, return_inverse=True)
-    return at, keys, follower[at[first]], inverse
+    keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    return keys, follower[first], inverse
 
 
 def coded(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
@@ -340,12 +346,12 @@ def context_requests(bits: int, chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, table in chunked(batches, chunk_bytes):
             _, lengths, tokens, hashes, _ = coded(table)
-            at, keys, follower, inverse = gathered_contexts(lengths, tokens, hashes)
+            keys, follower, inverse = gathered_contexts(lengths, tokens, hashes)
             taught = np.repeat(one_array(table["class"]).to_numpy() >= 0, lengths)
-            times = np.bincount(inverse, taught[at], len(keys)).astype(np.uint32)
+            times = np.bincount(inverse, taught, len(keys)).astype(np.uint32)
             context = keys >> np.uint64(SORTED_BITS)
             w, c = slices(hashes, 64, bits), slices(context, CONTEXT_BITS, bits)
-            yield request_rows([(chunk, b, [packed(hashes[w[b]:w[b + 1]]), *(packed(x[c[b]:c[b + 1]]) for x in (context, follower, times))])
+            yield request_rows([(chunk, b, [packed_sorted(hashes[w[b]:w[b + 1]]), packed_sorted(context[c[b]:c[b + 1]]), *(packed(x[c[b]:c[b + 1]]) for x in (follower.astype(np.uint32), times))])
                                 for b in range(1 << bits) if w[b + 1] > w[b] or c[b + 1] > c[b]])
 
     return run
@@ -427,17 +433,17 @@ def answers(classes: int, tables: np.ndarray, weights: np.ndarray, code: np.ndar
             (hashes, lengths, letters, counts), = blobs_of(words)
             hashes, counts = unpacked(hashes, np.uint64), unpacked(counts, np.uint32).reshape(-1, classes)
             cost = costs(unpacked_words(lengths, letters), tables, weights, code).astype(np.float32)
-        context = [unpacked(x[1], np.uint64) for x in asked]
-        follower, times = (np.concatenate([unpacked(x[k], kind) for x in asked]) if asked else np.zeros(0, kind) for k, kind in ((2, np.uint64), (3, np.uint32)))
+        context = [unpacked_sorted(x[1]) for x in asked]
+        follower, times = (np.concatenate([unpacked(x[k], np.uint32) for x in asked]) if asked else np.zeros(0, np.uint32) for k in (2, 3))
         sizes = np.cumsum([0, *map(len, context)])
         context = np.concatenate(context) if asked else np.zeros(0, np.uint64)
         # A pair by 64 mixed bits of context and follower.
-        _, pair = np.unique(scrambled(context ^ scrambled(follower)), return_inverse=True)
+        _, pair = np.unique(scrambled(context ^ scrambled(follower.astype(np.uint64))), return_inverse=True)
         _, group = np.unique(context, return_inverse=True)
         c, n = (np.minimum(np.bincount(i, times)[i], 2**32 - 1).astype(np.uint32) if len(i) else np.zeros(0, np.uint32) for i in (pair, group))
         rows = []
         for k, x in enumerate(asked):
-            at = np.searchsorted(hashes, unpacked(x[0], np.uint64)) if x[0] else np.zeros(0, np.int64)
+            at = np.searchsorted(hashes, unpacked_sorted(x[0])) if x[0] else np.zeros(0, np.int64)
             own = slice(sizes[k], sizes[k + 1])
             rows.append([packed(counts[at].reshape(-1)) if len(at) else b"", packed(cost[at]) if len(at) else b"", packed(c[own]), packed(n[own])])
         return pa.table({"chunk": one_array(requests["chunk"]) if asked else pa.array([], pa.int64()), "bucket": one_array(requests["bucket"]) if asked else pa.array([], pa.int32()),
@@ -452,13 +458,11 @@ def joined(chunks: pa.Table, found: pa.Table) -> pa.Table:
     parts = [blobs_of(found)[i] for i in np.argsort(one_array(found["bucket"]).to_numpy()).tolist()] if len(found) else []
     for blobs in blobs_of(chunks):
         lengths, tokens, hashes = (unpacked(x, kind) for x, kind in zip(blobs, (np.uint32, np.uint32, np.uint64)))
-        at, keys, _, inverse = gathered_contexts(lengths.astype(np.int64), tokens, hashes)
+        keys, _, inverse = gathered_contexts(lengths.astype(np.int64), tokens, hashes)
         whole = lambda k, kind: np.concatenate([unpacked(x[k], kind) for x in parts] or [np.zeros(0, kind)])
         if len(whole(1, np.float32)) != len(hashes) or len(whole(2, np.uint32)) != len(keys):
             raise ValueError("a chunk and its answers differ: the documents have come in another order; write them as a table first")
-        seen = np.zeros((2, len(tokens)), np.uint32)
-        for i, k in ((0, 2), (1, 3)):
-            seen[i, at] = whole(k, np.uint32)[inverse]
+        seen = [whole(k, np.uint32)[inverse] for k in (2, 3)]
         # Answers come in the order of the words' hashes.
         counts, cost, order = whole(0, np.uint32).reshape(len(hashes), -1) if len(hashes) else np.zeros((0, 1), np.uint32), whole(1, np.float32), np.argsort(hashes)
         by_code = [np.empty_like(counts), np.empty_like(cost)]
@@ -741,11 +745,12 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", class_col
         used = np.stack([np.frombuffer(r["used"]) for r in parts]) + 1e-9
         each = np.stack([np.frombuffer(r["weights"]).reshape(weights.shape) for r in parts])
         weights = (each * used[:, :, None]).sum(axis=0) / used.sum(axis=0)[:, None]
-    asked = docs.mapInArrow(context_requests(bits, chunk_bytes), REQUESTS)
-    found = asked.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(answers(classes, tables, weights, code), REQUESTS)
-    chunks = docs.mapInArrow(chunk_rows(chunk_bytes), CHUNKS)
-    ready = materialize(chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(joined, CHUNKS), "chunks")
+    # Answers become a table of their own, so that the requests' shuffle can go before chunks and answers meet.
+    found = materialize(docs.mapInArrow(context_requests(bits, chunk_bytes), REQUESTS).groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(
+        answers(classes, tables, weights, code), REQUESTS), "answers")
     drop_materialized(words)
+    ready = materialize(docs.mapInArrow(chunk_rows(chunk_bytes), CHUNKS).groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(joined, CHUNKS), "chunks")
+    drop_materialized(found)
     pieces = ready.mapInArrow(learn(totals), "piece int, counts binary").groupBy("piece").applyInArrow(add_floats, "piece int, counts binary").toArrow()
     mixer = Mixer()
     if len(pieces):
