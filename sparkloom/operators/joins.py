@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..expressions import parse
 from ..expressions.build import Scope, Value, build
+from .intervals import range_join
 from .registry import ActionError, Context, action
 
 TYPES = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "left_semi": "left_semi",
@@ -14,8 +15,8 @@ TYPES = {"inner": "inner", "left": "left", "right": "right", "full": "full", "se
 
 @action("join")
 def join(frames, target, p, ctx: Context):
-    """Null keys never match unless nullSafe. Spark picks the strategy; keys are equality conditions, so nothing is nested-looped
-    unless there is a predicate only."""
+    """Null keys never match unless nullSafe. Spark picks the strategy; keys are equality conditions, and inner joins on ranges go by bins
+    (intervals.py), so nothing is nested-looped but other predicates without a key."""
     kind = TYPES.get(p.get("type", "inner"))
     if kind is None:
         raise ActionError(f"unknown join type {p['type']!r}")
@@ -34,12 +35,19 @@ def join(frames, target, p, ctx: Context):
     if kind != "cross" and p.get("leftKey"):
         a, b = l(p["leftKey"]), r(p.get("rightKey", p["leftKey"]))
         condition = a.eqNullSafe(b) if p.get("nullSafe") else a == b
-    predicate = p.get("on") or p.get("predicate")
+    predicate, ranged = p.get("on") or p.get("predicate"), None
     if predicate is not None:
-        scope = Scope(left.join(right), {n: Value(c, c) for n, c in seen.items()}, ctx.strict)
-        test = build(parse(predicate) if isinstance(predicate, str) else predicate, scope).col
+        scope = Scope(left.join(right), {n: Value(c, c) for n, c in seen.items()}, ctx.strict, ctx.mode != "fail")
+        node = parse(predicate) if isinstance(predicate, str) else predicate
+        test = build(node, scope).col
+        if condition is None and kind in ("inner", "cross") and ctx.mode == "fail":
+            side_of = {c: "r" if c in other and (policy == "preferRight" or c not in names) else "l" for c in [*names, *other]}
+            ranged = range_join(frames[target], frames[p["right"]], node, side_of, test, ctx.strict)
         condition = test if condition is None else condition & test
-    if condition is None:
+    if ranged is not None:
+        joined = ranged
+        l, r = (lambda c: F.col(f"__l_{names.index(c)}")), (lambda c: F.col(f"__r_{other.index(c)}"))
+    elif condition is None:
         joined = left.crossJoin(right)
     else:
         joined = left.join(right, condition, "inner" if kind == "cross" else kind)

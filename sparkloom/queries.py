@@ -90,6 +90,15 @@ for _t, _not in (("semi", ""), ("anti", "NOT ")):
          f"SELECT c_custkey, c_name FROM customer WHERE {_not}EXISTS (FROM {_O} o WHERE o.o_custkey = c_custkey)")
 case("join_cross", "nation region", [act("join", "nation", right="region", type="cross")], "SELECT * FROM nation CROSS JOIN region")
 case("join_theta", "nation region", [act("join", "nation", right="region", type="inner", predicate="n_regionkey < r_regionkey")], "SELECT * FROM nation JOIN region ON n_regionkey < r_regionkey")
+case("join_interval", "orders events", [
+    act("project", "orders", fields=["o_orderkey", "o_custkey", {"expr": 'date_add(o_orderdate, 29, "year")', "as": "starts"}]),
+    act("with_fields", "orders", assignments=[{"as": "ends", "expr": 'date_add(starts, o_custkey % 12, "hour")'}]), act("project", "events", fields=["event_id", "ts"]),
+    act("join", "orders", right="events", on="starts <= ts && ts < ends"), act("project", "orders", fields=["o_orderkey", "event_id"])],
+     "SELECT o_orderkey, event_id FROM orders JOIN events ON o_orderdate + INTERVAL 29 YEAR <= ts AND ts < o_orderdate + INTERVAL 29 YEAR + to_hours(o_custkey % 12)")
+case("join_band", "part supplier", [
+    act("project", "part", fields=["p_partkey", "p_retailprice"]), act("project", "supplier", fields=["s_suppkey", "s_acctbal"]),
+    act("join", "part", right="supplier", on="s_acctbal between p_retailprice - 40.0 and p_retailprice + 40.0 && (p_partkey + s_suppkey) % 2 == 0"), act("project", "part", fields=["p_partkey", "s_suppkey"])],
+     "SELECT p_partkey, s_suppkey FROM part JOIN supplier ON s_acctbal BETWEEN p_retailprice - 40.0 AND p_retailprice + 40.0 AND (p_partkey + s_suppkey) % 2 = 0")
 case("join_residual", "customer orders", [act("project", "customer", fields=["c_custkey", "c_acctbal"]), act("project", "orders", fields=["o_orderkey", "o_custkey", "o_totalprice"]),
                                           act("join", "customer", right="orders", leftKey="c_custkey", rightKey="o_custkey", on="o_totalprice > c_acctbal * 20")],
      "SELECT c_custkey, c_acctbal, o_orderkey, o_custkey, o_totalprice FROM customer JOIN orders ON c_custkey = o_custkey AND o_totalprice > c_acctbal * 20")
