@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from .aggregate import aggregate_of, as_number
-from .registry import ActionError, Context, action
+from .ordered import covered, over_order
+from .registry import ActionError, Context, action, item_column
 from .relational import sort_key
+from .sliding import with_median
 
 BOUNDS = {"unboundedPreceding": Window.unboundedPreceding, "unbounded_preceding": Window.unboundedPreceding, "currentRow": 0, "current_row": 0,
           "unboundedFollowing": Window.unboundedFollowing, "unbounded_following": Window.unboundedFollowing}
@@ -85,13 +87,40 @@ def one(f: dict, df: DataFrame, part: list, order: list[Column], rows: WindowSpe
     return aggregate_of(name, col, kind, False, F.lit(0)).over(spec)
 
 
+def streams(f: dict, frame: dict | None) -> tuple[int | None, int] | None:
+    """(first row or None for the start, last row) of a median's frame by rows that ends near the current one."""
+    frame = f.get("frame") or frame or {}
+    if f["function"].rpartition(":")[2] != "median" or (frame.get("type") or frame.get("unit") or "rows").lower() != "rows":
+        return None
+    low, high = bound(frame.get("start", frame.get("lower", "unboundedPreceding"))), bound(frame.get("end", frame.get("upper", "currentRow")))
+    if high >= Window.unboundedFollowing or low >= Window.unboundedFollowing or high <= Window.unboundedPreceding:
+        return None
+    return (None if low <= Window.unboundedPreceding else low), high
+
+
 @action("window")
 def window(frames, target, p, ctx: Context):
     df = frames[target]
-    part = list(p.get("partitionBy", []))
+    part, functions = list(p.get("partitionBy", [])), p["functions"]
+    if not part and p.get("orderBy") and covered(functions, p.get("frame")):
+        keys = [{"field": k} if isinstance(k, str) else k for k in p["orderBy"]]
+        asked = [(item_column(k, df, ctx)[1], bool(k.get("descending")), (k.get("nulls", "last") == "last") != bool(k.get("descending"))) for k in keys]
+        reads = {f["as"]: df[f["field"]] if f.get("field") else ctx.column(f["expr"], df) if f.get("expr") is not None else None for f in functions}
+        found = over_order(df, asked, ctx.order(df), functions, reads)
+        if found is not None:
+            return {target: found}
     order = [sort_key(df, k, ctx) for k in p.get("orderBy", [])]
     tie = [F.col(ctx.row_id)] if ctx.row_id in df.columns else []
     frame = p.get("frame") or {}
     by_range = (frame.get("type") or frame.get("unit") or "rows").lower() == "range"
+    names, ready = df.columns, {}
+    for i, f in enumerate(functions):
+        reach = streams(f, p.get("frame"))
+        if reach is not None and (f.get("field") or f.get("expr") is not None):
+            value = df[f["field"]] if f.get("field") else ctx.column(f["expr"], df)
+            df = with_median(df, part, [*(order or ctx.order(df)), *tie], as_number(value, df.select(value.alias("x")).schema[0].dataType), *reach, f"__median_{i}")
+            ready[i] = f"__median_{i}"
+            order = [sort_key(df, k, ctx) for k in p.get("orderBy", [])]
     rows = Window.partitionBy(*part).orderBy(*(order or ctx.order(df)), *([] if by_range else tie))
-    return {target: df.select("*", *[one(f, df, part, order, rows, p.get("frame"), ctx).alias(f["as"]) for f in p["functions"]])}
+    outs = [F.col(ready[i]) if i in ready else one(f, df, part, order, rows, p.get("frame"), ctx) for i, f in enumerate(functions)]
+    return {target: df.select(*[F.col(f"`{c}`") for c in names], *[c.alias(f["as"]) for c, f in zip(outs, functions)])}

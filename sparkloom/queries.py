@@ -299,6 +299,25 @@ case("agg_covariance", "orders", [
 case("agg_spread", "orders", [act("aggregate", "orders", groupBy=["o_orderpriority"], aggregates=[agg("variance", "v", "o_custkey"), agg("stddev_pop", "s", "o_custkey")]),
                               act("with_fields", "orders", assignments=[{"as": "v", "expr": "round(v, 3)"}, {"as": "s", "expr": "round(s, 3)"}])],
      "SELECT o_orderpriority, round(var_samp(o_custkey) * 1000) / 1000 AS v, round(stddev_pop(o_custkey) * 1000) / 1000 AS s FROM orders GROUP BY ALL")
+case("window_one_order", "orders", [
+    act("with_fields", "orders", assignments=[{"as": "p", "expr": "case_when(o_custkey % 50 == 0, null_if(o_custkey, o_custkey), o_custkey)"}]),
+    act("window", "orders", orderBy=[{"field": "p", "descending": True}, {"field": "o_orderstatus"}], functions=[
+        {"as": "rk", "function": "rank"}, {"as": "dr", "function": "dense_rank"}, {"as": "pr", "function": "percent_rank"}, {"as": "cd", "function": "cume_dist"}]),
+    act("window", "orders", orderBy=[{"field": "o_orderpriority"}, {"field": "o_orderkey"}], functions=[
+        {"as": "rn", "function": "row_number"}, {"as": "t", "function": "ntile", "n": 7}, {"as": "prev", "function": "lag", "field": "o_custkey", "offset": 3, "default": -1}, {"as": "next", "function": "lead", "field": "o_custkey"},
+        {"as": "s", "function": "sum", "field": "o_custkey"}, {"as": "c", "function": "count", "field": "p"}, {"as": "lo", "function": "min", "field": "o_totalprice"}, {"as": "hi", "function": "max", "field": "o_totalprice"}]),
+    act("project", "orders", fields=["o_orderkey", "rk", "dr", {"expr": "round(pr, 9)", "as": "pr"}, {"expr": "round(cd, 9)", "as": "cd"}, "rn", "t", "prev", "next", "s", "c", "lo", "hi"])],
+     """SELECT o_orderkey, rank() OVER v AS rk, dense_rank() OVER v AS dr, floor(percent_rank() OVER v * 1e9 + 0.5) / 1e9 AS pr, floor(cume_dist() OVER v * 1e9 + 0.5) / 1e9 AS cd, row_number() OVER w AS rn,
+ (row_number() OVER w - 1) * 7 // count(*) OVER () + 1 AS t, lag(o_custkey, 3, -1) OVER w AS prev, lead(o_custkey) OVER w AS next, (sum(o_custkey) OVER r)::DOUBLE AS s, count(p) OVER r AS c, min(o_totalprice) OVER r AS lo, max(o_totalprice) OVER r AS hi
+ FROM (SELECT *, CASE WHEN o_custkey % 50 <> 0 THEN o_custkey END AS p FROM orders) WINDOW v AS (ORDER BY p DESC NULLS FIRST, o_orderstatus), w AS (ORDER BY o_orderpriority, o_orderkey),
+ r AS (ORDER BY o_orderpriority, o_orderkey ROWS UNBOUNDED PRECEDING)""")
+case("window_running_median", "orders", [
+    act("window", "orders", partitionBy=["o_orderstatus"], orderBy=[{"field": "o_orderkey"}], functions=[
+        {"as": "m", "function": "median", "field": "o_totalprice"}, {"as": "near", "function": "median", "field": "o_totalprice", "frame": {"type": "rows", "start": {"preceding": 5}, "end": {"following": 4}}},
+        {"as": "before", "function": "median", "field": "o_custkey", "frame": {"type": "rows", "start": {"preceding": 100}, "end": {"preceding": 1}}}, {"as": "n", "function": "row_number"}]),
+    act("project", "orders", fields=["o_orderkey", "m", "near", "before", "n"])],
+     """SELECT o_orderkey, quantile_disc(o_totalprice, 0.5) OVER (w ROWS UNBOUNDED PRECEDING) AS m, quantile_disc(o_totalprice, 0.5) OVER (w ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS near,
+ quantile_disc(o_custkey::DOUBLE, 0.5) OVER (w ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) AS before, row_number() OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderkey)""")
 case("window_framed_aggregates", "orders", [
     act("with_fields", "orders", assignments=[{"as": "p", "expr": "case_when(o_custkey % 3 == 0, null_if(o_totalprice, o_totalprice), o_totalprice)"}]),
     act("window", "orders", **_BY, frame={"type": "rows", "start": {"preceding": 2}, "end": "currentRow"}, functions=[
