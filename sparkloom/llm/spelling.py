@@ -2,9 +2,9 @@
 
 The distinct words form a trie that is never held in one place: it is a table of edges (node, first, label, child), where
 a node is the 64-bit hash of a prefix and runs of nodes without a branch are one edge with a longer label. Frontier
-states (word, position, node, edits) start with every word at half its length and are joined with the edge table round by round:
-a label that goes on like the word moves the state on; at the first difference the word's letter is replaced or left out,
-which costs the one edit; a state with an edit moves on only along its own letters. States that have used up their word
+states (word, position, node) without an edit are the word's own nodes from half of its length on. Joined with the edge
+table, they get their one edit at the first difference from a label: the word's letter is replaced or left out. States with an edit
+are joined with the edge table round by round and move on only along their own letters. States that have used up their word
 at the end of a word become neighbours. A second trie of reversed words, in the same tables, finds the edits in
 the first half, so no round ever fans out over the trie's crowded top. Rounds are bounded by the branches below half of a word, not
 by its length. Each pair of words is found from its longer word (or the one with the smaller letter), confirmed by its edit
@@ -163,17 +163,12 @@ def may_go_on(mask: int, word: str, place: int) -> int:
 
 
 def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """An Arrow function: states without an edit, joined with edges, to the states that follow and may get on."""
+    """An Arrow function: states without an edit, joined with edges, to the states with one that follow and may get on."""
     for batch in batches:
-        origin, places, nodes, edits = [], [], [], []
+        origin, places, nodes = [], [], []
         columns = [batch.column(c).to_pylist() for c in ("word", "place", "label", "child", "mask")]
         for i, (word, place, label, child, mask) in enumerate(zip(*columns)):
             if word.startswith(label, place):
-                if place + len(label) < len(word):
-                    origin.append(i)
-                    places.append(place + len(label))
-                    nodes.append(child)
-                    edits.append(0)
                 continue
             same = 0 if word[place] != label[0] else common_prefix(word[place:place + len(label)], label)
             at = place + same
@@ -184,15 +179,12 @@ def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 origin.append(i)
                 places.append(end)
                 nodes.append(child)
-                edits.append(1)
             if end + 1 <= len(word) and may_go_on(mask, word, end + 1) and word.startswith(label[same:], at + 1):
                 origin.append(i)
                 places.append(end + 1)
                 nodes.append(child)
-                edits.append(1)
         taken = pa.array(origin, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("dir").take(taken), batch.column("word").take(taken), pa.array(places, pa.int32()), pa.array(nodes, pa.int64()), pa.array(edits, pa.int32())],
-                                         ["dir", "word", "place", "node", "edits"])
+        yield pa.RecordBatch.from_arrays([batch.column("dir").take(taken), batch.column("word").take(taken), pa.array(places, pa.int32()), pa.array(nodes, pa.int64())], ["dir", "word", "place", "node"])
 
 
 def before_edit(states: DataFrame, edges: DataFrame) -> DataFrame:
@@ -208,10 +200,10 @@ def after_edit(states: DataFrame, edges: DataFrame) -> DataFrame:
     end = F.col("place") + F.char_length("label")
     follows = F.when(end == F.char_length("word"), F.lit(END)).otherwise(F.ascii(F.substring("word", end + 1, F.lit(1))) % CLASSES)
     fits = (F.substring("word", F.col("place") + 1, F.char_length("label")) == F.col("label")) & (F.call_function("shiftright", F.col("mask"), follows).bitwiseAND(F.lit(1)) == 1)
-    return asked.join(edges, ["node", "first"]).filter(fits).select("dir", "word", end.cast("int").alias("place"), F.col("child").alias("node"), "edits")
+    return asked.join(edges, ["node", "first"]).filter(fits).select("dir", "word", end.cast("int").alias("place"), F.col("child").alias("node"))
 
 
-STATE = "dir int, word string, place int, node long, edits int"
+STATE = "dir int, word string, place int, node long"
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
@@ -219,20 +211,16 @@ def near_pairs(words: DataFrame) -> DataFrame:
     paths, edges = trie(words)
     # Words by the node where they end; a row for each word and way.
     ends = paths.select("dir", F.element_at("path", -1)["node"].alias("node"), F.col("word").alias("other"))
-    states = paths.select("dir", "word", F.floor(F.char_length("word") / 2).cast("int").alias("place"), F.element_at("path", 1)["node"].alias("node"), F.lit(0).alias("edits"))
-    found = []
-    while True:
-        # A state at the end of its word with an edit, or one letter before it without, may have reached another word.
-        arrived = states.filter(F.col("place") + F.when(F.col("edits") == 1, 0).otherwise(1) == F.char_length("word")).select("dir", "word", "node")
-        found.append(materialize(arrived, "arrived"))
-        going = states.filter(F.col("place") < F.char_length("word"))
-        fresh = before_edit(going.filter("edits = 0"), edges)
-        after = materialize(fresh.unionByName(after_edit(going.filter("edits = 1"), edges)) if len(found) > 1 else fresh, "frontier")
-        if len(found) > 1:
-            drop_materialized(states)
+    # Without an edit a word can only be at the nodes of its own path.
+    own = paths.select("dir", "word", F.explode("path").alias("p")).select("dir", "word", F.col("p.depth").alias("place"), F.col("p.node").alias("node")).filter(F.col("place") < F.char_length("word"))
+    # A state one letter before the end of its word without an edit, or at the end with one, may have reached another word.
+    found = [materialize(own.filter(F.col("place") + 1 == F.char_length("word")).select("dir", "word", "node"), "arrived")]
+    states = materialize(before_edit(own, edges), "frontier")
+    while not states.isEmpty():
+        found.append(materialize(states.filter(F.col("place") == F.char_length("word")).select("dir", "word", "node"), "arrived"))
+        after = materialize(after_edit(states.filter(F.col("place") < F.char_length("word")), edges), "frontier")
+        drop_materialized(states)
         states = after
-        if states.isEmpty():
-            break
     reached = found[0]
     for more in found[1:]:
         reached = reached.unionByName(more)
