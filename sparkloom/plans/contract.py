@@ -16,6 +16,7 @@ from ..expressions import ExpressionError, parse
 from ..functions import NAMES
 from ..operators import ACTIONS, Context, apply
 from ..operators.errors import settled, with_failures
+from ..operators.ordered import over_order
 from ..sources import schema_of
 from .graph import graph_of, sources_of
 from .rules import check_rules
@@ -127,12 +128,13 @@ def with_absent(contract: Mapping, inputs: Mapping[str, DataFrame]) -> tuple[dic
 
 
 def with_place(df: DataFrame, ctx: Context) -> DataFrame:
-    """Number rows from 0 by the row id, or else in order: by partition, with the partitions' sizes (one row each) before them.
+    """Number rows from 0 in the order of their row ids, or else as they come: by partition, with the partitions' sizes (one row each) before them.
 
     Without a row id df is evaluated twice and must give its rows in the same partitions both times, as a scan does.
     """
     if ctx.row_id in df.columns:
-        return df.withColumn("__place", F.col(ctx.row_id).cast("bigint"))
+        first = [{"as": "__place", "function": "row_number"}]
+        return over_order(df, [(F.col(ctx.row_id).cast("bigint"), False, True)], [], first, {"__place": None}).withColumn("__place", F.col("__place") - 1)
     df = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = df.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))

@@ -336,6 +336,9 @@ case("explode_outer", "orders", [act("with_fields", "orders", assignments=[{"as"
      "SELECT o_orderkey, o_custkey AS x, 0::BIGINT AS i FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, o_orderkey, 1 FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, NULL, 0 FROM orders WHERE o_orderstatus <> 'F'")
 case("pivot_last", "orders", [_ROWS, act("pivot", "orders", keys=["o_custkey"], pivot="o_orderstatus", value="o_totalprice", categories=["F", "O", "P"], collisionPolicy="last")],
      "SELECT o_custkey, " + ", ".join(f"arg_max(o_totalprice, o_orderkey) FILTER (o_orderstatus = '{x}') AS \"{x}\"" for x in "FOP") + " FROM orders GROUP BY ALL")
+case("pivot_aggregates", "orders", [act("pivot", "orders", groupBy=["o_orderpriority"], pivot="o_orderstatus", categories=["F", "O", "P"], aggregates=[agg("count_all", "n"), agg("max", "top", "o_totalprice"), agg("sum", "ids", "o_custkey")])],
+     "SELECT o_orderpriority, " + ", ".join(f"count(*) FILTER (o_orderstatus = '{x}') AS \"{x}_n\", max(o_totalprice) FILTER (o_orderstatus = '{x}') AS \"{x}_top\", (sum(o_custkey) FILTER (o_orderstatus = '{x}'))::DOUBLE AS \"{x}_ids\"" for x in "FOP")
+     + " FROM orders GROUP BY ALL")
 case("union_positional", "nation region", [act("project", "nation", fields=["n_nationkey", "n_name"]), act("project", "region", fields=["r_regionkey", "r_name"]), act("union", "nation", other="region")],
      "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
 case("partitioning_keeps_rows", "orders", [act("project", "orders", fields=KEEP), act("repartition", "orders", keys=["o_custkey"]), act("coalesce_partitions", "orders", count=2)],

@@ -128,6 +128,22 @@ def test_pivot_explode_unpivot(spark):
         apply("explode", "t", {"expr": "items", "as": ["id"]}, frames)
 
 
+def test_explode_keeps_its_bound_and_pivot_aggregates(spark):
+    frames = t(spark, [(1, [5, 6]), (2, []), (3, [7])], "id int, items array<int>")
+    explode = lambda most, **more: apply("explode", "t", {"expr": "items", "as": ["e"], "maxExpansion": most, **more}, frames)["t"].count()
+    assert explode(3) == 3 and explode(4, outer=True) == 4
+    for most, more in ((2, {}), (3, {"outer": True})):
+        with pytest.raises(ActionError):
+            explode(most, **more)
+    frames = t(spark, [("a", "x", 1), ("a", "x", 3), ("a", "y", 2), ("b", "x", None)], "k string, p string, v int")
+    pivot = {"groupBy": ["k"], "pivot": "p", "categories": ["x", "y"], "aggregates": [{"op": "sum", "field": "v", "as": "s"}, {"op": "count_all", "as": "n"}]}
+    out = apply("pivot", "t", pivot, frames)["t"]
+    assert out.columns == ["k", "x_s", "x_n", "y_s", "y_n"] and sorted(rows(out)) == [("a", 4.0, 2, 2.0, 1), ("b", 0.0, 1, 0.0, 0)]
+    assert sorted(rows(apply("pivot", "t", {**pivot, "aggregates": pivot["aggregates"][:1]}, frames)["t"])) == [("a", 4.0, 2.0), ("b", 0.0, 0.0)]
+    with pytest.raises(ActionError):
+        apply("pivot", "t", {**pivot, "aggregates": [{"op": "collect_list", "field": "v", "as": "l"}]}, frames)
+
+
 def test_seeded_sample_order(spark):
     frames = t(spark, [(i,) for i in range(5)], "i int")
     frames["t"] = frames["t"].coalesce(1)
@@ -193,6 +209,8 @@ def test_outputs_of_several_inputs_meet_by_place(spark):
     b = spark.createDataFrame([(i, f"y{i}") for i in reversed(range(9))], "__row_id long, y string")
     a = a.withColumn("__row_id", F.col("x"))
     assert sorted(rows(run(contract, {"a": a, "b": b})["o"])) == [(i, f"y{i}") for i in range(9)]
+    gaps = run(contract, {"a": a.withColumn("__row_id", F.col("x") * 3 + 1), "b": b})["o"]
+    assert sorted(rows(gaps)) == [(i, f"y{i}") for i in range(9)]
     plain = run(contract, {"a": spark.range(9).select(F.col("id").alias("x")), "b": spark.range(9).select(F.concat(F.lit("y"), F.col("id")).alias("y"))})["o"]
     assert sorted(rows(plain)) == [(i, f"y{i}") for i in range(9)]
 
