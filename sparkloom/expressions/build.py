@@ -17,7 +17,7 @@ class Value:
     """A column and, for typing inside lambdas, the same column over typed nulls in place of lambda variables.
 
     error: in scopes that keep errors, a code where the value could not be computed, else null; None if it always can.
-    state: the code of an invalid field; None if the frame has no invalid fields.
+    state: the code of an invalid field; None if the frame has no invalid fields. missing: whether the row lacks the field, where a frame knows.
     """
 
     col: Column
@@ -26,6 +26,7 @@ class Value:
     is_literal: bool = False
     error: Column | None = None
     state: Column | None = None
+    missing: Column | None = None
 
 
 @dataclass
@@ -48,6 +49,8 @@ class Scope:
 
 #: The map of a frame's invalid fields to their codes, where a frame has one.
 INVALID = "__invalid"
+#: The list of the fields that a row lacks.
+MISSING = "__missing"
 
 
 def first_error(*errors: Column | None) -> Column | None:
@@ -71,7 +74,8 @@ def field_of(name: str, scope: Scope) -> Value:
         return scope.variables[last]
     if last in scope.df.columns:
         col = scope.df[last]
-        return Value(col, col, state=F.try_element_at(scope.df[INVALID], F.lit(last)) if scope.errors and INVALID in scope.df.columns else None)
+        state = F.try_element_at(scope.df[INVALID], F.lit(last)) if INVALID in scope.df.columns else None
+        return Value(col, col, state=state, missing=F.array_contains(scope.df[MISSING], last) if MISSING in scope.df.columns else None)
     return Value(F.lit(None), F.lit(None))
 
 

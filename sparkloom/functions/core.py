@@ -60,12 +60,19 @@ def has(scope: Scope, of: Value, item: Value) -> Value:
 columns("coalesce", 1, None)(F.coalesce)
 columns("if_null", 2)(lambda v, d: F.coalesce(v, d))
 columns("is_null", 1)(lambda v: v.isNull())
-columns("is_invalid", 1)(lambda v: F.lit(False))
+
+
+@values("is_invalid", 1)
+def is_invalid(scope: Scope, v: Value) -> Value:
+    """Whether the frame marks the field as invalid."""
+    return literal(False) if v.state is None else Value(v.state.isNotNull(), F.lit(None).cast("boolean"))
 
 
 @values("is_missing", 1)
 def is_missing(scope: Scope, v: Value) -> Value:
-    """Whether the frame lacks the column (an absent column is a typeless null)."""
+    """Whether the row lacks the field, where the frame knows, or else whether the frame lacks the column (an absent column is a typeless null)."""
+    if v.missing is not None:
+        return Value(v.missing, F.lit(None).cast("boolean"))
     return literal(isinstance(scope.type_of(v), T.NullType))
 
 

@@ -377,6 +377,34 @@ def sample_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_all([act("with_fields", "orders", assignments=[{"as": "__row_id", "expr": "o_orderkey"}]), act("sample", "orders", fraction=0.1, seed=42)], frames)["orders"]
 
 
+JSON_FIELDS = [{"name": "id", "type": "integer"}, {"name": "v", "type": "decimal"}, {"name": "day", "type": "date"}, {"name": "tags", "type": {"list": "string"}}]
+
+
+def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON text: values that are missing, invalid, null or of another type, days in wrappers, and rows cut short."""
+    from pyspark.sql import functions as F
+
+    events = read_table(spark, sf_dir, "events")
+    value = F.expr("""CASE user_id % 7 WHEN 0 THEN '"v": {"$missing": true}, ' WHEN 1 THEN '"v": {"$invalid": "late"}, ' WHEN 2 THEN '"v": null, ' WHEN 3 THEN '' WHEN 4 THEN '"v": {"$is": "invalid", "reason": "odd"}, '
+        WHEN 5 THEN '"v": "text", ' ELSE concat('"v": ', cast(value AS string), ', ') END""")
+    row = F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(", "), value, F.lit('"day": {"$date": "'), F.date_format("ts", "yyyy-MM-dd"), F.lit('"}, "tags": ["a", "'), F.col("event_type"), F.lit('"]'))
+    return events.select("event_id", F.concat(row, F.when(F.col("event_id") % 11 == 0, "").otherwise("}")).alias("text"))
+
+
+def json_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.typed_json import decoded
+
+    frames = {"events": decoded(json_rows(spark, sf_dir), "text", JSON_FIELDS, "invalid")}
+    asked = ["id", "v", "day", {"expr": "is_missing(v)", "as": "missing"}, {"expr": "is_invalid(v)", "as": "invalid"}, {"expr": "is_invalid(tags)", "as": "corrupt"}, {"expr": "index(tags, 1)", "as": "tag"}]
+    return apply_all([act("project", "events", fields=asked)], frames)["events"]
+
+
+def json_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.typed_json import decoded
+
+    return apply_all([], {"events": decoded(json_rows(spark, sf_dir), "text", JSON_FIELDS, "route", ("event_id",))}, Context(mode="route"))["__quarantine"].select("action", "field", "code", "row")
+
+
 def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = {"orders": read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")}
     out = apply_all([act("with_fields", "orders", assignments=[{"as": "__row_id", "expr": "o_orderkey"}]), act("random_split", "orders", weights=[3, 1], outputs=["train", "test"], seed=7)], frames)
@@ -388,7 +416,7 @@ def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from .plans import contract_queries
 
-    return {n: one(n) for n in C} | {"sample_seeded": sample_seeded, "random_split": random_split} | contract_queries.queries()
+    return {n: one(n) for n in C} | {"sample_seeded": sample_seeded, "random_split": random_split, "json_states": json_states, "json_rejects": json_rejects} | contract_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -396,7 +424,14 @@ def oracle_sql() -> dict[str, str]:
 
     ranked = "SELECT o_orderkey, o_custkey, md5('{seed}:' || o_orderkey) AS rank FROM orders"
     share = "('0x' || substr(rank, 1, 13))::BIGINT / 4503599627370496.0"
+    value = """CASE user_id % 7 WHEN 0 THEN '"v": {"$missing": true}, ' WHEN 1 THEN '"v": {"$invalid": "late"}, ' WHEN 2 THEN '"v": null, ' WHEN 3 THEN '' WHEN 4 THEN '"v": {"$is": "invalid", "reason": "odd"}, '
+        WHEN 5 THEN '"v": "text", ' ELSE '"v": ' || value || ', ' END"""
+    text = f"""'{{"id": ' || event_id || ', ' || {value} || '"day": {{"$date": "' || strftime(ts, '%Y-%m-%d') || '"}}, "tags": ["a", "' || event_type || '"]' || CASE WHEN event_id % 11 = 0 THEN '' ELSE '}}' END"""
     samples = {
+        "json_states": """SELECT CASE WHEN whole THEN event_id END AS id, CASE WHEN whole AND k = 6 THEN value END AS v, CASE WHEN whole THEN ts::DATE END AS day, whole AND k IN (0, 3) AS missing,
+ NOT whole OR k IN (1, 4, 5) AS invalid, NOT whole AS corrupt, CASE WHEN whole THEN event_type END AS tag FROM (SELECT *, event_id % 11 <> 0 AS whole, user_id % 7 AS k FROM events)""",
+        "json_rejects": f"""SELECT 'decode' AS action, CASE WHEN event_id % 11 = 0 THEN 'id' ELSE 'v' END AS field, CASE WHEN event_id % 11 = 0 THEN 'corrupt_row' ELSE 'wrong_type' END AS code,
+ to_json({{text: {text}}})::VARCHAR AS "row" FROM events WHERE event_id % 11 = 0 OR user_id % 7 = 5""",
         "sample_seeded": f"SELECT o_orderkey, o_custkey, o_orderkey AS __row_id FROM ({ranked.format(seed=42)}) ORDER BY rank LIMIT (SELECT count(*) // 10 FROM orders)",
         "random_split": f"SELECT o_orderkey, o_custkey, CASE WHEN {share} < 0.75 THEN 'train' ELSE 'test' END AS part FROM ({ranked.format(seed=7)})",
     }
