@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..expressions import parse
 from ..expressions.build import Scope, Value, build
-from .intervals import range_join
+from .intervals import conjuncts, range_join
 from .registry import ActionError, Context, action
 
 TYPES = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "left_semi": "left_semi",
@@ -39,8 +41,9 @@ def join(frames, target, p, ctx: Context):
     if predicate is not None:
         scope = Scope(left.join(right), {n: Value(c, c) for n, c in seen.items()}, ctx.strict, ctx.mode != "fail")
         node = parse(predicate) if isinstance(predicate, str) else predicate
-        test = build(node, scope).col
-        if condition is None and kind in ("inner", "cross") and ctx.mode == "fail":
+        live = left.isStreaming and right.isStreaming
+        test = build(node, scope).col if not live else functools.reduce(lambda a, b: a & b, [build(c, scope).col for c in conjuncts(node)])  # Spark reads bounds in time from plain conjunctions
+        if condition is None and kind in ("inner", "cross") and ctx.mode == "fail" and not (left.isStreaming or right.isStreaming):
             side_of = {c: "r" if c in other and (policy == "preferRight" or c not in names) else "l" for c in [*names, *other]}
             ranged = range_join(frames[target], frames[p["right"]], node, side_of, test, ctx.strict)
         condition = test if condition is None else condition & test

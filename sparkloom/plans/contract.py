@@ -15,10 +15,10 @@ from pyspark.sql.window import Window
 from ..expressions import ExpressionError, parse
 from ..functions import NAMES
 from ..operators import ACTIONS, Context, apply
-from ..operators.errors import settled, with_failures
+from ..operators.errors import ERROR, settle, settled, with_failures
 from ..operators.ordered import over_order
 from ..sources import schema_of
-from .graph import graph_of, sources_of
+from .graph import Graph, graph_of, sources_of
 from .rules import check_rules
 
 MOST_BYTES = 16 * 1024 * 1024
@@ -183,12 +183,19 @@ def materialized(contract: Mapping, output: Mapping, frames: Mapping[str, DataFr
             failures.append((f.name, code))
         instead = F.raise_error(F.concat(F.lit(f"output {output['id']}: field {f.name}: "), code)).cast(f.dataType) if ctx.mode == "fail" else F.lit(None).cast(f.dataType)
         out.append(F.when(code.isNotNull(), instead).otherwise(col.cast(f.dataType)).alias(f.name))
-    if failures:
-        base = with_failures(base, "materialize", failures)
-        return base.select(*out, "__error")
+    if failures or ERROR in base.columns:
+        return with_failures(base, "materialize", failures).select(*out, ERROR)
     return base.select(*out)
 
 
+def before_output(contract: Mapping, output: str, frames: dict[str, DataFrame], graph: Graph) -> dict[str, DataFrame]:
+    """Frames as an output is made of them: bad rows of a frame that several read go to the quarantine first, so each is there once."""
+    for name in sources_of(contract, output):
+        if graph.readers.get(name, 0) > 1:
+            frames = settle(frames, name)
+    return frames
+
+
 def run(contract: Mapping, inputs: Mapping[str, DataFrame], strict: bool = False, check: bool = True, mode: str = "fail") -> dict[str, DataFrame]:
     """Outputs of a contract as frames: preconditions, actions and outputs in the graph's order, postconditions.
 
@@ -206,13 +213,15 @@ def run(contract: Mapping, inputs: Mapping[str, DataFrame], strict: bool = False
     rules, outputs = contract.get("rules", []), {o["id"]: o for o in contract["outputs"]}
     if check:
         check_rules(frames, rules, ("precondition",))
-    for node in graph_of(contract).order:
+    graph = graph_of(contract)
+    for node in graph.order:
         if isinstance(node, str):
+            frames = before_output(contract, node, frames, graph)
             frames[node] = materialized(contract, outputs[node], frames, context)
         else:
             frames = apply(node["action"], node["target"], node.get("parameters"), frames, context)
-    if mode == "route":
-        frames = settled(frames)
+    if mode == "route":  # bad rows of a frame that one output is made of are in that output
+        frames |= settled({n: f for n, f in frames.items() if not graph.readers.get(n)})
     if check:
         check_rules(frames, rules, ("runtime", "execution", "postcondition"))
     return {name: frames[name] for name in [*outputs, *(["__quarantine"] if mode == "route" else [])]}

@@ -92,6 +92,33 @@ def contract_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  "id string, rule string, phase string, frame string, field string, outcome string, violations long, indeterminate long, rows long")
 
 
+#: The first event of each user and kind, from an unbounded input.
+STREAM_CONTRACT = {
+    "id": "firsts", "name": "First events", "version": "1.0.0",
+    "inputs": [interface("events", field("event_id", "integer"), field("ts", "datetime"), field("user_id", "integer"), field("event_type", "string"), field("value", "decimal"),
+                         streaming={"mode": "unbounded"}, watermark={"field": "ts", "delay": "1 hour"})],
+    "outputs": [interface("firsts", field("event_id", "integer"), field("user_id", "integer"), field("event_type", "string"), field("ratio", "integer"))],
+    "semanticActions": [
+        act("ratio", "with_fields", "events", assignments=[{"as": "ratio", "expr": "1000 / (user_id % 7)"}]), act("worth", "filter", "events", predicate="value > 5.0 && ratio > 0"),
+        act("firsts_only", "deduplicate", "events", keys=["user_id", "event_type"], retain="first", orderBy=["event_id"])],
+    "semantics": {"ordering": {"mode": "explicit", "order": ["ratio", "worth", "firsts_only"]}}, "rules": [rule("known", "not_null", "firsts.event_id", "postcondition")],
+    "lineage": {"mappings": [{"id": "m", "output": "firsts", "inputs": ["events"]}]},
+}
+
+
+def stream_first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from ..streaming.contracts import execute_stream
+
+    folder = shared_folder(spark, "stream")
+    events = read_table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    events.repartition(4, "event_id").write.parquet(f"{folder}/in")
+    streams = execute_stream(STREAM_CONTRACT, spark, {"events": {"path": f"{folder}/in"}}, f"{folder}/out", mode="null")
+    streams.done()
+    return streams.output("firsts")
+
+
 def contract_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return execute(ORDERS_CONTRACT, {"orders": read_table(spark, sf_dir, "orders")}, shared_folder(spark, "orders")).outputs["clean"]
 
@@ -101,7 +128,7 @@ def rules_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"contract_pipeline": contract_pipeline, "rules_report": rules_report, "contract_two_outputs": contract_two_outputs, "contract_outcomes": contract_outcomes}
+    return {"contract_pipeline": contract_pipeline, "rules_report": rules_report, "contract_two_outputs": contract_two_outputs, "contract_outcomes": contract_outcomes, "stream_first_events": stream_first_events}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -117,6 +144,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "contract_two_outputs": f"SELECT o_orderkey, c_mktsegment, floor(o_totalprice)::BIGINT AS whole, CASE WHEN c_custkey % 2 = 0 THEN 'yes' END AS asked {joined} UNION ALL "
                                 f"SELECT NULL, c_mktsegment, count(*), round(sum(o_totalprice))::BIGINT::VARCHAR {joined} GROUP BY c_mktsegment",
+        "stream_first_events": "SELECT min(event_id) AS event_id, user_id, event_type, 1000 // (user_id % 7) AS ratio FROM events WHERE value > 5.0 AND user_id % 7 <> 0 GROUP BY user_id, event_type",
         "contract_outcomes": f"SELECT *, {outcome} FROM ({counts})",
         "contract_pipeline": "SELECT o_orderkey, lower(o_orderstatus) AS o_orderstatus, floor(o_totalprice * 100.0 + 0.5) AS cents FROM orders WHERE o_orderstatus = 'O'",
         "rules_report": " UNION ALL ".join(f"SELECT '{i}' AS id, '{r}' AS rule, '{f}' AS field, count(*) FILTER ({t}) AS violations, count(*) AS \"rows\" FROM part" for i, r, f, t in tests),

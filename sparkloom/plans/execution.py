@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..operators import Context, apply
 from ..operators.errors import ERROR, QUARANTINE, settle, write_split
-from .contract import ContractError, is_optional, materialized, validate, with_absent
+from .contract import ContractError, before_output, is_optional, materialized, validate, with_absent
 from .graph import graph_of, plain, written
 from .rules import Outcome, RuleViolation, counts_of, outcomes_of
 
@@ -126,6 +126,7 @@ def execute(contract: Mapping, inputs: Mapping[str, DataFrame], folder: str, str
             frames[name] = finished(name, frames)
     for node in graph.order:
         if isinstance(node, str):
+            frames = before_output(contract, node, frames, graph)
             frames[node] = materialized(contract, outputs[node], frames, ctx)
             names = {node}
         else:

@@ -106,6 +106,18 @@ def test_conversions_refuse_what_is_not_exact(spark, tmp_path):
         run(wide, {"a": spark.createDataFrame([((1 << 53) + 1,)], "x long")})["o"].collect()
 
 
+def test_bad_rows_stay_out_of_outputs_that_convert_nothing(spark, tmp_path):
+    contract = small(inputs=[{"id": "a", "schema": {"fields": [{"name": "x", "type": "integer"}]}}], semanticActions=[{"id": "w", "action": "with_fields", "target": "a", "parameters": {"assignments": [{"as": "x", "expr": "6 / x"}]}}])
+    rows = spark.createDataFrame([(0,), (2,)], "x long")
+    routed = run(contract, {"a": rows}, mode="route")
+    assert [r["x"] for r in routed["o"].collect()] == [3] and routed["__quarantine"].count() == 1
+    done = execute(contract, {"a": rows}, str(tmp_path), mode="route")
+    assert [r["x"] for r in done.outputs["o"].collect()] == [3] and done.quarantine.count() == 1
+    two = {**contract, "outputs": [*contract["outputs"], {**contract["outputs"][0], "id": "p"}], "lineage": {"mappings": [{"output": o, "inputs": ["a"]} for o in "op"]}}
+    routed, done = run(two, {"a": rows}, mode="route"), execute(two, {"a": rows}, str(tmp_path / "two"), mode="route")
+    assert routed["__quarantine"].count() == 1 == done.quarantine.count() and routed["p"].count() == 1 == done.outputs["o"].count()
+
+
 def test_absent_optional_inputs_are_empty(spark, tables):
     out = run(SALES_CONTRACT, tables, check=False)
     assert out["sales"].count() == 270
