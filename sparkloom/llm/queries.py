@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_fill_in_middle": fillmiddle.OP11_SQL}
+    return {"op11_fill_in_middle": fillmiddle.OP11_SQL, "op13_spelling_variants": spelling.OP13_SQL}

@@ -260,3 +260,23 @@ def variants(words: DataFrame, factor: int = 2) -> DataFrame:
 
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(vocabulary(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+#: Checksums by halves of bytes, from a table that follows from the polynomial; near words meet in what is left without one letter.
+OP13_SQL = """
+WITH RECURSIVE nibbles AS (SELECT list_transform(range(16), lambda i: list_reduce([i, 0, 0, 0, 0], lambda c, u: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+found AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+runs AS (SELECT d, run, count(*) AS n, hex(encode(d || ':' || run)) AS h FROM found GROUP BY ALL),
+drawn AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h)), lambda i: CAST('0x' || substr(h, CAST(i + 2 - 2 * (i % 2) AS INT), 1) AS BIGINT))),
+    lambda c, x: xor(c >> 4, t[CAST(xor(c, x) & 15 AS INT) + 1])), 4294967295) AS crc FROM runs, nibbles),
+words AS (SELECT CASE WHEN crc % 97 = 0 THEN left(run, CAST(crc % length(run) AS INT)) || substr(run, CAST(crc % length(run) AS INT) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+    FROM drawn GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+cuts AS (SELECT word, i, left(word, CAST(i - 1 AS INT)) AS a, substr(word, CAST(i + 1 AS INT)) AS b FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT x.word, y.word AS other FROM cuts x JOIN cuts y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+    UNION SELECT cuts.word, words.word FROM cuts JOIN words ON a || b = words.word UNION SELECT words.word, cuts.word FROM cuts JOIN words ON a || b = words.word),
+best AS (SELECT near.word, count(*) AS n_near, arg_min(o.word, (-o.n, encode(o.word))) AS form, max(o.n) AS form_n FROM near JOIN words o ON o.word = near.other GROUP BY 1),
+known AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+walk AS (SELECT word, form AS root FROM known WHERE form IS NOT NULL UNION ALL SELECT walk.word, known.form FROM walk JOIN known ON walk.root = known.word WHERE known.form IS NOT NULL),
+ends AS (SELECT word, root FROM walk WHERE root IN (SELECT word FROM known WHERE form IS NULL))
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM known LEFT JOIN ends USING (word)
+"""
