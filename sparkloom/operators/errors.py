@@ -45,8 +45,10 @@ def with_failures(df: DataFrame, name: str, found: list[tuple[str, Column]]) ->
 
 
 def barrier(kind: str) -> Column:
-    """A null that the optimiser takes for one that changes, so that later filters are not rewritten in terms of whole chains of checks."""
-    return F.when(F.rand(0) < 0, F.lit(None)).cast(kind)
+    """A null that the optimiser takes for one that changes, so that later filters are not rewritten in terms of whole chains of checks.
+    It folds `rand() < 0` and a choice among nulls alone."""
+    value = F.struct(*[F.lit("").alias(f) for f in ("action", "field", "code", "row")]) if kind.startswith("struct") else F.lit("")
+    return F.when(F.spark_partition_id() < 0, value).cast(kind)
 
 
 def settle(frames: Frames, name: str) -> Frames:

@@ -57,3 +57,11 @@ def test_what_does_not_fit_follows_the_mode(spark):
 
 def test_no_rows(spark):
     assert decoded(frame(spark, GOOD).filter("n > 5"), "text", FIELDS, "route").count() == 0
+
+
+def test_the_quarantine_filters_decoded_rows_once(spark):
+    """The filter reads the rows' errors; it is not rewritten in terms of the whole decoding."""
+    routed = apply_all([], {"t": decoded(frame(spark, GOOD), "text", FIELDS[:4], "route", ("n",))}, Context(mode="route"))
+    for name in ("t", "__quarantine"):
+        filters = [line for line in routed[name]._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line.split("(")[0]]
+        assert filters and all("__error" in f and len(f) < 200 for f in filters)
