@@ -24,15 +24,20 @@ def mode_of(args):
     return args, "sample"
 
 
+def bound(value, fn):
+    """fn of a value that is computed once, however often fn names it, lambdas included."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def total(xs):
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
 
 def spread(xs, mode):
-    n = F.size(xs)
-    mean = total(xs) / F.when(n > 0, n)
-    squares = total(F.transform(xs, lambda x: (x - mean) * (x - mean)))
-    return F.when(n >= 2, squares / (n - 1 if mode == "sample" else n))
+    def around(xs, n, mean):
+        return F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / (n - 1 if mode == "sample" else n)
+
+    return bound(xs, lambda xs: F.when(F.size(xs) >= 2, bound(total(xs) / F.size(xs), lambda mean: around(xs, F.size(xs), mean))))
 
 
 @values("variance", 1, None)
@@ -48,34 +53,36 @@ def stddev(scope: Scope, *args: Value) -> Value:
 
 
 def paired(a, b):
-    n = F.least(F.size(a), F.size(b))
-    both = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))
+    # The shorter list is filled up with nulls, which the filter drops.
+    both = F.zip_with(a, b, lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))
     return F.filter(both, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
 
 
-def moments(pairs):
-    n = F.size(pairs)
-    xs, ys = F.transform(pairs, lambda p: p["x"]), F.transform(pairs, lambda p: p["y"])
-    mx, my = total(xs) / F.when(n > 0, n), total(ys) / F.when(n > 0, n)
-    return (n, total(F.transform(pairs, lambda p: (p["x"] - mx) * (p["y"] - my))), total(F.transform(xs, lambda x: (x - mx) * (x - mx))),
-            total(F.transform(ys, lambda y: (y - my) * (y - my))))
+def moments(a, b, fn):
+    """fn of the number of pairs and their sums of xy, xx and yy around the means, null for fewer than two pairs."""
+    sums = lambda *names: F.struct(*[F.lit(0.0).alias(n) for n in names])
+    added = lambda s, **more: F.struct(*[(s[n] + v).alias(n) for n, v in more.items()])
+
+    def around(pairs, s):
+        n = F.size(pairs)
+        dx, dy = (lambda p: p["x"] - s["x"] / n), (lambda p: p["y"] - s["y"] / n)
+        found = F.aggregate(pairs, sums("xy", "xx", "yy"), lambda t, p: added(t, xy=dx(p) * dy(p), xx=dx(p) * dx(p), yy=dy(p) * dy(p)))
+        return bound(found, lambda t: fn(n, t["xy"], t["xx"], t["yy"]))
+
+    return bound(paired(a, b), lambda pairs: F.when(F.size(pairs) >= 2, bound(
+        F.aggregate(pairs, sums("x", "y"), lambda t, p: added(t, x=p["x"], y=p["y"])), lambda s: around(pairs, s))))
 
 
 @values("covariance", 2, 3)
 def covariance(scope: Scope, a: Value, b: Value, mode: Value | None = None) -> Value:
     sample = not (mode and scope.constant(mode, "covariance: mode") == "population")
 
-    def fn(x, y):
-        n, xy, _, _ = moments(paired(x, y))
-        return F.when(n >= 2, xy / (n - 1 if sample else n))
-
-    return map_value(fn, a, b)
+    return map_value(lambda x, y: moments(x, y, lambda n, xy, xx, yy: xy / (n - 1 if sample else n)), a, b)
 
 
 @columns("correlation", 2)
 def correlation(a, b):
-    n, xy, xx, yy = moments(paired(a, b))
-    return F.when((n >= 2) & (xx > 0) & (yy > 0), xy / F.sqrt(xx * yy))
+    return moments(a, b, lambda n, xy, xx, yy: F.when((xx > 0) & (yy > 0), xy / F.sqrt(xx * yy)))
 
 
 def nearest_rank(xs, q):
