@@ -86,8 +86,10 @@ def correlation(a, b):
 
 
 def nearest_rank(xs, q):
-    place = F.greatest(F.ceil(F.size(xs) * q), F.lit(1))
-    return F.when(F.size(xs) > 0, F.get(F.sort_array(xs), (place - 1).cast("int")))
+    def pick(xs):
+        return F.get(xs, (F.greatest(F.ceil(F.size(xs) * q), F.lit(1)) - 1).cast("int"))
+
+    return bound(F.sort_array(xs), pick)
 
 
 @values("median", 1, None)

@@ -20,3 +20,11 @@ def test_spread_reads_each_list_once(spark, expression, values):
     assert [r["x"] for r in df.collect()] == [v if v is None else pytest.approx(v) for v in values]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("filter(") == 1 and plan.count("aggregate(") == 2
+
+
+@pytest.mark.parametrize(("expression", "values"), [("median(a, b, c)", [2.0, 2.0, 6.0, None, 2.0]), ("quantile(a, b, c, 0.75)", [6.0, 6.0, 6.0, None, 2.0]), ("quantile(a, b, c, 0.0)", [1.0, 2.0, 6.0, None, 2.0])])
+def test_ranks_sort_each_list_once(spark, expression, values):
+    df = asked(spark, expression)
+    assert [r["x"] for r in df.collect()] == values
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter(") == 1 and plan.count("sort_array(") == 1
