@@ -113,7 +113,7 @@ def stream_first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = shared_folder(spark, "stream")
     events = read_table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
-    events.repartition(4, "event_id").write.parquet(f"{folder}/in")
+    events.write.parquet(f"{folder}/in")
     streams = execute_stream(STREAM_CONTRACT, spark, {"events": {"path": f"{folder}/in"}}, f"{folder}/out", mode="null")
     streams.done()
     return streams.output("firsts")

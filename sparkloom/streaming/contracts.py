@@ -53,6 +53,17 @@ def bounded_in_time(left: DataFrame, right: DataFrame, p: Mapping, times: Mappin
     return within(found["upper"]) and within(found["lower"])
 
 
+def first_row(part, by: list[str]):
+    """The least row by some columns, nulls last; a column is read only where those before it leave several rows."""
+    for c in by:
+        if len(part) == 1:
+            break
+        held = part[c].dropna()
+        if len(held):
+            part = part[(part[c] == held.min()).to_numpy()]
+    return part.head(1)
+
+
 def first_of_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key to arrive. A key's state is one flag, kept for good."""
     names = df.columns
@@ -64,8 +75,8 @@ def first_of_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
         known, least = state.exists, None
         for part in parts:
             if not known and len(part):
-                some = part.sort_values(by, kind="stable").head(1)
-                least = some if least is None else pd.concat([least, some]).sort_values(by, kind="stable").head(1)
+                some = first_row(part, by)
+                least = some if least is None else first_row(pd.concat([least, some]), by)
         if not known and least is not None:
             state.update((True,))
             yield least

@@ -89,3 +89,14 @@ def test_what_needs_all_rows_is_refused(spark, tmp_path):
                     ("window", {"orderBy": ["id"], "functions": [{"as": "n", "function": "row_number"}]}), ("distinct", {})):
         with pytest.raises(ActionError):
             execute_stream(contract([(name, "s", p)], [("id", "integer")]), spark, {"s": {"path": str(tmp_path / "in")}}, str(tmp_path / "o"))
+
+
+def test_the_least_row_has_nulls_last_and_reads_no_more_columns_than_it_needs():
+    import pandas as pd
+
+    from sparkloom.streaming.contracts import first_row
+
+    part = pd.DataFrame({"a": [2, None, 1, 1], "b": ["x", "w", None, "z"], "c": [1.0, 1.0, 1.0, 2.0], "d": [[1], {}, 3, "never compared"]})
+    assert first_row(part, ["a", "b", "c", "d"]).values.tolist() == [[1, "z", 2.0, "never compared"]]
+    assert first_row(part.assign(a=None), ["a", "b"])["b"].tolist() == ["w"]
+    assert len(first_row(pd.concat([part, part]), ["a", "b", "c"])) == 1
