@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 from .aggregate import as_number
 
 BUCKETS = 128
+#: Functions of a row's place among the rows of its partition, peers alike; and from how many rows on a partition is cut into ranges for them.
+RANKS, LARGE = frozenset("rank dense_rank percent_rank cume_dist".split()), 1_000_000
 PLACED = frozenset("row_number rank dense_rank percent_rank cume_dist ntile lag lead".split())
 #: Aggregates of all rows so far, and how what came before a range joins what its own rows give.
 RUNNING = {"sum": lambda before, own: F.when(before.isNull() & own.isNull(), None).otherwise(F.coalesce(before, F.lit(0.0)) + F.coalesce(own, F.lit(0.0))), "count": lambda before, own: before + own,
@@ -141,3 +143,35 @@ def over_order(df: DataFrame, keys: list[tuple[Column, bool, bool]], tie: list[C
         place_of[f["as"]] = f"__out_x{i}"
         out = out.withColumn(f"__out_x{i}", F.when(F.col(f"__found_{i}").isNull(), default).otherwise(F.col(f"__found_{i}")["v"])).drop(f"__found_{i}")
     return out.select(*[F.col(f"`{c}`") for c in names], *[F.col(place_of[f["as"]]).alias(f["as"]) for f in functions])
+
+
+def ranks_in_parts(df: DataFrame, part: list[str], keys: list[tuple[Column, bool, bool]], functions: list[dict]) -> DataFrame | None:
+    """df with RANKS within partitions of which one at least is large: each partition by ranges of its leading key. None where there is no large one."""
+    key, falls, last = keys[0]
+    number = leading(df.select(key.alias("x")).schema[0].dataType, key)
+    own = [F.col(f"`{c}`") for c in part]
+    if number is None or (df.groupBy(*own).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0) <= LARGE:
+        return None
+    work = df.withColumns({"__lead": number} | {f"__key_{i}": k for i, (k, *_) in enumerate(keys)})
+    marks = work.agg(F.percentile_approx("__lead", [i / BUCKETS for i in range(1, BUCKETS)], 10_000).alias("m")).first()["m"] or []
+    edges = sorted({m for m in marks if m == m})
+    inside = searched(F.col("__lead"), edges)
+    inside = F.lit(len(edges)) - inside if falls else inside
+    work = work.withColumn("__range", F.when(F.col("__lead").isNull(), F.lit(len(edges) + 2 if last else 0)).otherwise(inside + 1))
+    # A row for each partition and range, with what comes before it.
+    held = work.groupBy(*[c.alias(f"__part_{i}") for i, c in enumerate(own)], F.col("__range").alias("__held")).agg(
+        F.count(F.lit(1)).alias("__rows"), F.count_distinct(F.struct(*[F.col(f"__key_{i}") for i in range(len(keys))])).alias("__keys"))
+    whole = Window.partitionBy(*[f"__part_{i}" for i in range(len(part))])
+    before = whole.orderBy("__held").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("*", F.sum("__rows").over(whole).alias("__n"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("__rows", "__keys")])
+    same = work["__range"] == held["__held"]
+    for i, c in enumerate(part):
+        same = same & work[f"`{c}`"].eqNullSafe(held[f"__part_{i}"])
+    work = work.join(held, same)
+    by = [(c.desc_nulls_last() if low else c.desc_nulls_first()) if down else (c.asc_nulls_last() if low else c.asc_nulls_first())
+          for c, down, low in ((F.col(f"__key_{i}"), down, low) for i, (_, down, low) in enumerate(keys))]
+    peers = Window.partitionBy(*own, "__range").orderBy(*by)
+    rank, n = F.rank().over(peers).cast("bigint") + F.col("__rows_before"), F.col("__n")
+    found = {"rank": rank, "dense_rank": F.dense_rank().over(peers).cast("bigint") + F.col("__keys_before"), "percent_rank": F.when(n > 1, (rank - 1) / F.when(n > 1, n - 1)).otherwise(0.0),
+             "cume_dist": (F.count(F.lit(1)).over(peers.rangeBetween(Window.unboundedPreceding, 0)) + F.col("__rows_before")) / n}
+    return work.select(*[F.col(f"`{c}`") for c in df.columns], *[found[f["function"].rpartition(":")[2]].alias(f["as"]) for f in functions])

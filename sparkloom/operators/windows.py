@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from .aggregate import aggregate_of, as_number
-from .ordered import covered, over_order
+from .ordered import RANKS, covered, over_order, ranks_in_parts
 from .registry import ActionError, Context, action, item_column
 from .relational import sort_key
 from .sliding import with_median
@@ -102,11 +102,12 @@ def streams(f: dict, frame: dict | None) -> tuple[int | None, int] | None:
 def window(frames, target, p, ctx: Context):
     df = frames[target]
     part, functions = list(p.get("partitionBy", [])), p["functions"]
-    if not part and p.get("orderBy") and covered(functions, p.get("frame")):
+    ranks = bool(part) and all(f["function"].rpartition(":")[2] in RANKS for f in functions)
+    if p.get("orderBy") and (ranks or not part and covered(functions, p.get("frame"))):
         keys = [{"field": k} if isinstance(k, str) else k for k in p["orderBy"]]
         asked = [(item_column(k, df, ctx)[1], bool(k.get("descending")), (k.get("nulls", "last") == "last") != bool(k.get("descending"))) for k in keys]
-        reads = {f["as"]: df[f["field"]] if f.get("field") else ctx.column(f["expr"], df) if f.get("expr") is not None else None for f in functions}
-        found = over_order(df, asked, ctx.order(df), functions, reads)
+        reads = {} if ranks else {f["as"]: df[f["field"]] if f.get("field") else ctx.column(f["expr"], df) if f.get("expr") is not None else None for f in functions}
+        found = ranks_in_parts(df, part, asked, functions) if ranks else over_order(df, asked, ctx.order(df), functions, reads)
         if found is not None:
             return {target: found}
     order = [sort_key(df, k, ctx) for k in p.get("orderBy", [])]

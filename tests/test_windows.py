@@ -116,3 +116,19 @@ def test_medians_in_the_action(spark):
         for j, r in enumerate(got):
             near = [x[2] for x in own[max(0, j - 2):j + 2]]
             assert (r["m"], r["e"], r["n"]) == (rank_median([x[2] for x in own[:j + 1]]), rank_median([None if x is None else 2 * x for x in near]), j + 1)
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_ranks_of_large_partitions_go_by_ranges(spark, monkeypatch, descending):
+    """Equal to Spark's own windows, and no task sorts a whole partition."""
+    from sparkloom.operators import apply_all, ordered
+
+    df = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 > 0 THEN id % 3 END AS p", "CASE WHEN id % 17 = 0 THEN NULL WHEN id % 19 = 0 THEN double('NaN') ELSE double(id * 7919 % 101) END AS x", "id % 2 AS y").unionAll(
+        spark.sql("SELECT 3000L, 9L, 1.0D, 0L"))
+    asked = [{"action": "window", "target": "t", "parameters": {"partitionBy": ["p"], "orderBy": [{"field": "x", "descending": descending}, {"field": "y"}],
+                                                                "functions": [{"as": n, "function": n} for n in sorted(ordered.RANKS)]}}]
+    plain = apply_all(asked, {"t": df})["t"]
+    monkeypatch.setattr(ordered, "LARGE", 100)
+    cut = apply_all(asked, {"t": df})["t"]
+    assert "__range" in cut._jdf.queryExecution().optimizedPlan().toString() and cut.columns == plain.columns
+    assert sorted(map(tuple, cut.drop("x").collect()), key=str) == sorted(map(tuple, plain.drop("x").collect()), key=str)
