@@ -22,6 +22,8 @@ from ..expressions.build import Scope, build
 #: Comparisons and what they say of their first argument.
 LESS, MORE = frozenset(("lt", "lte")), frozenset(("gt", "gte"))
 FARTHEST = float(1 << 62)
+#: Candidates of one bin that one slice takes; bins with more are cut into slices.
+CANDIDATES = 5_000_000
 BINNED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -87,6 +89,26 @@ def binned(df: DataFrame, levels: Column) -> DataFrame:
     return df.withColumn("__bin", F.explode(F.sequence(first, last)))
 
 
+def sliced(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column __slice: in bins with many candidates the side with more rows is dealt out and the other goes to every slice."""
+    n, m = (df.groupBy("__level", "__bin").agg(F.count(F.lit(1)).cast("double").alias(c)) for df, c in ((left, "__n"), (right, "__m")))
+    load = n.join(m, ["__level", "__bin"]).filter(F.col("__n") * F.col("__m") > CANDIDATES)
+    slices = F.least(F.ceil(F.col("__n") * F.col("__m") / CANDIDATES), F.greatest("__n", "__m")).cast("int")
+    full = load.select("__level", "__bin", slices.alias("__slices"), (F.col("__n") >= F.col("__m")).alias("__by_left")).collect()
+    if not full:
+        return left.withColumn("__slice", F.lit(0)), right.withColumn("__slice", F.lit(0))
+    heavy = left.sparkSession.createDataFrame(full, "__level int, __bin bigint, __slices int, __by_left boolean")
+
+    def dealt(df: DataFrame, is_left: bool) -> DataFrame:
+        own = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        df = df.withColumn("__hash", F.xxhash64(*own)).join(F.broadcast(heavy), ["__level", "__bin"], "left")
+        one, every = F.array(F.pmod("__hash", F.col("__slices")).cast("int")), F.sequence(F.lit(0), F.col("__slices") - 1)
+        slices = F.when(F.col("__slices").isNull(), F.array(F.lit(0))).when(F.col("__by_left") == is_left, one).otherwise(every)
+        return df.withColumn("__slice", F.explode(slices)).drop("__hash", "__slices", "__by_left")
+
+    return dealt(left, True), dealt(right, False)
+
+
 def range_join(left: DataFrame, right: DataFrame, predicate: Mapping, side_of: Mapping[str, str], condition, strict: bool) -> DataFrame | None:
     """Pairs of left (alias l) and right (alias r) that satisfy the predicate, or None if it bounds nothing on both sides or equates something."""
     found = bounds(predicate, side_of)
@@ -118,10 +140,11 @@ def range_join(left: DataFrame, right: DataFrame, predicate: Mapping, side_of: M
     pairs = [(at_home[0], guests(sides[1], present[0], False)), (guests(sides[0], present[1], True), at_home[1])]
     out = None
     for l, r in pairs:  # noqa: E741
+        l, r = sliced(l, r)  # noqa: E741
         l, r = l.alias("l"), r.alias("r")  # noqa: E741
         size = F.pow(F.lit(2.0), F.col("l.__level").cast("double"))
         once = F.floor(F.greatest(F.col("l.__low"), F.col("r.__low")) / size) == F.col("l.__bin")
-        same = (F.col("l.__level") == F.col("r.__level")) & (F.col("l.__bin") == F.col("r.__bin"))
+        same = (F.col("l.__level") == F.col("r.__level")) & (F.col("l.__bin") == F.col("r.__bin")) & (F.col("l.__slice") == F.col("r.__slice"))
         joined = l.join(r, same & once & condition, "inner").select(*[F.col(f"l.`{c}`").alias(f"__l_{i}") for i, c in enumerate(left.columns)], *[F.col(f"r.`{c}`").alias(f"__r_{i}") for i, c in enumerate(right.columns)])
         out = joined if out is None else out.unionByName(joined)
     return out

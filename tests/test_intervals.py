@@ -70,3 +70,17 @@ def test_many_points_and_few_long_intervals_stay_small(spark):
     left = spark.range(10_000).select("id", (F.col("id") * 10.0).alias("low"), (F.col("id") * 10.0 + F.when(F.col("id") == 5, 1e6).otherwise(3.0)).alias("high"))
     right = spark.range(10_000).select(F.col("id").alias("k"), (F.col("id") * 10.0 + 1).alias("t"))
     assert joined(left, right, "low <= t && t <= high").count() == 10_000 + 9_994
+
+
+def test_full_bins_are_cut_into_slices(spark, monkeypatch):
+    """All rows of one side in one bin: the pairs are those of the nested loop, and both sides deal them by slices."""
+    from sparkloom.operators import apply_all, intervals
+
+    a = spark.range(300).selectExpr("id AS i", "900.0 + id % 7 AS low", "map('k', id) AS m")
+    b = spark.range(90).selectExpr("id AS j", "CASE WHEN id % 3 = 0 THEN 903.0 + id % 2 ELSE double(id * 40) END AS x")
+    asked = [{"action": "join", "target": "a", "parameters": {"right": "b", "on": "x between low - 40.0 and low + 40.0 && (i + j) % 2 == 0"}}]
+    want = sorted((p.i, q.j) for p in a.collect() for q in b.collect() if p.low - 40 <= q.x <= p.low + 40 and (p.i + q.j) % 2 == 0)
+    monkeypatch.setattr(intervals, "CANDIDATES", 100, raising=False)
+    got = apply_all(asked, {"a": a, "b": b})["a"]
+    assert sorted((r.i, r.j) for r in got.collect()) == want
+    assert "__slices" in got._jdf.queryExecution().optimizedPlan().toString()
