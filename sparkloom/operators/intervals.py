@@ -93,7 +93,8 @@ def sliced(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides with a column __slice: in bins with many candidates the side with more rows is dealt out and the other goes to every slice."""
     n, m = (df.groupBy("__level", "__bin").agg(F.count(F.lit(1)).cast("double").alias(c)) for df, c in ((left, "__n"), (right, "__m")))
     load = n.join(m, ["__level", "__bin"]).filter(F.col("__n") * F.col("__m") > CANDIDATES)
-    slices = F.least(F.ceil(F.col("__n") * F.col("__m") / CANDIDATES), F.greatest("__n", "__m")).cast("int")
+    # Copies of the smaller side stay about as many as the rows of the larger one.
+    slices = F.least(F.ceil(F.col("__n") * F.col("__m") / CANDIDATES), F.ceil(F.greatest("__n", "__m") / F.least("__n", "__m")) + 3).cast("int")
     full = load.select("__level", "__bin", slices.alias("__slices"), (F.col("__n") >= F.col("__m")).alias("__by_left")).collect()
     if not full:
         return left.withColumn("__slice", F.lit(0)), right.withColumn("__slice", F.lit(0))
