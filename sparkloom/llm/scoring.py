@@ -13,8 +13,8 @@ A word is spelled byte by byte with a closing byte, in the bits of a Huffman cod
 hashed contexts (the last 1 to 5 bytes of the word, and the whole word so far), whose bit counts are gathered from all
 distinct training words and mixed in the same way. All bits sum up to the log10 probability of the text and, without the text's own counts, to bits per byte.
 
-On Spark: tasks turn documents into chunks of about `chunk_bytes` of text, and these into requests, one row for each chunk and
-bucket of hashes, with the chunk's distinct words or contexts, and into one row of token codes. A bucket counts its words (the
+On Spark: tasks turn documents into chunks of about `chunk_bytes` of text, and these into one row of token codes and into
+requests, one row for each chunk and bucket of hashes, with the chunk's distinct words or, from its codes, contexts. A bucket counts its words (the
 vocabulary) and contexts and answers every chunk; buckets grow in number with the text, so that each holds about as much as
 a chunk. Chunks with their answers are written once, learned from and scored. A chunk whose answers do not fit it is an error. Counts of words and contexts thus grow with the
 corpus and never leave the executors; the mixers' tables have a fixed size, and only they and a row of totals reach the driver.
@@ -46,7 +46,8 @@ GATES, PRIOR = 6 * 3 * 4, 0.4
 #: What each known word of a class gives up for words that the class has not seen.
 DISCOUNT = 0.75
 MIX = np.uint64(0x9E3779B97F4A7C15)
-BATCH = 2000
+#: Words that are spelled at once; bytes of a task's inputs that stay for further rounds.
+BATCH, HELD_INPUTS = 2000, 80_000_000
 #: Bits of a context's hash and of a follower's; how many of the latter sort a chunk's requests.
 CONTEXT_BITS, FOLLOWER_BITS, SORTED_BITS = 44, 24, 20
 #: Hashes of what stands before a text and of its end.
@@ -107,9 +108,13 @@ def spelled(words: pa.Array, code: np.ndarray) -> tuple[np.ndarray, np.ndarray,
                 last[place < back] = 0
                 h = (h ^ last) * MIX
                 h ^= h >> np.uint64(29)
-        x = (h[owner] ^ node) * np.uint64(0x94D049BB133111EB)
+        x = np.take(h, owner)
+        x ^= node
+        x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(32)
-        slots[k] = (x * MIX >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+        x *= MIX
+        x >>= np.uint64(64 - SLOT_BITS)
+        slots[k] = x
     per_word = np.add.reduceat(size, ends - lengths)
     return slots, bits, np.minimum(place, 3)[owner], per_word
 
@@ -145,17 +150,27 @@ def bucket(n: np.ndarray, bounds: list[int]) -> np.ndarray:
     return np.searchsorted(np.array(bounds), n, "right")
 
 
-def inputs_of(tables: np.ndarray, slots: np.ndarray, bits: np.ndarray | None, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(stretched predictions: 8 x bits, gate of each bit); with bits given, one occurrence of them is left out."""
+def stretched(tables: np.ndarray) -> np.ndarray:
+    """The prediction of every slot with all that it has seen."""
+    return np.log((tables[:, 1::2].astype(np.float32) + PRIOR) / (tables[:, ::2].astype(np.float32) + PRIOR))
+
+
+def inputs_of(tables: np.ndarray, slots: np.ndarray, bits: np.ndarray | None, place: np.ndarray, whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(stretched predictions: 8 x bits, gate of each bit); with bits given, one occurrence of them is left out; else whole may be stretched(tables)."""
     out = np.empty((len(ORDERS) + 1, slots.shape[1]), np.float32)
     out[-1] = 0.3
     seen = []
     for k in range(len(ORDERS)):
+        if whole is not None:
+            out[k] = whole[k][slots[k]]
+            if k < len(ORDERS) - 2:
+                continue
         at = slots[k] * 2
         zeros, ones = tables[k][at].astype(np.float32), tables[k][at + 1].astype(np.float32)
         if bits is not None:
             zeros, ones = np.maximum(zeros - (1 - bits), 0), np.maximum(ones - bits, 0)
-        out[k] = np.log((ones + PRIOR) / (zeros + PRIOR))
+        if whole is None:
+            out[k] = np.log((ones + PRIOR) / (zeros + PRIOR))
         if k >= len(ORDERS) - 2:
             seen.append(zeros + ones)
     gate = (bucket(seen[1], [1, 3, 9, 65, 513]) * 3 + bucket(seen[0], [1, 5])) * 4 + place
@@ -173,13 +188,15 @@ def refine(tables: np.ndarray, start: np.ndarray, code: np.ndarray, rounds: int
     """A mapInArrow function: weights after online steps over the task's words, and how much each gate was used."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, used, steps, first = start.copy(), np.zeros(GATES), 0, []
+        weights, used, steps, first, held = start.copy(), np.zeros(GATES), 0, [], 0
         mass = np.zeros(GATES)
 
-        def learn(words: pa.Array) -> None:
-            nonlocal steps
+        def inputs(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             slots, bits, place, _ = spelled(words, code)
-            x, gate = inputs_of(tables, slots, bits, place)
+            return *inputs_of(tables, slots, bits, place), bits
+
+        def learn(x: np.ndarray, gate: np.ndarray, bits: np.ndarray) -> None:
+            nonlocal steps
             error = bits - mixed(weights, x, gate)
             total = np.bincount(gate, minlength=GATES)
             rate = 0.4 / (1 + steps / 100)
@@ -191,11 +208,16 @@ def refine(tables: np.ndarray, start: np.ndarray, code: np.ndarray, rounds: int
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.column(0).slice(at, BATCH)
-                learn(part)
+                x, gate, bits = inputs(part)
+                learn(x, gate, bits)
                 if len(first) < 20:
-                    first.append(part)
+                    # Inputs stay, for they do not change; those of very long words are made anew.
+                    held += x.nbytes
+                    first.append((x, gate.astype(np.int16), bits.astype(bool)) if held <= HELD_INPUTS else part)
         while first and steps < rounds and len(first) * 10 > steps:
-            learn(first[steps % len(first)])
+            part = first[steps % len(first)]
+            x, gate, bits = part if isinstance(part, tuple) else inputs(part)
+            learn(x, gate, bits.astype(np.int64))
         used[:] = mass
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([used.tobytes()], pa.binary())], ["weights", "used"])
 
@@ -206,15 +228,21 @@ def packed(values: np.ndarray) -> bytes:
     """Numbers as compressed planes of bytes."""
     if not values.size:
         return b""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize)
+    planes = np.empty(raw.shape[::-1], np.uint8)
+    for k in range(len(planes)):
+        planes[k] = raw[:, k]
+    return zstandard.ZstdCompressor(level=3).compress(planes)
 
 
 def unpacked(blob: bytes, kind) -> np.ndarray:
     if not blob:
         return np.zeros(0, kind)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    raw = np.empty(planes.shape[::-1], np.uint8)
+    for k in range(len(planes)):
+        raw[:, k] = planes[k]
+    return raw.reshape(-1).view(kind)
 
 
 def packed_sorted(values: np.ndarray) -> bytes:
@@ -267,10 +295,21 @@ def context_keys(tokens: np.ndarray, pos: np.ndarray, hashes: np.ndarray) -> tup
     return context << np.uint64(SORTED_BITS) | (follower & np.uint64((1 << SORTED_BITS) - 1)), follower
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, a place of each, which of them each key is)."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    starts = np.ones(len(keys), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=starts[1:])
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(starts) - 1
+    return ordered[starts], order[starts], inverse
+
+
 def gathered_contexts(lengths: np.ndarray, tokens: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
     """(distinct keys, the follower of each, the key of each token)."""
     keys, follower = context_keys(tokens, places(lengths)[1], np.append(hashes, END))
-    keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    keys, first, inverse = distinct(keys)
     return keys, follower[first], inverse
 
 
@@ -340,23 +379,29 @@ def word_requests(classes: int, bits: int, chunk_bytes: int):
     return run
 
 
-def context_requests(bits: int, chunk_bytes: int):
-    """A mapInArrow function: each chunk's hashes of words, and contexts with their followers and occurrences in training documents."""
+def context_requests(bits: int):
+    """A mapInArrow function over chunks' rows: their hashes of words, and contexts with their followers and occurrences in training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, table in chunked(batches, chunk_bytes):
-            _, lengths, tokens, hashes, _ = coded(table)
-            keys, follower, inverse = gathered_contexts(lengths, tokens, hashes)
-            taught = np.repeat(one_array(table["class"]).to_numpy() >= 0, lengths)
-            times = np.bincount(inverse, taught, len(keys)).astype(np.uint32)
-            context = keys >> np.uint64(SORTED_BITS)
-            w, c = slices(hashes, 64, bits), slices(context, CONTEXT_BITS, bits)
-            yield request_rows([(chunk, b, [packed_sorted(hashes[w[b]:w[b + 1]]), packed_sorted(context[c[b]:c[b + 1]]), *(packed(x[c[b]:c[b + 1]]) for x in (follower.astype(np.uint32), times))])
-                                for b in range(1 << bits) if w[b + 1] > w[b] or c[b + 1] > c[b]])
+        for batch in batches:
+            for row in batch.to_pylist():
+                lengths, tokens, hashes = coded_blobs(row["blobs"])
+                keys, follower, inverse = gathered_contexts(lengths, tokens, hashes)
+                times = np.bincount(inverse, np.repeat(np.array(row["train"], bool), lengths), len(keys)).astype(np.uint32)
+                hashes, context, follower = np.sort(hashes), keys >> np.uint64(SORTED_BITS), follower.astype(np.uint32)
+                w, c = slices(hashes, 64, bits), slices(context, CONTEXT_BITS, bits)
+                yield request_rows([(row["chunk"], b, [packed_sorted(hashes[w[b]:w[b + 1]]), packed_sorted(context[c[b]:c[b + 1]]), *(packed(x[c[b]:c[b + 1]]) for x in (follower, times))])
+                                    for b in range(1 << bits) if w[b + 1] > w[b] or c[b + 1] > c[b]])
 
     return run
 
 
+def coded_blobs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens of each text, codes, hashes by code) of a chunk's row."""
+    lengths, tokens, hashes = (unpacked(x, kind) for x, kind in zip(blobs, (np.uint32, np.uint32, np.uint64)))
+    return lengths.astype(np.int64), tokens, hashes
+
+
 def blobs_of(table: pa.Table) -> list[list[bytes]]:
     return table["blobs"].to_pylist()
 
@@ -414,10 +459,10 @@ def vocabulary_sums(classes: int):
 
 def costs(words: pa.Array, tables: np.ndarray, weights: np.ndarray, code: np.ndarray) -> np.ndarray:
     """The log10 probability of spelling each word."""
-    out = [np.zeros(0)]
+    out, whole = [np.zeros(0)], stretched(tables)
     for at in range(0, len(words), BATCH):
         slots, bits, place, per_word = spelled(words.slice(at, BATCH), code)
-        x, gate = inputs_of(tables, slots, None, place)
+        x, gate = inputs_of(tables, slots, None, place, whole)
         p = mixed(weights, x, gate)
         out.append(np.add.reduceat(np.log10(np.where(bits == 1, p, 1 - p).astype(np.float64)), np.cumsum(per_word) - per_word))
     return np.concatenate(out)
@@ -438,8 +483,7 @@ def answers(classes: int, tables: np.ndarray, weights: np.ndarray, code: np.ndar
         sizes = np.cumsum([0, *map(len, context)])
         context = np.concatenate(context) if asked else np.zeros(0, np.uint64)
         # A pair by 64 mixed bits of context and follower.
-        _, pair = np.unique(scrambled(context ^ scrambled(follower.astype(np.uint64))), return_inverse=True)
-        _, group = np.unique(context, return_inverse=True)
+        pair, group = (distinct(x)[2] for x in (scrambled(context ^ scrambled(follower.astype(np.uint64))), context))
         c, n = (np.minimum(np.bincount(i, times)[i], 2**32 - 1).astype(np.uint32) if len(i) else np.zeros(0, np.uint32) for i in (pair, group))
         rows = []
         for k, x in enumerate(asked):
@@ -457,11 +501,11 @@ def joined(chunks: pa.Table, found: pa.Table) -> pa.Table:
     out = []
     parts = [blobs_of(found)[i] for i in np.argsort(one_array(found["bucket"]).to_numpy()).tolist()] if len(found) else []
     for blobs in blobs_of(chunks):
-        lengths, tokens, hashes = (unpacked(x, kind) for x, kind in zip(blobs, (np.uint32, np.uint32, np.uint64)))
-        keys, _, inverse = gathered_contexts(lengths.astype(np.int64), tokens, hashes)
+        lengths, tokens, hashes = coded_blobs(blobs)
+        keys, _, inverse = gathered_contexts(lengths, tokens, hashes)
         whole = lambda k, kind: np.concatenate([unpacked(x[k], kind) for x in parts] or [np.zeros(0, kind)])
         if len(whole(1, np.float32)) != len(hashes) or len(whole(2, np.uint32)) != len(keys):
-            raise ValueError("a chunk and its answers differ: the documents have come in another order; write them as a table first")
+            raise ValueError("a chunk and its answers differ")
         seen = [whole(k, np.uint32)[inverse] for k in (2, 3)]
         # Answers come in the order of the words' hashes.
         counts, cost, order = whole(0, np.uint32).reshape(len(hashes), -1) if len(hashes) else np.zeros((0, 1), np.uint32), whole(1, np.float32), np.argsort(hashes)
@@ -506,18 +550,51 @@ class Totals:
         return np.log10((c + 1.0) / (self.tokens + (self.distinct + 1.0)))
 
 
+class Words:
+    """What the corpus' words have to say of a chunk's distinct words, the end last: counts, costs, and log probabilities by class."""
+
+    def __init__(self, counts: np.ndarray, cost: np.ndarray, totals: Totals):
+        if not len(cost):
+            counts, cost = np.zeros((1, totals.classes), np.uint32), np.zeros(1, np.float32)
+        self.counts, self.often = counts, levels(np.append(counts.sum(axis=1, dtype=np.float64), [0.0, 0.0]))  # the end and what stands before a text last
+        self.spell = cost.astype(np.float64) * np.log(10)
+        self.plain, self.totals = np.exp(np.maximum(self.spell, -600)), totals
+        every = [self.chances(counts[:, k].astype(np.float64), np.arange(len(cost)), np.full(len(cost), k)) for k in range(totals.classes)]
+        self.by_class = np.append(np.stack(every, axis=1), np.log(totals.p_end)[None, :], axis=0)
+
+    def chances(self, c: np.ndarray, words: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Natural log of the words' probabilities in classes that hold them c times."""
+        totals = self.totals
+        c = np.maximum(c - DISCOUNT, 0) / np.maximum(totals.words, 1.0)[kind]
+        freed = totals.freed[kind]
+        with np.errstate(divide="ignore"):
+            q = np.log(c + freed * self.plain[words])
+            # The probability of a long word may be below the least float.
+            far = np.flatnonzero(self.spell[words] < -600)
+            q[far] = np.logaddexp(np.log(c[far]), np.log(freed[far]) + self.spell[words[far]])
+        return q + np.log1p(-totals.p_end)[kind]
+
+
 class Texts:
-    """Some texts of a chunk: for each token, what the experts say. With `alone`, a training text's own counts are left out."""
+    """Some texts of a chunk: for each token, what the experts say. With `alone`, a training text's own counts are left out.
+
+    alike: the same texts with the other `alone`, whose places and ranks are taken over. words: Words(counts, cost, totals), if at hand.
+    """
 
     def __init__(self, lengths: np.ndarray, tokens: np.ndarray, end: int, counts: np.ndarray, cost: np.ndarray, c: np.ndarray, n: np.ndarray,
-                 kind: np.ndarray, totals: Totals, alone: bool):
+                 kind: np.ndarray, totals: Totals, alone: bool, words: Words | None = None, alike: Texts | None = None):
         self.lengths, self.tokens, self.end = lengths, tokens, end
-        doc, pos = self.doc, self.pos = places(lengths)
-        prev, prev2 = shifted(tokens, 1, pos, -1), shifted(tokens, 2, pos, -1)
-        word_key = (doc.astype(np.uint64) << np.uint64(32)) | tokens.astype(np.uint64)
-        two_key = scrambled(word_key) + (prev + 2).astype(np.uint64) * MIX
-        rank, own = earlier(word_key)
-        rank_two, _ = earlier(two_key)
+        words = words or Words(counts, cost, totals)
+        if alike:
+            self.doc, self.pos, self.prev, self.prev2, self.word_key, self.rank, self.own, self.rank_two = (
+                alike.doc, alike.pos, alike.prev, alike.prev2, alike.word_key, alike.rank, alike.own, alike.rank_two)
+        else:
+            self.doc, self.pos = places(lengths)
+            self.prev, self.prev2 = shifted(tokens, 1, self.pos, -1), shifted(tokens, 2, self.pos, -1)
+            self.word_key = (self.doc.astype(np.uint64) << np.uint64(32)) | tokens.astype(np.uint64)
+            self.rank, self.own = earlier(self.word_key)
+            self.rank_two, _ = earlier(scrambled(self.word_key) + (self.prev + 2).astype(np.uint64) * MIX)
+        doc, pos, prev, prev2, rank = self.doc, self.pos, self.prev, self.prev2, self.rank
         c, n = c.astype(np.int64), n.astype(np.int64)
         taught = kind[doc] >= 0
         if alone:
@@ -525,48 +602,45 @@ class Texts:
             _, own_n = earlier(context)
             _, own_c = earlier(scrambled(context) + (tokens + 1).astype(np.uint64) * MIX)
             c, n = np.maximum(c - own_c * taught, 0), np.maximum(n - own_n * taught, 0)
-        before = shifted(rank, 1, pos, 0)
-        self.n = [n, before, pos]
-        self.q = [c / np.maximum(n, 1), rank_two / np.maximum(before, 1), np.where(tokens == end, 0.0, rank / np.maximum(pos, 1))]
-        self.rest = self.corpus(counts, cost, kind, totals, own if alone else None)
-        often = levels(np.append(counts.sum(axis=1, dtype=np.float64), [0.0, 0.0]))  # the end and what stands before a text last
+        if alike:
+            self.n, self.q = [n, *alike.n[1:]], [c / np.maximum(n, 1), *alike.q[1:]]
+        else:
+            before = shifted(rank, 1, pos, 0)
+            self.n = [n, before, pos]
+            self.q = [c / np.maximum(n, 1), self.rank_two / np.maximum(before, 1), np.where(tokens == end, 0.0, rank / np.maximum(pos, 1))]
+        self.rest = self.corpus(words, kind, totals, self.own if alone else None)
         self.contexts, self.gates = [], []
         hits = [(q > 0).astype(np.int64) for q in self.q]
-        last = sum(shifted(h, 1, pos, 0) << k for k, h in enumerate(hits))
+        last = shifted(sum(h << k for k, h in enumerate(hits)), 1, pos, 0)
         place = np.minimum(np.log2(pos + 1.0), 7).astype(np.int64)
         for k in range(EXPERTS):
-            seen = levels(self.n[k])
-            recent = sum(shifted(hits[k], by, pos, 0) << (by - 1) for by in (1, 2, 3))
-            self.contexts.append((seen * 8 + recent, (seen * 16 + often[prev]) * 16 + often[prev2], (seen * 8 + last) * 8 + place))
+            if alike and k:
+                first, second = alike.contexts[k][:2]
+                seen = alike.gates[k]
+            else:
+                seen = levels(self.n[k])
+                first = seen * 8 + sum(shifted(hits[k], by, pos, 0) << (by - 1) for by in (1, 2, 3))
+                second = (seen * 16 + words.often[prev]) * 16 + words.often[prev2]
+            self.contexts.append((first, second, (seen * 8 + last) * 8 + place))
             self.gates.append(seen)
 
-    def corpus(self, counts: np.ndarray, cost: np.ndarray, kind: np.ndarray, totals: Totals, own: np.ndarray | None) -> np.ndarray:
+    def corpus(self, words: Words, kind: np.ndarray, totals: Totals, own: np.ndarray | None) -> np.ndarray:
         """Natural log of each token's probability among the corpus' words: a mixture over classes that moves along the text."""
-        is_end = self.tokens == self.end
-        at = np.where(is_end, 0, self.tokens)
-        if not len(cost):
-            counts, cost = np.zeros((1, totals.classes), np.uint32), np.zeros(1, np.float32)
-        spell = cost[at].astype(np.float64) * np.log(10)
-        far, plain = np.flatnonzero(spell < -600), np.exp(np.maximum(spell, -600))
         starts = np.cumsum(self.lengths) - self.lengths
-        ahead = np.empty((totals.classes, len(at)))
-        for k in range(totals.classes):
-            c = counts[at, k].astype(np.float64)
-            if own is not None:
-                c -= own * (kind[self.doc] == k)
-            c = np.maximum(c - DISCOUNT, 0) / max(totals.words[k], 1.0)
-            with np.errstate(divide="ignore"):
-                q = np.log(c + totals.freed[k] * plain)
-                # The probability of a long word may be below the least float.
-                q[far] = np.logaddexp(np.log(c[far]), np.log(totals.freed[k]) + spell[far])
-            ahead[k] = np.where(is_end, np.log(totals.p_end[k]), q + np.log1p(-totals.p_end[k]))
+        ahead = words.by_class[np.where(self.tokens == self.end, len(words.by_class) - 1, self.tokens)]
+        if own is not None:
+            at = np.flatnonzero((kind[self.doc] >= 0) & (self.tokens != self.end))
+            token, of = self.tokens[at], kind[self.doc[at]]
+            ahead[at, of] = words.chances(words.counts[token, of].astype(np.float64) - own[at], token, of)
+        ahead = np.ascontiguousarray(ahead.T)
         # Sums along each text from its class's prior, before and after each token.
         after = np.cumsum(ahead, axis=1)
-        began = (after - ahead)[:, starts]
+        began = (after - ahead)[:, starts] - totals.prior[:, None]
         after -= np.repeat(began, self.lengths, axis=1)
-        after += totals.prior[:, None]
         top = after.max(axis=0)
-        whole = top + np.log(np.exp(after - top).sum(axis=0))
+        after -= top
+        np.exp(after, out=after)
+        whole = top + np.log(after.sum(axis=0))
         start = np.log(np.exp(totals.prior).sum())
         return whole - shifted(whole, 1, self.pos, start)
 
@@ -601,14 +675,18 @@ class Mixer:
             p = 1 / (1 + np.exp(-np.clip(z, -12, 12)))
             if self.fixed is not None:
                 p = np.full(len(p), self.fixed)
-            p = np.where(texts.n[k] > 0, p, 0.0)
+            p[texts.n[k] <= 0] = 0.0
+            # Both ways to the token, in units of what the other experts give it; these units may be below the least float.
+            taken, low = p * texts.q[k], np.flatnonzero(logs < -600)
+            taken *= np.exp(-np.maximum(logs, -600))
+            both = taken + (1 - p)
             with np.errstate(divide="ignore"):
-                taken = np.log(p * texts.q[k])
-                rest = logs
-                logs = np.logaddexp(taken, np.log1p(-p) + rest)
+                far = np.logaddexp(np.log(p[low] * texts.q[k][low]), np.log1p(-p[low]) + logs[low])
+            logs = logs + np.log(both)
+            logs[low] = far
             if rate:
                 at = np.flatnonzero(learns & (texts.n[k] > 0))
-                share = np.exp(taken[at] - logs[at])
+                share = taken[at] / both[at]
                 gate, error = texts.gates[k][at], share - p[at]
                 total = np.bincount(gate, minlength=EXPERT_GATES)
                 for i in range(INPUTS):
@@ -620,19 +698,21 @@ class Mixer:
         return logs
 
 
-def parts_of(row: dict, totals: Totals, alone: bool, most: int = 120_000) -> Iterator[tuple[slice, Texts]]:
-    """A chunk's texts in parts of about `most` tokens."""
+def parts_of(row: dict, totals: Totals, both: bool, most: int = 120_000) -> Iterator[tuple[slice, Texts, Texts | None]]:
+    """A chunk's texts in parts of about `most` tokens, without their own counts; if `both`, also with all counts."""
     blobs = row["blobs"]
     lengths, tokens = unpacked(blobs[0], np.uint32).astype(np.int64), unpacked(blobs[1], np.uint32).astype(np.int64)
     counts, cost = unpacked(blobs[2], np.uint32).reshape(-1, totals.classes), unpacked(blobs[3], np.float32)
     c, n = unpacked(blobs[4], np.uint32), unpacked(blobs[5], np.uint32)
     kind, ends = np.array(row["classes"], np.int64), np.cumsum(lengths)
-    a = 0
+    a, words = 0, Words(counts, cost, totals)
     while a < len(lengths):
         begin = int(ends[a] - lengths[a])
         b = max(a + 1, int(np.searchsorted(ends, begin + most, "right")))
         part = slice(begin, int(ends[b - 1]))
-        yield slice(a, b), Texts(lengths[a:b], tokens[part], len(cost), counts, cost, c[part], n[part], kind[a:b], totals, alone)
+        given = lengths[a:b], tokens[part], len(cost), counts, cost, c[part], n[part], kind[a:b], totals
+        own = Texts(*given, True, words)
+        yield slice(a, b), own, Texts(*given, False, words, own) if both else None
         a = b
 
 
@@ -644,7 +724,7 @@ def learn(totals: Totals):
         for batch in batches:
             for row in batch.to_pylist():
                 taught = np.array(row["train"], bool)
-                for which, texts in parts_of(row, totals, True):
+                for which, texts, _ in parts_of(row, totals, False):
                     learns = taught[which][texts.doc]
                     if learns.any():
                         # The first texts are gone over several times, since tables and weights start from nothing.
@@ -674,15 +754,15 @@ def scored(totals: Totals, vector: np.ndarray, fixed: float | None = None):
             for row in batch.to_pylist():
                 counts = unpacked(row["blobs"][2], np.uint32).reshape(-1, totals.classes).sum(axis=1, dtype=np.float64)
                 every = np.append(counts, float(totals.ends))
-                base, known, score, tokens = [], [], [], []
-                fresh = [np.add.reduceat(mixer.run(texts), np.cumsum(texts.lengths) - texts.lengths) / np.log(10) for _, texts in parts_of(row, totals, True)]
-                for _, texts in parts_of(row, totals, False):
+                base, known, score, fresh, tokens = [], [], [], [], []
+                for _, own, texts in parts_of(row, totals, True):
                     starts = np.cumsum(texts.lengths) - texts.lengths
                     add = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
                     of = every[texts.tokens]
                     base.append(add(totals.base(of)))
                     known.append(add((of > 0).astype(np.int64)))
                     score.append(add(mixer.run(texts)) / np.log(10))
+                    fresh.append(add(mixer.run(own)) / np.log(10))
                     tokens.append(texts.lengths)
                 score, n = np.concatenate(score), len(row["sizes"])
                 size = np.maximum(1, np.array(row["sizes"], float))
@@ -704,7 +784,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", class_col
     score is the log10 probability that the trained model gives the text. bits_per_byte is what the text costs a model that has
     not learned from it: a training text's own counts of words and contexts are left out, so that training and held-out
     texts compare, and texts that occur again elsewhere stand out.
-    scanned: whether docs comes straight from files, so that every scan deals its rows alike; else they are written as a table first.
+    scanned: whether docs comes straight from files; else they are written as a table first, since they are read several times.
     fixed: a probability for all of the experts' bits in place of the mixer's, to see what the mixer does.
     """
     spark = docs.sparkSession
@@ -725,7 +805,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", class_col
     docs = docs.select("doc_id", "text", F.when(F.col("train"), kind).otherwise(-1).alias("class"))
     docs = docs if scanned else materialize(docs, "texts")
     words = docs.mapInArrow(word_requests(classes, bits, chunk_bytes), REQUESTS).groupBy("bucket").applyInArrow(vocabulary(classes), "bucket int, blobs array<binary>")
-    words = materialize(words, "vocabulary")
+    words = materialize(words, "vocabulary", True)
     sums = {r["i"]: r["n"] for r in words.mapInArrow(vocabulary_sums(classes), "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
     of = lambda a, n: [sums.get(i, 0) for i in range(a, a + n)]
     totals = Totals(n_docs, of(257, classes), of(257 + classes, classes), sums.get(256, 0))
@@ -746,10 +826,12 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", class_col
         each = np.stack([np.frombuffer(r["weights"]).reshape(weights.shape) for r in parts])
         weights = (each * used[:, :, None]).sum(axis=0) / used.sum(axis=0)[:, None]
     # Answers become a table of their own, so that the requests' shuffle can go before chunks and answers meet.
-    found = materialize(docs.mapInArrow(context_requests(bits, chunk_bytes), REQUESTS).groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(
-        answers(classes, tables, weights, code), REQUESTS), "answers")
+    chunks = materialize(docs.mapInArrow(chunk_rows(chunk_bytes), CHUNKS), "codes")
+    found = materialize(chunks.mapInArrow(context_requests(bits), REQUESTS).groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(
+        answers(classes, tables, weights, code), REQUESTS), "answers", True)
     drop_materialized(words)
-    ready = materialize(docs.mapInArrow(chunk_rows(chunk_bytes), CHUNKS).groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(joined, CHUNKS), "chunks")
+    ready = materialize(chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(joined, CHUNKS), "chunks", True)
+    drop_materialized(chunks)
     drop_materialized(found)
     pieces = ready.mapInArrow(learn(totals), "piece int, counts binary").groupBy("piece").applyInArrow(add_floats, "piece int, counts binary").toArrow()
     mixer = Mixer()

@@ -1,8 +1,10 @@
 """Every corpus operator against brute force, on rows with nulls, empty and very long texts, repeats and clashing columns."""
 
 import collections
+import glob
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.llm import licences, mixing, neardup, neighbours, packing, quality, rangecoder, scoring, sharding, tokenfile, toxicity
+from sparkloom.llm.common import SHORT_SHUFFLES, materialize
 from sparkloom.llm.graph import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -380,6 +383,33 @@ def test_mixing_beats_the_base_and_tells_copies_apart(spark):
     assert all(abs(again[i] - r["base_score"]) < 1e-6 for i, r in got.items())
 
 
+def test_shuffle_files_go_with_the_table_that_needed_them(spark):
+    kept = lambda: set(glob.glob(f"{spark.conf.get('spark.local.dir')}/blockmgr-*/*/shuffle_*.data"))
+    before = kept()
+    table = materialize(spark.range(1000).repartition(3, "id"), "short", True)
+    for _ in range(50):
+        if not kept() - before:
+            break
+        time.sleep(0.1)
+    assert not kept() - before and table.count() == 1000 and spark.conf.get(SHORT_SHUFFLES) == "false"
+
+
+def test_texts_with_and_without_their_own_counts_share_their_places():
+    rng = np.random.default_rng(5)
+    counts, cost = rng.integers(0, 50, (40, 2)).astype(np.uint32), np.log10(rng.uniform(1e-6, 1e-2, 40)).astype(np.float32)
+    cost[3] = -400.0  # below the least float
+    totals = scoring.Totals([4, 3], counts.sum(axis=0).tolist(), (counts > 0).sum(axis=0).tolist(), 40)
+    lengths, tokens = np.array([30, 1, 50]), rng.integers(0, 41, 81)
+    tokens[[29, 30, 80]] = 40
+    c = rng.integers(0, 5, 81).astype(np.uint32)
+    given = lengths, tokens, 40, counts, cost, c, c + rng.integers(0, 5, 81).astype(np.uint32), np.array([0, -1, 1]), totals
+    mixer = scoring.Mixer()
+    mixer.vector[:] = rng.gamma(1.0, 3.0, len(mixer.vector))
+    own = scoring.Texts(*given, True)
+    for texts, alike in ((scoring.Texts(*given, False), scoring.Texts(*given, False, None, own)), (own, scoring.Texts(*given, True, scoring.Words(counts, cost, totals)))):
+        assert mixer.run(texts) == pytest.approx(mixer.run(alike), rel=1e-12)
+
+
 def test_probabilities_of_the_next_token_sum_to_one():
     rng = np.random.default_rng(4)
     cost = np.log10(np.array([0.1, 0.02, 0.003, 0.2, 0.05]))
