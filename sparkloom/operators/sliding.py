@@ -82,67 +82,94 @@ class Sorted:
         return self.blocks[self.cursor][at - self.before]
 
 
+class Moving:
+    """The medians of one frame as rows of a partition stream by. low, high: see medians()."""
+
+    def __init__(self, low: int | None, high: int):
+        self.low, self.high, self.found = low, high, []
+        self.begin()
+
+    def begin(self) -> None:
+        self.frame, self.held = Sorted(), deque()  # held: values of rows in reach, from place `first` on
+        self.first = self.due = self.seen = self.entered = self.left = 0
+
+    def push(self, value: float | None) -> None:
+        self.held.append(value)
+        self.seen += 1
+        self.settle(False)
+
+    def settle(self, ended: bool) -> None:
+        """The medians of rows whose frame is complete."""
+        frame, held, low, high, seen = self.frame, self.held, self.low, self.high, self.seen
+        due, first, entered, left = self.due, self.first, self.entered, self.left
+        while due < seen and (ended or due + high < seen):
+            stop = min(seen, max(0, due + high + 1))
+            start = 0 if low is None else max(0, due + low)
+            while entered < stop:
+                frame.add(held[entered - first])
+                entered += 1
+            while left < min(start, entered):
+                frame.remove(held[left - first])
+                left += 1
+            self.found.append(frame.median() if start < stop else None)
+            due += 1
+            keep = entered if low is None else min(left, entered)
+            while first < keep:
+                held.popleft()
+                first += 1
+        self.due, self.first, self.entered, self.left = due, first, entered, left
+
+
 def medians(low: int | None, high: int):
     """An Arrow function over rows in order (columns __part, __value): their frames' medians. low: rows from the current one to the frame's first, None from the start; high: to its last."""
+    return moving([(low, high)], ["__value"], ["__median"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frame, held, now = Sorted(), deque(), None  # held: values of rows in reach, from place `first` on
-        first = due = seen = entered = left = 0
-        found: list = []
-
-        def settle(ended: bool) -> None:
-            """The medians of rows whose frame is complete."""
-            nonlocal due, first, entered, left
-            while due < seen and (ended or due + high < seen):
-                stop = min(seen, max(0, due + high + 1))
-                start = 0 if low is None else max(0, due + low)
-                while entered < stop:
-                    frame.add(held[entered - first])
-                    entered += 1
-                while left < min(start, entered):
-                    frame.remove(held[left - first])
-                    left += 1
-                found.append(frame.median() if start < stop else None)
-                due += 1
-                keep = entered if low is None else min(left, entered)
-                while first < keep:
-                    held.popleft()
-                    first += 1
 
+def moving(reaches: list[tuple[int | None, int]], values: list[str], names: list[str]):
+    """An Arrow function over rows in order (column __part and the values): the medians of several frames in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames, now = [Moving(*r) for r in reaches], None
         waiting: deque = deque()  # batches whose medians are not all there
-        given = 0
 
-        def ready(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal given
-            while waiting and len(found) - given >= waiting[0].num_rows:
-                batch = waiting.popleft()
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found[given:given + batch.num_rows], pa.float64())], [*batch.schema.names, "__median"])
-                given += batch.num_rows
-                del found[:given]
-                given = 0
+        def ready() -> Iterator[pa.RecordBatch]:
+            while waiting and all(len(f.found) >= waiting[0].num_rows for f in frames):
+                batch, columns = waiting.popleft(), []
+                for f in frames:
+                    columns.append(pa.array(f.found[:batch.num_rows], pa.float64()))
+                    del f.found[:batch.num_rows]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
 
         for batch in batches:
             waiting.append(batch)
-            parts, values = batch.column("__part").to_pylist(), batch.column("__value").to_pylist()
-            for part, value in zip(parts, values):
+            parts, rows = batch.column("__part").to_pylist(), zip(*[batch.column(v).cast(pa.float64(), safe=False).to_pylist() for v in values])
+            for part, row in zip(parts, rows):
                 if part != now:
-                    settle(True)
-                    frame, held, now = Sorted(), deque(), part
-                    first = due = seen = entered = left = 0
-                held.append(value)
-                seen += 1
-                settle(False)
-            yield from ready(False)
-        settle(True)
-        yield from ready(True)
+                    for f in frames:
+                        f.settle(True)
+                        f.begin()
+                    now = part
+                for f, value in zip(frames, row):
+                    f.push(value)
+            yield from ready()
+        for f in frames:
+            f.settle(True)
+        yield from ready()
 
     return run
 
 
-def with_median(df: DataFrame, part: list[str], order: list[Column], value: Column, low: int | None, high: int, name: str) -> DataFrame:
-    """df with the frames' medians as column `name`."""
-    key = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in part]), {"ignoreNullFields": "false"}), 256) if part else F.lit("")
-    work = df.withColumns({"__part": key, "__value": value.cast("double")})
+def with_medians(df: DataFrame, part: list[str], order: list[Column], asked: list[tuple[Column | str, int | None, int, str]]) -> DataFrame:
+    """df with the frames' medians; asked: (value or the name of a column of plain numbers, low, high, name of the medians). All frames share one sort,
+    whose rows carry a short key, and values only where they are no columns."""
+    if part:
+        fields = F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(str(i)) for i, c in enumerate(part)]), {"ignoreNullFields": "false"})
+        key = F.when(F.octet_length(fields) <= 32, fields).otherwise(F.sha2(fields, 256))  # JSON begins with a brace, digests do not
+    else:
+        key = F.lit("")
+    values = {f"__value_{i}": value.cast("double") for i, (value, *_) in enumerate(asked) if not isinstance(value, str)}
+    work = df.withColumns({"__part": key} | values)
     work = (work.repartition("__part") if part else work.repartition(1)).sortWithinPartitions("__part", *order)
-    schema = T.StructType([*work.schema.fields, T.StructField("__median", T.DoubleType())])
-    return work.mapInArrow(medians(low, high), schema).drop("__part", "__value").withColumnRenamed("__median", name)
+    names = [name for *_, name in asked]
+    schema = T.StructType([*work.schema.fields, *[T.StructField(name, T.DoubleType()) for name in names]])
+    return work.mapInArrow(moving([(low, high) for _, low, high, _ in asked], [value if isinstance(value, str) else f"__value_{i}" for i, (value, *_) in enumerate(asked)], names), schema).drop("__part", *values)

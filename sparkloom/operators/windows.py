@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
 from .aggregate import aggregate_of, as_number
 from .ordered import RANKS, covered, over_order, ranks_in_parts
 from .registry import ActionError, Context, action, item_column
 from .relational import sort_key
-from .sliding import with_median
+from .sliding import with_medians
 
 BOUNDS = {"unboundedPreceding": Window.unboundedPreceding, "unbounded_preceding": Window.unboundedPreceding, "currentRow": 0, "current_row": 0,
           "unboundedFollowing": Window.unboundedFollowing, "unbounded_following": Window.unboundedFollowing}
@@ -114,14 +115,17 @@ def window(frames, target, p, ctx: Context):
     tie = [F.col(ctx.row_id)] if ctx.row_id in df.columns else []
     frame = p.get("frame") or {}
     by_range = (frame.get("type") or frame.get("unit") or "rows").lower() == "range"
-    names, ready = df.columns, {}
+    names, ready, asked = df.columns, {}, []
     for i, f in enumerate(functions):
         reach = streams(f, p.get("frame"))
         if reach is not None and (f.get("field") or f.get("expr") is not None):
             value = df[f["field"]] if f.get("field") else ctx.column(f["expr"], df)
-            df = with_median(df, part, [*(order or ctx.order(df)), *tie], as_number(value, df.select(value.alias("x")).schema[0].dataType), *reach, f"__median_{i}")
-            ready[i] = f"__median_{i}"
-            order = [sort_key(df, k, ctx) for k in p.get("orderBy", [])]
+            ready[i], kind = f"__median_{i}", df.select(value.alias("x")).schema[0].dataType
+            plain = f.get("field") in df.columns and isinstance(kind, (T.IntegralType, T.FractionalType)) and not isinstance(kind, T.DecimalType)
+            asked.append((f["field"] if plain else as_number(value, kind), *reach, ready[i]))
+    if asked:
+        df = with_medians(df, part, [*(order or ctx.order(df)), *tie], asked)
+        order = [sort_key(df, k, ctx) for k in p.get("orderBy", [])]
     rows = Window.partitionBy(*part).orderBy(*(order or ctx.order(df)), *([] if by_range else tie))
     outs = [F.col(ready[i]) if i in ready else one(f, df, part, order, rows, p.get("frame"), ctx) for i, f in enumerate(functions)]
     return {target: df.select(*[F.col(f"`{c}`") for c in names], *[c.alias(f["as"]) for c, f in zip(outs, functions)])}

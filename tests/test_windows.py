@@ -132,3 +132,16 @@ def test_ranks_of_large_partitions_go_by_ranges(spark, monkeypatch, descending):
     cut = apply_all(asked, {"t": df})["t"]
     assert "__range" in cut._jdf.queryExecution().optimizedPlan().toString() and cut.columns == plain.columns
     assert sorted(map(tuple, cut.drop("x").collect()), key=str) == sorted(map(tuple, plain.drop("x").collect()), key=str)
+
+
+def test_medians_of_one_action_share_a_sort_and_carry_no_copies(spark):
+    df = spark.createDataFrame([(i % 2, i, float(i * 7 % 11), i * 5 % 9) for i in range(40)], "k int, o int, v double, w long")
+    frame = {"start": {"preceding": 2}, "end": {"preceding": 1}}
+    out = apply("window", "t", {"partitionBy": ["k"], "orderBy": [{"field": "o"}], "functions": [
+        {"as": "m", "function": "median", "field": "v"}, {"as": "n", "function": "median", "field": "w"}, {"as": "b", "function": "median", "field": "v", "frame": frame}]}, {"t": df})["t"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "__value" not in plan
+    for k in (0, 1):
+        own = sorted(r for r in out.collect() if r["k"] == k)
+        for j, r in enumerate(own):
+            assert (r["m"], r["n"], r["b"]) == (rank_median([x["v"] for x in own[:j + 1]]), rank_median([x["w"] for x in own[:j + 1]]), rank_median([x["v"] for x in own[max(0, j - 2):j]]))
