@@ -150,31 +150,27 @@ def bucket(n: np.ndarray, bounds: list[int]) -> np.ndarray:
     return np.searchsorted(np.array(bounds), n, "right")
 
 
-def stretched(tables: np.ndarray) -> np.ndarray:
-    """The prediction of every slot with all that it has seen."""
-    return np.log((tables[:, 1::2].astype(np.float32) + PRIOR) / (tables[:, ::2].astype(np.float32) + PRIOR))
-
-
-def inputs_of(tables: np.ndarray, slots: np.ndarray, bits: np.ndarray | None, place: np.ndarray, whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(stretched predictions: 8 x bits, gate of each bit); with bits given, one occurrence of them is left out; else whole may be stretched(tables)."""
-    out = np.empty((len(ORDERS) + 1, slots.shape[1]), np.float32)
-    out[-1] = 0.3
-    seen = []
-    for k in range(len(ORDERS)):
-        if whole is not None:
-            out[k] = whole[k][slots[k]]
-            if k < len(ORDERS) - 2:
-                continue
-        at = slots[k] * 2
-        zeros, ones = tables[k][at].astype(np.float32), tables[k][at + 1].astype(np.float32)
-        if bits is not None:
-            zeros, ones = np.maximum(zeros - (1 - bits), 0), np.maximum(ones - bits, 0)
-        if whole is None:
-            out[k] = np.log((ones + PRIOR) / (zeros + PRIOR))
-        if k >= len(ORDERS) - 2:
-            seen.append(zeros + ones)
-    gate = (bucket(seen[1], [1, 3, 9, 65, 513]) * 3 + bucket(seen[0], [1, 5])) * 4 + place
-    return out, gate
+class Seen:
+    """What tables of counts predict in each slot, with all they have seen or, with `alone`, for each bit without one occurrence of it."""
+
+    def __init__(self, tables: np.ndarray, alone: bool):
+        zeros, ones = tables[:, ::2].astype(np.float32), tables[:, 1::2].astype(np.float32)
+        if alone:
+            zeros, ones = (np.stack(x, axis=2).reshape(len(tables), -1) for x in ((np.maximum(zeros - 1, 0), zeros), (ones, np.maximum(ones - 1, 0))))
+        self.alone, self.stretched = alone, np.log((ones + PRIOR) / (zeros + PRIOR))
+        self.gates = [(bucket(zeros[-1] + ones[-1], [1, 3, 9, 65, 513]) * 12).astype(np.uint8), (bucket(zeros[-2] + ones[-2], [1, 5]) * 4).astype(np.uint8)]
+
+    def inputs(self, slots: np.ndarray, bits: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(stretched predictions: 7 x bits, gate of each bit)."""
+        out = np.empty((len(ORDERS) + 1, slots.shape[1]), np.float32)
+        out[-1] = 0.3
+        gate = place.copy()
+        for k in range(len(ORDERS)):
+            at = slots[k] * np.int64(2) + bits if self.alone else slots[k].astype(np.int64)
+            np.take(self.stretched[k], at, out=out[k], mode="clip")
+            if k >= len(ORDERS) - 2:
+                gate += self.gates[len(ORDERS) - 1 - k][at]
+        return out, gate
 
 
 def mixed(weights: np.ndarray, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -189,11 +185,11 @@ def refine(tables: np.ndarray, start: np.ndarray, code: np.ndarray, rounds: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, used, steps, first, held = start.copy(), np.zeros(GATES), 0, [], 0
-        mass = np.zeros(GATES)
+        mass, known = np.zeros(GATES), Seen(tables, True)
 
         def inputs(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             slots, bits, place, _ = spelled(words, code)
-            return *inputs_of(tables, slots, bits, place), bits
+            return *known.inputs(slots, bits, place), bits
 
         def learn(x: np.ndarray, gate: np.ndarray, bits: np.ndarray) -> None:
             nonlocal steps
@@ -457,12 +453,12 @@ def vocabulary_sums(classes: int):
     return run
 
 
-def costs(words: pa.Array, tables: np.ndarray, weights: np.ndarray, code: np.ndarray) -> np.ndarray:
+def costs(words: pa.Array, known: Seen, weights: np.ndarray, code: np.ndarray) -> np.ndarray:
     """The log10 probability of spelling each word."""
-    out, whole = [np.zeros(0)], stretched(tables)
+    out = [np.zeros(0)]
     for at in range(0, len(words), BATCH):
         slots, bits, place, per_word = spelled(words.slice(at, BATCH), code)
-        x, gate = inputs_of(tables, slots, None, place, whole)
+        x, gate = known.inputs(slots, bits, place)
         p = mixed(weights, x, gate)
         out.append(np.add.reduceat(np.log10(np.where(bits == 1, p, 1 - p).astype(np.float64)), np.cumsum(per_word) - per_word))
     return np.concatenate(out)
@@ -471,13 +467,16 @@ def costs(words: pa.Array, tables: np.ndarray, weights: np.ndarray, code: np.nda
 def answers(classes: int, tables: np.ndarray, weights: np.ndarray, code: np.ndarray):
     """A cogroup function of a bucket's requests and vocabulary: for each chunk the counts by class and costs of its words, and
     for its contexts how often the follower and how often anything followed in training documents."""
+    made: list[Seen] = []  # once a task
 
     def run(requests: pa.Table, words: pa.Table) -> pa.Table:
         asked, sizes = blobs_of(requests), []
         if len(words):
             (hashes, lengths, letters, counts), = blobs_of(words)
             hashes, counts = unpacked(hashes, np.uint64), unpacked(counts, np.uint32).reshape(-1, classes)
-            cost = costs(unpacked_words(lengths, letters), tables, weights, code).astype(np.float32)
+            if not made:
+                made.append(Seen(tables, False))
+            cost = costs(unpacked_words(lengths, letters), made[0], weights, code).astype(np.float32)
         context = [unpacked_sorted(x[1]) for x in asked]
         follower, times = (np.concatenate([unpacked(x[k], np.uint32) for x in asked]) if asked else np.zeros(0, np.uint32) for k in (2, 3))
         sizes = np.cumsum([0, *map(len, context)])
@@ -530,9 +529,13 @@ def earlier(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rank, total
 
 
+#: The levels of the counts 0 to 181, and how far from its start a place lies, from 0 to 127.
+LEVELS, FAR = np.minimum(np.log2(np.arange(182) + 1.0) * 2, 15).astype(np.int64), np.minimum(np.log2(np.arange(128) + 1.0), 7).astype(np.int64)
+
+
 def levels(n: np.ndarray) -> np.ndarray:
     """Counts in 16 levels."""
-    return np.minimum(np.log2(n + 1.0) * 2, 15).astype(np.int64)
+    return LEVELS[np.minimum(n, len(LEVELS) - 1).astype(np.int64)]
 
 
 class Totals:
@@ -612,7 +615,7 @@ class Texts:
         self.contexts, self.gates = [], []
         hits = [(q > 0).astype(np.int64) for q in self.q]
         last = shifted(sum(h << k for k, h in enumerate(hits)), 1, pos, 0)
-        place = np.minimum(np.log2(pos + 1.0), 7).astype(np.int64)
+        place = FAR[np.minimum(pos, len(FAR) - 1)]
         for k in range(EXPERTS):
             if alike and k:
                 first, second = alike.contexts[k][:2]
@@ -635,7 +638,7 @@ class Texts:
         ahead = np.ascontiguousarray(ahead.T)
         # Sums along each text from its class's prior, before and after each token.
         after = np.cumsum(ahead, axis=1)
-        began = (after - ahead)[:, starts] - totals.prior[:, None]
+        began = after[:, starts] - ahead[:, starts] - totals.prior[:, None]
         after -= np.repeat(began, self.lengths, axis=1)
         top = after.max(axis=0)
         after -= top
@@ -658,20 +661,18 @@ class Mixer:
         if vector is None:
             self.weights[:, :, :-1] = 0.4
 
-    def inputs(self, texts: Texts, k: int) -> np.ndarray:
-        out = np.empty((INPUTS, len(texts.tokens)))
-        for j, slots in enumerate(texts.contexts[k]):
-            seen = self.tables[k][j]
-            out[j] = np.log((seen[:, 0] + PRIOR) / (seen[:, 1] + PRIOR))[slots]
-        out[-1] = 0.3
-        return out
+    def stretched(self, k: int) -> list[np.ndarray]:
+        return [np.log((seen[:, 0] + PRIOR) / (seen[:, 1] + PRIOR)) for seen in self.tables[k]]
 
     def run(self, texts: Texts, rate: float = 0.0, learns: np.ndarray | None = None) -> np.ndarray:
         """Natural log of each token's probability; with a rate, tables and weights learn from the tokens where `learns` holds."""
         logs = texts.rest
         for k in reversed(range(EXPERTS)):
-            x = self.inputs(texts, k)
-            z = np.einsum("ij,ij->j", self.weights[k][texts.gates[k]].T, x)
+            # A slot of a table tells the gate, so weights go with the slots.
+            x, w = self.stretched(k), self.weights[k]
+            z = (0.3 * w[:, -1])[texts.gates[k]]
+            for j, slots in enumerate(texts.contexts[k]):
+                z += (x[j].reshape(EXPERT_GATES, -1) * w[:, j, None]).reshape(-1)[slots]
             p = 1 / (1 + np.exp(-np.clip(z, -12, 12)))
             if self.fixed is not None:
                 p = np.full(len(p), self.fixed)
@@ -690,7 +691,8 @@ class Mixer:
                 gate, error = texts.gates[k][at], share - p[at]
                 total = np.bincount(gate, minlength=EXPERT_GATES)
                 for i in range(INPUTS):
-                    self.weights[k][:, i] += rate * np.bincount(gate, error * x[i, at], EXPERT_GATES) / np.maximum(total, 500.0)
+                    own = x[i][texts.contexts[k][i][at]] if i < len(x) else 0.3
+                    self.weights[k][:, i] += rate * np.bincount(gate, error * own, EXPERT_GATES) / np.maximum(total, 500.0)
                 for j, slots in enumerate(texts.contexts[k]):
                     size = len(self.tables[k][j])
                     self.tables[k][j][:, 0] += np.bincount(slots[at], share, size)
