@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -36,6 +37,7 @@ GATES = 8 * 16
 OFTEN = np.array([1, 1, 4, 4, 7, 7, 7, 7, 10, 10, 10, 10, 10, 10, 10, 10, 13])
 #: The steps before which order 1 takes up what it has seen; the rest of the model does so also before every 16th.
 TAKES = (1, 4, 12, 32, 80, 160, 288, 416)
+IDS = (1 << ID_BITS) - 1
 U0, U16, U48 = np.uint64(0), np.uint64(16), np.uint64(48)
 GATE_SHIFT = np.uint64(GATE_BITS)
 
@@ -79,36 +81,45 @@ class Mixer:
         # By gate * 3 + outcome: where its interval starts, and its size.
         self.start = np.stack([np.zeros(GATES, np.int64), self.w2, self.both], axis=1).reshape(-1).astype(np.uint64)
         self.size = np.stack([self.w2, self.both - self.w2, whole - self.both], axis=1).reshape(-1).astype(np.uint64)
+        self.w2, self.both = self.w2.astype(np.uint64), self.both.astype(np.uint64)
 
     def learn(self, ids: np.ndarray, cells: np.ndarray) -> None:
         self.counts += GAIN * np.bincount(ids, minlength=len(self.counts))
         self.outcomes = self.outcomes * 0.8 + np.bincount(cells, minlength=GATES * 3).reshape(GATES, 3)
         self.settle()
 
-    def follow(self, at: np.ndarray, held: np.ndarray, sure: np.ndarray, hit: np.ndarray, ids: np.ndarray) -> None:
-        """Order 2 sees which ids followed: an expected id gains confidence, another one lowers it and then takes the slot."""
-        self.slots[at] = np.where(hit, held + (sure < 7), np.where(sure > 1, held - (sure - (sure >> 1)), ids * 8 + 1))
+    def follow(self, at: np.ndarray, held: np.ndarray, sure: np.ndarray, hit: np.ndarray, fresh: np.ndarray) -> None:
+        """Order 2 sees which ids followed (fresh: id * 8 + 1): an expected id gains confidence, another one lowers it and then takes the slot."""
+        new = np.where(hit, held + (sure < 7), held - ((sure + 1) >> 1))
+        np.copyto(new, fresh, where=np.greater(sure < 2, hit))
+        self.slots[at] = new
 
 
 class Follows:
-    """What followed each id so far: ids in order, one preceding id after another, and for each place its run of equal ids."""
+    """What followed each id so far, one preceding id after another: runs of equal ids, in order."""
 
     def __init__(self, before: np.ndarray, ids: np.ndarray, alphabet: int):
-        keys = np.sort(before << ID_BITS | ids)
-        self.ids = keys & ((1 << ID_BITS) - 1)
+        keys = before.astype(np.int64)
+        keys <<= ID_BITS
+        keys |= ids
+        keys.sort()
         first = np.empty(len(keys), bool)
         first[0] = True
         np.not_equal(keys[1:], keys[:-1], out=first[1:])
         begins = np.flatnonzero(first)
         sizes = np.diff(np.append(begins, len(keys)))
-        self.n = np.bincount(before, minlength=alphabet)
-        self.at = np.cumsum(self.n) - self.n
-        self.begins, self.sizes, self.keys = begins, sizes, keys[begins]
-        self.sure = confidence(self.n, np.bincount(keys[begins] >> ID_BITS, minlength=alphabet))
+        n = np.bincount(before, minlength=alphabet)
+        self.sizes, self.keys = sizes, keys[begins]
+        sure = confidence(n, np.bincount(self.keys >> ID_BITS, minlength=alphabet))
+        # Numbers below 2^20, or up to it and on top, share a word, so that they are looked up at once: of a context
+        # (confidence, where what followed begins, how often anything followed) and of a run (id, place in its context, size).
+        at = np.cumsum(n) - n
+        self.contexts = sure | at << 4 | n << 24
+        self.runs = self.keys & IDS | (begins - at[self.keys >> ID_BITS]) << 20 | sizes << 40
 
     def by_place(self) -> None:
         """For the decoder: the run of each place."""
-        self.begin, self.size = np.repeat(self.begins, self.sizes), np.repeat(self.sizes, self.sizes).astype(np.uint64)
+        self.runs = np.repeat(self.runs, self.sizes)
 
     def by_pair(self) -> None:
         """For the encoder: two hash tables of runs. A pair that both have overwritten counts as not seen, which costs bits only."""
@@ -118,14 +129,18 @@ class Follows:
             table[pair_slot(self.keys, factor)] = np.arange(len(self.keys), dtype=np.int32)
             self.tables.append(table)
 
-    def counts(self, before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What followed each of `before`: how often ids below, this id, any id."""
-        wanted, run = before << ID_BITS | ids, None
-        for table, factor in zip(self.tables, PAIR_FACTORS):
-            found = table[pair_slot(wanted, factor)]
-            there = self.keys[found] == wanted
-            run, known = (found, there) if run is None else (np.where(known, run, found), known | there)
-        return self.begins[run] - self.at[before], np.where(known, self.sizes[run], 0), self.n[before]
+    def counts(self, before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What followed each of `before`: how often ids below, and this id."""
+        wanted = before << ID_BITS | ids
+        run = self.tables[0][pair_slot(wanted, PAIR_FACTORS[0])]
+        missed = np.flatnonzero(self.keys[run] != wanted)
+        again = wanted[missed]
+        found = self.tables[1][pair_slot(again, PAIR_FACTORS[1])]
+        run[missed] = found
+        run = self.runs[run]
+        own = run >> 40
+        own[missed[self.keys[found] != again]] = 0
+        return run >> 20 & IDS, own
 
 
 def pair_slot(keys: np.ndarray, factor: int) -> np.ndarray:
@@ -150,83 +165,107 @@ def encoded(ids: np.ndarray) -> bytes:
     crc = zlib.crc32(np.ascontiguousarray(ids, "<u4"))
     if not n:
         return struct.pack(HEADER, MAGIC, 0, 0, 0, crc, 0)
-    padded = np.zeros(lanes * steps, np.int64)
+    padded = np.zeros(lanes * steps, np.int32)
     padded[:n] = ranks
-    columns = np.ascontiguousarray(padded.reshape(lanes, steps).T)
-    last, before = np.zeros_like(columns), np.zeros_like(columns)
-    last[1:], before[2:] = columns[:-1], columns[:-2]
+    columns = np.zeros((steps + 2, lanes), np.int32)  # two rows of zeros before the first step
+    columns[2:] = padded.reshape(lanes, steps).T
     # Lanes are filled one after another, so those in use at a step come first.
     used = np.minimum(lanes, -(-(n - np.arange(steps)) // steps))
-    real = np.arange(lanes)[None, :] < used[:, None]
-    slots = slot_of(before, last)
     model = Mixer(len(names))
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    out, pos = np.zeros((lanes, 3 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
-    cells = np.zeros((steps, lanes), np.int64)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
     follows = None
     for a, b, taken in spans(steps):
         if taken:
-            follows = Follows(last[:a][real[:a]], columns[:a][real[:a]], len(names))
+            real = Real(used, lanes, 0, a)
+            follows = Follows(real(columns[1:a + 1]), real(columns[2:a + 2]), len(names))
             follows.by_pair()
-        x, sizes = columns[a:b], model.counts[columns[a:b]]
-        if follows:
-            below, own, whole = follows.counts(last[a:b], x)
-            known, sure = own > 0, follows.sure[last[a:b]]
-        else:
-            below = own = whole = sure = np.zeros_like(x)
-            known = np.zeros(x.shape, bool)
-        below = np.where(known, below, model.above[x] - sizes).astype(np.uint64)
-        own, whole = np.where(known, own, sizes).astype(np.uint64), np.where(known, whole, model.total).astype(np.uint64)
-        other = sure * 3 + 2 - known
+        # Order 2 first, step by step, then the others' shares of all ids that it does not expect, then the coder.
+        last, ids = columns[a + 1:b + 1].astype(np.int64), columns[a + 2:b + 2]
+        slots, fresh = slot_of(columns[a:b].astype(np.int64), last), ids * 8 + 1
+        hits, trusts = np.ones((b - a, lanes), bool), np.zeros((b - a, lanes), np.int32)
         for t in range(a, b):
             m, i = int(used[t]), t - a
-            at, ids_now = slots[t, :m], x[i, :m]
+            at, new = slots[i, :m], fresh[i, :m]
             held = model.slots[at]
-            trust = held & 7
-            hit = ((held >> 3) == ids_now) & (trust > 0)
-            cell = cells[t, :m] = trust * 48 + np.where(hit, 3 * sure[i, :m], other[i, :m])
-            lo, r = low[:m], span[:m] >> GATE_SHIFT
-            lo += model.start[cell] * r
-            r *= model.size[cell]
-            part = r // whole[i, :m]
-            lo += np.where(hit, U0, below[i, :m] * part)
-            span[:m] = np.where(hit, r, own[i, :m] * part)
-            model.follow(at, held, trust, hit, ids_now)
-            put_out(low, span, out, pos)
-        model.learn(x[real[a:b]], cells[a:b][real[a:b]])
+            trust = np.bitwise_and(held, 7, out=trusts[i, :m])
+            hit = np.less((held - new).view(np.uint32), 7, out=hits[i, :m])
+            model.follow(at, held, trust, hit, new)
+        contexts = follows.contexts[last] if follows else np.zeros((b - a, lanes), np.int64)
+        cells = (trusts * 48 + (contexts & 15) * 3).reshape(-1)
+        below, own, whole = np.zeros(cells.shape, np.uint64), np.ones(cells.shape, np.uint64), np.ones(cells.shape, np.uint64)
+        missed = np.flatnonzero(~hits)
+        x = ids.reshape(-1)[missed]
+        if follows:
+            under, times = follows.counts(last.reshape(-1)[missed], x)
+            there = times > 0
+            known, rest = missed[there], np.flatnonzero(~there)
+            below[known], own[known], whole[known] = under[there], times[there], contexts.reshape(-1)[known] >> 24
+            cells[known] += 1
+            missed, x = missed[rest], x[rest]
+        times = model.counts[x]
+        below[missed], own[missed], whole[missed] = model.above[x] - times, times, model.total
+        cells[missed] += 2
+        start, size, below, own, whole = (v.reshape(b - a, lanes) for v in (model.start[cells], model.size[cells], below, own, whole))
+        for t in range(a, b):
+            m, i = int(used[t]), t - a
+            lo, r = low[:m], span[:m]
+            r >>= GATE_SHIFT
+            lo += start[i, :m] * r
+            r *= size[i, :m]
+            r //= whole[i, :m]
+            lo += below[i, :m] * r
+            r *= own[i, :m]
+            put_out(low, span, out)
+        real = Real(used, lanes, a, b)
+        model.learn(real(ids), real(cells.reshape(b - a, lanes)))
     value = (low + np.uint64(2**32 - 1)) >> np.uint64(32)
     at = np.arange(lanes)
-    out[at, pos] = (value >> U16).astype(np.uint16)
-    out[at, pos + 1] = (value & np.uint64(0xFFFF)).astype(np.uint16)
-    pos += 2
-    words = out[np.arange(out.shape[1])[None, :] < pos[:, None]]
+    out += [(at, (value >> U16).astype(np.uint16)), (at, (value & np.uint64(0xFFFF)).astype(np.uint16))]
+    owner = np.concatenate([x for x, _ in out]).astype(np.uint16)
+    pos, words = np.bincount(owner, minlength=lanes), np.concatenate([x for _, x in out])[np.argsort(owner, kind="stable")]
     return struct.pack(HEADER, MAGIC, n, len(table), lanes, crc, steps) + table + pos.astype("<u4").tobytes() + words.astype("<u2").tobytes()
 
 
 def ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct ids in order, rank of each id)."""
-    there = np.bincount(ids, minlength=1) > 0 if len(ids) else np.zeros(1, bool)
-    return np.flatnonzero(there).astype(np.uint32), (np.cumsum(there) - 1)[ids]
+    there = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
+    there[ids] = True
+    return np.flatnonzero(there).astype(np.uint32), (np.cumsum(there, dtype=np.int32) - 1)[ids]
 
 
-def due(low: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """The lanes that must shift; where the span ran short of a carry boundary it is cut to that boundary."""
-    settled = (low ^ (low + span)) < TOP
-    short = ~settled & (span < BOTTOM)
-    if short.any():
-        span[short] = (U0 - low[short]) & (BOTTOM - np.uint64(1))
-    return np.flatnonzero(settled | short)
+class Real:
+    """Takes those places of the steps from a to b that hold an id, in any order."""
 
+    def __init__(self, used: np.ndarray, lanes: int, a: int, b: int):
+        self.mask = None if used[b - 1] == lanes else np.arange(lanes)[None, :] < used[a:b, None]
 
-def put_out(low: np.ndarray, span: np.ndarray, out: np.ndarray, pos: np.ndarray) -> None:
-    at = due(low, span)
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        return values.reshape(-1) if self.mask is None else values[self.mask]
+
+
+def due(low: np.ndarray, span: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Shifts all lanes that must; yields, time and again, such lanes and their low ends before the shift. Where the span ran short
+    of a carry boundary it is cut to that boundary."""
+    at = np.flatnonzero(span < TOP)  # wider spans hold a boundary
     while len(at):
-        out[at, pos[at]] = (low[at] >> U48).astype(np.uint16)
-        pos[at] += 1
-        some, wide = low[at] << U16, span[at] << U16
-        again = due(some, wide)
-        low[at], span[at] = some, wide
-        at = at[again]
+        lo, wide = low[at], span[at]
+        apart = (lo ^ (lo + wide)) >= TOP
+        if apart.any():
+            short = apart & (wide < BOTTOM)
+            wide[short] = (U0 - lo[short]) & (BOTTOM - np.uint64(1))
+            some = np.flatnonzero(short >= apart)
+            at, lo, wide = at[some], lo[some], wide[some]
+        yield at, lo
+        low[at] = lo << U16
+        wide <<= U16
+        span[at] = wide
+        at = at[wide < TOP]
+
+
+def put_out(low: np.ndarray, span: np.ndarray, out: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    for at, lo in due(low, span):
+        out.append((at, (lo >> U48).astype(np.uint16)))
 
 
 def decode(block: bytes) -> np.ndarray:
@@ -258,21 +297,27 @@ def decoded(block: bytes, at: int) -> tuple[np.ndarray, int]:
     size = int(lengths.sum())
     if len(block) < at + 2 * size or int(lengths.max()) > 3 * steps + 8 or not len(names):
         raise ValueError("a block of token ids is cut short")
-    words = np.zeros((lanes, max(4, int(lengths.max())) + 16), np.uint64)
-    words[np.arange(words.shape[1])[None, :] < lengths[:, None]] = np.frombuffer(block, "<u2", size, at)
+    if int(lengths.min()) < 2:
+        raise ValueError("a block of token ids is cut short")
+    # Each lane's words end in zeros, of which a sound lane reads two.
+    room = lengths + 4
+    words, pos = np.zeros(int(room.sum()), np.uint16), np.cumsum(room) - room
+    words[np.arange(size) + np.repeat(4 * np.arange(lanes), lengths)] = np.frombuffer(block, "<u2", size, at)
     at += 2 * size
-    code = (words[:, 0] << U48) | (words[:, 1] << np.uint64(32)) | (words[:, 2] << U16) | words[:, 3]
-    pos = np.full(lanes, 4)
+    code = np.zeros(lanes, np.uint64)
+    for _ in range(4):
+        code = (code << U16) | words[pos]
+        pos += 1
     model = Mixer(len(names))
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
     columns = np.zeros((steps + 2, lanes), np.int64)  # two rows of zeros before the first step
     cells = np.zeros((steps, lanes), np.int64)
     used = np.minimum(lanes, -(-(n - np.arange(steps)) // steps))
-    follows, most, one = None, np.uint64((1 << GATE_BITS) - 1), np.uint64(1)
+    follows, one, most = None, np.uint64(1), len(words) - 1
     for a, b, taken in spans(steps):
         if taken:
-            real = np.arange(lanes)[None, :] < used[:a, None]
-            follows = Follows(columns[1:a + 1][real], columns[2:a + 2][real], len(names))
+            real = Real(used, lanes, 0, a)
+            follows = Follows(real(columns[1:a + 1]), real(columns[2:a + 2]), len(names))
             follows.by_place()
         for t in range(a, b):
             m = int(used[t])
@@ -280,45 +325,51 @@ def decoded(block: bytes, at: int) -> tuple[np.ndarray, int]:
             at_2 = slot_of(columns[t, :m], last)
             held = model.slots[at_2]
             trust = held & 7
-            gate = trust * 16 + follows.sure[last] if follows else trust * 16
-            lo, r = low[:m], span[:m] >> GATE_SHIFT
+            context = follows.contexts[last] if follows else np.zeros(m, np.int64)
+            gate = context & 15
+            gate += trust << 4
+            lo, r = low[:m], span[:m]
+            r >>= GATE_SHIFT
             ahead = code[:m] - lo
-            q = np.minimum(ahead // np.maximum(r, one), most).astype(np.int64)
-            in_2, in_0 = q < model.w2[gate], q >= model.both[gate]
-            cell = cells[t, :m] = gate * 3 + 1 + in_0 - in_2
-            jump = model.start[cell] * r
+            in_2, in_0 = ahead < model.w2[gate] * r, ahead >= model.both[gate] * r
+            gate *= 3
+            gate += 1
+            gate += in_0
+            gate -= in_2
+            cells[t, :m] = gate
+            jump = model.start[gate] * r
             ahead -= jump
-            jump += lo
-            r *= model.size[cell]
+            lo += jump
+            r *= model.size[gate]
             x = held >> 3
             if follows:
-                e = np.flatnonzero(~(in_2 | in_0))
-                first = follows.at[last[e]]
-                part = r[e] // np.maximum(follows.n[last[e]], 1).astype(np.uint64)
-                place = np.minimum(first + (ahead[e] // np.maximum(part, one)).astype(np.int64), len(follows.ids) - 1)
-                x[e] = follows.ids[place]
-                jump[e] += (follows.begin[place] - first).astype(np.uint64) * part
-                r[e] = follows.size[place] * part
+                e = np.flatnonzero(in_0 == in_2)  # neither
+                context, wide = context[e], r[e]
+                wide //= np.maximum(context >> 24, 1).astype(np.uint64)
+                place = (context >> 4 & IDS) + (ahead[e] // np.maximum(wide, one)).astype(np.int64)
+                run = follows.runs[np.minimum(place, len(follows.runs) - 1)]
+                x[e] = run & IDS
+                lo[e] += (run >> 20 & IDS).astype(np.uint64) * wide
+                wide *= (run >> 40).astype(np.uint64)
+                r[e] = wide
             e = np.flatnonzero(in_0)
-            part = r[e] // np.uint64(model.total)
-            found = np.searchsorted(model.above, np.minimum(ahead[e] // np.maximum(part, one), np.uint64(model.total - 1)).astype(np.int64), "right")
+            wide = r[e] // np.uint64(model.total)
+            found = np.searchsorted(model.above, np.minimum(ahead[e] // np.maximum(wide, one), np.uint64(model.total - 1)).astype(np.int64), "right")
             sizes = model.counts[found]
             x[e] = found
-            jump[e] += (model.above[found] - sizes).astype(np.uint64) * part
-            r[e] = sizes.astype(np.uint64) * part
-            low[:m], span[:m] = jump, r
-            columns[t + 2, :m] = np.minimum(x, len(names) - 1)
+            lo[e] += (model.above[found] - sizes).astype(np.uint64) * wide
+            wide *= sizes.astype(np.uint64)
+            r[e] = wide
+            np.minimum(x, len(names) - 1, out=x)
+            columns[t + 2, :m] = x
+            x *= 8
+            x += 1
             model.follow(at_2, held, trust, in_2, x)
-            shift = due(low, span)
-            while len(shift):
-                some, wide = low[shift] << U16, span[shift] << U16
-                code[shift] = (code[shift] << U16) | words[shift, np.minimum(pos[shift], words.shape[1] - 1)]
-                pos[shift] += 1
-                again = due(some, wide)
-                low[shift], span[shift] = some, wide
-                shift = shift[again]
-        real = np.arange(lanes)[None, :] < used[a:b, None]
-        model.learn(columns[a + 2:b + 2][real], cells[a:b][real])
+            for lane, _ in due(low, span):
+                code[lane] = (code[lane] << U16) | words[np.minimum(pos[lane], most)]
+                pos[lane] += 1
+        real = Real(used, lanes, a, b)
+        model.learn(real(columns[a + 2:b + 2]), real(cells[a:b]))
     ids = names[columns[2:].T.reshape(-1)[:n]]
     if zlib.crc32(np.ascontiguousarray(ids, "<u4")) != crc:
         raise ValueError("a block of token ids fails its checksum")

@@ -58,7 +58,7 @@ class Encoder:
         self.tokenizer, self.spaces = Tokenizer.from_file(path), spaces
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.letters, self.runs = byte_letters(), {}
+        self.letters, self.runs, self.model = byte_letters(), {}, self.tokenizer.model  # asked for once: each access makes a new object
         self.hashes, self.starts, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
@@ -71,41 +71,38 @@ class Encoder:
             held[path, spaces] = Encoder(path, spaces)
         return held[path, spaces]
 
-    def spelled(self, letters: str) -> bytes:
-        """The ids of one run of letters or marks, as the tokenizer's model knows them; a bounded table keeps them."""
-        found = self.runs.get(letters)
-        if found is None:
-            if len(self.runs) >= KEPT_RUNS:
-                self.runs.clear()
-            found = self.runs[letters] = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
-        return found
-
-    def word(self, word: str, spaced: bool) -> bytes:
-        """The ids of a plain word, with the space before it if `spaced`."""
+    def spelled(self, run: str) -> bytes:
+        """The ids of one run of letters, with a space before it if it has one, of marks, or a line's end; a bounded table keeps them."""
+        if len(self.runs) >= KEPT_RUNS:
+            self.runs.clear()
         if not self.spaces:
-            word = word.lower()
-        elif not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.letters)
-        return self.spelled(self.letters[32] + word if spaced else word)
+            letters = run.lower()
+        elif run.isascii():
+            letters = run.replace(" ", self.letters[32]).replace("\n", self.letters[10])
+        else:
+            letters = run.encode().decode("latin-1").translate(self.letters)
+        found = self.runs[run] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return found
 
     def encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each piece, all ids) from the tokenizer itself."""
         ids, ends, rest = bytearray(), [], []
+        spaces, known, spelled = self.spaces, self.runs.get, self.spelled
         for i, piece in enumerate(pieces):
-            spaced = self.spaces and piece[:1] == " "
-            found = PLAIN(piece, 1 if spaced else 0)
-            if not found or not (self.spaces or piece.isascii()):
+            found = PLAIN(piece, 1 if spaces and piece[:1] == " " else 0)
+            if not found or not (spaces or piece.isascii()):
                 rest.append(i)
             else:
                 word, marks, line, marks_2 = found.groups()
-                ids += self.word(word, spaced)
+                word = piece[:found.end(1)]
+                ids += known(word) or spelled(word)
                 if marks:
-                    ids += self.spelled(marks)
+                    ids += known(marks) or spelled(marks)
                 if line:
-                    ids += self.spelled(self.letters[10])
-                    ids += self.word(line, False)
+                    ids += known("\n") or spelled("\n")
+                    ids += known(line) or spelled(line)
                     if marks_2:
-                        ids += self.spelled(marks_2)
+                        ids += known(marks_2) or spelled(marks_2)
             ends.append(len(ids))
         counts = np.diff(np.array(ends, np.int64), prepend=0) // 4
         plain, others = np.flatnonzero(counts), []
@@ -127,26 +124,28 @@ class Encoder:
             self.hashes, self.starts, self.lengths, self.used = self.hashes[:0], self.starts[:0], self.lengths[:0], 0
         digest = xxhash.xxh3_64_intdigest
         wanted = np.fromiter(map(digest, pieces), np.uint64, len(pieces))
+        by_hash = np.argsort(wanted)  # sought in order, which keeps to few cache lines
+        wanted = wanted[by_hash]
         at = np.searchsorted(self.hashes, wanted)
         known = np.zeros(len(wanted), bool)
         inside = at < len(self.hashes)
         known[inside] = self.hashes[at[inside]] == wanted[inside]
         missing = np.flatnonzero(~known)
         if len(missing):
-            counts, ids = self.encoded([pieces[i] for i in missing.tolist()])
+            counts, ids = self.encoded([pieces[i] for i in by_hash[missing].tolist()])
             while self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
             self.ids[self.used:self.used + len(ids)] = ids
             starts = self.used + np.cumsum(counts) - counts
             self.used += len(ids)
-            order = np.argsort(wanted[missing], kind="stable")
-            new = wanted[missing][order]
-            put = np.searchsorted(self.hashes, new)
-            self.hashes = np.insert(self.hashes, put, new)
-            self.starts = np.insert(self.starts, put, starts[order])
-            self.lengths = np.insert(self.lengths, put, counts[order])
-            at = np.searchsorted(self.hashes, wanted)
-        return self.starts[at], self.lengths[at]
+            put = at[missing]
+            self.hashes = np.insert(self.hashes, put, wanted[missing])
+            self.starts = np.insert(self.starts, put, starts)
+            self.lengths = np.insert(self.lengths, put, counts)
+            at += np.cumsum(~known) - ~known
+        place = np.empty_like(at)
+        place[by_hash] = at
+        return self.starts[place], self.lengths[place]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, all ids as uint32, one text after another); texts has no nulls."""

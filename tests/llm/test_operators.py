@@ -596,3 +596,26 @@ def test_equal_vectors_have_equal_scores_in_any_block(spark):
     for r in neighbours.nearest(table, F.col("vec_id") % 50 == 0, shard_rows=97).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     assert got[0] == [(3, 1.0), (6, 1.0), (9, 1.0), (12, 1.0), (15, 1.0)] and got[900][0] == (0, 1.0)
+
+
+def test_each_run_of_letters_or_marks_is_spelled_once(monkeypatch):
+    """Pieces share their words, marks and ends of lines; the ids are the tokenizer's own."""
+    from sparkloom.llm import tokens
+
+    encoder = tokens.Encoder(tokens.tokenizer_path("byte_bpe_50k.json"), True)
+    asked, spelled = [], encoder.spelled
+    monkeypatch.setattr(encoder, "spelled", lambda run: asked.append(run) or spelled(run))
+    pieces = [" Word", " Word,", "Word", " Word,\nWord,", " mañana", " mañana!!", " mañana\nWord", " Word.\nmañana,", "x1 y"]
+    counts, ids = encoder.encoded(pieces)
+    assert len(asked) == len(set(asked)) and encoder.encoded(pieces[:-1])[0].tolist() == counts[:-1].tolist() and len(asked) == len(set(asked))
+    for piece, own in zip(pieces, np.split(ids, np.cumsum(counts)[:-1])):
+        assert own.tolist() == encoder.tokenizer.encode(piece, add_special_tokens=False).ids
+    # Places are found in the order of hashes and given back in that of the pieces.
+    for some in (pieces[:4], pieces[::-1]):
+        for piece, start, length in zip(some, *encoder.places(some)):
+            assert encoder.ids[start:start + length].tolist() == encoder.tokenizer.encode(piece, add_special_tokens=False).ids
+
+
+def test_range_coder_keeps_its_format():
+    ids = (np.arange(60_000, dtype=np.uint64) ** 2 % 9973 % 611).astype(np.uint32)
+    assert zlib.crc32(rangecoder.encode(ids)) == 2699400063
