@@ -48,6 +48,8 @@ DISCOUNT = 0.75
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Words that are spelled at once; bytes of a task's inputs that stay for further rounds.
 BATCH, HELD_INPUTS = 2000, 80_000_000
+#: Bits of words that are counted at once.
+COUNTED_BITS = 1_000_000
 #: Bits of a context's hash and of a follower's; how many of the latter sort a chunk's requests.
 CONTEXT_BITS, FOLLOWER_BITS, SORTED_BITS = 44, 24, 20
 #: Hashes of what stands before a text and of its end.
@@ -76,6 +78,13 @@ def byte_codes(frequencies: dict[int, int]) -> np.ndarray:
     return np.stack([lengths, codes])
 
 
+def letters_of(words: pa.Array) -> np.ndarray:
+    """The bytes of binary values, none of them null, one after another."""
+    _, ends, letters = words.buffers()
+    ends = np.frombuffer(ends, np.int32)[words.offset:words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    return np.frombuffer(letters, np.uint8)[ends[0]:ends[-1]] if letters else np.zeros(0, np.uint8)
+
+
 def spelled(words: pa.Array, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(slots of each context for each bit: contexts x bits, the bits, place of each bit's byte in its word, bits per word)."""
     words = words.cast(pa.binary())
@@ -84,7 +93,7 @@ def spelled(words: pa.Array, code: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     text = np.full(int(ends[-1]), 32, np.uint8)
     inside = np.ones(len(text), bool)
     inside[ends - 1] = False
-    text[inside] = np.frombuffer(b"".join(words.to_pylist()), np.uint8)
+    text[inside] = letters_of(words)
     place = np.arange(len(text)) - np.repeat(ends - lengths, lengths)
     shifted = text.astype(np.uint64) + np.uint64(1)
     power = np.cumprod(np.full(int(lengths.max()) + 1, MIX | np.uint64(1), np.uint64))
@@ -123,13 +132,24 @@ def gather_counts(code: np.ndarray):
     """A mapInArrow function: the task's counts of zeros and ones per slot, in pieces of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((len(ORDERS), 2 << SLOT_BITS), np.int64)
+        tables, held, size = np.zeros((len(ORDERS), 2 << SLOT_BITS), np.int64), [], 0
+
+        def add() -> None:
+            if held:
+                for k in range(len(ORDERS)):
+                    tables[k] += np.bincount(np.concatenate([x[k] for x in held]), minlength=2 << SLOT_BITS)
+
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
-                words = batch.column(0).slice(at, BATCH)
-                slots, bits, _, _ = spelled(words, code)
-                for k in range(len(ORDERS)):
-                    np.add.at(tables[k], slots[k].astype(np.int64) * 2 + bits, 1)
+                slots, bits, _, _ = spelled(batch.column(0).slice(at, BATCH), code)
+                slots *= 2
+                slots += bits.astype(np.int32)
+                held.append(slots)
+                size += len(bits)
+                if size >= COUNTED_BITS:
+                    add()
+                    held, size = [], 0
+        add()
         pieces = tables.reshape(-1, PIECE)
         used = np.flatnonzero(pieces.any(axis=1))
         for at in range(0, len(used), 64):
@@ -498,7 +518,8 @@ def answers(classes: int, tables: np.ndarray, weights: np.ndarray, code: np.ndar
 def joined(chunks: pa.Table, found: pa.Table) -> pa.Table:
     """A cogroup function: a chunk with its answers (lengths, tokens, counts by class, costs, and each token's c and n)."""
     out = []
-    parts = [blobs_of(found)[i] for i in np.argsort(one_array(found["bucket"]).to_numpy()).tolist()] if len(found) else []
+    rows = blobs_of(found)  # once: a chunk has as many rows of answers as there are buckets
+    parts = [rows[i] for i in np.argsort(one_array(found["bucket"]).to_numpy()).tolist()] if len(found) else []
     for blobs in blobs_of(chunks):
         lengths, tokens, hashes = coded_blobs(blobs)
         keys, _, inverse = gathered_contexts(lengths, tokens, hashes)
@@ -529,6 +550,8 @@ def earlier(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rank, total
 
 
+#: Natural log of shares, relative to the largest, that a sum of some classes in double precision does not show.
+FAINT = -42.0
 #: The levels of the counts 0 to 181, and how far from its start a place lies, from 0 to 127.
 LEVELS, FAR = np.minimum(np.log2(np.arange(182) + 1.0) * 2, 15).astype(np.int64), np.minimum(np.log2(np.arange(128) + 1.0), 7).astype(np.int64)
 
@@ -589,14 +612,15 @@ class Texts:
         self.lengths, self.tokens, self.end = lengths, tokens, end
         words = words or Words(counts, cost, totals)
         if alike:
-            self.doc, self.pos, self.prev, self.prev2, self.word_key, self.rank, self.own, self.rank_two = (
-                alike.doc, alike.pos, alike.prev, alike.prev2, alike.word_key, alike.rank, alike.own, alike.rank_two)
+            self.doc, self.pos, self.prev, self.prev2, self.word_key, self.rank, self.own, self.rank_two, self.often = (
+                alike.doc, alike.pos, alike.prev, alike.prev2, alike.word_key, alike.rank, alike.own, alike.rank_two, alike.often)
         else:
             self.doc, self.pos = places(lengths)
             self.prev, self.prev2 = shifted(tokens, 1, self.pos, -1), shifted(tokens, 2, self.pos, -1)
             self.word_key = (self.doc.astype(np.uint64) << np.uint64(32)) | tokens.astype(np.uint64)
             self.rank, self.own = earlier(self.word_key)
             self.rank_two, _ = earlier(scrambled(self.word_key) + (self.prev + 2).astype(np.uint64) * MIX)
+            self.often = words.often[self.prev] * 16 + words.often[self.prev2]
         doc, pos, prev, prev2, rank = self.doc, self.pos, self.prev, self.prev2, self.rank
         c, n = c.astype(np.int64), n.astype(np.int64)
         taught = kind[doc] >= 0
@@ -611,7 +635,7 @@ class Texts:
             before = shifted(rank, 1, pos, 0)
             self.n = [n, before, pos]
             self.q = [c / np.maximum(n, 1), self.rank_two / np.maximum(before, 1), np.where(tokens == end, 0.0, rank / np.maximum(pos, 1))]
-        self.rest = self.corpus(words, kind, totals, self.own if alone else None)
+        self.rest = self.corpus(words, kind, totals, self.own if alone else None, alike)
         self.contexts, self.gates = [], []
         hits = [(q > 0).astype(np.int64) for q in self.q]
         last = shifted(sum(h << k for k, h in enumerate(hits)), 1, pos, 0)
@@ -623,27 +647,34 @@ class Texts:
             else:
                 seen = levels(self.n[k])
                 first = seen * 8 + sum(shifted(hits[k], by, pos, 0) << (by - 1) for by in (1, 2, 3))
-                second = (seen * 16 + words.often[prev]) * 16 + words.often[prev2]
+                second = seen * 256 + self.often
             self.contexts.append((first, second, (seen * 8 + last) * 8 + place))
             self.gates.append(seen)
 
-    def corpus(self, words: Words, kind: np.ndarray, totals: Totals, own: np.ndarray | None) -> np.ndarray:
+    def corpus(self, words: Words, kind: np.ndarray, totals: Totals, own: np.ndarray | None, alike: Texts | None) -> np.ndarray:
         """Natural log of each token's probability among the corpus' words: a mixture over classes that moves along the text."""
         starts = np.cumsum(self.lengths) - self.lengths
-        ahead = words.by_class[np.where(self.tokens == self.end, len(words.by_class) - 1, self.tokens)]
+        if alike:  # the same but for the classes of training texts
+            ahead, (of, at, plain) = alike.ahead, alike.replaced
+            ahead[of, at] = plain
+        else:
+            ahead = np.ascontiguousarray(words.by_class.take(np.where(self.tokens == self.end, len(words.by_class) - 1, self.tokens), axis=0).T)
         if own is not None:
             at = np.flatnonzero((kind[self.doc] >= 0) & (self.tokens != self.end))
             token, of = self.tokens[at], kind[self.doc[at]]
-            ahead[at, of] = words.chances(words.counts[token, of].astype(np.float64) - own[at], token, of)
-        ahead = np.ascontiguousarray(ahead.T)
+            self.ahead, self.replaced = ahead, (of, at, ahead[of, at])
+            ahead[of, at] = words.chances(words.counts[token, of].astype(np.float64) - own[at], token, of)
         # Sums along each text from its class's prior, before and after each token.
         after = np.cumsum(ahead, axis=1)
         began = after[:, starts] - ahead[:, starts] - totals.prior[:, None]
         after -= np.repeat(began, self.lengths, axis=1)
         top = after.max(axis=0)
         after -= top
-        np.exp(after, out=after)
-        whole = top + np.log(after.sum(axis=0))
+        # What lies so far below the largest term is lost in a sum of doubles.
+        near = after > FAINT
+        shares = np.zeros_like(after)
+        shares[near] = np.exp(after[near])
+        whole = top + np.log(shares.sum(axis=0))
         start = np.log(np.exp(totals.prior).sum())
         return whole - shifted(whole, 1, self.pos, start)
 
@@ -666,37 +697,38 @@ class Mixer:
 
     def run(self, texts: Texts, rate: float = 0.0, learns: np.ndarray | None = None) -> np.ndarray:
         """Natural log of each token's probability; with a rate, tables and weights learn from the tokens where `learns` holds."""
-        logs = texts.rest
+        logs = texts.rest.copy()
         for k in reversed(range(EXPERTS)):
-            # A slot of a table tells the gate, so weights go with the slots.
-            x, w = self.stretched(k), self.weights[k]
-            z = (0.3 * w[:, -1])[texts.gates[k]]
-            for j, slots in enumerate(texts.contexts[k]):
-                z += (x[j].reshape(EXPERT_GATES, -1) * w[:, j, None]).reshape(-1)[slots]
-            p = 1 / (1 + np.exp(-np.clip(z, -12, 12)))
-            if self.fixed is not None:
-                p = np.full(len(p), self.fixed)
-            p[texts.n[k] <= 0] = 0.0
+            # Only where the expert's context was seen does it say anything. A slot of a table tells the gate, so weights go with the slots.
+            x, w, seen = self.stretched(k), self.weights[k], np.flatnonzero(texts.n[k] > 0)
+            slots, gates = [of[seen] for of in texts.contexts[k]], texts.gates[k][seen]
+            z = (0.3 * w[:, -1])[gates]
+            for j, of in enumerate(slots):
+                z += (x[j].reshape(EXPERT_GATES, -1) * w[:, j, None]).reshape(-1)[of]
+            p = 1 / (1 + np.exp(-np.clip(z, -12, 12))) if self.fixed is None else np.full(len(z), self.fixed)
             # Both ways to the token, in units of what the other experts give it; these units may be below the least float.
-            taken, low = p * texts.q[k], np.flatnonzero(logs < -600)
-            taken *= np.exp(-np.maximum(logs, -600))
+            rest, q = logs[seen], texts.q[k][seen]
+            low, held = np.flatnonzero(rest < -600), np.flatnonzero(q > 0)
+            taken = np.zeros(len(seen))
+            taken[held] = p[held] * q[held] * np.exp(-np.maximum(rest[held], -600))
             both = taken + (1 - p)
             with np.errstate(divide="ignore"):
-                far = np.logaddexp(np.log(p[low] * texts.q[k][low]), np.log1p(-p[low]) + logs[low])
-            logs = logs + np.log(both)
-            logs[low] = far
+                far = np.logaddexp(np.log(p[low] * q[low]), np.log1p(-p[low]) + rest[low])
+            rest += np.log(both)
+            rest[low] = far
+            logs[seen] = rest
             if rate:
-                at = np.flatnonzero(learns & (texts.n[k] > 0))
+                at = np.flatnonzero(learns[seen])
                 share = taken[at] / both[at]
-                gate, error = texts.gates[k][at], share - p[at]
+                gate, error = gates[at], share - p[at]
                 total = np.bincount(gate, minlength=EXPERT_GATES)
+                slots = [of[at] for of in slots]
                 for i in range(INPUTS):
-                    own = x[i][texts.contexts[k][i][at]] if i < len(x) else 0.3
+                    own = x[i][slots[i]] if i < len(x) else 0.3
                     self.weights[k][:, i] += rate * np.bincount(gate, error * own, EXPERT_GATES) / np.maximum(total, 500.0)
-                for j, slots in enumerate(texts.contexts[k]):
-                    size = len(self.tables[k][j])
-                    self.tables[k][j][:, 0] += np.bincount(slots[at], share, size)
-                    self.tables[k][j][:, 1] += np.bincount(slots[at], 1 - share, size)
+                for table, of in zip(self.tables[k], slots):
+                    table[:, 0] += np.bincount(of, share, len(table))
+                    table[:, 1] += np.bincount(of, 1 - share, len(table))
         return logs
 
 

@@ -619,3 +619,40 @@ def test_each_run_of_letters_or_marks_is_spelled_once(monkeypatch):
 def test_range_coder_keeps_its_format():
     ids = (np.arange(60_000, dtype=np.uint64) ** 2 % 9973 % 611).astype(np.uint32)
     assert zlib.crc32(rangecoder.encode(ids)) == 2699400063
+
+
+def test_a_chunk_reads_its_answers_once(monkeypatch):
+    """Rows of answers grow with the buckets, so reading all of them for each of them would grow with the square."""
+    lengths, tokens, hashes = np.array([9], np.uint32), np.arange(9, dtype=np.uint32) % 9, np.arange(1, 9, dtype=np.uint64) << np.uint64(60)
+    blobs = [scoring.packed(x) for x in (lengths, tokens, hashes)]
+    keys, _, inverse = scoring.gathered_contexts(lengths.astype(np.int64), tokens, hashes)
+    seen = np.arange(len(keys), dtype=np.uint32) + 5
+    rows = [[scoring.packed(np.array([3 * b, b], np.uint32)[:2 * (b < 8)]), scoring.packed(np.array([-b], np.float32)[:b < 8]), scoring.packed(seen[b:b + 1]), scoring.packed(seen[b:b + 1] * 2)] for b in range(9)]
+    order = [4, 0, 8, 2, 1, 3, 7, 6, 5]
+    found = pa.table({"chunk": pa.array([7] * 9), "bucket": pa.array(order, pa.int32()), "blobs": pa.array([rows[b] for b in order], pa.list_(pa.binary()))})
+    chunks = pa.table({"chunk": pa.array([7]), "blobs": pa.array([blobs], pa.list_(pa.binary()))})
+    calls, read = [], scoring.blobs_of
+    monkeypatch.setattr(scoring, "blobs_of", lambda table: calls.append(table.num_rows) or read(table))
+    out = scoring.joined(chunks, found)["blobs"].to_pylist()[0]
+    assert sorted(calls) == [1, 9]
+    assert scoring.unpacked(out[4], np.uint32).tolist() == seen[inverse].tolist() and scoring.unpacked(out[5], np.uint32).tolist() == (seen[inverse] * 2).tolist()
+    assert scoring.unpacked(out[2], np.uint32).tolist() == [x for b in range(8) for x in (3 * b, b)] and scoring.unpacked(out[3], np.float32).tolist() == [-b for b in range(8)]
+
+
+def test_bits_of_words_are_counted_whole(monkeypatch):
+    """Counts of slots do not depend on how many bits are counted at once, nor on where a slice of words begins."""
+    code = scoring.byte_codes({97: 5, 98: 2})
+    words = pa.array([b"", b"ab", b"abba" * 40, b"b", "ñandú".encode(), b"zz"] * 7)
+    want = collections.Counter()
+    slots, bits, *_ = scoring.spelled(words.slice(3), code)
+    for k, own in enumerate(slots.tolist()):
+        want.update((k, slot, bit) for slot, bit in zip(own, bits.tolist()))
+    for at_once in (1, 100, 10**6):
+        monkeypatch.setattr(scoring, "COUNTED_BITS", at_once)
+        monkeypatch.setattr(scoring, "BATCH", 4)
+        total = np.zeros((len(scoring.ORDERS) * (2 << scoring.SLOT_BITS) // scoring.PIECE, scoring.PIECE), np.int64)
+        for batch in scoring.gather_counts(code)(iter([pa.RecordBatch.from_arrays([words.slice(3)], ["word"])])):
+            for i, x in zip(batch["piece"].to_pylist(), batch["counts"].to_pylist()):
+                total[i] += np.frombuffer(x, np.int64)
+        total = total.reshape(len(scoring.ORDERS), -1)
+        assert {(int(k), int(i) // 2, int(i) % 2): int(total[k, i]) for k, i in zip(*np.nonzero(total))} == want
