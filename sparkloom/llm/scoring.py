@@ -659,10 +659,12 @@ class Texts:
             ahead[of, at] = plain
         else:
             ahead = np.ascontiguousarray(words.by_class.take(np.where(self.tokens == self.end, len(words.by_class) - 1, self.tokens), axis=0).T)
+        none = np.zeros(0, np.int64)
+        self.ahead, self.replaced = ahead, (none, none, ahead[0, :0])
         if own is not None:
             at = np.flatnonzero((kind[self.doc] >= 0) & (self.tokens != self.end))
             token, of = self.tokens[at], kind[self.doc[at]]
-            self.ahead, self.replaced = ahead, (of, at, ahead[of, at])
+            self.replaced = of, at, ahead[of, at]
             ahead[of, at] = words.chances(words.counts[token, of].astype(np.float64) - own[at], token, of)
         # Sums along each text from its class's prior, before and after each token.
         after = np.cumsum(ahead, axis=1)
