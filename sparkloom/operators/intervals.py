@@ -6,6 +6,10 @@ least power of two that is as long as it: its home. The longer of two meeting in
 each row is one or two rows at home and one or two for each longer size that the other side has; an equality join on (size, bin) finds
 all pairs, and of several bins that a pair shares, the one with the first common point counts. The predicate itself decides in the end,
 so rounding in the bins costs nothing but candidates.
+
+Rows of a bin are joined by blocks: arrays of neighbouring rows, unfolded after the join. Blocks that do not meet are never unfolded, and pairs
+come as runs of one row against the same short list of others. Files encode such runs and repeats in a small part of the bytes that the same
+pairs take in any order.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +28,14 @@ LESS, MORE = frozenset(("lt", "lte")), frozenset(("gt", "gte"))
 FARTHEST = float(1 << 62)
 #: Candidates of one bin that one slice takes; bins with more are cut into slices.
 CANDIDATES = 5_000_000
+#: What rows that meet have in common.
+SHARED = ("__level", "__bin", "__slice")
+#: Rows of a block on the side with more rows and on the other, whose list is repeated.
+OUTER, INNER = 1024, 128
+#: Bytes of strings and nested values after which a block ends, so that long rows make no long arrays.
+BLOCK_BYTES = 1 << 20
+#: Rows of both sides that one partition takes, so that its values fit the dictionaries of a file.
+PARTITION_ROWS = 50_000
 BINNED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -90,14 +102,14 @@ def binned(df: DataFrame, levels: Column) -> DataFrame:
 
 
 def sliced(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a column __slice: in bins with many candidates the side with more rows is dealt out and the other goes to every slice."""
+    """Both sides, with a column __slice if there are bins with many candidates: there the side with more rows is dealt out and the other goes to every slice."""
     n, m = (df.groupBy("__level", "__bin").agg(F.count(F.lit(1)).cast("double").alias(c)) for df, c in ((left, "__n"), (right, "__m")))
     load = n.join(m, ["__level", "__bin"]).filter(F.col("__n") * F.col("__m") > CANDIDATES)
     # Copies of the smaller side stay about as many as the rows of the larger one.
     slices = F.least(F.ceil(F.col("__n") * F.col("__m") / CANDIDATES), F.ceil(F.greatest("__n", "__m") / F.least("__n", "__m")) + 3).cast("int")
     full = load.select("__level", "__bin", slices.alias("__slices"), (F.col("__n") >= F.col("__m")).alias("__by_left")).collect()
     if not full:
-        return left.withColumn("__slice", F.lit(0)), right.withColumn("__slice", F.lit(0))
+        return left, right
     heavy = left.sparkSession.createDataFrame(full, "__level int, __bin bigint, __slices int, __by_left boolean")
 
     def dealt(df: DataFrame, is_left: bool) -> DataFrame:
@@ -110,6 +122,28 @@ def sliced(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     return dealt(left, True), dealt(right, False)
 
 
+def sortable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(sortable(f.dataType) for f in kind)
+    return sortable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType, T.CalendarIntervalType))
+
+
+def blocks(df: DataFrame, columns: list[str], size: int, partitions: int) -> DataFrame:
+    """Arrays of at most so many rows that are neighbours in a bin's slice, with the interval that they lie in."""
+    keys = [k for k in SHARED if k in df.columns]
+    order = Window.partitionBy(*keys).orderBy("__low", "__high")
+    df = df.repartition(partitions, *keys).withColumn("__place", F.row_number().over(order))
+    block = [F.floor((F.col("__place") - 1) / size).alias("__block")]
+    long = [c for c in columns if isinstance(df.schema[c].dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))]
+    if long:
+        taken = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)).cast("long") for c in long), F.lit(0))
+        df = df.withColumn("__taken", F.sum(taken).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        block.append(F.floor(F.col("__taken") / BLOCK_BYTES).alias("__part"))
+    rows = F.collect_list(F.struct("__place", "__low", *[F.col(f"`{c}`") for c in columns]))
+    rows = F.sort_array(rows) if all(sortable(df.schema[c].dataType) for c in columns) else rows
+    return df.groupBy(*keys, *block).agg(F.min("__low").alias("__from"), F.max("__high").alias("__to"), rows.alias("__rows"))
+
+
 def range_join(left: DataFrame, right: DataFrame, predicate: Mapping, side_of: Mapping[str, str], condition, strict: bool) -> DataFrame | None:
     """Pairs of left (alias l) and right (alias r) that satisfy the predicate, or None if it bounds nothing on both sides or equates something."""
     found = bounds(predicate, side_of)
@@ -120,8 +154,8 @@ def range_join(left: DataFrame, right: DataFrame, predicate: Mapping, side_of: M
     if None in spans:
         return None
     sides = [df.withColumn("__low", low).withColumn("__high", high).filter("__low IS NOT NULL") for df, (low, high) in zip((left, right), spans)]
-    # Two rows of bounds: the sizes of intervals and how far from nought they lie.
-    extents = [df.agg(F.max(F.greatest(F.abs("__low"), F.abs("__high"))).alias("far"), F.max(F.col("__high") - F.col("__low")).alias("longest"),
+    # Two rows of bounds: the sizes of intervals, where they lie and how far from nought.
+    extents = [df.agg(F.min("__low").alias("from"), F.max("__high").alias("to"), F.max(F.greatest(F.abs("__low"), F.abs("__high"))).alias("far"), F.max(F.col("__high") - F.col("__low")).alias("longest"),
                       F.min(F.when(F.col("__high") > F.col("__low"), F.col("__high") - F.col("__low"))).alias("shortest")).first() for df in sides]
     far = max([e["far"] or 0.0 for e in extents])
     shortest, longest = [e["shortest"] for e in extents if e["shortest"]], [e["longest"] for e in extents if e["longest"]]
@@ -131,22 +165,30 @@ def range_join(left: DataFrame, right: DataFrame, predicate: Mapping, side_of: M
         least = max(math.ceil(math.log2(min(shortest))), math.ceil(math.log2(max(far, 1e-300))) - 50, -1000)
         most = max(least, math.ceil(math.log2(max(longest))))
     sides = [df.withColumn("__home", F.least(F.lit(most), level(F.col("__high") - F.col("__low"), least))) for df in sides]
-    present = [sorted(r["__home"] for r in df.select("__home").distinct().collect()) for df in sides]
+    sides = [df.filter((F.col("__low") <= F.lit(e["to"])) & (F.col("__high") >= F.lit(e["from"]))) for df, e in zip(sides, reversed(extents))]
+    counts = [{r["__home"]: r["count"] for r in df.groupBy("__home").count().collect()} for df in sides]
+    present, rows = [sorted(c) for c in counts], [sum(c.values()) for c in counts]
 
     def guests(df: DataFrame, levels: list[int], strictly: bool) -> DataFrame:
         every = F.array(*[F.lit(k) for k in levels]).cast("array<int>")
         return binned(df, F.filter(every, lambda k: k > F.col("__home") if strictly else k >= F.col("__home")))
 
     at_home = [binned(df, F.array("__home")) for df in sides]
-    pairs = [(at_home[0], guests(sides[1], present[0], False)), (guests(sides[0], present[1], True), at_home[1])]
+    pairs = [(at_home[0], guests(sides[1], present[0], False))]
+    if present[0] and present[1] and present[1][-1] > present[0][0]:
+        pairs.append((guests(sides[0], present[1], True), at_home[1]))
+    partitions = max(1, math.ceil((rows[0] * max(1, len(present[1])) + rows[1] * max(1, len(present[0]))) / PARTITION_ROWS))
+    by_left = rows[0] > rows[1]
     out = None
-    for l, r in pairs:  # noqa: E741
-        l, r = sliced(l, r)  # noqa: E741
-        l, r = l.alias("l"), r.alias("r")  # noqa: E741
-        size = F.pow(F.lit(2.0), F.col("l.__level").cast("double"))
-        once = F.floor(F.greatest(F.col("l.__low"), F.col("r.__low")) / size) == F.col("l.__bin")
-        same = (F.col("l.__level") == F.col("r.__level")) & (F.col("l.__bin") == F.col("r.__bin")) & (F.col("l.__slice") == F.col("r.__slice"))
-        joined = l.join(r, same & once & condition, "inner").select(*[F.col(f"l.`{c}`").alias(f"__l_{i}") for i, c in enumerate(left.columns)], *[F.col(f"r.`{c}`").alias(f"__r_{i}") for i, c in enumerate(right.columns)])
+    for pair in pairs:
+        l, r = (blocks(df, frame.columns, OUTER if outer else INNER, partitions).alias(side) for df, frame, outer, side in zip(sliced(*pair), (left, right), (by_left, not by_left), "lr"))  # noqa: E741
+        same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in SHARED if k in l.columns]
+        meet = (F.col("l.__from") <= F.col("r.__to")) & (F.col("r.__from") <= F.col("l.__to"))
+        joined = l.join(r, [*same, meet], "inner").select("l.__bin", F.pow(F.lit(2.0), F.col("l.__level").cast("double")).alias("__size"), F.col("l.__rows").alias("__l"), F.col("r.__rows").alias("__r"))
+        for side in "lr" if by_left else "rl":
+            joined = joined.select(*[c for c in joined.columns if c != f"__{side}"], F.explode(f"__{side}").alias(side))
+        once = F.floor(F.greatest(F.col("l.__low"), F.col("r.__low")) / F.col("__size")) == F.col("__bin")
+        joined = joined.filter(once & condition).select(*[F.col(f"l.`{c}`").alias(f"__l_{i}") for i, c in enumerate(left.columns)], *[F.col(f"r.`{c}`").alias(f"__r_{i}") for i, c in enumerate(right.columns)])
         out = joined if out is None else out.unionByName(joined)
     return out
 

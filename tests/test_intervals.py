@@ -84,3 +84,33 @@ def test_full_bins_are_cut_into_slices(spark, monkeypatch):
     got = apply_all(asked, {"a": a, "b": b})["a"]
     assert sorted((r.i, r.j) for r in got.collect()) == want
     assert "__slices" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_are_written_in_few_bytes(spark, tmp_path):
+    """40 intervals with 25,000 points in each, too many to repeat within a page of a file: written, the million pairs take far fewer bytes than two numbers each."""
+    a = spark.range(40).selectExpr("id AS i", "900.0 + id % 7 AS low", "1000.0 + id % 7 AS high")
+    b = spark.range(25_000).selectExpr("id AS j", "907.0 + (id * 7919) % 25000 / 300 AS x")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined(a, b, "low <= x && x < high").select("i", "j").write.parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    back, want = spark.read.parquet(str(tmp_path / "out")), a.crossJoin(b).filter("low <= x and x < high").select("i", "j")
+    assert want.count() == back.count() == 1_000_000 and back.exceptAll(want).isEmpty()
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 500_000
+
+
+def test_rows_far_from_all_others_are_left_out_and_long_rows_end_blocks(spark, monkeypatch):
+    from sparkloom.operators import intervals
+
+    monkeypatch.setattr(intervals, "INNER", 3)
+    monkeypatch.setattr(intervals, "OUTER", 50)
+    monkeypatch.setattr(intervals, "BLOCK_BYTES", 400)
+    a = spark.range(200).selectExpr("id AS i", "double(id) AS low", "double(id + id % 9) AS high", "map('k', id) AS m", "if(id % 5 = 0, null, repeat('x', int(id))) AS s")
+    b = spark.range(120).selectExpr("id AS j", "id + 90.5 AS x", "array(struct(id)) AS n")
+    got = joined(a, b, "low <= x && x <= high")
+    assert sorted((r.i, r.j, r.m["k"], r.n[0].id, len(r.s or "")) for r in got.collect()) == sorted((i, j, i, j, i if i % 5 else 0) for i in range(200) for j in range(120) if i <= j + 90.5 <= i + i % 9)
+    rows = a.withColumns({"__low": F.lit(0.0), "__high": F.col("low"), "__level": F.lit(0), "__bin": F.lit(0).cast("long")})
+    made = [sum(len(r["s"] or "") for r in block["__rows"]) for block in intervals.blocks(rows, a.columns, 50, 2).collect()]
+    assert max(made) < 400 + 200 and sum(made) == sum(i for i in range(200) if i % 5)
