@@ -8,8 +8,8 @@ all pairs, and of several bins that a pair shares, the one with the first common
 so rounding in the bins costs nothing but candidates.
 
 Rows of a bin are joined by blocks: arrays of neighbouring rows, unfolded after the join. Blocks that do not meet are never unfolded, and pairs
-come as runs of one row against the same short list of others. Files encode such runs and repeats in a small part of the bytes that the same
-pairs take in any order.
+come as runs of one row against the same short list of others, made as they are read. Files encode such runs and repeats in a small part of
+the bytes that the same pairs take in any order.
 """
 
 from __future__ import annotations
@@ -139,17 +139,33 @@ def blocks(df: DataFrame, columns: list[str], size: int, partitions: int) -> Dat
         taken = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)).cast("long") for c in long), F.lit(0))
         df = df.withColumn("__taken", F.sum(taken).over(order.rowsBetween(Window.unboundedPreceding, 0)))
         block.append(F.floor(F.col("__taken") / BLOCK_BYTES).alias("__part"))
-    rows = F.collect_list(F.struct("__place", "__low", *[F.col(f"`{c}`") for c in columns]))
+    rows = F.collect_list(F.struct("__place", "__low", "__high", *[F.col(f"`{c}`") for c in columns]))
     rows = F.sort_array(rows) if all(sortable(df.schema[c].dataType) for c in columns) else rows
     return df.groupBy(*keys, *block).agg(F.min("__low").alias("__from"), F.max("__high").alias("__to"), rows.alias("__rows"))
 
 
+def unfolded(outer: DataFrame, inner: DataFrame, names: str) -> DataFrame:
+    """Pairs of the rows of blocks that meet, as two structs.
+
+    The outer block gives its rows near the other block one at a time: Spark keeps no generated code for a generator over a lambda, so each row
+    moves on before the next one comes. Only then come the pairs, one short list at a time. In one piece, generated code would hold
+    all pairs of a block with all blocks that it meets before the first pair moves on.
+    """
+    keys = [k for k in SHARED if k in outer.columns]
+    inner = inner.select(*keys, F.col("__from").alias("__since"), F.col("__to").alias("__until"), F.col("__rows").alias("__list"))
+    joined = outer.join(inner, keys).filter((F.col("__from") <= F.col("__until")) & (F.col("__since") <= F.col("__to")))
+    near = F.filter("__rows", lambda row: (row["__low"] <= F.col("__until")) & (F.col("__since") <= row["__high"]))
+    joined = joined.select("__level", "__bin", "__list", F.explode(near).alias(names[0]))
+    return joined.select("__level", "__bin", names[0], F.explode("__list").alias(names[1]))
+
+
 def range_join(left: DataFrame, right: DataFrame, predicate: Mapping, side_of: Mapping[str, str], condition, strict: bool) -> DataFrame | None:
     """Pairs of left (alias l) and right (alias r) that satisfy the predicate, or None if it bounds nothing on both sides or equates something."""
     found = bounds(predicate, side_of)
     if found["equal"] or not found["upper"] or not found["lower"]:
         return None
     (a, b), (c, d) = pair_of(found)
+    pointed = a == c or b == d
     spans = span(left, a, c, strict), span(right, d, b, strict)
     if None in spans:
         return None
@@ -179,16 +195,15 @@ def range_join(left: DataFrame, right: DataFrame, predicate: Mapping, side_of: M
         pairs.append((guests(sides[0], present[1], True), at_home[1]))
     partitions = max(1, math.ceil((rows[0] * max(1, len(present[1])) + rows[1] * max(1, len(present[0]))) / PARTITION_ROWS))
     by_left = rows[0] > rows[1]
+    sizes, columns = (OUTER, INNER) if by_left else (INNER, OUTER), (left.columns, right.columns)
+    once = F.floor(F.greatest(F.col("l.__low"), F.col("r.__low")) / F.pow(F.lit(2.0), F.col("__level").cast("double"))) == F.col("__bin")
+    test = condition if pointed else once & condition  # a point has one bin of a size, so its pairs are found once
     out = None
     for pair in pairs:
-        l, r = (blocks(df, frame.columns, OUTER if outer else INNER, partitions).alias(side) for df, frame, outer, side in zip(sliced(*pair), (left, right), (by_left, not by_left), "lr"))  # noqa: E741
-        same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in SHARED if k in l.columns]
-        meet = (F.col("l.__from") <= F.col("r.__to")) & (F.col("r.__from") <= F.col("l.__to"))
-        joined = l.join(r, [*same, meet], "inner").select("l.__bin", F.pow(F.lit(2.0), F.col("l.__level").cast("double")).alias("__size"), F.col("l.__rows").alias("__l"), F.col("r.__rows").alias("__r"))
-        for side in "lr" if by_left else "rl":
-            joined = joined.select(*[c for c in joined.columns if c != f"__{side}"], F.explode(f"__{side}").alias(side))
-        once = F.floor(F.greatest(F.col("l.__low"), F.col("r.__low")) / F.col("__size")) == F.col("__bin")
-        joined = joined.filter(once & condition).select(*[F.col(f"l.`{c}`").alias(f"__l_{i}") for i, c in enumerate(left.columns)], *[F.col(f"r.`{c}`").alias(f"__r_{i}") for i, c in enumerate(right.columns)])
+        l, r = (blocks(df, names, size, partitions) for df, names, size in zip(sliced(*pair), columns, sizes))  # noqa: E741
+        outer, inner = (l, r) if by_left else (r, l)
+        joined = unfolded(outer, inner, "lr" if by_left else "rl").filter(test)
+        joined = joined.select(*[F.col(f"l.`{c}`").alias(f"__l_{i}") for i, c in enumerate(left.columns)], *[F.col(f"r.`{c}`").alias(f"__r_{i}") for i, c in enumerate(right.columns)])
         out = joined if out is None else out.unionByName(joined)
     return out
 

@@ -114,3 +114,27 @@ def test_rows_far_from_all_others_are_left_out_and_long_rows_end_blocks(spark, m
     rows = a.withColumns({"__low": F.lit(0.0), "__high": F.col("low"), "__level": F.lit(0), "__bin": F.lit(0).cast("long")})
     made = [sum(len(r["s"] or "") for r in block["__rows"]) for block in intervals.blocks(rows, a.columns, 50, 2).collect()]
     assert max(made) < 400 + 200 and sum(made) == sum(i for i in range(200) if i % 5)
+
+
+def test_pairs_are_made_as_they_are_read(spark):
+    """2,000 rows that all meet 2,000 others: the first pair is there when a short list of pairs has been made, not when the pairs of whole blocks have."""
+    a = spark.range(2_000).selectExpr("id AS i", "900.0 + id % 7 AS low", "1000.0 + id % 7 AS high")
+    b = spark.range(2_000).selectExpr("id AS j", "907.0 + id / 100 AS x")
+    confs = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        first = joined(a, b, "low <= x && x < high").select("i", "j").limit(1)
+        taken = first._jdf.queryExecution().executedPlan()
+        assert taken.executeTake(1) is not None
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+    def made(node):
+        own = [node.metrics().get("numOutputRows").get().value()] if node.nodeName() == "Generate" else []
+        below = node.children()
+        return own + [n for i in range(below.size()) for n in made(below.apply(i))]
+
+    assert 0 < max(made(taken)) < 20_000
