@@ -28,6 +28,8 @@ LESS, MORE = frozenset(("lt", "lte")), frozenset(("gt", "gte"))
 FARTHEST = float(1 << 62)
 #: Candidates of one bin that one slice takes; bins with more are cut into slices.
 CANDIDATES = 5_000_000
+#: Bins that both sides have; if they are no more, rows of other bins are left out before the shuffle.
+BINS = 50_000
 #: What rows that meet have in common.
 SHARED = ("__level", "__bin", "__slice")
 #: Rows of a block on the side with more rows and on the other, whose list is repeated.
@@ -74,19 +76,22 @@ def bounds(node: Mapping, side_of: Mapping[str, str]) -> dict[str, list]:
     return found
 
 
-def span(df: DataFrame, one, other, strict: bool) -> tuple[Column, Column] | None:
-    """The interval between two expressions of a frame, as doubles in a bounded range; None if they have no order of numbers or moments."""
-    scope, ends = Scope(df, strict=strict), []
+def span(df: DataFrame, one, other, strict: bool) -> tuple[Column, Column, Column] | None:
+    """Whether both of two expressions of a frame are there, and the interval between them, as doubles in a bounded range; None if they have no order of numbers or moments."""
+    scope, there, ends = Scope(df, strict=strict), [], []
     for node in (one, other):
         value = build(node, scope)
         kind = scope.type_of(value)
         if not isinstance(kind, BINNED):
             return None
-        col = value.col.cast("timestamp") if isinstance(kind, (T.DateType, T.TimestampNTZType)) else value.col
-        number = F.nanvl(col.cast("double"), F.lit(FARTHEST))  # NaN stands above all numbers
-        ends.append(F.when(col.isNotNull(), F.greatest(F.lit(-FARTHEST), F.least(F.lit(FARTHEST), number))))
-    both = ends[0].isNotNull() & ends[1].isNotNull()
-    return F.when(both, F.least(*ends)), F.when(both, F.greatest(*ends))
+        there.append(value.col.isNotNull())
+        if isinstance(kind, T.NumericType):
+            number = value.col.cast("double")
+            number = F.nanvl(number, F.lit(FARTHEST)) if isinstance(kind, T.FractionalType) else number  # NaN stands above all numbers
+            ends.append(F.greatest(F.lit(-FARTHEST), F.least(F.lit(FARTHEST), number)))
+        else:
+            ends.append(value.col.cast("timestamp").cast("double"))
+    return there[0] & there[1], F.least(*ends), F.greatest(*ends)
 
 
 def level(length: Column, least: int) -> Column:
@@ -102,19 +107,24 @@ def binned(df: DataFrame, levels: Column) -> DataFrame:
 
 
 def sliced(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides, with a column __slice if there are bins with many candidates: there the side with more rows is dealt out and the other goes to every slice."""
+    """Both sides without rows of bins that the other side lacks, if the shared bins are few, and with a column __slice if there are bins with many candidates:
+    there the side with more rows is dealt out and the other goes to every slice."""
     n, m = (df.groupBy("__level", "__bin").agg(F.count(F.lit(1)).cast("double").alias(c)) for df, c in ((left, "__n"), (right, "__m")))
-    load = n.join(m, ["__level", "__bin"]).filter(F.col("__n") * F.col("__m") > CANDIDATES)
+    load = n.join(m, ["__level", "__bin"]).withColumn("__load", F.col("__n") * F.col("__m"))
     # Copies of the smaller side stay about as many as the rows of the larger one.
-    slices = F.least(F.ceil(F.col("__n") * F.col("__m") / CANDIDATES), F.ceil(F.greatest("__n", "__m") / F.least("__n", "__m")) + 3).cast("int")
-    full = load.select("__level", "__bin", slices.alias("__slices"), (F.col("__n") >= F.col("__m")).alias("__by_left")).collect()
+    slices = F.when(F.col("__load") <= CANDIDATES, 1).otherwise(F.least(F.ceil(F.col("__load") / CANDIDATES), F.ceil(F.greatest("__n", "__m") / F.least("__n", "__m")) + 3)).cast("int")
+    load = load.select("__level", "__bin", slices.alias("__slices"), (F.col("__n") >= F.col("__m")).alias("__by_left"))
+    shared = load.orderBy(F.desc("__slices")).limit(BINS + 1).collect()
+    few, full = len(shared) <= BINS, bool(shared) and shared[0]["__slices"] > 1
+    if not few:
+        shared = load.filter("__slices > 1").collect() if shared[-1]["__slices"] > 1 else [r for r in shared if r["__slices"] > 1]
+    bins = F.broadcast(left.sparkSession.createDataFrame(shared, "__level int, __bin bigint, __slices int, __by_left boolean"))
     if not full:
-        return left, right
-    heavy = left.sparkSession.createDataFrame(full, "__level int, __bin bigint, __slices int, __by_left boolean")
+        return (left.join(bins, ["__level", "__bin"], "left_semi"), right.join(bins, ["__level", "__bin"], "left_semi")) if few else (left, right)
 
     def dealt(df: DataFrame, is_left: bool) -> DataFrame:
         own = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-        df = df.withColumn("__hash", F.xxhash64(*own)).join(F.broadcast(heavy), ["__level", "__bin"], "left")
+        df = df.withColumn("__hash", F.xxhash64(*own)).join(bins, ["__level", "__bin"], "inner" if few else "left")
         one, every = F.array(F.pmod("__hash", F.col("__slices")).cast("int")), F.sequence(F.lit(0), F.col("__slices") - 1)
         slices = F.when(F.col("__slices").isNull(), F.array(F.lit(0))).when(F.col("__by_left") == is_left, one).otherwise(every)
         return df.withColumn("__slice", F.explode(slices)).drop("__hash", "__slices", "__by_left")
@@ -169,7 +179,7 @@ def range_join(left: DataFrame, right: DataFrame, predicate: Mapping, side_of: M
     spans = span(left, a, c, strict), span(right, d, b, strict)
     if None in spans:
         return None
-    sides = [df.withColumn("__low", low).withColumn("__high", high).filter("__low IS NOT NULL") for df, (low, high) in zip((left, right), spans)]
+    sides = [df.filter(there).withColumns({"__low": low, "__high": high}) for df, (there, low, high) in zip((left, right), spans)]
     # Two rows of bounds: the sizes of intervals, where they lie and how far from nought.
     extents = [df.agg(F.min("__low").alias("from"), F.max("__high").alias("to"), F.max(F.greatest(F.abs("__low"), F.abs("__high"))).alias("far"), F.max(F.col("__high") - F.col("__low")).alias("longest"),
                       F.min(F.when(F.col("__high") > F.col("__low"), F.col("__high") - F.col("__low"))).alias("shortest")).first() for df in sides]

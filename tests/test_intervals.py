@@ -138,3 +138,20 @@ def test_pairs_are_made_as_they_are_read(spark):
         return own + [n for i in range(below.size()) for n in made(below.apply(i))]
 
     assert 0 < max(made(taken)) < 20_000
+
+
+@pytest.mark.parametrize("most, full", [(50_000, 5_000_000), (50_000, 20), (3, 20), (3, 5_000_000)])
+def test_rows_of_bins_that_the_other_side_lacks_stay_behind(spark, monkeypatch, most, full):
+    """Short intervals far apart: rows between them take no part if the shared bins are few; the pairs are all there with few and with many, full or not."""
+    from sparkloom.operators import intervals
+
+    monkeypatch.setattr(intervals, "BINS", most, raising=False)
+    monkeypatch.setattr(intervals, "CANDIDATES", full)
+    kept, blocks = [], intervals.blocks
+    monkeypatch.setattr(intervals, "blocks", lambda df, *more: kept.append(df) or blocks(df, *more))
+    a = spark.range(80).selectExpr("id AS i", "double(id % 8 * 1000) AS low", "id % 8 * 1000 + 1.0 + id % 20 AS high")
+    b = spark.range(8_000).selectExpr("id AS j", "double(id) AS x")
+    got = joined(a, b, "low <= x && x < high")
+    assert sorted((r.i, r.j) for r in got.collect()) == sorted((i, j) for i in range(80) for j in range(i % 8 * 1000, i % 8 * 1000 + 1 + i % 20))
+    if most == 50_000:
+        assert kept[1].select("j").distinct().count() <= 8 * 64
